@@ -250,8 +250,8 @@ def tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_brand").alias("vendor"), F.concat_ws(" ", "p_type", (k % 10).cast("string")).alias("plan"),
         k.alias("ord"),
         F.when(size % 7 == 0, F.lit("Free")).when(size % 7 == 1, F.lit("Contact us")).when(size % 7 == 2, F.lit("49"))
-        .when(size % 6 == 0, price_text(F.col("p_retailprice") / 10))
-        .when(size % 6 == 1, price_text(F.col("p_retailprice") / 12))
+        .when(size % 6 == 0, price_text(F.floor(F.col("p_retailprice") * 100 / 10) / 100))
+        .when(size % 6 == 1, price_text(F.floor(F.col("p_retailprice") * 100 / 12) / 100))
         .otherwise(price_text(F.col("p_retailprice"))).alias("price"),
         pick(size, PERIODS).alias("period"))
 
