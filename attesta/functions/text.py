@@ -154,18 +154,19 @@ def clean_feature_name(c: Column) -> Column:
     return norm_ws(F.regexp_replace(no_links, r"[*_`]+", ""))
 
 
-def is_junk_feature(c: Column) -> Column:
-    """Marketing lines, banners, menu words, foreign fragments and sentences are not features."""
-    s = clean_feature_name(c)
-    low = F.lower(s)
-    nav = F.lit(False)
-    for word in K.NAME_NAV_WORDS:
-        nav = nav | (low == word) | low.startswith(word + " ")
+def is_junk_name(s: Column) -> Column:
+    """Marketing lines, banners, menu words, foreign fragments and sentences are not features.
+
+    Expects a name already cleaned.
+    """
+    nav = F.lower(s).rlike("^(" + "|".join(K.NAME_NAV_WORDS) + ")( |$)")
     accents = F.regexp_count(s, F.lit(K.ACCENTED))
-    return (
-        (F.length(s) < 2) | s.rlike(K.NAME_MARKETING) | s.rlike(K.NAME_BANNER) | nav
-        | (accents > F.length(s) * 0.22) | s.rlike(r"[.!?]$") | F.contains(s, F.lit(". "))
-    )
+    return ((F.length(s) < 2) | s.rlike(K.NAME_MARKETING) | s.rlike(K.NAME_BANNER) | nav
+            | (accents > F.length(s) * 0.22) | s.rlike(r"[.!?]$|\. "))
+
+
+def is_junk_feature(c: Column) -> Column:
+    return is_junk_name(clean_feature_name(c))
 
 
 def _accent_table() -> tuple[str, str]:

@@ -63,8 +63,7 @@ def phrase_hits(names: DataFrame, phrases: DataFrame, plural: str = "s?") -> Dat
             .dropDuplicates(["name", "pid"]))
     quoted = F.concat(F.lit("(?<![a-z0-9])\\Q"), F.col("body"), F.lit("\\E"))
     rx = F.concat(quoted, F.when(F.col("star"), F.lit("[a-z]*")).otherwise(F.lit(f"{plural}(?![a-z0-9])")))
-    pos = F.when(F.col("cjk"), F.instr("name", F.col("body"))).otherwise(
-        F.length(F.regexp_extract("name", F.concat(F.lit("^(.*?)"), rx), 1)) + F.when(F.regexp_like("name", rx), F.lit(1)).otherwise(F.lit(0)))
+    pos = F.when(F.col("cjk"), F.instr("name", F.col("body"))).otherwise(F.regexp_instr("name", rx))
     found = F.when(F.col("cjk"), F.contains("name", "body")).otherwise(F.regexp_like("name", rx))
     return cand.where(found).select("name", "pid", pos.cast("int").alias("pos"), F.length("body").alias("size"))
 
@@ -327,13 +326,15 @@ def unmentioned_features(catalog: DataFrame, vendors: DataFrame, share: float =
     every = F.coalesce(common.agg(F.array_sort(F.collect_list("c")).alias("a")).scalar(), F.array().cast(kind))
     entry = F.lower(F.concat_ws(" ", "name", "desc"))
     said = (catalog.join(vendors.select("vendor").distinct(), "vendor", "left_semi")
-            .select("vendor", F.explode(F.filter(every, lambda c: F.contains(entry, c["key"]))).alias("c")).distinct()
+            .select("vendor", entry.alias("entry"), every.alias("every"))
+            .select("vendor", F.explode(F.filter("every", lambda c: F.contains(F.col("entry"), c["key"]))).alias("c")).distinct()
             .groupBy("vendor").agg(F.collect_set("c").alias("said")))
     held = h.join(common, "key").select("vendor", "c").distinct().groupBy("vendor").agg(F.collect_set("c").alias("held"))
-    j = vendors.select("vendor").distinct().join(said, "vendor", "left").join(held, "vendor", "left")
+    j = (vendors.select("vendor").distinct().join(said, "vendor", "left").join(held, "vendor", "left")
+         .withColumns({"every": every, "floor": floor_}))
     none = F.array().cast(kind)
     others = lambda c: -c["rank"] - F.when(F.array_contains(F.coalesce("held", none), c), F.lit(1)).otherwise(F.lit(0))
-    left = F.filter(F.array_sort(F.array_except(every, F.coalesce("said", none))), lambda c: others(c) >= floor_)
+    left = F.filter(F.array_sort(F.array_except("every", F.coalesce("said", none))), lambda c: others(c) >= F.col("floor"))
     return j.select("vendor", F.posexplode(F.slice(left, 1, per_vendor)).alias("nth", "c"), "held").select(
         "vendor", (F.col("nth") + 1).alias("nth"), F.col("c.feature").alias("feature"), others(F.col("c")).cast("bigint").alias("others"))
 
@@ -398,7 +399,7 @@ def confidence_counts(marks: DataFrame) -> DataFrame:
 def repair_catalog(catalog: DataFrame) -> DataFrame:
     """Clean names, no junk, one row per name whatever its case: most capitals, then first."""
     c = catalog.withColumn("name", T.clean_feature_name(F.col("name")))
-    c = c.where((F.col("name") != "") & ~T.is_junk_feature(F.col("name")))
+    c = c.where((F.col("name") != "") & ~T.is_junk_name(F.col("name")))
     caps = F.regexp_count("name", F.lit(r"\p{Lu}"))
     return c.groupBy("vendor", F.lower("name").alias("key")).agg(
         F.max_by("name", F.struct(caps, -F.col("ord"))).alias("name"), F.min("ord").alias("ord"),

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from attesta import constants as K
 from attesta.functions import prices as P, text as T, urls as U
+from attesta.operators.claims import find_passages
 from attesta.operators.spread import dense_index, first_per_key, stable_rank
 
 
@@ -272,17 +273,19 @@ def lesson_hints(lessons: DataFrame, k: int = 3) -> DataFrame:
     return first_per_key(lessons.where(F.coalesce("hint", F.lit("")) != ""), ["domain"], ["ord"], k, out="nth").select("domain", "nth", "hint")
 
 
-def evidence_stretch(pages: DataFrame, domains: DataFrame, min_chars: int = 300) -> DataFrame:
+def keyword_pages(pages: DataFrame, domains: DataFrame, min_chars: int = 300) -> DataFrame:
     """Own-domain page that names a technology: pages(url, text), domains(domain, keyword).
 
     The keyword up to '(' must occur in a sufficient page of the registrable domain; first url wins.
     """
     p = pages.where(T.body_sufficient(F.col("text"), min_chars)).select(
-        U.registrable_domain(U.host_of(F.col("url"))).alias("domain"), "url", F.lower("text").alias("low"))
-    kw = F.lower(F.trim(F.split_part("keyword", F.lit("("), F.lit(1))))
-    lists = domains.groupBy("domain").agg(F.collect_set(F.struct("keyword", kw.alias("kw"))).alias("kws"))
-    hit = (p.join(lists, "domain").select("domain", "url", F.explode(F.filter("kws", lambda k: F.contains("low", k["kw"]))).alias("k")))
-    return hit.groupBy("domain", F.col("k.keyword").alias("keyword")).agg(F.min("url").alias("url"))
+        F.col("url").alias("doc_id"), F.lower("text").alias("text"))
+    asked = domains.withColumn("kw", F.lower(F.trim(F.split_part("keyword", F.lit("("), F.lit(1)))))
+    words = asked.where(F.col("kw") != "").select(F.col("kw").alias("item_id"), F.col("kw").alias("quote")).distinct()
+    hit = find_passages(words, p).select(
+        F.col("item_id").alias("kw"), F.col("doc_id").alias("url"), U.registrable_domain(U.host_of(F.col("doc_id"))).alias("domain"))
+    first = hit.groupBy("domain", "kw").agg(F.min("url").alias("url"))
+    return asked.join(first, ["domain", "kw"]).select("domain", "keyword", "url")
 
 
 def budget_flags(fetches: DataFrame, budget_s: float) -> DataFrame:
