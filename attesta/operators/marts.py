@@ -242,7 +242,7 @@ def resolve_vendors(names: DataFrame, known: DataFrame, found: DataFrame | None
         j = j.join(found.select("name", F.col("url").alias("hit_url")), "name", "left")
     else:
         j = j.withColumn("hit_url", F.lit(None).cast("string"))
-    hit_base = F.concat(F.lit("https://"), U.plain_host(F.col("hit_url")))
+    hit_base = F.when(F.col("hit_url").isNotNull(), F.concat(F.lit("https://"), U.plain_host(F.col("hit_url"))))
     source = (F.when(F.col("known").isNotNull(), F.lit("builtin")).when(looks, F.lit("domain-guess"))
               .when(F.col("hit_url").isNotNull(), F.lit("websearch")).otherwise(F.lit("unknown")))
     guess = F.when(looks, base).otherwise(hit_base)

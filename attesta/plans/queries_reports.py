@@ -321,8 +321,8 @@ def fill_defaults(s, d) -> DataFrame:
 def assign_segments(s, d) -> DataFrame:
     """Suppliers to the first nation-sized segment list that names them, by account balance."""
     sup = W.table(s, d, "supplier")
-    seg = (sup.where(F.col("s_acctbal") > 0).select(F.concat(F.lit("seg"), F.col("s_nationkey")).alias("label"), F.col("s_nationkey").alias("ord"), F.col("s_name").alias("player"))
-           .unionByName(sup.where(F.col("s_acctbal") > 5000).select(F.lit("large").alias("label"), F.lit(10).alias("ord"), F.col("s_name").alias("player"))))
+    seg = (sup.where(F.col("s_acctbal") > 0).select(F.concat(F.lit("seg"), F.col("s_nationkey")).alias("label"), (F.col("s_nationkey") * 2).alias("ord"), F.col("s_name").alias("player"))
+           .unionByName(sup.where(F.col("s_acctbal") > 5000).select(F.lit("large").alias("label"), F.lit(21).alias("ord"), F.col("s_name").alias("player"))))
     return M.assign_segments(sup.select(F.col("s_name").alias("vendor")), seg)
 
 
