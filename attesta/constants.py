@@ -6,6 +6,9 @@ rules of the domain, so they are stated plainly and kept together.
 
 # --- whitespace: every character that counts as white space in Unicode text ---
 WS = r"[\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+WS_NOT_SPACE = r"[\t\n\x0b\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+WS_CHARS = (" \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+            "\u2028\u2029\u202f\u205f\u3000")
 
 # --- markdown link and image syntax ---
 MD_IMAGE = r"!\[([^\]]*)\]\([^)]+\)"

@@ -86,18 +86,21 @@ def merge_failures(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def score_captures(captures: DataFrame) -> DataFrame:
-    """Each capture with its quality, length and price mark; texts stay behind."""
+    """Each capture with quality, length and whether it can stand for its page; texts stay behind.
+
+    Only price pages are searched for prices.
+    """
+    is_price_page = U.url_type(F.col("url")) == "pricing"
     return captures.where(F.coalesce(F.col("text"), F.lit("")) != "").withColumns({
         "quality": T.quality_score(F.col("text")), "chars": F.length("text"),
-        "priced": P.has_price(F.col("text"))}).drop("text")
+        "priced": F.when(is_price_page, P.has_price(F.col("text"))).otherwise(F.lit(True))}).drop("text")
 
 
 def primary_capture(captures: DataFrame, keys: list[str]) -> DataFrame:
     """The capture to read first: priced if a price page, clean, trusted engine, quality, length."""
     scored = score_captures(captures)
-    priced = (U.url_type(F.col("url")) != "pricing") | F.col("priced")
     best = F.max(F.struct(
-        priced.alias("priced"), (F.col("quality") >= 0.5).alias("clean"),
+        "priced", (F.col("quality") >= 0.5).alias("clean"),
         (-engine_rank(F.col("engine"))).alias("trust"), "quality", "chars", "engine")).alias("best")
     return scored.groupBy(*keys).agg(best).select(
         *keys, F.col("best.engine").alias("engine"), F.col("best.quality").alias("quality"),

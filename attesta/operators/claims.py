@@ -1,10 +1,12 @@
 """Claims: flattening vendor documents, citing captures, finding quotes."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from attesta import constants as K
 from attesta.functions import text as T
+from attesta.operators.components import ensure_checkpoint_dir
 from attesta.operators.spread import SALTS, hot_split_join, salt_of, salted_semi
 
 SINGLES = ["pricing_source", "tagline_source", "founded_source", "headquarters_source", "team_size_source"]
@@ -88,9 +90,16 @@ def find_quotes(claims: DataFrame, captures: DataFrame, id_cols: list[str], hot_
 
 # ------------------------------------------------------------------ quotes without a url
 def _grams(words: Column, n: int) -> Column:
-    """Hashes of the n-word windows of a word array."""
-    starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
-    grams = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, n), " ")))
+    """Hashes of the n-word windows of a word array, each once."""
+    h = F.transform(words, lambda w: F.xxhash64(w))
+    if n == 1:
+        return F.array_distinct(h)
+
+    def windows(hashes: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(hashes) - n)
+        return F.transform(starts, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(n)]))
+    # the one-element array binds the word hashes, so they are computed once per text
+    grams = F.get(F.transform(F.array(h), windows), F.lit(0))
     return F.when(F.size(words) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -103,7 +112,9 @@ def _anchored_pairs(quotes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     inner = F.slice("words", F.lit(2), F.size("words") - 2)
     q = quotes.select("qid", F.explode(_grams(inner, n)).alias("gram"))
     d = docs.select("doc_id", F.explode(_grams(F.col("words"), n)).alias("gram"))
-    matched = salted_semi(d, q.select("gram").distinct(), "gram", "doc_id")
+    ensure_checkpoint_dir(docs.sparkSession)
+    # read twice below; windows over all texts are computed once
+    matched = salted_semi(d, q.select("gram").distinct(), "gram", "doc_id").checkpoint()
     counts = matched.groupBy("gram").agg(F.count("*").alias("df"))
     anchor = (q.join(counts, "gram").groupBy("qid").agg(F.min(F.struct("df", "gram")).alias("a"))
               .select("qid", F.col("a.gram").alias("gram"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
@@ -141,9 +152,17 @@ def find_passages(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     flat = docs.select("doc_id", T.norm_ws(F.col("text")).alias("flat"))
     toks = flat.select("doc_id", F.split("flat", " ").alias("words"))
     n = F.size("words")
-    cand = (_anchored_pairs(unique.where(n >= 8), toks, 6)
-            .unionByName(_anchored_pairs(unique.where((n >= 3) & (n < 8)), toks, 1))
-            .unionByName(_word_pairs(unique.where(n < 3), toks)))
+    sizes = unique.agg(F.count_if(n >= 8), F.count_if((n >= 3) & (n < 8)), F.count_if(n < 3)).first()
+    parts = []
+    if sizes[0]:
+        parts.append(_anchored_pairs(unique.where(n >= 8), toks, 6))
+    if sizes[1]:
+        parts.append(_anchored_pairs(unique.where((n >= 3) & (n < 8)), toks, 1))
+    if sizes[2]:
+        parts.append(_word_pairs(unique.where(n < 3), toks))
+    if not parts:
+        return norm.select("item_id").join(docs.select("doc_id"), F.lit(False))
+    cand = reduce(DataFrame.unionByName, parts)
     hit = (cand.join(unique.select("qid", "q"), "qid").join(flat, "doc_id")
            .where(F.contains("flat", "q")).select("qid", "doc_id"))
     return (norm.select("item_id", F.sha2("q", 256).alias("qid")).join(hit, "qid")

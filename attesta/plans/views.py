@@ -10,8 +10,22 @@ def as_of() -> Column:
     return F.lit(AS_OF).cast("timestamp")
 
 
+# tables of long texts and their keys
+TEXT_KEYS = {"pages": "page_id", "documents": "doc_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_small(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
+
+
+def spread_small(df: DataFrame, key: str) -> DataFrame:
+    """A text table in fewer splits than there are cores is dealt out by key, so all cores parse it.
+
+    Tables with enough splits, as any large one has, are left as they are: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def pick(n: Column, values: list) -> Column:
