@@ -52,7 +52,7 @@ def dense_index(df: DataFrame, ord_col: str, out: str = "idx", bucket_rows: int
     Order values are cut into ranges of `bucket_rows` values; the range sizes are summed up once and
     each range numbers its own rows.
     """
-    b = df.withColumn("__b", F.floor(F.col(ord_col) / bucket_rows))
+    b = df.withColumn("__b", F.expr(f"`{ord_col}` div {bucket_rows}"))
     sizes = b.groupBy("__b").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
@@ -68,7 +68,7 @@ def stable_rank(df: DataFrame, groups: list[str], value: str, ord_col: str, out:
     `value` has few distinct values (a rounded score).  Rank = rows with a higher value + equal rows
     in earlier order ranges + position in the own range, so no task sorts a whole group.
     """
-    b = df.withColumn("__b", F.floor(F.col(ord_col) / bucket_rows))
+    b = df.withColumn("__b", F.expr(f"`{ord_col}` div {bucket_rows}"))
     cells = b.groupBy(*groups, value, "__b").agg(F.count("*").alias("__n"))
     earlier = Window.partitionBy(*groups, value).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     higher = (Window.partitionBy(*groups).orderBy(F.col(value).desc())

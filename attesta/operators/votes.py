@@ -14,16 +14,20 @@ def price_votes(captures: DataFrame, keys: list[str]) -> DataFrame:
     `votes` counts extractors, `independent_votes` counts content hashes: two extractors that read
     the same bytes are one witness.
     """
-    hashed = captures.select(*keys, "engine", T.content_hash(F.col("text")).alias("content_hash"),
-                             F.posexplode(P.price_tokens(F.col("text"))).alias("pos", "token"))
-    seen = (hashed.withColumn("price_key", P.price_key(F.col("token"))).where(F.col("price_key") != "")
-            .groupBy(*keys, "price_key", "engine")
-            .agg(F.min_by("token", "pos").alias("token"), F.min("content_hash").alias("content_hash"),
-                 F.min("pos").alias("pos")))
+    tokens = captures.select(*keys, "engine", T.content_hash(F.col("text")).alias("content_hash"),
+                             P.price_tokens(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
+    keyed = tokens.withColumn("price_keys", F.transform("tokens", lambda t: P.price_key(t)))
+    # each text counts a price once, with its first spelling: settled before the shuffle
+    first = F.filter(
+        F.transform("price_keys", lambda k, i: F.struct(k.alias("price_key"), i.alias("pos"), F.get("tokens", i).alias("token"))),
+        lambda x: (x["price_key"] != "") & (F.array_position(F.col("price_keys"), x["price_key"]) == x["pos"] + 1))
+    seen = keyed.select(*keys, "engine", "content_hash", F.inline(first))
+    # a page has few extractors, so both sets are short
     return seen.groupBy(*keys, "price_key").agg(
-        F.count("*").alias("votes"), F.count_distinct("content_hash").alias("independent_votes"),
-        F.array_join(F.array_sort(F.collect_set("engine")), ",").alias("engines"),
-        F.min_by("token", F.struct(engine_rank(F.col("engine")), F.col("pos"))).alias("token"))
+        F.collect_set("engine").alias("seen_by"), F.collect_set("content_hash").alias("contents"),
+        F.min_by("token", F.struct(engine_rank(F.col("engine")), F.col("pos"))).alias("token")).select(
+        *keys, "price_key", F.size("seen_by").cast("bigint").alias("votes"), F.size("contents").cast("bigint").alias("independent_votes"),
+        F.array_join(F.array_sort("seen_by"), ",").alias("engines"), "token")
 
 
 def cross_validated(votes: DataFrame, keys: list[str]) -> DataFrame:

@@ -162,8 +162,8 @@ def _page_vendors(s, d) -> DataFrame:
 
 def _page_tokens(s, d) -> DataFrame:
     """Price tokens per vendor page and extractor, from the prices of its parts."""
-    t = W.price_texts(s, d).where((F.floor(F.col("p_partkey") / 8) % 5 != 0))
-    seen = t.select(F.concat(F.lit("V"), F.floor(F.col("p_partkey") / 8)).alias("vendor"), "engine", F.floor(F.col("p_partkey") / 8).alias("p"),
+    t = W.price_texts(s, d).where((F.expr("p_partkey div 8") % 5 != 0))
+    seen = t.select(F.concat(F.lit("V"), F.expr("p_partkey div 8")).alias("vendor"), "engine", F.expr("p_partkey div 8").alias("p"),
                     F.size(F.regexp_extract_all("text", F.lit(r"\$|USD"), 0)).alias("n"))
     only = seen.where((F.col("p") % 5 != 1) | (F.col("engine") == "jina"))
     return only.groupBy("vendor", "engine").agg(F.sum("n").alias("tokens"))
@@ -174,8 +174,8 @@ def price_depth(s, d) -> DataFrame:
     led = W.table(s, d, "pages").select("page_id", F.col("url").alias("site"),
                                         F.when(pid % 10 == 0, F.concat(F.lit("https://"), W.host(F.col("url")), F.lit("/pricing"))).otherwise(F.col("url")).alias("url"),
                                         F.array(W.pick(pid, ["pricing", "docs", "pricing", "homepage", "blog"])).alias("kinds"))
-    tiers = (W.tiers(s, d).withColumn("vendor", F.concat(F.lit("V"), F.floor(F.col("ord") / 8)))
-             .where(F.floor(F.col("ord") / 8) % 7 != 3))
+    tiers = (W.tiers(s, d).withColumn("vendor", F.concat(F.lit("V"), F.expr("ord div 8")))
+             .where(F.expr("ord div 8") % 7 != 3))
     return A.price_depth(_page_vendors(s, d), _page_tokens(s, d), led, tiers)
 
 
@@ -186,7 +186,7 @@ def field_completeness(s, d) -> DataFrame:
 def _claimed_tiers(s, d):
     docs = W.vendor_documents(s, d).select(F.col("name").alias("vendor"), F.posexplode("pricing_tiers").alias("idx", "t"))
     tiers = docs.select("vendor", "idx", F.col("t.price").alias("price"), F.col("t.source_url").alias("source_url"))
-    texts = W.price_texts(s, d).withColumn("page_id", F.floor(F.col("p_partkey") / 8))
+    texts = W.price_texts(s, d).withColumn("page_id", F.expr("p_partkey div 8"))
     pages = W.table(s, d, "pages").select("page_id", "url")
     per = texts.groupBy("page_id", "engine").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("text"))
     return tiers, per.join(pages, "page_id")

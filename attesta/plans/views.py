@@ -148,13 +148,13 @@ def vendor_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "url", h1.alias("h1"), host(url).alias("host"))
     line = F.split_part(F.col("text"), F.lit("\n"), F.lit(1))
     docs = (table(spark, sf_dir, "documents")
-            .select(F.floor(F.col("doc_id") / 4).alias("page_id"), (F.col("doc_id") % 4).alias("slot"), "doc_id",
+            .select(F.expr("doc_id div 4").alias("page_id"), (F.col("doc_id") % 4).alias("slot"), "doc_id",
                     line.alias("line"), "source")
             .groupBy("page_id").agg(*[
                 F.first(F.when(F.col("slot") == k, F.struct("doc_id", "line", "source")), ignorenulls=True).alias(f"d{k}")
                 for k in range(4)]))
     part = F.struct("p_partkey", "p_name", "p_type", "p_size", "p_retailprice")
-    slots = (table(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / 8).alias("page_id"))
+    slots = (table(spark, sf_dir, "part").groupBy(F.expr("p_partkey div 8").alias("page_id"))
              .agg(*[F.first(F.when(F.col("p_partkey") % 8 == k, part), ignorenulls=True).alias(f"p{k}")
                     for k in range(8)]))
     parts = slots.select("page_id", F.filter(F.array(*[f"p{k}" for k in range(8)]),
