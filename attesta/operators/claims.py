@@ -71,9 +71,12 @@ def evidence_urls(claims: DataFrame, order: list[str]) -> DataFrame:
 
 
 def texts_by_url(captures: DataFrame) -> DataFrame:
-    """url, forms: both normal forms of each extractor's text; a url has few extractors."""
-    forms = F.array(T.norm_ws(F.col("text")), T.norm_stripped(F.col("text")))
-    return captures.groupBy("url").agg(F.flatten(F.collect_list(forms)).alias("forms"))
+    """url, forms: the distinct normal forms of the texts captured for it.
+
+    Copies of one text collapse on the map side; what is left is one text per extractor.
+    """
+    forms = F.array_distinct(F.array(T.norm_ws(F.col("text")), T.norm_stripped(F.col("text"))))
+    return captures.select("url", F.explode(forms).alias("form")).groupBy("url").agg(F.collect_set("form").alias("forms"))
 
 
 def find_quotes(claims: DataFrame, captures: DataFrame, id_cols: list[str], hot_rows: int = 2_000_000) -> DataFrame:
@@ -165,5 +168,5 @@ def find_passages(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     cand = reduce(DataFrame.unionByName, parts)
     hit = (cand.join(unique.select("qid", "q"), "qid").join(flat, "doc_id")
            .where(F.contains("flat", "q")).select("qid", "doc_id"))
-    return (norm.select("item_id", F.sha2("q", 256).alias("qid")).join(hit, "qid")
-            .select("item_id", "doc_id").distinct())
+    asked = norm.select("item_id", F.sha2("q", 256).alias("qid"))
+    return hot_split_join(asked, hit, ["qid"], ["item_id"], "inner").select("item_id", "doc_id").distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from attesta import constants as K
 from attesta.functions import text as T
 from attesta.operators.components import connected
+from attesta.operators.spread import hot_split_join
 
 CJK = r"[一-鿿]"
 
@@ -195,8 +196,9 @@ def auto_aliases(catalog: DataFrame, stops: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ matrix, exclusives, gaps
-def with_canonical(catalog: DataFrame, mapping: DataFrame) -> DataFrame:
-    return catalog.join(mapping, "name").withColumn("key", F.lower("canonical"))
+def with_canonical(catalog: DataFrame, mapping: DataFrame, hot_rows: int = 2_000_000) -> DataFrame:
+    """Catalog rows with their canonical name; rows of a very frequent name are spread by position."""
+    return hot_split_join(catalog, mapping, ["name"], ["ord"], "inner", hot_rows).withColumn("key", F.lower("canonical"))
 
 
 def feature_marks(named: DataFrame) -> DataFrame:

@@ -379,7 +379,7 @@ SELECT name, source, url, price_url, docs_url, confidence FROM (
   FROM (SELECT DISTINCT trim(t) AS name, regexp_matches(trim(t), '^(https?://)?[\\w-]+([.][\\w-]+)+(/.*)?$') AS looks, 'https://' || regexp_replace(regexp_replace(trim(t), '^https?://', ''), '/.*$', '') AS base, hit,
       'https://' || replace({host('hit')}, 'www.', '') AS hbase FROM (
       SELECT CASE page_id % 4 WHEN 0 THEN {pick('(page_id // 4)', _TYPED)} WHEN 1 THEN regexp_extract(url, '^https?://([^/]+)', 1) WHEN 2 THEN url ELSE 'name' || page_id END AS t,
-        CASE WHEN page_id % 8 = 3 THEN url END AS hit FROM pages)) n LEFT JOIN kn ON {_KEY('kn.known')} = {_KEY('n.name')})""", {"kn": _KN})
+        CASE WHEN page_id % 4 = 3 AND url LIKE 'https%' THEN url END AS hit FROM pages)) n LEFT JOIN kn ON {_KEY('kn.known')} = {_KEY('n.name')})""", {"kn": _KN})
 _LBL = "split_part(regexp_extract(url, '^https?://([^/]+)', 1), '.', 2)"
 _PH = f"replace({host('u')}, 'www.', '')"
 _RH = " OR ".join(f"contains({_PH}, {lit(x)})" for x in K.REVIEW_HOSTS)

@@ -161,12 +161,14 @@ def _page_vendors(s, d) -> DataFrame:
 
 
 def _page_tokens(s, d) -> DataFrame:
-    """Price tokens per vendor page and extractor, from the prices of its parts."""
-    t = W.price_texts(s, d).where((F.expr("p_partkey div 8") % 5 != 0))
-    seen = t.select(F.concat(F.lit("V"), F.expr("p_partkey div 8")).alias("vendor"), "engine", F.expr("p_partkey div 8").alias("p"),
-                    F.size(F.regexp_extract_all("text", F.lit(r"\$|USD"), 0)).alias("n"))
-    only = seen.where((F.col("p") % 5 != 1) | (F.col("engine") == "jina"))
-    return only.groupBy("vendor", "engine").agg(F.sum("n").alias("tokens"))
+    """Price tokens per vendor page and extractor, from the prices of its parts.
+
+    Every fifth vendor sells on request, and one more in five shows its price to one extractor only.
+    """
+    p = F.expr("p_partkey div 8")
+    shown = F.when(p % 5 == 0, F.lit("on request")).when((p % 5 == 1) & (F.col("engine") != "jina"), F.lit("see site")).otherwise(F.col("text"))
+    return (W.price_texts(s, d).select(F.concat(F.lit("V"), p).alias("vendor"), "engine", F.size(F.regexp_extract_all(shown, F.lit(r"\$|USD"), 0)).alias("n"))
+            .groupBy("vendor", "engine").agg(F.sum("n").alias("tokens")))
 
 
 def price_depth(s, d) -> DataFrame:
@@ -174,8 +176,8 @@ def price_depth(s, d) -> DataFrame:
     led = W.table(s, d, "pages").select("page_id", F.col("url").alias("site"),
                                         F.when(pid % 10 == 0, F.concat(F.lit("https://"), W.host(F.col("url")), F.lit("/pricing"))).otherwise(F.col("url")).alias("url"),
                                         F.array(W.pick(pid, ["pricing", "docs", "pricing", "homepage", "blog"])).alias("kinds"))
-    tiers = (W.tiers(s, d).withColumn("vendor", F.concat(F.lit("V"), F.expr("ord div 8")))
-             .where(F.expr("ord div 8") % 7 != 3))
+    v = F.expr("ord div 8")
+    tiers = W.tiers(s, d).withColumn("vendor", F.when(v % 7 == 3, F.lit("unassigned")).otherwise(F.concat(F.lit("V"), v)))
     return A.price_depth(_page_vendors(s, d), _page_tokens(s, d), led, tiers)
 
 
@@ -361,7 +363,7 @@ def resolve_vendors(s, d) -> DataFrame:
     typed = (F.when(pid % 4 == 0, W.pick(pid / 4, ["Wati", "respond.io", "Many Chat", "TIDIO.com", "zen-desk", "Twilio "]))
              .when(pid % 4 == 1, W.host(url)).when(pid % 4 == 2, url).otherwise(F.concat(F.lit("name"), pid)))
     pages = W.table(s, d, "pages")
-    found = pages.where(pid % 8 == 3).select(F.concat(F.lit("name"), pid).alias("name"), url.alias("url"))
+    found = pages.where(url.startswith("https")).select(F.concat(F.lit("name"), pid).alias("name"), url.alias("url"))
     return M.resolve_vendors(pages.select(typed.alias("name")), M.known_vendors(s), found)
 
 

@@ -161,11 +161,11 @@ CTE = {
   UNION ALL SELECT page_id, url, 'jina', {NAV} || chr(10) || {visible(_LINKED)} FROM pages""",
     "led": f"""
   SELECT url, page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS vendor,
-    CASE WHEN page_id % 11 = 0 THEN 'failed' ELSE 'ok' END AS status,
+    CASE WHEN contains(url, 'utm_source=') THEN 'failed' ELSE 'ok' END AS status,
     CASE WHEN page_id % 5 = 0 AND {pick('page_id', W.KINDS)} <> 'pricing' THEN [{pick('page_id', W.KINDS)}, 'pricing'] ELSE [{pick('page_id', W.KINDS)}] END AS kinds,
     {stamp('page_id')} AS fetched_at
   FROM pages""",
-    "fail": "SELECT url FROM pages WHERE page_id % 11 = 0 AND page_id % 33 <> 0",
+    "fail": "SELECT url FROM pages WHERE contains(url, 'utm_source=') AND NOT regexp_matches(url, '^https?://blog[.]')",
     "probe": """
   SELECT url, CASE WHEN page_id % 9 = 0 THEN 404 WHEN page_id % 13 = 0 THEN 500 ELSE 200 END AS http_status,
     CASE WHEN page_id % 10 = 3 THEN 'https://parked.other.test/' ELSE url END AS final_url FROM pages""",
