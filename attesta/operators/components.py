@@ -19,6 +19,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="attesta-checkpoint-"))
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """A table several steps read, computed once and kept in the checkpoint folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for edges(a, b): the smallest node reachable.
 

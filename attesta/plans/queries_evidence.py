@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 from attesta import constants as K
 from attesta.functions import prices as P, text as T, urls as U
 from attesta.operators import captures as C, claims as Q, gates as G, links as L, votes as V
+from attesta.operators.components import settle
 from attesta.plans import views as W
 
 R = lambda c, n=6: F.round(c.cast("double"), n)
@@ -342,8 +343,9 @@ def loose_structure(s, d) -> DataFrame:
 
 
 def _all_gates(s, d) -> list[DataFrame]:
-    docs, led = W.vendor_documents(s, d), W.ledger_pages(s, d)
-    return [G.claim_gates(_claims(s, d), led, W.captures(s, d)), G.verified_prices(docs, _meta(s, d), W.as_of()),
+    # the documents feed every gate, so they are joined once
+    docs, led, caps = settle(W.vendor_documents(s, d)), W.ledger_pages(s, d), W.captures(s, d)
+    return [G.claim_gates(Q.flatten_claims(docs), led, caps), G.verified_prices(docs, C.capture_meta(caps), W.as_of()),
             G.honest_gaps(docs, led, W.failures(s, d)), G.no_fabrication(docs.drop("page_id")), G.structure_contract(docs)]
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from attesta.functions import text as T, urls as U
 from attesta.operators import audit as A, captures as C, claims as Q, features as X, gates as G, marts as M, votes as V
+from attesta.operators.components import settle
 from attesta.plans import queries_evidence as E, views as W
 
 
@@ -185,8 +186,8 @@ def field_completeness(s, d) -> DataFrame:
     return A.field_completeness(W.vendor_documents(s, d))
 
 
-def _claimed_tiers(s, d):
-    docs = W.vendor_documents(s, d).select(F.col("name").alias("vendor"), F.posexplode("pricing_tiers").alias("idx", "t"))
+def _claimed_tiers(s, d, vendors: DataFrame | None = None):
+    docs = (vendors or W.vendor_documents(s, d)).select(F.col("name").alias("vendor"), F.posexplode("pricing_tiers").alias("idx", "t"))
     tiers = docs.select("vendor", "idx", F.col("t.price").alias("price"), F.col("t.source_url").alias("source_url"))
     texts = W.price_texts(s, d).withColumn("page_id", F.expr("p_partkey div 8"))
     pages = W.table(s, d, "pages").select("page_id", "url")
@@ -198,8 +199,8 @@ def claimed_price_votes(s, d) -> DataFrame:
     return A.claimed_price_votes(*_claimed_tiers(s, d))
 
 
-def price_vote_status(s, d) -> DataFrame:
-    return A.price_vote_status(claimed_price_votes(s, d), _page_vendors(s, d))
+def price_vote_status(s, d, vendors: DataFrame | None = None) -> DataFrame:
+    return A.price_vote_status(A.claimed_price_votes(*_claimed_tiers(s, d, vendors)), _page_vendors(s, d))
 
 
 def quote_accuracy(s, d) -> DataFrame:
@@ -214,9 +215,9 @@ def signal_problems(s, d) -> DataFrame:
 
 
 def _audit(s, d) -> DataFrame:
-    docs = W.vendor_documents(s, d)
+    docs = settle(W.vendor_documents(s, d))
     return A.audit_table(("page_coverage", page_coverage(s, d)), ("price_depth", price_depth(s, d)),
-                         ("field_completeness", field_completeness(s, d)), ("price_votes", price_vote_status(s, d)),
+                         ("field_completeness", A.field_completeness(docs)), ("price_votes", price_vote_status(s, d, docs)),
                          ("quote_accuracy", A.quote_accuracy(docs, W.captures(s, d), None)))
 
 
