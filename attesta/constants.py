@@ -214,6 +214,14 @@ WEAK_STEMS = [
     "automat", "automation", "analyt", "analytic",
 ]
 
+# --- free-text price lines ---
+PRICE_LINE_SPLIT = r"\s/\s|[+、；;]"
+PRICE_LINE_PRICE = r"(?i)(?:US\$|\$|€|£|S\$|₹|Rs\.?)\s?\d[\d,\.]*|免费|Free|联系销售|Contact Sales"
+PRICE_LINE_PERIOD = r"(?i)billed\s+(annually|monthly)|per\s+(?:month|year)|/mo(?:nth)?|/yr|/年|/月"
+PRICE_LINE_PLAN = (r"(?i)starter|growth|\bpro\b|plus|business|enterprise|team|basic|free\b"
+                   r"|solo|scale|advanced|essential|standard|premium|lite")
+PRICE_LINE_MAX = 6
+
 # --- angles: keyword count decides, the first listed wins ties ---
 ANGLES = [
     ("产品", ["产品", "UX", "界面", "体验", "设计", "编辑器", "协作", "功能"]),

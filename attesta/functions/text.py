@@ -66,9 +66,9 @@ def quality_score(c: Column) -> Column:
     """0..1: little code, few link characters, some structure, some length."""
     c = F.coalesce(c, F.lit(""))
     lines = _visible_lines(c)
-    n = F.length(c).cast("double")
+    n = F.nullif(F.length(c), F.lit(0)).cast("double")
     junk = F.least(_total_length(F.filter(lines, lambda x: x.rlike(K.CODE_JUNK))) / n, F.lit(1.0))
-    headed = F.size(F.filter(lines, lambda x: x.rlike(f"^{K.WS}*(#|- |\\* )"))) / F.size(lines)
+    headed = F.size(F.filter(lines, lambda x: x.rlike(f"^{K.WS}*(#|- |\\* )"))) / F.nullif(F.size(lines), F.lit(0))
     links = (n - F.length(F.regexp_replace(c, K.MD_LINK_ANY_LABEL, ""))) / n
     size = F.least(F.log10(F.greatest(n, F.lit(10.0))) / 5, F.lit(1.0))
     base = F.greatest(F.lit(0.0), 1 - junk * 1.5) * 0.5 + headed * 0.3 + size * 0.2

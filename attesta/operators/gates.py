@@ -168,6 +168,13 @@ def loose_structure(items: DataFrame, id_col: str, json_col: str) -> DataFrame:
         F.lit(0).alias("idx"), F.lit("").alias("source_url"), "detail")
 
 
+def loose_gaps(items: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """G8 on untyped gap documents: the old {title, detail} form only warns."""
+    old = F.try_variant_get(F.try_parse_json(F.col(json_col)), "$.gap", "variant").isNull()
+    return items.where(old).select(F.lit("G8").alias("gate"), F.lit("warning").alias("severity"), F.col(id_col).cast("string").alias("vendor"),
+                                   F.lit("gap").alias("field"), F.lit(0).alias("idx"), F.lit("").alias("source_url"), F.lit("old form").alias("detail"))
+
+
 def claim_gates(claims: DataFrame, ledger: DataFrame, captures: DataFrame, hot_rows: int = 2_000_000) -> DataFrame:
     """G1, G2, G6 and G7 in one pass: claims meet ledger and texts once, each row lists its defects."""
     known = ledger.select(F.col("url").alias("source_url"), "status", F.lit(True).alias("known"))

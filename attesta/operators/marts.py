@@ -185,6 +185,20 @@ def assign_segments(vendors: DataFrame, segments: DataFrame) -> DataFrame:
     return vendors.select("vendor").distinct().join(first, "vendor", "left").select("vendor", F.coalesce("segment", F.lit("其他")).alias("segment"))
 
 
+def group_by_stage(vendors: DataFrame) -> DataFrame:
+    """Without segments, vendors are grouped by stage."""
+    return vendors.select(F.col("name").alias("vendor"), F.coalesce("stage", F.lit("未知")).alias("segment"))
+
+
+def fill_opportunities(items: DataFrame, default_score: int = 7) -> DataFrame:
+    return items.withColumns({"title": F.coalesce(F.nullif("title", F.lit("")), F.lit("（未命名机会）")),
+                              "score": F.coalesce("score", F.lit(default_score))})
+
+
+def vendor_feature_counts(catalog: DataFrame) -> DataFrame:
+    return catalog.groupBy("vendor").agg(F.count("*").alias("features"), F.count_distinct("category").alias("categories"))
+
+
 def founding_timeline(vendors: DataFrame) -> DataFrame:
     year = F.try_to_number(F.trim("founded"), F.lit("9999")).cast("int")
     return vendors.select(F.col("name").alias("vendor"), year.alias("year"), "stage").where(F.col("year") > 0)

@@ -101,8 +101,8 @@ def pair_plans(tiers: DataFrame) -> DataFrame:
         F.min(F.when(loose & ~is_free & (F.col("price") != "") & (F.col("price") != "—"), F.col("ord"))).alias("__custom"))
     before_paid = lambda c: F.col(c).isNotNull() & (F.col("__paid").isNull() | (F.col(c) < F.col("__paid")))
     m, b, a = P.amount(F.col("monthly")), P.amount(F.col("billed")), P.amount(F.col("annual"))
-    by_year = F.bround((F.lit(1) - a / (m * 12)) * 100)
-    by_bill = F.bround((F.lit(1) - b / m) * 100)
+    by_year = F.bround((F.lit(1) - F.try_divide(a, m * 12)) * 100)
+    by_bill = F.bround((F.lit(1) - F.try_divide(b, m)) * 100)
     save = (F.when(m.isNotNull() & a.isNotNull(), F.when((a > 0) & (m > 0) & (by_year > 0), by_year))
             .when(m.isNotNull() & b.isNotNull() & (b > 0) & (b < m) & (by_bill > 0), by_bill))
     equiv = F.when(m.isNotNull() & (a > 0), F.bround(a / 12, 1))
@@ -128,6 +128,28 @@ def commercial_model(tiers: DataFrame) -> DataFrame:
     return g.select("vendor", model.alias("model"))
 
 
+def tiers_from_text(vendors: DataFrame, text: str) -> DataFrame:
+    """Price lines read from one free text per vendor: (vendor, ord, plan, price, period).
+
+    Used when a vendor has no structured plans.  A line without a plan word keeps its text as plan
+    name only when it is short; the first six lines count.
+    """
+    cut = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), K.PRICE_LINE_SPLIT),
+                      lambda s: F.trim(F.regexp_replace(F.trim(s), "[….。]+$", "")))
+    lines = F.slice(F.filter(cut, lambda s: (s != "") & ~s.startswith("…") & ~s.rlike("^[…(见官网)]+$")), 1, K.PRICE_LINE_MAX)
+    rows = vendors.select("vendor", F.posexplode(lines).alias("ord", "line"))
+    price = F.regexp_extract("line", f"({K.PRICE_LINE_PRICE})", 1)
+    word = F.regexp_extract("line", K.PRICE_LINE_PERIOD, 1)
+    period = F.when(word != "", word).otherwise(F.regexp_extract("line", K.PRICE_LINE_PERIOD, 0))
+    plain = F.regexp_replace("line", r"\s*\([^)]{0,60}\)\s*$", "")
+    name = F.when(price != "", F.regexp_replace(F.replace(plain, price, F.lit("")), "^[ ·\\-—]+|[ ·\\-—]+$", "")).otherwise(plain)
+    name = F.substring(name, 1, 40)
+    short = (F.length(name) > 0) & (F.length(name) <= 25) & (F.size(F.split(F.trim(name), r"\s+")) <= 4)
+    dash = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("—"))
+    return rows.select("vendor", "ord", F.when(name.rlike(K.PRICE_LINE_PLAN) | short, name).otherwise(F.lit("—")).alias("plan"),
+                       dash(price).alias("price"), dash(period).alias("period"))
+
+
 def price_display(tiers: DataFrame) -> DataFrame:
     """Price segments per (vendor, plan) in input order: 'plan $9·/mo|$90·/yr'.
 

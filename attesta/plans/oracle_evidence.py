@@ -73,6 +73,9 @@ SELECT vendor, plan, string_agg(seg, '|' ORDER BY ord) AS segments FROM (
   SELECT vendor, plan, seg, min(ord) AS ord FROM (
     SELECT *, CASE WHEN price <> '—' THEN price || CASE WHEN period NOT IN ('—', '') THEN '·' || period ELSE '' END ELSE plan END AS seg FROM tier)
   GROUP BY vendor, plan, seg) GROUP BY vendor, plan""")
+O["price_lines"] = """
+SELECT p_partkey AS vendor, 0 AS ord, p_type || ' plan' AS plan, '$' || printf('%.2f', p_retailprice) AS price, 'annually' AS period FROM part
+UNION ALL SELECT p_partkey, 1, '—', 'Free', '—' FROM part UNION ALL SELECT p_partkey, 2, p_name, '—', '—' FROM part UNION ALL SELECT p_partkey, 3, '—', '—', '—' FROM part"""
 O["cached_price"] = """
 SELECT id, domain, cached_url, true AS from_cache FROM (
   SELECT w.event_id AS id, 'd' || w.user_id || '.test' AS domain, 'https://cache.test/' || c.event_id AS cached_url,
@@ -286,6 +289,7 @@ SELECT doc_id::VARCHAR AS vendor, 'hard' AS severity, 'target_users' AS field, '
 UNION ALL SELECT doc_id::VARCHAR, 'hard', 'differentiation', 'singular key' FROM documents WHERE doc_id % 5 = 0
 UNION ALL SELECT doc_id::VARCHAR, 'warning', 'pitch', 'missing' FROM documents WHERE doc_id % 2 <> 0
 UNION ALL SELECT doc_id::VARCHAR, 'warning', 'evidence_urls', 'missing' FROM documents WHERE doc_id % 4 = 0"""
+O["loose_gaps"] = "SELECT doc_id::VARCHAR AS vendor, 'warning' AS severity, 'gap' AS field, 'old form' AS detail FROM documents WHERE lang = 'en'"
 _ALL = {"cn": _CN, "strs": _strings("'teams'", _HQ), "g5": _G5, "g3": _VER, "g8": _G8,
         "rep": f"""SELECT gate, severity FROM ({_G1}) UNION ALL SELECT gate, severity FROM ({_G2}) UNION ALL SELECT gate, severity FROM ({_G6})
   UNION ALL SELECT gate, severity FROM ({_G7}) UNION ALL SELECT gate, severity FROM ({_G4}) UNION ALL SELECT gate, 'hard' FROM g5

@@ -265,6 +265,7 @@ O["quote_accuracy"] = query(_QN, "SELECT * FROM qa", _acc("WHERE rn <= 3"))
 O["signal_problems"] = query(["pg", "dl"], """
 SELECT vendor, 0 AS idx, source AS signal, CASE page_id % 5 WHEN 0 THEN 'no source' WHEN 1 THEN 'section front page' ELSE 'bare host' END AS problem
 FROM pg JOIN dl USING (page_id) WHERE slot = 3 AND page_id % 5 < 3""")
+O["feedback_problems"] = query(["pg", "talk"], "SELECT vendor, 0 AS idx, 'no source' AS problem FROM pg JOIN talk USING (page_id) WHERE page_id % 4 = 1")
 _AUD = {**_DEPTH, "fc": _FC, "fcs": _FCS, **_CPV, **_acc(""), "cov": _COV,
         "au": """SELECT vendor, 'page_coverage' AS dimension, status FROM cov UNION ALL SELECT vendor, 'price_depth', status FROM dep UNION ALL SELECT vendor, 'field_completeness', status FROM fcs
           UNION ALL SELECT vendor, 'price_votes', status FROM pvs UNION ALL SELECT vendor, 'quote_accuracy', status FROM qa"""}
@@ -358,6 +359,10 @@ SELECT vendor, CASE WHEN page_id % 4 = 0 THEN '—' ELSE (page_id % 30 + 1990)::
 _SEG = """SELECT s_name AS vendor, CASE WHEN s_acctbal > 5000 AND (s_nationkey > 10 OR s_acctbal <= 0) THEN 'large' WHEN s_acctbal > 0 AND NOT (s_acctbal > 5000 AND s_nationkey > 10) THEN 'seg' || s_nationkey ELSE '其他' END AS segment FROM supplier"""
 O["assign_segments"] = _SEG
 O["segment_summary"] = f"SELECT segment, count(*) AS n FROM ({_SEG}) GROUP BY segment"
+O["stage_groups"] = query(["pg"], f"SELECT {_STAGE} AS segment, count(*) AS n FROM pg GROUP BY 1")
+O["opportunity_defaults"] = """SELECT c_custkey AS ord, CASE WHEN c_nationkey <> 3 THEN c_name ELSE '（未命名机会）' END AS title,
+  CAST(CASE WHEN c_acctbal > 0 THEN floor(c_acctbal / 1000) ELSE 7 END AS INT) AS score FROM customer"""
+O["vendor_feature_counts"] = query(["cat"], "SELECT vendor, count(*) AS features, count(DISTINCT category) AS categories FROM cat GROUP BY vendor")
 O["founding_timeline"] = query(["pg"], f"SELECT vendor, CAST(page_id % 30 + 1990 AS INT) AS year, {_STAGE} AS stage FROM pg WHERE page_id % 4 <> 0")
 O["top_gap"] = """SELECT 'gap ' || o_orderkey AS gap, CASE o_orderpriority WHEN '1-URGENT' THEN 'high' WHEN '2-HIGH' THEN 'medium' ELSE 'low' END AS severity FROM orders
 ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 3 WHEN '2-HIGH' THEN 2 ELSE 1 END DESC, o_orderkey LIMIT 1"""

@@ -78,6 +78,13 @@ def price_display(s, d) -> DataFrame:
     return V.price_display(W.tiers(s, d)).select("vendor", "plan", "segments")
 
 
+def price_lines(s, d) -> DataFrame:
+    """Plans read from one free price text per product."""
+    text = F.concat(F.col("p_type"), F.lit(" plan · "), W.price_text(F.col("p_retailprice")), F.lit(" (billed annually) / Free / "), F.col("p_name"),
+                    F.lit("; "), F.lit("Use the credits for sending more messages than ever before"))
+    return V.tiers_from_text(W.table(s, d, "part").select(F.col("p_partkey").alias("vendor"), text.alias("t")), "t")
+
+
 def cached_price(s, d) -> DataFrame:
     """Failed captures (error events) served from purchases cached in the last 14 days."""
     e = W.table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -342,6 +349,12 @@ def loose_structure(s, d) -> DataFrame:
     return G.loose_structure(items, "doc_id", "doc").select("vendor", "severity", "field", "detail")
 
 
+def loose_gaps(s, d) -> DataFrame:
+    """Gap documents as JSON texts: English ones in the old form."""
+    js = F.concat(F.when(F.col("lang") == "en", F.lit('{"title":"')).otherwise(F.lit('{"gap":"')), F.col("source"), F.lit('"}'))
+    return G.loose_gaps(W.table(s, d, "documents").select("doc_id", js.alias("doc")), "doc_id", "doc").select("vendor", "severity", "field", "detail")
+
+
 def _all_gates(s, d) -> list[DataFrame]:
     # the documents feed every gate, so they are joined once
     docs, led, caps = settle(W.vendor_documents(s, d)), W.ledger_pages(s, d), W.captures(s, d)
@@ -370,8 +383,8 @@ def quote_drift(s, d) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in [
     price_votes, price_verified, tokens_per_engine, price_forms, plan_savings, price_sufficiency, tier_problems, commercial_model,
-    price_display, cached_price, capture_meta, capture_quality, capture_primary, capture_lines, ledger_build, failure_rows,
+    price_display, price_lines, cached_price, capture_meta, capture_quality, capture_primary, capture_lines, ledger_build, failure_rows,
     ledger_merge, merged_text, safe_quotes, number_windows, keep_ends, variant_lines, extractor_stats, extractor_order, next_engines,
     url_types, safe_urls, page_links, link_targets, robots_allowed, extra_urls, claims_flat, evidence_urls, claims_traceable,
     quotes_found, quotes_anywhere, verified_prices, silent_failures, honest_gaps, fabrication, placeholders, url_violations,
-    structure_contract, loose_structure, gate_report, gate_verdict, link_probes, quote_drift]}
+    structure_contract, loose_structure, loose_gaps, gate_report, gate_verdict, link_probes, quote_drift]}

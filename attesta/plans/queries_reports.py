@@ -214,6 +214,12 @@ def signal_problems(s, d) -> DataFrame:
     return A.signal_problems(docs.withColumn("tech_signals", moved))
 
 
+def feedback_problems(s, d) -> DataFrame:
+    docs = W.vendor_documents(s, d)
+    bare = F.transform("user_feedback", lambda t: t.withField("source", F.when(F.col("page_id") % 4 == 1, F.lit("")).otherwise(t["source"])))
+    return A.feedback_problems(docs.withColumn("user_feedback", bare))
+
+
 def _audit(s, d) -> DataFrame:
     docs = settle(W.vendor_documents(s, d))
     return A.audit_table(("page_coverage", page_coverage(s, d)), ("price_depth", price_depth(s, d)),
@@ -333,6 +339,20 @@ def segment_summary(s, d) -> DataFrame:
     return assign_segments(s, d).groupBy("segment").agg(F.count("*").alias("n"))
 
 
+def stage_groups(s, d) -> DataFrame:
+    return M.group_by_stage(W.vendor_documents(s, d)).groupBy("segment").agg(F.count("*").alias("n"))
+
+
+def opportunity_defaults(s, d) -> DataFrame:
+    return M.fill_opportunities(W.table(s, d, "customer").select(
+        F.col("c_custkey").alias("ord"), F.when(F.col("c_nationkey") != 3, F.col("c_name")).alias("title"),
+        F.when(F.col("c_acctbal") > 0, F.floor(F.col("c_acctbal") / 1000).cast("int")).alias("score")))
+
+
+def vendor_feature_counts(s, d) -> DataFrame:
+    return M.vendor_feature_counts(W.catalog(s, d))
+
+
 def founding_timeline(s, d) -> DataFrame:
     return M.founding_timeline(W.vendor_documents(s, d))
 
@@ -420,8 +440,8 @@ QUERIES = {f.__name__: f for f in [
     canonical_names, canonical_names_fuzzy, feature_marks, feature_matrix, category_totals, exclusive_features, common_gaps, feature_holders,
     feature_conclusions, unmentioned_features, capability_marks, capability_support, capability_confidence, repair_catalog, fill_catalog,
     stop_tokens, stem_signatures, variant_groups, auto_aliases, alias_layers, unified_share, feature_labels, page_coverage, price_depth,
-    field_completeness, claimed_price_votes, price_vote_status, quote_accuracy, signal_problems, audit_summary, next_actions, audit_lessons,
+    field_completeness, claimed_price_votes, price_vote_status, quote_accuracy, signal_problems, feedback_problems, audit_summary, next_actions, audit_lessons,
     page_digest, score_rank, dimension_rank, score_summary, target_overlap, signal_clusters, source_register, sources_by_kind, evidence_warnings,
     inspiration_points, weakness_points, feedback_summary, release_timeline, release_density, positioning, platform_coverage, market_texts,
-    fill_defaults, assign_segments, segment_summary, founding_timeline, top_gap, top_opportunities, candidate_list, url_sample, resolve_vendors,
+    fill_defaults, assign_segments, segment_summary, stage_groups, opportunity_defaults, vendor_feature_counts, founding_timeline, top_gap, top_opportunities, candidate_list, url_sample, resolve_vendors,
     accept_hits, lesson_hints, keyword_pages, budget_flags, report_check, lesson_table, daily_stats]}

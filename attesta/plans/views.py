@@ -1,6 +1,8 @@
 """Input views: evidence tables derived from the shared test tables, row by row or by key."""
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 AS_OF = "2024-02-01 00:00:00"
@@ -14,6 +16,7 @@ def as_of() -> Column:
 TEXT_KEYS = {"pages": "page_id", "documents": "doc_id"}
 
 
+@lru_cache(maxsize=256)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return spread_small(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df

@@ -131,6 +131,19 @@ def read_aliases(spark: SparkSession, path: str) -> DataFrame:
         "canonical", "r.alias", "r.phrase", (F.col("fam") * 1000 + F.col("i")).cast("int").alias("ord"))
 
 
+def read_capabilities(spark: SparkSession, path: str) -> DataFrame:
+    """id, category, alias, ord from {features: [{id, name_cn, name_en, category, aliases}]}; empty when unreadable."""
+    try:
+        doc = spark.read.option("wholetext", True).text(path).select(F.from_json(
+            "value", "features array<struct<id:string,name_cn:string,name_en:string,category:string,aliases:array<string>>>").alias("d"))
+        rows = doc.select(F.inline("d.features"))
+    except AnalysisException:
+        return spark.createDataFrame([], "id string, category string, alias string, ord int")
+    names = F.array_distinct(F.transform(F.array_compact(F.concat(F.coalesce("aliases", F.array().cast("array<string>")), F.array("name_en", "name_cn"))),
+                                         lambda a: F.lower(F.trim(a))))
+    return rows.select("id", "category", F.posexplode(F.filter(names, lambda a: a != "")).alias("ord", "alias")).select("id", "category", "alias", "ord")
+
+
 def write_report(df: DataFrame, path: str, fmt: str = "json") -> None:
     """Violations, audits or any report table; files are complete before readers see them."""
     df.write.mode("overwrite").format(fmt).save(path)

@@ -233,3 +233,29 @@ def test_accept_hits_whole_label(spark):
     h = spark.createDataFrame([("hub", 1, "https://www.hubspot.com"), ("hub", 2, "https://hub.io/x"), ("zone", 1, "https://timezone.io"), ("hub", 0, "https://www.g2.com/hub")],
                               "name string, ord int, url string")
     assert rows(M.accept_hits(h)) == [("hub", "https://hub.io/x")]
+
+
+def test_zero_prices_and_empty_texts(spark):
+    t = spark.createDataFrame([("v", "P", 1, "$0.00", "/month"), ("v", "P", 2, "$90", "/yr"), ("v", "Q", 3, "$0", "monthly"), ("v", "Q", 4, "$5", "billed annually")],
+                              "vendor string, plan string, ord int, price string, period string")
+    assert {r["save_pct"] for r in V.pair_plans(t).collect()} == {None}
+    caps = spark.createDataFrame([("u", "jina", ""), ("u", "playwright", " \n"), ("u", "trafilatura", None)], "url string, engine string, text string")
+    assert C.primary_capture(caps, ["url"]).first()["engine"] == "playwright"
+    assert rows(V.price_votes(caps, ["url"])) == []
+
+
+def test_tiers_from_text(spark):
+    v = spark.createDataFrame([("a", "Growth · $59 (month billed annually) / Enterprise Contact Sales / …"), ("b", "Use the ₹999 credits for sending many more messages、Lite $5/mo"), ("c", None)],
+                              "vendor string, t string")
+    got = sorted((r["vendor"], r["plan"], r["price"], r["period"]) for r in V.tiers_from_text(v, "t").collect())
+    assert got == [("a", "Enterprise", "Contact Sales", "—"), ("a", "Growth", "$59", "annually"), ("b", "Lite /mo", "$5", "/mo"), ("b", "—", "₹999", "—")]
+
+
+def test_find_quotes_with_hot_url_and_copies(spark):
+    caps = spark.createDataFrame([("u", "jina", "alpha  beta")] * 5 + [("w", "jina", "see [gamma](x) delta")], "url string, engine string, text string")
+    cl = spark.createDataFrame([(i, "u", "alpha beta" if i % 2 else "beta alpha") for i in range(20)] + [(90, "w", "gamma delta"), (91, "z", "any"), (92, "w", " ")],
+                               "id int, source_url string, quote string")
+    for hot in (3, 10_000):
+        got = {r["id"]: r["found"] for r in Q.find_quotes(cl, caps, ["id"], hot).collect()}
+        assert got == {**{i: bool(i % 2) for i in range(20)}, 90: True, 91: False, 92: True}
+        assert Q.find_quotes(cl, caps, ["id"], hot).count() == 23
