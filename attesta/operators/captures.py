@@ -156,9 +156,10 @@ def next_engines(pages: DataFrame) -> DataFrame:
 def quotable(line: Column, lo: int = 35, hi: int = 130) -> Column:
     """A clean prose line that can be cited verbatim."""
     letters = F.regexp_count(line, F.lit("[一-鿿 a-zA-Z0-9]"))
-    return (F.length(line).between(lo, hi) & ~F.contains(line, F.lit("http")) & ~F.contains(line, F.lit("]("))
-            & (F.regexp_count(line, F.lit(K.SCRIPT_SWITCH)) < 2) & ~P.has_price(line)
-            & (letters >= F.length(line) * 0.7) & (line.rlike(K.SENTENCE_END) | line.startswith("#")))
+    # cheap and selective tests first
+    return (F.length(line).between(lo, hi) & (line.rlike(K.SENTENCE_END) | line.startswith("#"))
+            & ~F.contains(line, F.lit("http")) & ~F.contains(line, F.lit("]("))
+            & (letters >= F.length(line) * 0.7) & (F.regexp_count(line, F.lit(K.SCRIPT_SWITCH)) < 2) & ~P.has_price(line))
 
 
 def safe_quotes(captures: DataFrame, keys: list[str], n: int = 3) -> DataFrame:

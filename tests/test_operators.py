@@ -71,8 +71,10 @@ def test_find_passages_equals_brute_force(spark):
 
 def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 6), (9, 8), (8, 7), (7, 6), (20, 21)]
-    got = dict(rows(components.connected(spark.createDataFrame(edges, "a int, b int"))))
-    assert got == {1: 1, 2: 1, 3: 1, 5: 5, 6: 5, 7: 5, 8: 5, 9: 5, 20: 20, 21: 20}
+    want = {1: 1, 2: 1, 3: 1, 5: 5, 6: 5, 7: 5, 8: 5, 9: 5, 20: 20, 21: 20}
+    df = spark.createDataFrame(edges, "a int, b int")
+    assert dict(rows(components.connected(df))) == want
+    assert dict(rows(components.connected(df, small=0))) == want
 
 
 def test_variant_groups_equal_pairwise(spark):
