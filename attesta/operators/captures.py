@@ -164,12 +164,11 @@ def quotable(line: Column, lo: int = 35, hi: int = 130) -> Column:
 
 def safe_quotes(captures: DataFrame, keys: list[str], n: int = 3) -> DataFrame:
     """The first n distinct quotable lines per page that occur verbatim in the page."""
-    found = F.filter(T.clean_lines(F.col("text")), lambda s: quotable(s))
-    lines = (captures.select(*keys, "engine", T.norm_ws(F.col("text")).alias("flat"),
-                             T.norm_stripped(F.col("text")).alias("bare"), found.alias("found"))
-             .select(*keys, "engine", F.filter("found", lambda s: F.contains(F.col("flat"), s)
-                                               | F.contains(F.col("bare"), s)).alias("found"))
-             .select(*keys, engine_rank(F.col("engine")).alias("rank"), F.posexplode("found").alias("pos", "quote")))
+    clean = F.filter(T.clean_lines(F.col("text")), lambda s: quotable(s))
+    forms = F.array(F.struct(T.norm_ws(F.col("text")).alias("flat"), T.norm_stripped(F.col("text")).alias("bare")))
+    # the one-element array binds both normal forms, so they are computed once per text, not per line
+    found = F.get(F.transform(forms, lambda f: F.filter(clean, lambda s: F.contains(f["flat"], s) | F.contains(f["bare"], s))), F.lit(0))
+    lines = captures.select(*keys, engine_rank(F.col("engine")).alias("rank"), F.posexplode(found).alias("pos", "quote"))
     once = lines.groupBy(*keys, "quote").agg(F.min(F.struct("rank", "pos")).alias("at"))
     return first_per_key(once, keys, [F.col("at.rank"), F.col("at.pos")], n, out="nth").drop("at")
 
@@ -186,8 +185,8 @@ def evidence_windows(df: DataFrame, keys: list[str], text: str, pattern: str, co
     spans = (df.select(*keys, F.col(text).alias("__t"), pieces.alias("__p"), tokens.alias("__k"))
              .where(F.size("__k") > 0)
              .select(*keys, F.length("__t").alias("__len"),
-                     F.transform("__k", lambda t, i: F.struct(
-                         F.length(F.element_at("__p", i + 1)).alias("gap"), F.length(t).alias("size"))).alias("__m")))
+                     F.zip_with(F.slice("__p", F.lit(1), F.size("__k")), "__k", lambda g, t: F.struct(
+                         F.length(g).alias("gap"), F.length(t).alias("size"))).alias("__m")))
     by_pos = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.col("m.gap") + F.col("m.size")).over(by_pos), F.lit(0))
     rows = (spans.select(*keys, "__len", F.posexplode("__m").alias("pos", "m"))

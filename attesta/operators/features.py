@@ -328,8 +328,8 @@ def unmentioned_features(catalog: DataFrame, vendors: DataFrame, share: float =
     every = F.coalesce(common.agg(F.array_sort(F.collect_list("c")).alias("a")).scalar(), F.array().cast(kind))
     entry = F.lower(F.concat_ws(" ", "name", "desc"))
     said = (catalog.join(vendors.select("vendor").distinct(), "vendor", "left_semi")
-            .select("vendor", entry.alias("entry"), every.alias("every"))
-            .select("vendor", F.explode(F.filter("every", lambda c: F.contains(F.col("entry"), c["key"]))).alias("c")).distinct()
+            .select("vendor", F.array(entry).alias("entry"), every.alias("every"))
+            .select("vendor", F.explode(F.get(F.transform("entry", lambda e: F.filter("every", lambda c: F.contains(e, c["key"]))), F.lit(0))).alias("c")).distinct()
             .groupBy("vendor").agg(F.collect_set("c").alias("said")))
     held = h.join(common, "key").select("vendor", "c").distinct().groupBy("vendor").agg(F.collect_set("c").alias("held"))
     j = (vendors.select("vendor").distinct().join(said, "vendor", "left").join(held, "vendor", "left")

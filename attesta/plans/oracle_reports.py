@@ -290,7 +290,6 @@ FROM led l LEFT JOIN (SELECT url, arg_min(engine, k) AS engine, arg_min(len(ls),
                             WHERE {_QUOTABLE} AND (contains(flat, s) OR contains(bare, s)) GROUP BY url, s)"""})
 
 # ------------------------------------------------------------------ report tables
-_D = lambda e: f"CAST(least({e}, 10) AS DECIMAL(6,2))"
 _SC = """
   SELECT 'S' || l_suppkey AS vendor, l_suppkey AS ord, """ + ", ".join(f"least(floor(x{i} * 100 + 0.5) / 100, 10)::DECIMAL(6,2) AS {n}" for i, n in enumerate(K.SCORE_DIMENSIONS)) + """
   FROM (SELECT l_suppkey, sum(CAST(l_quantity AS DECIMAL(18,2)))::DOUBLE / count(*) / 5 AS x0, sum(CAST(l_discount AS DECIMAL(18,2)))::DOUBLE * 100 / count(*) AS x1,
