@@ -5,8 +5,6 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from attesta.operators.spread import hot_split_join, is_small
-
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the session names; only a local test session gets a temporary one."""
@@ -25,32 +23,26 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def connected(edges: DataFrame, max_rounds: int = 60, small: int = 1_000_000) -> DataFrame:
+def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for edges(a, b): the smallest node reachable.
 
     Every round a node takes the smallest label around it and then its label's label, which halves
-    chains, so the number of rounds grows with the logarithm of the longest chain.
+    chains, so the number of rounds grows with the logarithm of the longest chain.  A hub may own most
+    edges: the joins are plain equi-joins, whose large partitions are split while they run, and the
+    smallest label around a node is a partial aggregate.
     """
     ensure_checkpoint_dir(edges.sparkSession)
     both = (edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
             .distinct().checkpoint())
-    # a hub may own most edges; with few edges in all there is nothing to spread
-    few = is_small(both, small)
-
-    def meet(left: DataFrame, right: DataFrame, key: str, by: str, how: str) -> DataFrame:
-        return left.join(right, key, how) if few else hot_split_join(left, right, [key], [by], how)
-
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
-    labels = labels.checkpoint()
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")).checkpoint()
     for _ in range(max_rounds):
         seen = labels.select(F.col("node").alias("b"), F.col("component").alias("near"))
-        around = meet(both, seen, "b", "a", "inner").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
-        lowered = labels.join(around, "node", "left").select(
-            "node", F.col("component").alias("old"), F.least("component", "near").alias("mid"))
+        around = both.join(seen, "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
+        lowered = labels.join(around, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("mid"))
         jump = labels.select(F.col("node").alias("mid"), F.col("component").alias("far"))
-        step = meet(lowered, jump, "mid", "node", "left").select(
+        step = lowered.join(jump, "mid", "left").select(
             "node", "old", F.least("mid", F.coalesce("far", "mid")).alias("component")).checkpoint()
         labels = step.select("node", "component")
-        if step.where(F.col("old") != F.col("component")).limit(1).count() == 0:
+        if step.where(F.col("old") != F.col("component")).isEmpty():
             return labels
     raise RuntimeError("components did not settle")
