@@ -1,8 +1,14 @@
 """Queries of this package and their SQL."""
 from __future__ import annotations
 
+from attesta.llm.chat import OP4_SQL, op4_chat
+from attesta.llm.licenses import op1_licenses
 from attesta.llm.mixing import op8_mixing
+from attesta.llm.quality import op2_quality
+from attesta.llm.secrets import op5_secrets
 from attesta.llm.sharding import op6_sharding
+from attesta.llm.simhash import op3_simhash
 
-QUERIES = {"op6_sharding": op6_sharding, "op8_mixing": op8_mixing}
-ORACLE: dict[str, str] = {}
+QUERIES = {"op1_licenses": op1_licenses, "op2_quality": op2_quality, "op3_simhash": op3_simhash, "op4_chat": op4_chat, "op5_secrets": op5_secrets,
+           "op6_sharding": op6_sharding, "op8_mixing": op8_mixing}
+ORACLE = {"op4_chat": OP4_SQL}
