@@ -90,9 +90,9 @@ p AS (
   FROM t JOIN who w ON t.conv_id IS NOT DISTINCT FROM w.conv_id),
 o AS (
   SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, segment ORDER BY place
-             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM p)
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_at FROM p)
 SELECT conv_id, speaker, CAST(segment AS BIGINT) AS segment, count(*) AS n_turns, string_agg(head || body, '' ORDER BY place) AS rendered,
-       coalesce(string_agg(CASE WHEN own THEN (at + length(head))::BIGINT::VARCHAR || ':' || (at + length(head) + length(body) - 1)::BIGINT::VARCHAR END,
+       coalesce(string_agg(CASE WHEN own THEN (start_at + length(head))::BIGINT::VARCHAR || ':' || (start_at + length(head) + length(body) - 1)::BIGINT::VARCHAR END,
                            ',' ORDER BY place), '') AS masks
 FROM o GROUP BY conv_id, speaker, segment
 """

@@ -65,8 +65,8 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: d
     Every rolling pair of words is hashed and joined to the positions of the templates' pairs (a list
     whose size the templates fix, so it may be broadcast).  A hit votes for its diagonal, word position
     less template position.  A phrase stands where all its pairs are on one diagonal; a notice may lose
-    or gain words: diagonals up to `drift` apart merge, and a span counts if `least` of the votes are
-    there within half as many words again.  Pairs are compared as words, not by hash alone.
+    or gain words: diagonals up to `drift` apart merge, and a span counts if `least` of the votes (all,
+    for a notice of fewer than 8 pairs) are there within half as many words again.  Pairs are compared as words, not by hash alone.
 
     Null, empty text: no span.  Repeated rows: equal hits count once and belong to each of the rows.
     Null id: told apart by its text.  Empty table: no rows.  Other columns are not read.
@@ -89,7 +89,8 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: d
                .agg(F.count_distinct("tpos").alias("votes"), F.min("pos").alias("start"), (F.max("pos") + 2).alias("end"))
                .withColumn("share", F.col("votes") / F.col("n_grams")))
     fits = (F.col("end") - F.col("start")) * 2 <= F.col("n_words") * 3
-    good = F.when(F.col("exact"), F.col("votes") == F.col("n_grams")).otherwise((F.col("share") >= least) & fits)
+    whole = F.col("exact") | (F.col("n_grams") < 8)
+    good = fits & (F.col("share") >= F.when(whole, 1.0).otherwise(least))
     spans = tallied.where(good).select("id", "mark", "template", "label", "exact", "start", "end", "share")
     scores = tallied.groupBy("id", "mark").agg(F.max("share").alias("score"))
     return spans, scores

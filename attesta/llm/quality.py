@@ -137,8 +137,8 @@ def learn(x: np.ndarray, bad: np.ndarray, names: list[str], precision: float = 0
           most: int = 24, seed: int = 5) -> list[list[Test]]:
     """Sequential covering: grow a rule on two thirds of the rows left, prune it on the rest, take out what it covers.
 
-    Ends when a rule is right for less than `precision` of what it covers (counted on all rows left, with
-    one wrong row added), or no bad row is left.
+    Ends when a rule is right for less than `precision` of what it covers (counted on all rows left) or for
+    one row only, or no bad row is left.
     """
     rng, rules = np.random.default_rng(seed), []
     left = np.ones(len(x), bool)
@@ -149,7 +149,7 @@ def learn(x: np.ndarray, bad: np.ndarray, names: list[str], precision: float = 0
         if not rule:
             break
         hit = covered(rule, x, names) & left
-        if (hit & bad).sum() < precision * (hit.sum() + 1):
+        if (hit & bad).sum() < max(2, precision * hit.sum()):
             break
         rules.append(rule)
         left &= ~hit
@@ -168,13 +168,14 @@ def fit_rules(stats: DataFrame, labels: DataFrame, max_rows: int = 20_000, id_co
               label_col: str = "quality", **kw) -> list[list[Test]]:
     """Rules from at most `max_rows` labelled rows, taken by the smallest hashes of their ids and statistics.
 
-    The rows are a bounded sample, so they may be fitted on the driver.  Without labels, or with labels of
+    The rows are a bounded sample, so they may be fitted on the driver.  Rows that fail a base check are
+    decided already and not learned from.  Without labels, or with labels of
     one kind only, there are no rules.  Null labels and ids are left out.
     """
     marked = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).where("__id is not null and __y is not null")
     marked = marked.orderBy(F.xxhash64("__id"), "__y").limit(max_rows)
     rows = stats.join(F.broadcast(marked), stats[id_col] == marked["__id"])
-    rows = rows.select("__y", F.xxhash64("__id", "stat").alias("__h"), *[F.expr(f"cast({e} as double)").alias(n) for n, e in FEATURES.items()])
+    rows = rows.where(~base_failed()).select("__y", F.xxhash64("__id", "stat").alias("__h"), *[F.expr(f"cast({e} as double)").alias(n) for n, e in FEATURES.items()])
     got = rows.orderBy("__h", "__y").limit(max_rows).toPandas()
     names = list(FEATURES)
     return learn(got[names].to_numpy(float), got["__y"].to_numpy() == 0, names, **kw) if len(got) else []
