@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from attesta.llm.chat import OP4_SQL, op4_chat
+from attesta.llm.decontamination import op10_decontamination
 from attesta.llm.licenses import op1_licenses
 from attesta.llm.mixing import op8_mixing
 from attesta.llm.quality import op2_quality
@@ -10,5 +11,5 @@ from attesta.llm.sharding import op6_sharding
 from attesta.llm.simhash import op3_simhash
 
 QUERIES = {"op1_licenses": op1_licenses, "op2_quality": op2_quality, "op3_simhash": op3_simhash, "op4_chat": op4_chat, "op5_secrets": op5_secrets,
-           "op6_sharding": op6_sharding, "op8_mixing": op8_mixing}
+           "op6_sharding": op6_sharding, "op8_mixing": op8_mixing, "op10_decontamination": op10_decontamination}
 ORACLE = {"op4_chat": OP4_SQL}
