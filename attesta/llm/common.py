@@ -28,6 +28,11 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def plain(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """df with its columns named c0, c1, ... so that no name of it clashes, and the new names of some columns."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]), [f"c{df.columns.index(n)}" for n in names]
+
+
 def word_count(text: Column) -> Column:
     """Words between ASCII white space; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

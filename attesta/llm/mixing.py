@@ -3,7 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from attesta.llm.common import WORD, keep, numbered, table, word_count
+from attesta.llm.common import WORD, keep, numbered, plain, table, word_count
+
+ADDED = ["mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_part"]
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5,
@@ -71,40 +73,36 @@ def mix(docs: DataFrame, block: int = 16, rows_per_unit: int = 8192, weights: tu
     Null text: 0 words, 0 taken.  Null source: the last source.  Null ids, repeated rows: rows like any
     other, ordered by their text too, so reruns agree.  Empty table: no rows.
     """
-    taken_names = ["mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_part"]
-    docs = docs.drop(*taken_names)
-    size, src = word_count(F.col(text_col)), F.col(source_col)
-    key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    slim = docs.select(src.alias("source"), size.alias("mix_size"), key.alias("mix_key"))
-    by_source = source_targets(slim.groupBy("source").agg(F.sum("mix_size").alias("source_size"), F.count("*").alias("n_rows")),
+    docs = docs.drop(*ADDED)
+    named, (key, text, source) = plain(docs, id_col, text_col, source_col)
+    named = named.withColumn("size", word_count(F.col(text))).withColumn("hash", F.xxhash64(F.lit(seed), key, text))
+    slim = named.select(F.col(source).alias("source"), "size", "hash")
+    by_source = source_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows")),
                                weights, share, most)
     by_source = keep(by_source.withColumn("n_units", F.ceil(F.col("n_rows") / rows_per_unit)))
-    facts = by_source.select(F.col("source").alias("mix_src"), F.col("rank").alias("mix_rank"), F.col("n_units").alias("mix_units"),
-                             F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
+    facts = by_source.select(F.col("source").alias("of_source"), "rank", "n_units", "source_size", "target")
 
-    def with_unit(rows: DataFrame, source: Column, hashed: Column) -> DataFrame:
-        return (rows.join(facts, source.eqNullSafe(F.col("mix_src"))).drop("mix_src")
-                .withColumn("mix_unit", F.pmod(F.shiftright(hashed, 20), F.col("mix_units"))))
+    def with_unit(rows: DataFrame, source: str) -> DataFrame:
+        return (rows.join(facts, F.col(source).eqNullSafe(F.col("of_source"))).drop("of_source")
+                .withColumn("unit", F.pmod(F.shiftright("hash", 20), F.col("n_units"))))
 
-    units = (with_unit(slim, F.col("source"), F.col("mix_key")).groupBy("mix_rank", "mix_unit")
-             .agg(F.sum("mix_size").alias("words"), F.first("mix_source_size").alias("s"), F.first("mix_target").alias("t")))
+    units = (with_unit(slim, "source").groupBy("rank", "unit")
+             .agg(F.sum("size").alias("words"), F.first("source_size").alias("s"), F.first("target").alias("t")))
     units = units.select(
-        "mix_rank", "mix_unit", F.col("words").alias("mix_words"),
-        F.when(F.col("s") > 0, F.col("t") * F.col("words") / F.col("s") / block).otherwise(0.0).alias("ideal"),
-        F.ceil(F.col("words") * F.lit(most) / block).alias("most"), F.xxhash64("mix_rank", "mix_unit").alias("tie"))
+        "rank", "unit", "words", F.when(F.col("s") > 0, F.col("t") * F.col("words") / F.col("s") / block).otherwise(0.0).alias("ideal"),
+        F.ceil(F.col("words") * F.lit(most) / block).alias("most"), F.xxhash64("rank", "unit").alias("tie"))
     seats = by_source.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0] / block
-    dealt = quotas(units, round(seats)).select("mix_rank", "mix_unit", "mix_words", F.least(
-        F.col("quota") * block, F.floor(F.col("mix_words") * F.lit(most))).cast("long").alias("mix_quota"))
-    rows = with_unit(docs.withColumn("mix_size", size).withColumn("mix_key", key), src, F.col("mix_key"))
-    upto = F.sum("mix_size").over(Window.partitionBy("mix_rank", "mix_unit").orderBy("mix_key", id_col, "mix_size")
-                                  .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumn("mix_to", upto).join(dealt, ["mix_rank", "mix_unit"])
-    whole = F.when(F.col("mix_words") > 0, F.floor(F.col("mix_quota") / F.col("mix_words"))).otherwise(0)
-    rest = F.col("mix_quota") - whole * F.col("mix_words")
-    part = F.greatest(F.lit(0), F.least(rest - (F.col("mix_to") - F.col("mix_size")), F.col("mix_size")))
-    return (rows.withColumn("mix_part", part.cast("long"))
-            .withColumn("mix_taken", (whole * F.col("mix_size") + part).cast("long"))
-            .select(*docs.columns, *taken_names))
+    dealt = quotas(units, round(seats)).select("rank", "unit", "words", F.least(
+        F.col("quota") * block, F.floor(F.col("words") * F.lit(most))).cast("long").alias("dealt"))
+    upto = F.sum("size").over(Window.partitionBy("rank", "unit").orderBy("hash", key, "size")
+                              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = with_unit(named, source).withColumn("upto", upto).join(dealt, ["rank", "unit"])
+    whole = F.when(F.col("words") > 0, F.floor(F.col("dealt") / F.col("words"))).otherwise(0)
+    rest = F.col("dealt") - whole * F.col("words")
+    part = F.greatest(F.lit(0), F.least(rest - (F.col("upto") - F.col("size")), F.col("size")))
+    out = rows.select(*[f"c{k}" for k in range(len(docs.columns))], "size", "source_size", "target",
+                      (whole * F.col("size") + part).cast("long").alias("taken"), part.cast("long").alias("part"))
+    return out.toDF(*docs.columns, *ADDED)
 
 
 def mixed_texts(docs: DataFrame, text_col: str = "text", **kw) -> DataFrame:
@@ -112,16 +110,18 @@ def mixed_texts(docs: DataFrame, text_col: str = "text", **kw) -> DataFrame:
 
     A part keeps the document's first words, joined by one space; n_chars, where there is one, follows the text.
     """
-    m = mix(docs, text_col=text_col, **kw)
-    whole = F.when(F.col("mix_size") > 0, F.floor(F.col("mix_taken") / F.col("mix_size"))).otherwise(0)
-    left = F.col("mix_taken") - whole * F.col("mix_size")
+    names = [n for n in docs.columns if n not in ADDED]
+    m, (text, size, taken) = plain(mix(docs, text_col=text_col, **kw), text_col, "mix_size", "mix_taken")
+    whole = F.when(F.col(size) > 0, F.floor(F.col(taken) / F.col(size))).otherwise(0)
+    left = F.col(taken) - whole * F.col(size)
     copies = (whole + (left > 0).cast("long")).cast("int")
-    cut = F.concat_ws(" ", F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), F.lit(1), left.cast("int")))
-    out = m.where(copies > 0).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), copies)))
-    out = out.withColumn(text_col, F.when(F.col("mix_copy") <= whole, F.col(text_col)).otherwise(cut))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length(text_col).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    cut = F.concat_ws(" ", F.slice(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)), F.lit(1), left.cast("int")))
+    out = m.where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
+    out = out.withColumn(text, F.when(F.col("copy") <= whole, F.col(text)).otherwise(cut))
+    if "n_chars" in names:
+        at = f"c{names.index('n_chars')}"
+        out = out.withColumn(at, F.char_length(text).cast(docs.schema["n_chars"].dataType))
+    return out.select(*[f"c{k}" for k in range(len(names))]).toDF(*names)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

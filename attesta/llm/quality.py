@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from attesta.llm.common import ASCII_SPACE, keep, table
+from attesta.llm.common import ASCII_SPACE, keep, plain, table
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -181,8 +181,7 @@ def fit_rules(stats: DataFrame, labels: DataFrame, max_rows: int = 20_000, id_co
     return learn(got[names].to_numpy(float), got["__y"].to_numpy() == 0, names, **kw) if len(got) else []
 
 
-def with_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_stats: bool = True,
-                 **kw) -> DataFrame:
+def with_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """docs' ids with `stat` (counts), base_failed and kept, one row for every row of docs.
 
     kept is false if a base check fails, else what the learned list says.  Statistics cover whole texts of
@@ -200,10 +199,12 @@ def filter_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """The rows of docs that with_quality keeps.  Texts stay where they are: counts are taken twice, not shuffled."""
     sample = labels.select(F.col(id_col).alias("__id")).where("__id is not null").distinct()
     sample = sample.orderBy(F.xxhash64("__id")).limit(kw.get("max_rows", 20_000))
-    some = docs.join(F.broadcast(sample), docs[id_col] == sample["__id"], "left_semi")
-    rules = fit_rules(keep(some.select(id_col, text_statistics(text_col).alias("stat"))), labels, id_col=id_col, **kw)
-    judged = docs.withColumn("stat", text_statistics(text_col))
-    return judged.where(~base_failed() & decision(rules)).select(*docs.columns)
+    some = docs.select(F.col(id_col), F.col(text_col).alias("__text"))
+    some = some.join(F.broadcast(sample), some[id_col] == sample["__id"], "left_semi")
+    rules = fit_rules(keep(some.select(id_col, text_statistics("__text").alias("stat"))), labels, id_col=id_col, **kw)
+    rows, (text,) = plain(docs, text_col)
+    judged = rows.withColumn("stat", text_statistics(text))
+    return judged.where(~base_failed() & decision(rules)).drop("stat").toDF(*docs.columns)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

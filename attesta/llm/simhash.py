@@ -9,7 +9,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from attesta.llm.common import keep, table
+from attesta.llm.common import keep, plain, table
 from attesta.operators.components import connected
 
 BITS = 64
@@ -165,13 +165,14 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Among rows that share that id the one whose text has the smallest hash stays, once.  A group
     without any id keeps the text with the smallest hash.
     """
-    mark = F.xxhash64(F.col(text_col))
-    groups = simhash_groups(docs, id_col=id_col, text_col=text_col, extra=[mark.alias("mark")], **kw)
-    first = F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "mark"))
+    rows, (key, text) = plain(docs, id_col, text_col)
+    mark = F.xxhash64(text)
+    groups = simhash_groups(rows, id_col=key, text_col=text, extra=[mark.alias("mark")], **kw)
+    first = F.min(F.struct(F.col(key).isNull().alias("no_id"), F.col(key).alias("id"), "mark"))
     winners = groups.groupBy("root").agg(first.alias("w")).select(F.col("w.id").alias("win_id"), F.col("w.mark").alias("win_mark"))
-    kept = docs.withColumn("__mark", mark)
-    kept = kept.join(winners, F.col(id_col).eqNullSafe(F.col("win_id")) & (F.col("__mark") == F.col("win_mark")), "left_semi")
-    return kept.dropDuplicates([id_col, "__mark"]).select(*docs.columns)
+    kept = rows.withColumn("mark", mark)
+    kept = kept.join(winners, F.col(key).eqNullSafe(F.col("win_id")) & (F.col("mark") == F.col("win_mark")), "left_semi")
+    return kept.dropDuplicates([key, "mark"]).drop("mark").toDF(*docs.columns)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
