@@ -114,7 +114,7 @@ def der(tag, body):
 
 
 RSA = der(0x30, b"".join(der(2, b) for b in (b"\0", b"\x7f" * 64, b"\1\0\1", b"\x11" * 64, b"\x22" * 32, b"\x23" * 32, b"\x24" * 32, b"\x25" * 32, b"\x26" * 32)))
-EC = der(0x30, der(2, b"\1") + der(4, b"\x31" * 32))
+EC = der(0x30, der(2, b"\1") + der(4, b"\xab" * 32))
 
 
 def ssh(text):
@@ -176,6 +176,8 @@ def test_pages_structure():
         "Head & line Bold Next oneé abc"
     open_ = lambda h: " ".join(t for t, r in H.blocks_of(h) if r == "open")
     assert open_("<div id=main-menu>m</div><p>kept<aside>s</aside><form>f</form><p style='display:none'>h</p>") == "kept"
+    assert all(H.blocks_of("<p>abc" + cut) == [("abc", "open")] for cut in ("", "<", "</p", '<a href="x y', "<!-- x", "<script>var x"))
+    assert H.blocks_of("a < b") == [("a < b", "open")]
     assert H.blocks_of(None) == [] and H.blocks_of("plain text") == [("plain text", "open")]
 
 
