@@ -356,3 +356,8 @@ SCORE_DIMENSIONS = [
     "feature_richness", "ux", "pricing_value", "integration", "ai_capability", "momentum",
 ]
 SEVERITY_RANK = {"high": 3, "medium": 2, "low": 1}
+
+# a text the evidence does not give yet
+OPEN_TEXT = "open"
+# how a vendor without published plans is shown
+UNPUBLISHED = "未公开"

@@ -48,9 +48,7 @@ def stripped_length(c: Column) -> Column:
 def body_sufficient(c: Column, min_chars: int = 200) -> Column:
     """Enough visible text, not a script shell."""
     low = F.lower(F.coalesce(c, F.lit("")))
-    shell = (F.regexp_count(low, F.lit("<script")) > 5) | F.contains(
-        F.substring(low, 1, 2000), F.lit("enable javascript")
-    )
+    shell = (F.regexp_count(low, F.lit("<script")) > 5) | F.contains(low, F.lit("enable javascript"))
     return (stripped_length(F.coalesce(c, F.lit(""))) >= min_chars) & ~shell
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from attesta import constants as K
 from attesta.functions import prices as P, text as T, urls as U
 from attesta.operators.claims import find_quotes
-from attesta.operators.spread import first_per_key, hot_split_join
+from attesta.operators.spread import first_per_key
 
 
 def page_coverage(vendors: DataFrame, ledger: DataFrame, third_party: DataFrame | None = None) -> DataFrame:
@@ -33,27 +33,27 @@ def page_coverage(vendors: DataFrame, ledger: DataFrame, third_party: DataFrame
 def price_depth(vendors: DataFrame, tokens: DataFrame, ledger: DataFrame, tiers: DataFrame) -> DataFrame:
     """Status of each vendor's price evidence: ok, partial, gap or not-published.
 
-    vendors(vendor, site, verified), tokens(vendor, engine, tokens), ledger(site, url, kinds),
+    vendors(vendor, site, verified), tokens(vendor, engine, tokens), ledger(run, site, url, kinds),
     tiers(vendor, plan, price, period).  No price token anywhere: a real price page plus another
-    probe or enough pages means the vendor does not publish, else the capture failed.
+    probe or enough pages in the run that captured it means the vendor does not publish, else the
+    capture failed.
     """
     eng = tokens.groupBy("vendor").agg(F.count_if(F.col("tokens") > 0).alias("engines"))
-    own = ledger.groupBy("site").agg(F.bool_or(
+    own = ledger.groupBy("site").agg(F.first("run").alias("run"), F.bool_or(
         F.array_contains("kinds", "pricing") & U.is_price_page(F.col("url"), K.AUDIT_PRICE_PAGE_SEGMENTS)).alias("genuine"),
         F.count_if(F.arrays_overlap("kinds", F.array(F.lit("pricing"), F.lit("docs"), F.lit("about")))).alias("own_probes"))
-    totals = ledger.agg(F.count("*").alias("pages"), F.count_if(F.arrays_overlap(
+    runs = ledger.groupBy("run").agg(F.count("*").alias("pages"), F.count_if(F.arrays_overlap(
         "kinds", F.array(F.lit("pricing"), F.lit("docs"), F.lit("about")))).alias("probes"))
-    pages, probes = totals.select("pages").scalar(), totals.select("probes").scalar()
     free, custom = P.is_free_plan(F.col("plan"), F.col("price")), P.is_custom_plan(F.col("plan"), F.col("price"))
     t = tiers.groupBy("vendor").agg(
         F.count("*").alias("tiers"), F.bool_or(P.is_monthly(F.col("period"))).alias("monthly"),
         F.bool_or(P.is_annual(F.col("period"))).alias("annual"), F.bool_or(free).alias("free"), F.bool_or(custom).alias("custom"),
         F.count_if(P.has_price(F.col("price"))).alias("priced"))
-    j = (vendors.join(eng, "vendor", "left").join(own, "site", "left").join(t, "vendor", "left")
-         .na.fill(0, ["engines", "own_probes", "tiers", "priced"]).na.fill(False, ["genuine", "monthly", "annual", "free", "custom"]))
-    other_probe = (probes - F.col("own_probes")) > 0
+    j = (vendors.join(eng, "vendor", "left").join(own, "site", "left").join(runs, "run", "left").join(t, "vendor", "left")
+         .na.fill(0, ["engines", "own_probes", "tiers", "priced", "pages", "probes"]).na.fill(False, ["genuine", "monthly", "annual", "free", "custom"]))
+    other_probe = (F.col("probes") - F.col("own_probes")) > 0
     n = F.col("engines")
-    status = (F.when((n == 0) & F.col("genuine") & (other_probe | (pages > 2)), F.lit("not-published"))
+    status = (F.when((n == 0) & F.col("genuine") & (other_probe | (F.col("pages") > 2)), F.lit("not-published"))
               .when(n == 0, F.lit("gap"))
               .when(F.col("tiers") == 0, F.when(n == 1, F.lit("partial")).otherwise(F.lit("ok")))
               .when(F.col("monthly") & F.col("annual") & (F.col("priced") > 0) & (n >= 2), F.lit("ok"))
@@ -82,7 +82,7 @@ def field_completeness(vendors: DataFrame) -> DataFrame:
                           F.when(F.size(missing) == 0, F.lit("ok")).when(blocked, F.lit("gap")).otherwise(F.lit("partial")).alias("status"))
 
 
-def claimed_price_votes(tiers: DataFrame, captures: DataFrame, hot_rows: int = 2_000_000) -> DataFrame:
+def claimed_price_votes(tiers: DataFrame, captures: DataFrame) -> DataFrame:
     """Per claimed price: extractors that show it on the cited page, by full key and by digits only.
 
     tiers(vendor, idx, price, source_url), captures(url, engine, text).
@@ -92,7 +92,7 @@ def claimed_price_votes(tiers: DataFrame, captures: DataFrame, hot_rows: int = 2
     per_url = seen.groupBy("source_url").agg(F.collect_set(F.struct("engine", "k", "d")).alias("seen"))
     asked = tiers.where(P.has_price(F.col("price"))).withColumns({
         "k": P.price_key(F.regexp_extract("price", f"({K.PRICE_TOKEN})", 1)), "d": P.digits_only(F.col("price"))})
-    j = hot_split_join(asked, per_url, ["source_url"], ["vendor", "idx"], "left", hot_rows)
+    j = asked.join(per_url, "source_url", "left")
     engines = lambda ok: F.size(F.array_distinct(F.transform(F.filter("seen", ok), lambda s: s["engine"])))
     by_key = F.greatest(engines(lambda s: s["k"] == F.col("k")), F.lit(0))
     by_digits = F.greatest(engines(lambda s: s["d"] == F.col("d")), F.lit(0))
@@ -127,13 +127,13 @@ def audit_quotes(vendors: DataFrame) -> DataFrame:
         (F.col("source_url") != "") & (F.col("quote") != ""))
 
 
-def quote_accuracy(vendors: DataFrame, captures: DataFrame, sample: int | None = K.QUOTE_SAMPLE, hot_rows: int = 2_000_000) -> DataFrame:
+def quote_accuracy(vendors: DataFrame, captures: DataFrame, sample: int | None = None) -> DataFrame:
     """Per vendor: quotes checked and missed, over the first `sample` quotes (all when None)."""
     q = audit_quotes(vendors)
     order = F.array_position(F.array(*[F.lit(f) for f in AUDITED_FIELDS]), F.col("field"))
     if sample is not None:
         q = first_per_key(q.withColumn("__o", order), ["vendor"], ["__o", "idx"], sample).drop("__o")
-    found = find_quotes(q, captures, ["vendor", "field", "idx"], hot_rows)
+    found = find_quotes(q, captures)
     g = found.groupBy("vendor").agg(F.count("*").alias("checked"), F.count_if(~F.col("found")).alias("missed"))
     return vendors.select(F.col("name").alias("vendor")).join(g, "vendor", "left").na.fill(0).withColumn(
         "status", F.when(F.col("missed") > 0, F.lit("gap")).otherwise(F.lit("ok")))

@@ -52,13 +52,13 @@ def build_ledger(results: DataFrame) -> DataFrame:
 
 
 def failure_rows(results: DataFrame) -> DataFrame:
-    """A (vendor, url, kind) without any text is a failure; its error is cut at 200 characters."""
+    """A (vendor, url, kind) without any text is a failure, with its whole error."""
     ok = F.col("success") & (F.coalesce(F.col("text"), F.lit("")) != "")
     return (results.groupBy("vendor", "url", "kind").agg(
         F.bool_or(F.coalesce(ok, F.lit(False))).alias("ok"), F.min("error").alias("error"))
         .where(~F.col("ok")).select(
             "vendor", "url", "kind",
-            F.substring(F.coalesce("error", F.lit("all engines empty")), 1, 200).alias("error")))
+            F.coalesce("error", F.lit("all engines empty")).alias("error")))
 
 
 def merge_ledgers(old: DataFrame, new: DataFrame) -> DataFrame:

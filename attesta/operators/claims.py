@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from attesta.functions import text as T
 from attesta.operators.components import ensure_checkpoint_dir
-from attesta.operators.spread import SALTS, hot_split_join, salt_of, salted_semi
 
 SINGLES = ["pricing_source", "tagline_source", "founded_source", "headquarters_source", "team_size_source"]
 # fields whose quote must occur verbatim on the cited page
@@ -70,25 +69,20 @@ def evidence_urls(claims: DataFrame, order: list[str]) -> DataFrame:
     return cited(claims).groupBy("vendor", "source_url").agg(F.min(F.struct(*order)).alias("first"))
 
 
-def texts_by_url(captures: DataFrame) -> DataFrame:
-    """url, forms: the distinct normal forms of the texts captured for it.
+def find_quotes(claims: DataFrame, captures: DataFrame) -> DataFrame:
+    """Adds `found`: the quote occurs verbatim in some capture of the cited url, a blank quote anywhere.
 
-    Copies of one text collapse on the map side; what is left is one text per extractor.
-    """
-    forms = F.array_distinct(F.array(T.norm_ws(F.col("text")), T.norm_stripped(F.col("text"))))
-    return captures.select("url", F.explode(forms).alias("form")).groupBy("url").agg(F.collect_set("form").alias("forms"))
-
-
-def find_quotes(claims: DataFrame, captures: DataFrame, id_cols: list[str], hot_rows: int = 2_000_000) -> DataFrame:
-    """Adds `found`: the quote occurs verbatim in some capture of the cited url.
-
-    Claims meet the texts once per url; rows of a much cited url are spread over several tasks.
+    Every (url, quote) is asked once.  Captures nobody cites go before their texts are brought into
+    normal form; a text meets the quotes of its url row by row, and only the answers go back to the claims.
     """
     q = claims.withColumn("__q", T.norm_ws(F.col("quote")))
-    joined = hot_split_join(q, texts_by_url(captures).withColumnRenamed("url", "source_url"),
-                            ["source_url"], id_cols, "left", hot_rows)
-    hit = F.exists("forms", lambda f: F.contains(f, F.col("__q")))
-    return joined.withColumn("found", (F.col("__q") == "") | F.coalesce(hit, F.lit(False))).drop("forms", "__q")
+    asked = q.where((F.col("__q") != "") & (F.col("source_url") != "")).select("source_url", "__q").distinct()
+    texts = captures.select(F.col("url").alias("source_url"), "text").join(asked.select("source_url").distinct(), "source_url", "left_semi")
+    forms = texts.select("source_url", F.explode(F.array_distinct(F.array(T.norm_ws(F.col("text")), T.norm_stripped(F.col("text"))))).alias("form"))
+    answers = (asked.join(forms, "source_url").where(F.contains("form", F.col("__q"))).select("source_url", "__q").distinct()
+               .withColumn("__hit", F.lit(True)))
+    joined = q.join(answers, ["source_url", "__q"], "left")
+    return joined.withColumn("found", (F.col("__q") == "") | F.coalesce("__hit", F.lit(False))).drop("__hit", "__q")
 
 
 # ------------------------------------------------------------------ quotes without a url
@@ -117,11 +111,11 @@ def _anchored_pairs(quotes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     d = docs.select("doc_id", F.explode(_grams(F.col("words"), n)).alias("gram"))
     ensure_checkpoint_dir(docs.sparkSession)
     # read twice below; windows over all texts are computed once
-    matched = salted_semi(d, q.select("gram").distinct(), "gram", "doc_id").checkpoint()
+    matched = d.join(q.select("gram").distinct(), "gram", "left_semi").checkpoint()
     counts = matched.groupBy("gram").agg(F.count("*").alias("df"))
     anchor = (q.join(counts, "gram").groupBy("qid").agg(F.min(F.struct("df", "gram")).alias("a"))
-              .select("qid", F.col("a.gram").alias("gram"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
-    return anchor.join(matched.withColumn("salt", salt_of("doc_id")), ["gram", "salt"]).select("qid", "doc_id")
+              .select("qid", F.col("a.gram").alias("gram")))
+    return anchor.join(matched, "gram").select("qid", "doc_id")
 
 
 def _word_pairs(quotes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -169,4 +163,4 @@ def find_passages(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     hit = (cand.join(unique.select("qid", "q"), "qid").join(flat, "doc_id")
            .where(F.contains("flat", "q")).select("qid", "doc_id"))
     asked = norm.select("item_id", F.sha2("q", 256).alias("qid"))
-    return hot_split_join(asked, hit, ["qid"], ["item_id"], "inner").select("item_id", "doc_id").distinct()
+    return asked.join(hit, "qid").select("item_id", "doc_id").distinct()

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from attesta import constants as K
 from attesta.functions import text as T
 from attesta.operators.components import connected
-from attesta.operators.spread import hot_split_join
 
 CJK = r"[一-鿿]"
 
@@ -35,7 +34,7 @@ def layer_aliases(default: DataFrame, auto: DataFrame, user: DataFrame) -> DataF
             .unionByName(kept_auto.select("canonical", "alias", F.lit(1).alias("rank"), F.lit("auto").alias("layer")))
             .unionByName(user.select("canonical", "alias", F.lit(2).alias("rank"), F.lit("user").alias("layer"))))
     return (both.withColumn("key", key).groupBy("canonical", "key")
-            .agg(F.max_by("alias", "rank").alias("alias"), F.max_by("layer", "rank").alias("layer")))
+            .agg(F.max_by("alias", F.struct("rank", "alias")).alias("alias"), F.max_by("layer", "rank").alias("layer")))
 
 
 def phrase_hits(names: DataFrame, phrases: DataFrame, plural: str = "s?") -> DataFrame:
@@ -196,9 +195,9 @@ def auto_aliases(catalog: DataFrame, stops: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ matrix, exclusives, gaps
-def with_canonical(catalog: DataFrame, mapping: DataFrame, hot_rows: int = 2_000_000) -> DataFrame:
+def with_canonical(catalog: DataFrame, mapping: DataFrame) -> DataFrame:
     """Catalog rows with their canonical name; rows of a very frequent name are spread by position."""
-    return hot_split_join(catalog, mapping, ["name"], ["ord"], "inner", hot_rows).withColumn("key", F.lower("canonical"))
+    return catalog.join(mapping, "name").withColumn("key", F.lower("canonical"))
 
 
 def feature_marks(named: DataFrame) -> DataFrame:
@@ -226,11 +225,12 @@ def category_totals(marks: DataFrame) -> DataFrame:
 
 
 def exclusive_features(named: DataFrame) -> DataFrame:
-    """Features only one vendor holds, category ignored, in the vendor's own first spelling."""
+    """Features only one vendor holds, category ignored, in the vendor's own first spelling; without a source they do not count."""
     per = named.groupBy("key", "vendor").agg(F.min(F.struct("ord", "canonical", "name", "category", "source")).alias("f"))
     return per.groupBy("key").agg(F.count("*").alias("n"), F.first("vendor").alias("vendor"), F.first("f").alias("f")).where(
         F.col("n") == 1).select("vendor", F.col("f.canonical").alias("feature"), F.col("f.name").alias("display"),
-                                F.col("f.category").alias("category"), F.col("f.source").alias("source"))
+                                F.col("f.category").alias("category"), F.col("f.source").alias("source")).where(
+                                    F.coalesce("source", F.lit("")) != "")
 
 
 def common_gaps(named: DataFrame, vendors: DataFrame, ratio: float = 0.75) -> DataFrame:

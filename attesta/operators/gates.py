@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from attesta import constants as K
 from attesta.functions import prices as P, text as T, urls as U
 from attesta.operators.claims import ANCHORED_FIELDS, QUOTED_FIELDS, cited, find_quotes
-from attesta.operators.spread import hot_split_join
 from attesta.operators.votes import price_integrity
 
 COLUMNS = ["gate", "severity", "vendor", "field", "idx", "source_url", "detail"]
@@ -34,18 +33,18 @@ def _authority(field: Column, claim_url: Column, statement: Column) -> Column:
                   .otherwise(_mark("G7", "hard", "weak anchor")))
 
 
-def trace_sources(claims: DataFrame, ledger: DataFrame, hot_rows: int = 2_000_000) -> DataFrame:
+def trace_sources(claims: DataFrame, ledger: DataFrame) -> DataFrame:
     """G1: a cited url must have been captured, with status ok."""
     known = ledger.select(F.col("url").alias("source_url"), "status", F.lit(True).alias("known"))
-    j = hot_split_join(cited(claims), known, ["source_url"], ["vendor", "field", "idx"], "left", hot_rows)
+    j = cited(claims).join(known, "source_url", "left")
     v = _trace(F.col("status"), F.coalesce("known", F.lit(False)))
     return j.withColumn("v", v).where(F.col("v").isNotNull()).select("vendor", "field", "idx", "source_url", "v.*").select(*COLUMNS)
 
 
-def verbatim_quotes(claims: DataFrame, captures: DataFrame, hot_rows: int = 2_000_000) -> DataFrame:
+def verbatim_quotes(claims: DataFrame, captures: DataFrame) -> DataFrame:
     """The quote of a sourced claim must occur verbatim on the cited page."""
     q = claims.where((F.col("source_url") != "") & (F.col("quote") != "") & F.col("field").isin(QUOTED_FIELDS))
-    missed = find_quotes(q, captures, ["vendor", "field", "idx"], hot_rows).where(~F.col("found"))
+    missed = find_quotes(q, captures).where(~F.col("found"))
     return missed.select(F.lit("G2").alias("gate"), F.lit("hard").alias("severity"), "vendor", "field", "idx",
                          "source_url", F.lit("quote not found").alias("detail"))
 
@@ -175,11 +174,12 @@ def loose_gaps(items: DataFrame, id_col: str, json_col: str) -> DataFrame:
                                    F.lit("gap").alias("field"), F.lit(0).alias("idx"), F.lit("").alias("source_url"), F.lit("old form").alias("detail"))
 
 
-def claim_gates(claims: DataFrame, ledger: DataFrame, captures: DataFrame, hot_rows: int = 2_000_000) -> DataFrame:
+def claim_gates(claims: DataFrame, ledger: DataFrame, captures: DataFrame) -> DataFrame:
     """G1, G2, G6 and G7 in one pass: claims meet ledger and texts once, each row lists its defects."""
     known = ledger.select(F.col("url").alias("source_url"), "status", F.lit(True).alias("known"))
-    found = find_quotes(claims, captures, ["vendor", "field", "idx"], hot_rows)
-    j = hot_split_join(found, known, ["source_url"], ["vendor", "field", "idx"], "left", hot_rows)
+    # only quotes the gate asks for are searched
+    asked = claims.withColumn("quote", F.when(F.col("field").isin(QUOTED_FIELDS), F.col("quote")).otherwise(F.lit("")))
+    j = find_quotes(asked, captures).join(known, "source_url", "left")
     is_claim = (F.col("source_url") != "") & (F.col("field") != "pricing_vote_detail")
     quote_miss = (F.col("source_url") != "") & (F.col("quote") != "") & F.col("field").isin(QUOTED_FIELDS) & ~F.col("found")
     marks = F.array_compact(F.array(
@@ -206,23 +206,32 @@ def verdict(report: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ checks against later probes
-def link_probes(claims: DataFrame, probes: DataFrame, hot_rows: int = 2_000_000) -> DataFrame:
-    """N1 per cited url: unreachable is hard, landing on another registrable domain a warning."""
-    urls = cited(claims).select("source_url").distinct()
-    j = urls.join(probes.withColumnRenamed("url", "source_url"), "source_url")
+def link_probes(claims: DataFrame, probes: DataFrame) -> DataFrame:
+    """N1 per cited url, by its newest probe: unreachable is hard; another registrable domain, or no probe, a warning.
+
+    probes(url, http_status, final_url, probed_at).
+    """
+    newest = probes.groupBy(F.col("url").alias("source_url")).agg(F.max_by(F.struct("http_status", "final_url"), F.struct("probed_at", "http_status")).alias("p"))
+    j = cited(claims).select("source_url").distinct().join(newest, "source_url", "left")
     src = U.registrable_domain(U.host_of(F.col("source_url")))
-    dst = U.registrable_domain(U.host_of(F.col("final_url")))
-    v = (F.when(~F.col("http_status").between(200, 299), _mark("N1", "hard", "unreachable"))
+    dst = U.registrable_domain(U.host_of(F.coalesce("p.final_url", F.lit(""))))
+    v = (F.when(F.col("p").isNull(), _mark("N1", "warning", "not probed"))
+         .when(~F.coalesce(F.col("p.http_status").between(200, 299), F.lit(False)), _mark("N1", "hard", "unreachable"))
          .when((src != "") & (dst != "") & (src != dst), _mark("N1", "warning", "redirected to another domain")))
     return j.withColumn("v", v).where(F.col("v").isNotNull()).select("source_url", "v.*")
 
 
-def quote_drift(claims: DataFrame, snapshots: DataFrame, hot_rows: int = 2_000_000) -> DataFrame:
-    """Evidence quotes that a newer page snapshot(url, html) no longer shows."""
+def quote_drift(claims: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Evidence quotes that the newest snapshot of their page no longer shows.
+
+    snapshots(url, html, taken_at).  A (url, quote) is judged once.
+    """
     q = claims.where(F.col("field").isin("gtm_evidence", "moat_evidence") & (F.col("quote") != "") & (F.col("source_url") != ""))
-    flat = snapshots.select(F.col("url").alias("source_url"), T.norm_ws(T.plain_from_html(F.col("html"))).alias("flat"))
-    j = hot_split_join(q, flat, ["source_url"], ["vendor", "field", "idx"], "inner", hot_rows)
-    return j.where(~F.contains("flat", T.norm_ws(F.col("quote")))).select(
+    q = q.withColumn("q", T.norm_ws(F.col("quote")))
+    newest = snapshots.groupBy(F.col("url").alias("source_url")).agg(F.max_by("html", "taken_at").alias("html"))
+    flat = newest.select("source_url", T.norm_ws(T.plain_from_html(F.col("html"))).alias("flat"))
+    gone = q.select("source_url", "q").distinct().join(flat, "source_url").where(~F.contains("flat", F.col("q"))).select("source_url", "q")
+    return q.join(gone, ["source_url", "q"]).select(
         F.lit("N2").alias("gate"), F.lit("warning").alias("severity"), "vendor", "field", "idx", "source_url",
         F.lit("quote no longer visible").alias("detail"))
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 from attesta import constants as K
 from attesta.functions import urls as U
 from attesta.operators.captures import engine_rank
-from attesta.operators.spread import hot_split_join
 
 
 def page_links(captures: DataFrame, keys: list[str], base: str = "url") -> DataFrame:
@@ -73,13 +72,13 @@ def robots_rules(bodies: DataFrame) -> DataFrame:
         F.aggregate(lines, state, step, lambda acc: acc["rules"]))).alias("rule"))
 
 
-def robots_allowed(pages: DataFrame, rules: DataFrame, url: str = "url", hot_rows: int = 2_000_000) -> DataFrame:
+def robots_allowed(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
     """Pages no rule of their host forbids: '/' forbids all, other rules are path prefixes."""
     path = F.coalesce(F.nullif(U.path_of(F.col(url)), F.lit("")), F.lit("/"))
     p = pages.withColumns({"__host": U.netloc(F.col(url)), "__path": path})
     # the rules of a host come from one file
     per_host = rules.groupBy(F.col("host").alias("__host")).agg(F.collect_set("rule").alias("__rules"))
-    j = hot_split_join(p, per_host, ["__host"], [url], "left", hot_rows)
+    j = p.join(per_host, "__host", "left")
     banned = F.exists("__rules", lambda r: (r == "/") | F.col("__path").startswith(r))
     return j.where(~F.coalesce(banned, F.lit(False))).select(*pages.columns)
 

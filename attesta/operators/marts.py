@@ -5,7 +5,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from attesta import constants as K
 from attesta.functions import prices as P, text as T, urls as U
-from attesta.operators.claims import find_passages
 from attesta.operators.spread import dense_index, first_per_key, stable_rank
 
 
@@ -56,16 +55,16 @@ def signal_clusters(signals: DataFrame, k: int = 15) -> DataFrame:
 def source_register(claims: DataFrame) -> DataFrame:
     """One row per cited url, numbered by first citation, with its first kind and claim count.
 
-    claims(ord, url, kind, claim) with unique ord; unsafe urls are dropped; each claim text counts
-    once, by its first 80 characters.
+    claims(ord, url, kind, claim) with unique, comparable ord (a number or a struct); unsafe urls are
+    dropped; each claim text counts once, by its whole text.
     """
     c = claims.withColumn("url", U.safe_url(F.col("url"))).where(F.col("url") != "")
-    c = c.withColumn("claim", F.substring(F.trim(F.coalesce("claim", F.lit(""))), 1, 80))
+    c = c.withColumn("claim", F.trim(F.coalesce("claim", F.lit(""))))
     g = c.groupBy("url").agg(F.min("ord").alias("ord"), F.min_by("kind", "ord").alias("kind"),
                              F.min_by("claim", "ord").alias("claim"),
                              F.count_distinct(F.nullif("claim", F.lit(""))).alias("claims"))
     verified = F.when(U.names_any(F.col("url"), K.USER_SOURCES), F.lit("user")).otherwise(F.lit("bot"))
-    return dense_index(g.withColumn("verified", verified), "ord").drop("ord")
+    return dense_index(g.withColumn("verified", verified), ["ord"]).drop("ord")
 
 
 def sources_by_kind(register: DataFrame) -> DataFrame:
@@ -107,8 +106,8 @@ def weakness_points(vendors: DataFrame) -> DataFrame:
 
 
 def feedback_summary(vendors: DataFrame) -> DataFrame:
-    """Customer voices per vendor: up to four quotes, own strengths up to five, three weaknesses."""
-    fb = F.filter(F.transform(F.slice("user_feedback", 1, 4), lambda x: F.struct(
+    """Customer voices per vendor, numbered: quotes, own strengths, then weaknesses; a report takes the first few."""
+    fb = F.filter(F.transform("user_feedback", lambda x: F.struct(
         F.trim(F.coalesce(F.nullif(x["text"], F.lit("")), x["quote"], F.lit(""))).alias("text"),
         F.concat(U.source_label(x["source"]), F.when(F.coalesce(x["kind"], F.lit("quote")) == "quote", F.lit(" · 客户引语"))
                  .otherwise(F.lit(" · 量化效果"))).alias("label"), F.trim(F.coalesce(x["who"], F.lit(""))).alias("who"))),
@@ -116,10 +115,10 @@ def feedback_summary(vendors: DataFrame) -> DataFrame:
     voices = F.transform(fb, lambda x: F.struct(
         F.when(x["who"] == "", x["text"]).when(x["text"] == "", x["who"]).otherwise(F.concat(x["text"], F.lit(" —— "), x["who"])).alias("text"),
         x["label"].alias("label")))
-    real = lambda col: F.filter(F.slice(col, 1, 3), lambda s: ~T.is_placeholder(s["point"], s["evidence"], s["score"]))
+    real = lambda col: F.filter(F.col(col), lambda s: ~T.is_placeholder(s["point"], s["evidence"], s["score"]))
     own = F.transform(real("strengths"), lambda s: F.struct(
         F.coalesce(s["point"], F.lit("")).alias("text"), F.concat(U.source_label(s["source"]), F.lit(" · 官网自述")).alias("label")))
-    pos = F.slice(F.concat(voices, own), 1, 5)
+    pos = F.concat(voices, own)
     neg = F.transform(real("weaknesses"), lambda s: F.struct(F.coalesce(s["point"], F.lit("")).alias("text"), U.source_label(s["source"]).alias("label")))
     rows = F.concat(F.transform(pos, lambda x, i: F.struct(F.lit("positive").alias("side"), (i + 1).alias("nth"), x["text"].alias("text"), x["label"].alias("label"))),
                     F.transform(neg, lambda x, i: F.struct(F.lit("negative").alias("side"), (i + 1).alias("nth"), x["text"].alias("text"), x["label"].alias("label"))))
@@ -155,12 +154,12 @@ def platform_coverage(vendors: DataFrame) -> DataFrame:
 
 
 def market_texts(vendors: DataFrame) -> DataFrame:
-    """Go-to-market and moat lines: first two pieces of evidence, else a differentiator, else open."""
-    two = lambda c: F.substring(F.array_join(F.transform(F.slice(c, 1, 2), lambda e: e["name"]), "；"), 1, 120)
-    diff = lambda i: F.substring(F.try_element_at(F.col("differentiators"), F.lit(i))["point"], 1, 80)
+    """Go-to-market and moat lines: the evidence, else a differentiator, else open."""
+    names = lambda c: F.array_join(F.transform(c, lambda e: e["name"]), "；")
+    diff = lambda i: F.try_element_at(F.col("differentiators"), F.lit(i))["point"]
     none = lambda c: F.coalesce(F.size(c), F.lit(0)) == 0
-    gtm = F.when(~none("gtm_evidence"), two("gtm_evidence")).otherwise(F.coalesce(diff(1), F.lit("—（待 Step 3 基于官网定位/博客证据分析）")))
-    moat = F.when(~none("moat_evidence"), two("moat_evidence")).otherwise(F.coalesce(diff(2), diff(1), F.lit("—（待 Step 3 基于证据分析）")))
+    gtm = F.when(~none("gtm_evidence"), names("gtm_evidence")).otherwise(F.coalesce(diff(1), F.lit(K.OPEN_TEXT)))
+    moat = F.when(~none("moat_evidence"), names("moat_evidence")).otherwise(F.coalesce(diff(2), diff(1), F.lit(K.OPEN_TEXT)))
     return vendors.select(F.col("name").alias("vendor"), gtm.alias("gtm"), moat.alias("moat"))
 
 
@@ -293,11 +292,10 @@ def keyword_pages(pages: DataFrame, domains: DataFrame, min_chars: int = 300) ->
     The keyword up to '(' must occur in a sufficient page of the registrable domain; first url wins.
     """
     p = pages.where(T.body_sufficient(F.col("text"), min_chars)).select(
-        F.col("url").alias("doc_id"), F.lower("text").alias("text"))
+        "url", U.registrable_domain(U.host_of(F.col("url"))).alias("domain"), T.norm_ws(F.lower("text")).alias("flat"))
     asked = domains.withColumn("kw", F.lower(F.trim(F.split_part("keyword", F.lit("("), F.lit(1)))))
-    words = asked.where(F.col("kw") != "").select(F.col("kw").alias("item_id"), F.col("kw").alias("quote")).distinct()
-    hit = find_passages(words, p).select(
-        F.col("item_id").alias("kw"), F.col("doc_id").alias("url"), U.registrable_domain(U.host_of(F.col("doc_id"))).alias("domain"))
+    words = asked.where(F.col("kw") != "").select("domain", "kw").distinct()
+    hit = words.join(p, "domain").where(F.contains("flat", T.norm_ws(F.col("kw"))))
     first = hit.groupBy("domain", "kw").agg(F.min("url").alias("url"))
     return asked.join(first, ["domain", "kw"]).select("domain", "keyword", "url")
 

@@ -3,61 +3,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from attesta.operators.components import settle
 
-SALTS = 16
 
+def dense_index(df: DataFrame, order: list[str], out: str = "idx", parts: int = 32) -> DataFrame:
+    """1-based position in a unique order, without one global sort task.
 
-def salt_of(col: str):
-    return F.pmod(F.xxhash64(col), F.lit(SALTS)).cast("int")
-
-
-def is_small(df: DataFrame, max_rows: int) -> bool:
-    """Whether df has at most max_rows rows; reads no more than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def salted_semi(big: DataFrame, keys: DataFrame, key: str, spread_by: str, max_broadcast: int = 2_000_000) -> DataFrame:
-    """Rows of big whose key is listed in keys (distinct fixed-width keys).
-
-    A key list that was counted and is small is broadcast, so big is not shuffled; a longer list is
-    repeated per salt and the rows of a frequent key are spread over the salts.
-    """
-    if is_small(keys, max_broadcast):
-        return big.join(F.broadcast(keys), key, "left_semi")
-    many = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return big.withColumn("salt", salt_of(spread_by)).join(many, [key, "salt"], "left_semi").drop("salt")
-
-
-def hot_split_join(left: DataFrame, right: DataFrame, on: list[str], spread_by: list[str],
-                   how: str = "left", hot_rows: int = 2_000_000, splits: int = 64) -> DataFrame:
-    """Equi-join that spreads the left rows of hot keys over several tasks.
-
-    A key with at least `hot_rows` left rows is hot.  There are at most rows / hot_rows such keys, so
-    the hot list is small whatever the input; only it is broadcast, and only the right rows of hot
-    keys are repeated.  Left rows are spread by a hash of `spread_by`, so a retried task puts them in
-    the same place.
+    Rows are dealt out by ranges of the order, kept, numbered inside each range and shifted by the sizes of
+    the ranges before: one number for each of `parts` ranges.
     """
-    hot = (left.groupBy(*on).agg(F.count("*").alias("__n")).where(F.col("__n") >= hot_rows)
-           .select(*on, F.lit(True).alias("__hot")))
-    part = F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread_by), F.lit(splits))).otherwise(F.lit(0))
-    copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(splits - 1))).otherwise(F.array(F.lit(0)))
-    lhs = left.join(F.broadcast(hot), on, "left").withColumn("__part", part.cast("int")).drop("__hot")
-    rhs = right.join(F.broadcast(hot), on, "left").withColumn("__part", F.explode(copies)).drop("__hot")
-    return lhs.join(rhs, [*on, "__part"], how).drop("__part")
-
-
-def dense_index(df: DataFrame, ord_col: str, out: str = "idx", bucket_rows: int = 100_000) -> DataFrame:
-    """1-based position by a unique integer order column, without one global sort task.
-
-    Order values are cut into ranges of `bucket_rows` values; the range sizes are summed up once and
-    each range numbers its own rows.
-    """
-    b = df.withColumn("__b", F.expr(f"`{ord_col}` div {bucket_rows}"))
-    sizes = b.groupBy("__b").agg(F.count("*").alias("__n"))
+    dealt = settle(df.repartitionByRange(parts, *order).withColumn("__b", F.spark_partition_id()))
+    sizes = dealt.groupBy("__b").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    within = Window.partitionBy("__b").orderBy(ord_col)
-    return (b.join(offsets, "__b").withColumn(out, F.col("__off") + F.row_number().over(within))
+    within = Window.partitionBy("__b").orderBy(*order)
+    return (dealt.join(F.broadcast(offsets), "__b").withColumn(out, F.col("__off") + F.row_number().over(within))
             .drop("__b", "__off"))
 
 

@@ -113,43 +113,58 @@ def pair_plans(tiers: DataFrame) -> DataFrame:
                     F.regexp_extract(F.coalesce("annual", F.lit("")), r"^[^\d]+", 0).alias("equivalent_sign"))
 
 
-def commercial_model(tiers: DataFrame) -> DataFrame:
-    """How each vendor sells: freemium, enterprise only, subscription or unclear."""
+def commercial_model(vendors: DataFrame, tiers: DataFrame) -> DataFrame:
+    """How each vendor sells: freemium, enterprise only, subscription or unclear; without plans: not published."""
     blob = F.lower(F.concat_ws(" ", "plan", "price", "period"))
     some = lambda ws: F.bool_or(blob.rlike("|".join(ws)))
     g = tiers.groupBy("vendor").agg(
         some(["/月", "/mo", "month"]).alias("m"), some(["/年", "/yr", "year", "annual"]).alias("y"),
         some(["免费", "free", "trial"]).alias("f"),
         some(["联系销售", "contact sales", "enterprise", "custom"]).alias("c"))
-    model = (F.when(F.col("f") & (F.col("m") | F.col("y")), F.lit("免费增值(Freemium + 订阅)"))
+    model = (F.when(F.col("f").isNull(), F.lit(K.UNPUBLISHED))
+             .when(F.col("f") & (F.col("m") | F.col("y")), F.lit("免费增值(Freemium + 订阅)"))
              .when(F.col("c") & ~F.col("m") & ~F.col("y"), F.lit("企业定制(Enterprise Only)"))
              .when(F.col("m") | F.col("y"), F.lit("SaaS 订阅(月付/年付)"))
              .otherwise(F.lit("订阅制(细节见定价)")))
-    return g.select("vendor", model.alias("model"))
+    return vendors.select("vendor").distinct().join(g, "vendor", "left").select("vendor", model.alias("model"))
 
 
-def tiers_from_text(vendors: DataFrame, text: str) -> DataFrame:
+def tiers_from_text(vendors: DataFrame, text: str, most: int | None = None) -> DataFrame:
     """Price lines read from one free text per vendor: (vendor, ord, plan, price, period).
 
     Used when a vendor has no structured plans.  A line without a plan word keeps its text as plan
-    name only when it is short; the first six lines count.
+    name only when it is short; `most` keeps the first lines only.
     """
     cut = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), K.PRICE_LINE_SPLIT),
                       lambda s: F.trim(F.regexp_replace(F.trim(s), "[….。]+$", "")))
-    lines = F.slice(F.filter(cut, lambda s: (s != "") & ~s.startswith("…") & ~s.rlike("^[…(见官网)]+$")), 1, K.PRICE_LINE_MAX)
+    lines = F.filter(cut, lambda s: (s != "") & ~s.startswith("…") & ~s.rlike("^[…(见官网)]+$"))
+    lines = lines if most is None else F.slice(lines, 1, most)
     rows = vendors.select("vendor", F.posexplode(lines).alias("ord", "line"))
     price = F.regexp_extract("line", f"({K.PRICE_LINE_PRICE})", 1)
     word = F.regexp_extract("line", K.PRICE_LINE_PERIOD, 1)
     period = F.when(word != "", word).otherwise(F.regexp_extract("line", K.PRICE_LINE_PERIOD, 0))
     plain = F.regexp_replace("line", r"\s*\([^)]{0,60}\)\s*$", "")
     name = F.when(price != "", F.regexp_replace(F.replace(plain, price, F.lit("")), "^[ ·\\-—]+|[ ·\\-—]+$", "")).otherwise(plain)
-    name = F.substring(name, 1, 40)
     short = (F.length(name) > 0) & (F.length(name) <= 25) & (F.size(F.split(F.trim(name), r"\s+")) <= 4)
     dash = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("—"))
     return rows.select("vendor", "ord", F.when(name.rlike(K.PRICE_LINE_PLAN) | short, name).otherwise(F.lit("—")).alias("plan"),
                        dash(price).alias("price"), dash(period).alias("period"))
 
 
+def vendor_price_display(vendors: DataFrame, tiers: DataFrame) -> DataFrame:
+    """One price text per vendor: its plans' segments in input order, each once; without plans: not published.
+
+    tiers(vendor, plan, ord, price, period).
+    """
+    seg = F.when(F.col("price") != "—", F.concat(F.col("price"), F.when(
+        ~F.col("period").isin("—", ""), F.concat(F.lit("·"), F.col("period"))).otherwise(F.lit("")))).otherwise(F.col("plan"))
+    once = tiers.withColumn("seg", seg).groupBy("vendor", "seg").agg(F.min("ord").alias("ord"))
+    g = once.groupBy("vendor").agg(F.count("*").alias("segments"), F.array_join(F.transform(
+        F.sort_array(F.collect_list(F.struct("ord", "seg"))), lambda x: x["seg"]), " / ").alias("price"))
+    return (vendors.select("vendor").distinct().join(g, "vendor", "left")
+            .select("vendor", F.coalesce("segments", F.lit(0)).cast("long").alias("segments"), F.coalesce("price", F.lit(K.UNPUBLISHED)).alias("price")))
+
+
 def price_display(tiers: DataFrame) -> DataFrame:
     """Price segments per (vendor, plan) in input order: 'plan $9·/mo|$90·/yr'.
 

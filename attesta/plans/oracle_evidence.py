@@ -63,11 +63,17 @@ FROM (SELECT *, {_AMT('monthly')} AS m, {_AMT('billed')} AS b, {_AMT('annual')}
   FROM (SELECT vendor, plan, ord, price, {period('period')} AS per FROM tier) GROUP BY vendor, plan))""")
 _BLOB = "lower(concat_ws(' ', plan, price, period))"
 O["commercial_model"] = query(["tier"], f"""
-SELECT vendor, CASE WHEN f AND (m OR y) THEN '免费增值(Freemium + 订阅)' WHEN c AND NOT m AND NOT y THEN '企业定制(Enterprise Only)'
+SELECT vendor, CASE WHEN f IS NULL THEN '未公开' WHEN f AND (m OR y) THEN '免费增值(Freemium + 订阅)' WHEN c AND NOT m AND NOT y THEN '企业定制(Enterprise Only)'
   WHEN m OR y THEN 'SaaS 订阅(月付/年付)' ELSE '订阅制(细节见定价)' END AS model FROM (
   SELECT vendor, bool_or(regexp_matches({_BLOB}, '/月|/mo|month')) AS m, bool_or(regexp_matches({_BLOB}, '/年|/yr|year|annual')) AS y,
     bool_or(regexp_matches({_BLOB}, '免费|free|trial')) AS f, bool_or(regexp_matches({_BLOB}, '联系销售|contact sales|enterprise|custom')) AS c
-  FROM tier GROUP BY vendor)""")
+  FROM tier GROUP BY vendor) RIGHT JOIN (SELECT DISTINCT p_brand AS vendor FROM part UNION SELECT n_name FROM nation) USING (vendor)""")
+O["vendor_price_display"] = query(["tier"], """
+SELECT vendor, coalesce(segments, 0) AS segments, coalesce(price, '未公开') AS price FROM (
+  SELECT vendor, count(*) AS segments, string_agg(seg, ' / ' ORDER BY ord) AS price FROM (
+    SELECT vendor, CASE WHEN price <> '—' THEN price || CASE WHEN period NOT IN ('—', '') THEN '·' || period ELSE '' END ELSE plan END AS seg, min(ord) AS ord
+    FROM tier GROUP BY 1, 2) GROUP BY vendor)
+RIGHT JOIN (SELECT DISTINCT p_brand AS vendor FROM part UNION SELECT n_name FROM nation) USING (vendor)""")
 O["price_display"] = query(["tier"], """
 SELECT vendor, plan, string_agg(seg, '|' ORDER BY ord) AS segments FROM (
   SELECT vendor, plan, seg, min(ord) AS ord FROM (
@@ -211,8 +217,8 @@ O["extra_urls"] = "SELECT 'V' AS vendor, 'docs' AS kind, url || '/more' AS url F
 O["claims_flat"] = query(["claims"], "SELECT vendor, field, CAST(idx AS INT) AS idx, source_url, md5(quote || '|' || statement) AS digest FROM claims")
 _POS = f"list_position({strs(FIELD_ORDER)}, field)"
 O["evidence_urls"] = query(["cited"], f"""
-SELECT vendor, source_url, CAST(k // 1000 AS INT) AS ord, CAST(k % 1000 AS INT) AS idx FROM (
-  SELECT vendor, source_url, min({_POS} * 1000 + idx) AS k FROM cited GROUP BY vendor, source_url)""")
+SELECT vendor, source_url, CAST(k.p AS INT) AS ord, CAST(k.i AS INT) AS idx FROM (
+  SELECT vendor, source_url, min({{'p': {_POS}, 'i': idx}}) AS k FROM cited GROUP BY vendor, source_url)""")
 _VC = "vendor, field, CAST(idx AS INT) AS idx, source_url"
 _G1 = f"""
   SELECT 'G1' AS gate, 'hard' AS severity, {_VC}, CASE WHEN l.url IS NULL THEN 'not captured' ELSE 'capture failed' END AS detail
@@ -261,7 +267,7 @@ def _strings(best: str, hq: str) -> str:
         one("tagline", "CASE WHEN page_id % 6 = 0 THEN '' ELSE h1 END"), one("headquarters", hq), one("feature_best_for", best),
         one("strengths[].evidence", "'官网原文: \"' || h1 || '\"'"), one("strengths[].evidence", "line", doc(0)), one("strengths[].point", "line", doc(0)),
         one("weaknesses[].point", "CASE WHEN doc_id % 8 = 1 THEN '' ELSE line END", doc(1)), one("weaknesses[].evidence", "line", doc(1)),
-        one("differentiators[].quote", "line", doc(2)), one("tech_signals[].quote", "h1", doc(3)),
+        one("differentiators[].quote", "line", doc(2)), one("tech_signals[].quote", "line", doc(3)),
         one("gtm_evidence[].quote", "b.text", "pg JOIN benchmark b ON b.item_id = page_id"), one("moat_evidence[].quote", "h1", "pg WHERE page_id % 4 = 0"),
         one("user_feedback[].text", "opening", "pg JOIN talk USING (page_id)"), one("user_feedback[].quote", "opening", "pg JOIN talk USING (page_id)"),
         one("feature_catalog[].quote", "CASE WHEN p_partkey % 3 = 0 THEN h1 ELSE '' END", "pg JOIN pt USING (page_id)"),
@@ -284,30 +290,38 @@ O["url_violations"] = query(["cited"], _G6 + " UNION ALL " + _G7)
 _G8 = f"""
   SELECT vendor, idx, url AS source_url, 'illegal period' AS detail FROM ptier WHERE {period('trim(period)')} NOT IN {ins(K.VALID_PERIODS)}"""
 O["structure_contract"] = query(["ptier"], _G8)
+_N1 = f"""
+  SELECT source_url, CASE WHEN p.url IS NULL OR http_status BETWEEN 200 AND 299 THEN 'warning' ELSE 'hard' END AS severity,
+    CASE WHEN p.url IS NULL THEN 'not probed' WHEN http_status BETWEEN 200 AND 299 THEN 'redirected to another domain' ELSE 'unreachable' END AS detail
+  FROM (SELECT DISTINCT source_url FROM cited)
+  LEFT JOIN (SELECT url, arg_max(http_status, probed_at) AS http_status, arg_max(final_url, probed_at) AS final_url FROM probe GROUP BY url) p ON p.url = source_url
+  WHERE p.url IS NULL OR NOT http_status BETWEEN 200 AND 299 OR {domain(host('source_url'))} <> {domain(host('final_url'))}"""
 O["loose_structure"] = """
 SELECT doc_id::VARCHAR AS vendor, 'hard' AS severity, 'target_users' AS field, 'not a list' AS detail FROM documents WHERE doc_id % 3 = 0
 UNION ALL SELECT doc_id::VARCHAR, 'hard', 'differentiation', 'singular key' FROM documents WHERE doc_id % 5 = 0
 UNION ALL SELECT doc_id::VARCHAR, 'warning', 'pitch', 'missing' FROM documents WHERE doc_id % 2 <> 0
 UNION ALL SELECT doc_id::VARCHAR, 'warning', 'evidence_urls', 'missing' FROM documents WHERE doc_id % 4 = 0"""
 O["loose_gaps"] = "SELECT doc_id::VARCHAR AS vendor, 'warning' AS severity, 'gap' AS field, 'old form' AS detail FROM documents WHERE lang = 'en'"
+_UNESC = "regexp_replace(h, '<[^>]+>', ' ', 'g')"
+for _e, _c in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]:
+    _UNESC = f"replace({_UNESC}, {lit(_e)}, {lit(_c)})"
+_SNAP = f"""
+  SELECT url, {norm(_UNESC)} AS flat FROM (SELECT url, CASE WHEN page_id % 8 = 4 THEN regexp_replace(html, '<h1>[^<]*</h1>', '<h1>moved</h1>', 'g') ELSE html END AS h FROM pages)"""
+_N2 = f"""
+SELECT vendor, field, CAST(idx AS INT) AS idx, source_url FROM claims JOIN snap ON url = source_url
+WHERE field IN ('gtm_evidence', 'moat_evidence') AND quote <> '' AND NOT contains(flat, {norm('quote')})"""
 _ALL = {"cn": _CN, "strs": _strings("'teams'", _HQ), "g5": _G5, "g3": _VER, "g8": _G8,
         "rep": f"""SELECT gate, severity FROM ({_G1}) UNION ALL SELECT gate, severity FROM ({_G2}) UNION ALL SELECT gate, severity FROM ({_G6})
   UNION ALL SELECT gate, severity FROM ({_G7}) UNION ALL SELECT gate, severity FROM ({_G4}) UNION ALL SELECT gate, 'hard' FROM g5
-  UNION ALL SELECT 'G3', 'hard' FROM g3 UNION ALL SELECT 'G8', 'hard' FROM g8"""}
-_NA = ["claims", "cited", "led", "cap", "fail", "pg", "dl", "pt", "talk", "hashed", "ptier"]
+  UNION ALL SELECT 'G3', 'hard' FROM g3 UNION ALL SELECT 'G8', 'hard' FROM g8 UNION ALL SELECT 'G5', 'hard' FROM plc
+  UNION ALL SELECT 'G8', severity FROM loo UNION ALL SELECT 'G8', severity FROM gap UNION ALL SELECT 'N1', severity FROM n1 UNION ALL SELECT 'N2', 'warning' FROM n2""",
+        "plc": O["placeholders"], "loo": O["loose_structure"], "gap": O["loose_gaps"], "n1": _N1, "snap": _SNAP, "n2": _N2}
+_ALL = {k: v for k, v in _ALL.items() if k != "rep"} | {"rep": _ALL["rep"]}
+_NA = ["claims", "cited", "led", "cap", "fail", "pg", "dl", "pt", "talk", "hashed", "ptier", "probe"]
 O["gate_report"] = query(_NA, "SELECT gate, severity, count(*) AS n FROM rep GROUP BY gate, severity", _ALL)
 O["gate_verdict"] = query(_NA, """SELECT count(*) FILTER (severity = 'hard') = 0 AS passed, count(*) FILTER (severity = 'hard') AS hard_failed,
   count(*) FILTER (severity = 'warning') AS warnings FROM rep""", _ALL)
-O["link_probes"] = query(["cited", "probe"], f"""
-SELECT source_url, 'N1' AS gate, CASE WHEN http_status BETWEEN 200 AND 299 THEN 'warning' ELSE 'hard' END AS severity,
-  CASE WHEN http_status BETWEEN 200 AND 299 THEN 'redirected to another domain' ELSE 'unreachable' END AS detail
-FROM (SELECT DISTINCT source_url FROM cited) JOIN probe ON url = source_url
-WHERE NOT http_status BETWEEN 200 AND 299 OR {domain(host('source_url'))} <> {domain(host('final_url'))}""")
-_UNESC = "regexp_replace(h, '<[^>]+>', ' ', 'g')"
-for _e, _c in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]:
-    _UNESC = f"replace({_UNESC}, {lit(_e)}, {lit(_c)})"
-O["quote_drift"] = query(["claims"], f"""
-SELECT vendor, field, CAST(idx AS INT) AS idx, source_url FROM claims JOIN snap ON url = source_url
-WHERE field IN ('gtm_evidence', 'moat_evidence') AND quote <> '' AND NOT contains(flat, {norm('quote')})""", {"snap": f"""
-  SELECT url, {norm(_UNESC)} AS flat FROM (SELECT url, CASE WHEN page_id % 8 = 4 THEN regexp_replace(html, '<h1>[^<]*</h1>', '<h1>moved</h1>', 'g') ELSE html END AS h FROM pages)"""})
+O["link_probes"] = query(["cited", "probe"], """
+SELECT source_url, 'N1' AS gate, severity, detail FROM n1""", {"n1": _N1})
+O["quote_drift"] = query(["claims"], _N2, {"snap": _SNAP})
 ORACLE = O

@@ -6,7 +6,7 @@ from attesta.plans import views as W
 from attesta.plans.oracle_evidence import _QUOTABLE
 from attesta.plans.queries_evidence import FIELD_ORDER
 from attesta.plans.sqltext import (PRICE, bare, clean_lines, domain, engine_rank, feature_name, has, host, ins, is_custom, is_free,
-                                   last_seg, lit, money, norm, pick, price_key, query, rep, strs, sufficient)
+                                   last_seg, lit, norm, pick, price_key, query, rep, strs, sufficient)
 
 O: dict[str, str] = {}
 
@@ -63,7 +63,7 @@ O["category_totals"] = query(["cat"], "SELECT category, vendor, count(*) AS feat
 O["exclusive_features"] = query(["cat"], """
 SELECT vendor, canonical AS feature, name AS display, category, source FROM (
   SELECT *, row_number() OVER (PARTITION BY lower(canonical) ORDER BY ord) AS rn FROM nd
-  WHERE lower(canonical) IN (SELECT lower(canonical) FROM nd GROUP BY 1 HAVING count(DISTINCT vendor) = 1)) WHERE rn = 1""", _STD)
+  WHERE lower(canonical) IN (SELECT lower(canonical) FROM nd GROUP BY 1 HAVING count(DISTINCT vendor) = 1)) WHERE rn = 1 AND source <> ''""", _STD)
 _GAPFAM = [("red inbox", ["hot inbox"], []), ("cold rest api", ["new rest api", "old rest api"], [])]
 O["common_gaps"] = query(["pcat"], """
 SELECT v.vendor, c.canonical AS feature FROM (SELECT DISTINCT vendor FROM pcat) v,
@@ -151,7 +151,8 @@ def stems(x: str) -> str:
     return f"list_sort(list_distinct(list_filter(list_transform({first}, lambda w: {w}), lambda s: NOT list_contains({stop}, s))))"
 
 
-O["stem_signatures"] = f"SELECT doc_id, array_to_string({stems('split_part(text, chr(10), 1)')}, ' ') AS stems FROM documents"
+O["stem_signatures"] = f"""SELECT doc_id, CAST(nth AS INT) AS nth, array_to_string({stems('line')}, ' ') AS stems
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nth FROM documents)"""
 _STOP = """SELECT token, count(*) AS n FROM (SELECT unnest(list_distinct(list_concat(regexp_extract_all(lower(name), '[a-z]{3,}'), regexp_extract_all(lower(name), '[一-鿿]{2,}')))) AS token FROM pcat)
   GROUP BY token HAVING count(*) > greatest(3, 0.35 * (SELECT count(*) FROM pcat))"""
 O["stop_tokens"] = query(["pcat"], "SELECT * FROM stp", {"stp": _STOP})
@@ -213,7 +214,7 @@ _DEPTH = {
     "vj": f"""SELECT v.vendor, v.site, v.verified, coalesce(e.engines, 0) AS engines, coalesce(t.tiers, 0) AS tiers, coalesce(t.monthly, false) AS monthly, coalesce(t.annual, false) AS annual,
       coalesce(t.free, false) AS free, coalesce(t.custom, false) AS custom, coalesce(t.priced, 0) AS priced,
       coalesce(pl.kind = 'pricing' AND ({last_seg('pl.url')} = '' OR {last_seg('pl.url')} IN {ins(K.AUDIT_PRICE_PAGE_SEGMENTS)}), false) AS genuine,
-      (SELECT count(*) FROM pl WHERE kind IN ('pricing', 'docs', 'about')) - CASE WHEN pl.kind IN ('pricing', 'docs', 'about') THEN 1 ELSE 0 END AS others, (SELECT count(*) FROM pl) AS n
+      (SELECT count(*) FROM pl q WHERE q.page_id // 4 = pl.page_id // 4 AND q.kind IN ('pricing', 'docs', 'about')) - CASE WHEN pl.kind IN ('pricing', 'docs', 'about') THEN 1 ELSE 0 END AS others, (SELECT count(*) FROM pl q WHERE q.page_id // 4 = pl.page_id // 4) AS n
       FROM (SELECT page_id, 'V' || page_id AS vendor, url AS site, page_id % 2 = 0 AS verified FROM pages) v JOIN pl ON pl.page_id = v.page_id
       LEFT JOIN (SELECT vendor, count(*) FILTER (tokens > 0) AS engines FROM tk GROUP BY vendor) e ON e.vendor = v.vendor LEFT JOIN tt t ON t.vendor = v.vendor""",
     "dep": """SELECT vendor, site, engines, monthly, annual, free, custom, priced,
@@ -249,11 +250,11 @@ def _acc(limit: str) -> dict[str, str]:
     return {
         "cn": f"SELECT url, {norm('text')} AS flat, {bare('text')} AS bare FROM cap",
         "aq": """SELECT vendor, url AS source_url, h1 AS quote, 0 AS o, 0 AS idx FROM pg WHERE h1 <> ''
-          UNION ALL SELECT vendor, root, line, 0, 1 FROM pg JOIN dl USING (page_id) WHERE slot = 0 AND line <> ''
-          UNION ALL SELECT vendor, root || '/en/pricing/', line, 1, 0 FROM pg JOIN dl USING (page_id) WHERE slot = 1 AND line <> ''
-          UNION ALL SELECT vendor, url, line, 2, 0 FROM pg JOIN dl USING (page_id) WHERE slot = 2 AND line <> ''
-          UNION ALL SELECT vendor, url, h1, 3, 0 FROM pg JOIN dl USING (page_id) WHERE slot = 3 AND h1 <> ''
-          UNION ALL SELECT vendor, CASE WHEN page_id % 6 = 1 THEN 'https://www.g2.com/reviews' ELSE root END, opening, 4, 0 FROM pg JOIN talk USING (page_id) WHERE opening <> ''""",
+          UNION ALL SELECT vendor, root, line, 0, 1 + pos FROM pg JOIN dl USING (page_id) WHERE slot = 0 AND line <> ''
+          UNION ALL SELECT vendor, root || '/en/pricing/', line, 1, pos FROM pg JOIN dl USING (page_id) WHERE slot = 1 AND line <> ''
+          UNION ALL SELECT vendor, url, line, 2, pos FROM pg JOIN dl USING (page_id) WHERE slot = 2 AND line <> ''
+          UNION ALL SELECT vendor, url, line, 3, pos FROM pg JOIN dl USING (page_id) WHERE slot = 3
+          UNION ALL SELECT vendor, CASE WHEN page_id % 6 = 1 THEN 'https://www.g2.com/reviews' ELSE root END, opening, 4, pos FROM pg JOIN talk USING (page_id) WHERE opening <> ''""",
         "qa": f"""SELECT g.vendor, coalesce(checked, 0) AS checked, coalesce(missed, 0) AS missed, CASE WHEN coalesce(missed, 0) > 0 THEN 'gap' ELSE 'ok' END AS status
           FROM pg g LEFT JOIN (SELECT vendor, count(*) AS checked, count(*) FILTER (NOT found) AS missed FROM (
             SELECT vendor, {norm('quote')} = '' OR EXISTS (SELECT 1 FROM cn WHERE cn.url = q.source_url AND (contains(flat, {norm('q.quote')}) OR contains(bare, {norm('q.quote')}))) AS found
@@ -261,19 +262,20 @@ def _acc(limit: str) -> dict[str, str]:
 
 
 _QN = ["pg", "dl", "talk", "cap"]
-O["quote_accuracy"] = query(_QN, "SELECT * FROM qa", _acc("WHERE rn <= 3"))
+O["quote_accuracy"] = query(_QN, "SELECT * FROM qa", _acc(""))
 O["signal_problems"] = query(["pg", "dl"], """
-SELECT vendor, 0 AS idx, source AS signal, CASE page_id % 5 WHEN 0 THEN 'no source' WHEN 1 THEN 'section front page' ELSE 'bare host' END AS problem
+SELECT vendor, CAST(pos AS INT) AS idx, source AS signal, CASE page_id % 5 WHEN 0 THEN 'no source' WHEN 1 THEN 'section front page' ELSE 'bare host' END AS problem
 FROM pg JOIN dl USING (page_id) WHERE slot = 3 AND page_id % 5 < 3""")
-O["feedback_problems"] = query(["pg", "talk"], "SELECT vendor, 0 AS idx, 'no source' AS problem FROM pg JOIN talk USING (page_id) WHERE page_id % 4 = 1")
+O["feedback_problems"] = query(["pg", "talk"], "SELECT vendor, CAST(pos AS INT) AS idx, 'no source' AS problem FROM pg JOIN talk USING (page_id) WHERE page_id % 4 = 1")
 _AUD = {**_DEPTH, "fc": _FC, "fcs": _FCS, **_CPV, **_acc(""), "cov": _COV,
         "au": """SELECT vendor, 'page_coverage' AS dimension, status FROM cov UNION ALL SELECT vendor, 'price_depth', status FROM dep UNION ALL SELECT vendor, 'field_completeness', status FROM fcs
           UNION ALL SELECT vendor, 'price_votes', status FROM pvs UNION ALL SELECT vendor, 'quote_accuracy', status FROM qa"""}
 O["audit_summary"] = query(["led", "ptext", "tier", "ptier", *_FN, *_QN], """
 SELECT dimension, status, count(*) AS n, status = 'gap' AS unresolved FROM au GROUP BY ROLLUP (dimension, status)""", _AUD)
-O["next_actions"] = query(["led", *_FN], """
-SELECT vendor, 'page_coverage' AS dimension, 'capture the missing page kinds' AS action FROM cov WHERE status <> 'ok'
-UNION ALL SELECT vendor, 'field_completeness', 'complete the fields from the captures' FROM fcs WHERE status <> 'ok'""", {"cov": _COV, "fc": _FC, "fcs": _FCS})
+O["next_actions"] = query(["led", "ptext", "tier", "ptier", *_FN, *_QN], """
+SELECT vendor, dimension, CASE dimension WHEN 'page_coverage' THEN 'capture the missing page kinds' WHEN 'price_depth' THEN 'capture the price page again'
+  WHEN 'field_completeness' THEN 'complete the fields from the captures' WHEN 'price_votes' THEN 'capture with another engine' ELSE 'correct the quote or its anchor' END AS action
+FROM au WHERE status IN ('gap', 'partial')""", _AUD)
 O["audit_lessons"] = query(["ptext", "tier"], """
 SELECT site AS domain, vendor, CASE WHEN status = 'not-published' THEN 'pricing_not_published' ELSE 'pricing_single_period_or_engine' END AS issue,
   CASE WHEN status = 'not-published' THEN 'confirmed_not_published' ELSE 'engines=' || engines END AS resolution FROM dep WHERE status <> 'ok'""", _DEPTH)
@@ -310,13 +312,13 @@ _POS = f"list_position({strs(FIELD_ORDER)}, field)"
 _REG = f"""
   SELECT url, kind, claims, CASE WHEN contains(url, 'g2.com') OR contains(url, 'reddit.com') OR contains(url, 'crunchbase.com') THEN 'user' ELSE 'bot' END AS verified,
     row_number() OVER (ORDER BY o) AS idx, claim FROM (
-    SELECT source_url AS url, min(k) AS o, arg_min(field, k) AS kind, arg_min(c80, k) AS claim, count(DISTINCT nullif(c80, '')) AS claims FROM (
-      SELECT *, page_id * 10000 + {_POS} * 100 + idx AS k, left(trim(statement), 80) AS c80 FROM cited WHERE regexp_matches(source_url, '(?i)^https?://') OR source_url LIKE '#%') GROUP BY source_url)"""
+    SELECT source_url AS url, min(k) AS o, arg_min(field, k) AS kind, arg_min(whole, k) AS claim, count(DISTINCT nullif(whole, '')) AS claims FROM (
+      SELECT *, row_number() OVER (ORDER BY page_id, {_POS}, idx) AS k, trim(statement) AS whole FROM cited WHERE regexp_matches(source_url, '(?i)^https?://') OR source_url LIKE '#%') GROUP BY source_url)"""
 O["source_register"] = query(["cited"], "SELECT url, kind, claims, verified, idx, md5(claim) AS claim FROM reg", {"reg": _REG})
 O["sources_by_kind"] = query(["cited"], "SELECT kind, count(*) AS n, count(*) FILTER (verified = 'user') AS user_verified FROM reg GROUP BY kind", {"reg": _REG})
-O["evidence_warnings"] = query(["cited"], """
+O["evidence_warnings"] = query(["cited", "pg"], """
 SELECT (SELECT count(*) FROM reg) = 0 AS no_sources, count(*) FILTER (NOT (page_id % 2 = 0 AND page_id % 9 <> 0) AND page_id % 6 <> 5) AS unverified_prices, 0 AS placeholder_only,
-  (SELECT count(*) FILTER (uncalibrated) FROM rk) AS uncalibrated FROM pages""", {"reg": _REG, **_RK})
+  (SELECT count(*) FILTER (uncalibrated) FROM rk) AS uncalibrated FROM pg""", {"reg": _REG, **_RK})
 _ANG = "CASE " + " ".join(
     "WHEN {n} > 0 AND ".format(n="({})".format(" + ".join(f"contains(good, {lit(w)})::INT" for w in ws))) +
     " AND ".join(["({}) {} ({})".format(" + ".join(f"contains(good, {lit(w)})::INT" for w in ws), ">" if j < i else ">=", " + ".join(f"contains(good, {lit(w)})::INT" for w in ws2))
@@ -326,17 +328,17 @@ _HINT = "CASE " + " ".join(f"WHEN {has('good', rx)} THEN {lit(h)}" for rx, h in
 O["inspiration_points"] = query(["pg", "dl"], f"""
 SELECT vendor, CAST(idx AS INT) AS idx, {_ANG} AS angle, {_HINT} AS inspiration, source, md5(good) AS good FROM (
   SELECT vendor, 0 AS idx, {pick('page_id', W.POINTS)} AS good, url AS source FROM pg
-  UNION ALL SELECT vendor, 1, line, root FROM pg JOIN dl USING (page_id) WHERE slot = 0 AND trim(line) <> '')
+  UNION ALL SELECT vendor, 1 + pos, line, root FROM pg JOIN dl USING (page_id) WHERE slot = 0 AND trim(line) <> '')
 WHERE {_HINT} IS NOT NULL AND NOT ({has('good', K.FACTUAL_POINT)} AND NOT {has('good', K.FACTUAL_EXEMPT)})""")
 O["weakness_points"] = query(["pg", "dl"], f"""
-SELECT vendor, 0 AS idx, {_ANG} AS angle, root || '/en/pricing/' AS source, md5(good) AS weakness FROM (SELECT *, line AS good FROM pg JOIN dl USING (page_id) WHERE slot = 1 AND doc_id % 8 <> 1)
+SELECT vendor, CAST(pos AS INT) AS idx, {_ANG} AS angle, root || '/en/pricing/' AS source, md5(good) AS weakness FROM (SELECT *, line AS good FROM pg JOIN dl USING (page_id) WHERE slot = 1 AND doc_id % 8 <> 1)
 WHERE {norm('good')} <> ''""")
 O["feedback_summary"] = query(["pg", "dl", "talk"], f"""
-SELECT vendor, side, CAST(row_number() OVER (PARTITION BY vendor, side ORDER BY o) AS INT) AS nth, label, md5(t) AS text FROM (
-  SELECT vendor, 'positive' AS side, 0 AS o, CASE WHEN page_id % 6 = 1 THEN 'G2 评测' ELSE '官网页面' END || ' · 客户引语' AS label, trim(opening) || ' —— user' AS t FROM pg JOIN talk USING (page_id)
-  UNION ALL SELECT vendor, 'positive', 1, '官网页面 · 官网自述', {pick('page_id', W.POINTS)} FROM pg
-  UNION ALL SELECT vendor, 'positive', 2, '官网页面 · 官网自述', line FROM pg JOIN dl USING (page_id) WHERE slot = 0 AND {norm('line')} <> ''
-  UNION ALL SELECT vendor, 'negative', 0, '官网页面', line FROM pg JOIN dl USING (page_id) WHERE slot = 1 AND doc_id % 8 <> 1 AND {norm('line')} <> '')""")
+SELECT vendor, side, CAST(row_number() OVER (PARTITION BY vendor, side ORDER BY o, pos) AS INT) AS nth, label, md5(t) AS text FROM (
+  SELECT vendor, 'positive' AS side, 0 AS o, pos, CASE WHEN page_id % 6 = 1 THEN 'G2 评测' ELSE '官网页面' END || ' · 客户引语' AS label, trim(opening) || ' —— user' AS t FROM pg JOIN talk USING (page_id)
+  UNION ALL SELECT vendor, 'positive', 1, 0, '官网页面 · 官网自述', {pick('page_id', W.POINTS)} FROM pg
+  UNION ALL SELECT vendor, 'positive', 2, pos, '官网页面 · 官网自述', line FROM pg JOIN dl USING (page_id) WHERE slot = 0 AND {norm('line')} <> ''
+  UNION ALL SELECT vendor, 'negative', 0, pos, '官网页面', line FROM pg JOIN dl USING (page_id) WHERE slot = 1 AND doc_id % 8 <> 1 AND {norm('line')} <> '')""")
 O["release_timeline"] = """SELECT vendor, ord, title FROM (SELECT 'U' || user_id AS vendor, user_id, event_id AS ord, props AS title, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn
   FROM events WHERE event_type = 'purchase') WHERE rn <= 6 ORDER BY user_id, ord LIMIT 18"""
 O["release_density"] = query(["pg"], "SELECT vendor, CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END AS releases FROM pg")
@@ -347,11 +349,11 @@ SELECT vendor, {pick('page_id', W.SEGMENTS)} || '、' || {pick('page_id + 2', W.
 O["platform_coverage"] = query(["pg", "pt", "dl"], "SELECT vendor, " + ", ".join(
     f"regexp_matches(w, {lit('|'.join(ws))}) AS {n}" for n, ws in K.PLATFORM_WORDS.items()) + f""" FROM (
   SELECT vendor, lower(coalesce((SELECT string_agg({feature_name('p_name')}, ' ' ORDER BY idx) FROM pt WHERE pt.page_id = pg.page_id), '') || ' | ' ||
-    coalesce((SELECT source FROM dl WHERE dl.page_id = pg.page_id AND slot = 3), '')) AS w FROM pg)""")
+    coalesce((SELECT min(source) FROM dl WHERE dl.page_id = pg.page_id AND slot = 3), '')) AS w FROM pg)""")
 O["market_texts"] = query(["pg", "dl"], """
-SELECT vendor, CASE WHEN page_id IN (SELECT item_id FROM benchmark) THEN 'self-serve' ELSE coalesce(d, '—（待 Step 3 基于官网定位/博客证据分析）') END AS gtm,
-  CASE WHEN page_id % 4 = 0 THEN 'certified' ELSE coalesce(d, '—（待 Step 3 基于证据分析）') END AS moat
-FROM (SELECT vendor, page_id, (SELECT left(source, 80) FROM dl WHERE dl.page_id = pg.page_id AND slot = 2) AS d FROM pg)""")
+SELECT vendor, CASE WHEN page_id IN (SELECT item_id FROM benchmark) THEN 'self-serve' ELSE coalesce(d, 'open') END AS gtm,
+  CASE WHEN page_id % 4 = 0 THEN 'certified' ELSE coalesce(d, 'open') END AS moat
+FROM (SELECT vendor, page_id, (SELECT min(source) FROM dl WHERE dl.page_id = pg.page_id AND slot = 2) AS d FROM pg)""")
 O["fill_defaults"] = query(["pg"], f"""
 SELECT vendor, CASE WHEN page_id % 4 = 0 THEN '—' ELSE (page_id % 30 + 1990)::VARCHAR END AS founded, {_STAGE} AS stage, CASE WHEN page_id % 6 = 5 THEN '—' ELSE 'from $9' END AS pricing,
   page_id % 9 <> 0 AND page_id % 2 = 0 AS pricing_verified, CASE page_id % 5 WHEN 1 THEN 'CNY' WHEN 2 THEN 'HKD' ELSE 'USD' END AS pricing_currency FROM pg""")
@@ -397,8 +399,8 @@ O["lesson_hints"] = """SELECT domain, CAST(nth AS INT) AS nth, hint FROM (SELECT
   row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) AS nth FROM events WHERE event_id % 3 <> 0) WHERE nth <= 3"""
 O["keyword_pages"] = query(["cap"], f"""
 SELECT domain, keyword, min(p.url) AS url FROM kw JOIN p USING (domain) WHERE contains(low, {norm('lower(trim(split_part(keyword, ' + lit('(') + ', 1)))')}) AND lower(trim(split_part(keyword, '(', 1))) <> '' GROUP BY domain, keyword""",
-                           {"p": f"SELECT url, {norm('lower(text)')} AS low, {domain(host('url'))} AS domain FROM cap WHERE engine = 'trafilatura' AND {sufficient('text', 300)}",
-                            "kw": f"""SELECT DISTINCT {domain(host('url'))} AS domain, array_to_string(string_split(regexp_extract(html, '<h1>([^<]*)</h1>', 1), ' ')[1:2], ' ') || ' (beta)' AS keyword FROM pages"""})
+                           {"p": f"SELECT url, {norm('lower(text)')} AS low, {domain(host('url'))} AS domain FROM cap WHERE {sufficient('text', 300)}",
+                            "kw": f"""SELECT DISTINCT {domain(host('url'))} AS domain, regexp_extract(html, '<h1>([^<]*)</h1>', 1) || ' (beta)' AS keyword FROM pages"""})
 O["budget_flags"] = """SELECT event_id AS ord, coalesce(sum(CAST(value AS DECIMAL(12,2))) OVER (PARTITION BY user_id, ts::DATE ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 300 AS over_budget FROM events"""
 O["report_check"] = query(["pg", "cited", "cat"], """
 SELECT count(*) >= 3 AS three_vendors, bool_and(page_id % 9 <> 0) AS price_flag_present, bool_and(page_id % 2 = 1) AS conclusions_present, true AS conclusions_sourced,

@@ -70,8 +70,17 @@ def tier_problems(s, d) -> DataFrame:
     return V.tier_problems(W.tiers(s, d)).where(F.col("problem").isNotNull()).select("ord", "vendor", "problem")
 
 
+def _sellers(s, d) -> DataFrame:
+    """Brands, and nations as vendors that publish no plan."""
+    return W.table(s, d, "part").select(F.col("p_brand").alias("vendor")).unionByName(W.table(s, d, "nation").select(F.col("n_name").alias("vendor")))
+
+
 def commercial_model(s, d) -> DataFrame:
-    return V.commercial_model(W.tiers(s, d))
+    return V.commercial_model(_sellers(s, d), W.tiers(s, d))
+
+
+def vendor_price_display(s, d) -> DataFrame:
+    return V.vendor_price_display(_sellers(s, d), W.tiers(s, d))
 
 
 def price_display(s, d) -> DataFrame:
@@ -339,27 +348,45 @@ def structure_contract(s, d) -> DataFrame:
 
 
 def loose_structure(s, d) -> DataFrame:
-    """Opportunity documents as JSON texts, one per document row."""
+    """Opportunity documents as JSON texts, one per document row, the document's text being its moat."""
+    return G.loose_structure(_opportunities(s, d), "doc_id", "doc").select("vendor", "severity", "field", "detail")
+
+
+def _quoted(c):
+    """The value as JSON text."""
+    js = F.to_json(F.struct(F.coalesce(c, F.lit("")).alias("t")))
+    return F.substring(js, F.lit(6), F.length(js) - 6)
+
+
+def _opportunities(s, d) -> DataFrame:
     k = F.col("doc_id")
     users = F.when(k % 3 == 0, F.lit('"teams"')).otherwise(F.lit('["teams"]'))
     js = F.concat(F.lit('{"target_users":'), users, F.when(k % 5 == 0, F.lit(',"differentiation":"x"')).otherwise(F.lit(',"differentiators":["x"]')),
-                  F.when(k % 2 == 0, F.lit(',"pitch":"p"')).otherwise(F.lit("")), F.lit(',"moat":"'), F.col("lang"),
-                  F.lit('","evidence_urls":'), F.when(k % 4 == 0, F.lit("[]")).otherwise(F.lit('["https://x.test"]')), F.lit("}"))
-    items = W.table(s, d, "documents").select("doc_id", js.alias("doc"))
-    return G.loose_structure(items, "doc_id", "doc").select("vendor", "severity", "field", "detail")
+                  F.when(k % 2 == 0, F.lit(',"pitch":"p"')).otherwise(F.lit("")), F.lit(',"moat":'), _quoted(F.col("text")),
+                  F.lit(',"evidence_urls":'), F.when(k % 4 == 0, F.lit("[]")).otherwise(F.lit('["https://x.test"]')), F.lit("}"))
+    return W.table(s, d, "documents").select("doc_id", js.alias("doc"))
 
 
 def loose_gaps(s, d) -> DataFrame:
-    """Gap documents as JSON texts: English ones in the old form."""
-    js = F.concat(F.when(F.col("lang") == "en", F.lit('{"title":"')).otherwise(F.lit('{"gap":"')), F.col("source"), F.lit('"}'))
-    return G.loose_gaps(W.table(s, d, "documents").select("doc_id", js.alias("doc")), "doc_id", "doc").select("vendor", "severity", "field", "detail")
+    """Gap documents as JSON texts that hold the document's text: English ones in the old form."""
+    return G.loose_gaps(_gap_documents(s, d), "doc_id", "doc").select("vendor", "severity", "field", "detail")
+
+
+def _gap_documents(s, d) -> DataFrame:
+    js = F.concat(F.when(F.col("lang") == "en", F.lit('{"title":')).otherwise(F.lit('{"gap":')), _quoted(F.col("text")), F.lit("}"))
+    return W.table(s, d, "documents").select("doc_id", js.alias("doc"))
 
 
 def _all_gates(s, d) -> list[DataFrame]:
     # the documents feed every gate, so they are joined once
     docs, led, caps = settle(W.vendor_documents(s, d)), W.ledger_pages(s, d), W.captures(s, d)
-    return [G.claim_gates(Q.flatten_claims(docs), led, caps), G.verified_prices(docs, C.capture_meta(caps), W.as_of()),
-            G.honest_gaps(docs, led, W.failures(s, d)), G.no_fabrication(docs.drop("page_id")), G.structure_contract(docs)]
+    claims = Q.flatten_claims(docs)
+    probed = G.link_probes(claims, W.probes(s, d)).select(
+        "gate", "severity", F.lit("").alias("vendor"), F.lit("source_url").alias("field"), F.lit(0).alias("idx"), "source_url", "detail")
+    return [G.claim_gates(claims, led, caps), G.verified_prices(docs, C.capture_meta(caps), W.as_of()),
+            G.honest_gaps(docs, led, W.failures(s, d)), G.no_fabrication(docs.drop("page_id")), G.no_placeholders(docs, "name", "weaknesses"),
+            G.structure_contract(docs), G.loose_structure(_opportunities(s, d), "doc_id", "doc"), G.loose_gaps(_gap_documents(s, d), "doc_id", "doc"),
+            probed, G.quote_drift(claims, _snapshots(s, d))]
 
 
 def gate_report(s, d) -> DataFrame:
@@ -375,15 +402,20 @@ def link_probes(s, d) -> DataFrame:
 
 
 def quote_drift(s, d) -> DataFrame:
-    """Evidence quotes against a later snapshot; pages with an odd id lost their heading since."""
+    """Evidence quotes against the newest snapshot."""
+    return G.quote_drift(_claims(s, d), _snapshots(s, d)).select("vendor", "field", "idx", "source_url")
+
+
+def _snapshots(s, d) -> DataFrame:
+    """url, html, taken_at: two snapshots of every page; some lost their heading in the newer one, the older one shows nothing."""
     html = F.when(F.col("page_id") % 8 == 4, F.regexp_replace("html", "<h1>[^<]*</h1>", "<h1>moved</h1>")).otherwise(F.col("html"))
-    snaps = W.table(s, d, "pages").select("url", html.alias("html"))
-    return G.quote_drift(_claims(s, d), snaps).select("vendor", "field", "idx", "source_url")
+    return W.table(s, d, "pages").select("url", F.inline(F.array(
+        F.struct(F.lit("").alias("html"), F.lit("2024-01-10").alias("taken_at")), F.struct(html.alias("html"), F.lit("2024-01-20").alias("taken_at")))))
 
 
 QUERIES = {f.__name__: f for f in [
     price_votes, price_verified, tokens_per_engine, price_forms, plan_savings, price_sufficiency, tier_problems, commercial_model,
-    price_display, price_lines, cached_price, capture_meta, capture_quality, capture_primary, capture_lines, ledger_build, failure_rows,
+    price_display, vendor_price_display, price_lines, cached_price, capture_meta, capture_quality, capture_primary, capture_lines, ledger_build, failure_rows,
     ledger_merge, merged_text, safe_quotes, number_windows, keep_ends, variant_lines, extractor_stats, extractor_order, next_engines,
     url_types, safe_urls, page_links, link_targets, robots_allowed, extra_urls, claims_flat, evidence_urls, claims_traceable,
     quotes_found, quotes_anywhere, verified_prices, silent_failures, honest_gaps, fabrication, placeholders, url_violations,

@@ -108,9 +108,9 @@ def stop_tokens(s, d) -> DataFrame:
 
 
 def stem_signatures(s, d) -> DataFrame:
-    """Word stems of the first line of every document."""
-    line = F.split_part(F.col("text"), F.lit("\n"), F.lit(1))
-    return W.table(s, d, "documents").select("doc_id", F.array_join(T.stem_signature(line), " ").alias("stems"))
+    """Word stems of every line of every document."""
+    lines = W.table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("nth", "line"))
+    return lines.select("doc_id", (F.col("nth") + 1).alias("nth"), F.array_join(T.stem_signature(F.col("line")), " ").alias("stems"))
 
 
 def variant_groups(s, d) -> DataFrame:
@@ -174,7 +174,7 @@ def _page_tokens(s, d) -> DataFrame:
 
 def price_depth(s, d) -> DataFrame:
     pid = F.col("page_id")
-    led = W.table(s, d, "pages").select("page_id", F.col("url").alias("site"),
+    led = W.table(s, d, "pages").select("page_id", F.expr("page_id div 4").alias("run"), F.col("url").alias("site"),
                                         F.when(pid % 10 == 0, F.concat(F.lit("https://"), W.host(F.col("url")), F.lit("/pricing"))).otherwise(F.col("url")).alias("url"),
                                         F.array(W.pick(pid, ["pricing", "docs", "pricing", "homepage", "blog"])).alias("kinds"))
     v = F.expr("ord div 8")
@@ -200,11 +200,12 @@ def claimed_price_votes(s, d) -> DataFrame:
 
 
 def price_vote_status(s, d, vendors: DataFrame | None = None) -> DataFrame:
-    return A.price_vote_status(A.claimed_price_votes(*_claimed_tiers(s, d, vendors)), _page_vendors(s, d))
+    docs = vendors or W.vendor_documents(s, d)
+    return A.price_vote_status(A.claimed_price_votes(*_claimed_tiers(s, d, docs)), docs.select(F.col("name").alias("vendor")))
 
 
 def quote_accuracy(s, d) -> DataFrame:
-    return A.quote_accuracy(W.vendor_documents(s, d), W.captures(s, d), 3)
+    return A.quote_accuracy(W.vendor_documents(s, d), W.captures(s, d))
 
 
 def signal_problems(s, d) -> DataFrame:
@@ -224,7 +225,7 @@ def _audit(s, d) -> DataFrame:
     docs = settle(W.vendor_documents(s, d))
     return A.audit_table(("page_coverage", page_coverage(s, d)), ("price_depth", price_depth(s, d)),
                          ("field_completeness", A.field_completeness(docs)), ("price_votes", price_vote_status(s, d, docs)),
-                         ("quote_accuracy", A.quote_accuracy(docs, W.captures(s, d), None)))
+                         ("quote_accuracy", A.quote_accuracy(docs, W.captures(s, d))))
 
 
 def audit_summary(s, d) -> DataFrame:
@@ -232,7 +233,7 @@ def audit_summary(s, d) -> DataFrame:
 
 
 def next_actions(s, d) -> DataFrame:
-    return A.next_actions(A.audit_table(("page_coverage", page_coverage(s, d)), ("field_completeness", field_completeness(s, d))))
+    return A.next_actions(_audit(s, d))
 
 
 def audit_lessons(s, d) -> DataFrame:
@@ -273,7 +274,7 @@ def _register_claims(s, d) -> DataFrame:
     pos = F.array_position(F.array(*[F.lit(x) for x in E.FIELD_ORDER]), F.col("field"))
     pid = F.substring("vendor", 2, 20).cast("bigint")
     return Q.cited(Q.flatten_claims(W.vendor_documents(s, d))).select(
-        (pid * 10000 + pos * 100 + F.col("idx")).alias("ord"), F.col("source_url").alias("url"), F.col("field").alias("kind"), F.col("statement").alias("claim"))
+        F.struct(pid.alias("vendor"), pos.alias("field"), F.col("idx")).alias("ord"), F.col("source_url").alias("url"), F.col("field").alias("kind"), F.col("statement").alias("claim"))
 
 
 def source_register(s, d) -> DataFrame:
@@ -405,10 +406,10 @@ def lesson_hints(s, d) -> DataFrame:
 
 
 def keyword_pages(s, d) -> DataFrame:
-    """For each benchmark passage: the page of each site whose article holds its opening words."""
-    caps = W.captures(s, d).where(F.col("engine") == "trafilatura").select("url", "text")
-    dom = W.table(s, d, "pages").select(U.registrable_domain(W.host(F.col("url"))).alias("domain"), F.substring_index(
-        F.regexp_extract("html", "<h1>([^<]*)</h1>", 1), " ", 2).alias("w")).select("domain", F.concat("w", F.lit(" (beta)")).alias("keyword")).distinct()
+    """For each heading of a site: the first page of the site that holds it, in any reading."""
+    caps = W.captures(s, d).select("url", "text")
+    dom = W.table(s, d, "pages").select(U.registrable_domain(W.host(F.col("url"))).alias("domain"), F.concat(
+        F.regexp_extract("html", "<h1>([^<]*)</h1>", 1), F.lit(" (beta)")).alias("keyword")).distinct()
     return M.keyword_pages(caps, dom)
 
 

@@ -108,7 +108,7 @@ def quality(x: str) -> str:
 def sufficient(x: str, n: int) -> str:
     inner = rep(x, f"^{WS}+|{WS}+$", "")
     return (f"(length({inner}) >= {n} AND len(regexp_extract_all(lower({x}), '<script')) <= 5 "
-            f"AND NOT contains(left(lower({x}), 2000), 'enable javascript'))")
+            f"AND NOT contains(lower({x}), 'enable javascript'))")
 
 
 def clean_lines(x: str) -> str:
@@ -167,16 +167,22 @@ CTE = {
   FROM pages""",
     "fail": "SELECT url FROM pages WHERE contains(url, 'utm_source=') AND NOT regexp_matches(url, '^https?://blog[.]')",
     "probe": """
-  SELECT url, CASE WHEN page_id % 9 = 0 THEN 404 WHEN page_id % 13 = 0 THEN 500 ELSE 200 END AS http_status,
-    CASE WHEN page_id % 10 = 3 THEN 'https://parked.other.test/' ELSE url END AS final_url FROM pages""",
+  SELECT url, 503 AS http_status, url AS final_url, '2024-01-10' AS probed_at FROM pages WHERE page_id % 11 <> 7
+  UNION ALL SELECT url, CASE WHEN page_id % 9 = 0 THEN 404 WHEN page_id % 13 = 0 THEN 500 ELSE 200 END,
+    CASE WHEN page_id % 10 = 3 THEN 'https://parked.other.test/' ELSE url END, '2024-01-20' FROM pages WHERE page_id % 11 <> 7""",
     "pg": """
-  SELECT page_id, 'V' || page_id AS vendor, url, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h1,
-    'https://' || regexp_extract(url, '^https?://([^/]+)', 1) AS root FROM pages""",
-    "dl": "SELECT doc_id, doc_id // 4 AS page_id, doc_id % 4 AS slot, split_part(text, chr(10), 1) AS line, source FROM documents",
+  SELECT page_id, 'V' || page_id AS vendor, url, h1, 'https://' || regexp_extract(url, '^https?://([^/]+)', 1) AS root FROM (
+    SELECT page_id, coalesce(url, 'https://unlisted.test/' || page_id) AS url, coalesce(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '') AS h1
+    FROM (SELECT page_id FROM pages UNION SELECT doc_id // 4 FROM documents UNION SELECT p_partkey // 8 FROM part
+          UNION SELECT conv_id FROM conversations WHERE role = 'user' UNION SELECT item_id FROM benchmark) LEFT JOIN pages USING (page_id) WHERE page_id IS NOT NULL)""",
+    "dl": """
+  SELECT doc_id, doc_id // 4 AS page_id, doc_id % 4 AS slot, line, source, row_number() OVER (PARTITION BY doc_id ORDER BY ln) - 1 AS pos
+  FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM documents)
+  WHERE trim(line) <> ''""",
     "pt": """
   SELECT p_partkey // 8 AS page_id, CAST(row_number() OVER (PARTITION BY p_partkey // 8 ORDER BY p_partkey) - 1 AS INT) AS idx,
     p_partkey, p_name, p_type, p_size, p_retailprice FROM part""",
-    "talk": "SELECT conv_id AS page_id, arg_min(text, turn) AS opening FROM conversations WHERE role = 'user' GROUP BY 1",
+    "talk": "SELECT conv_id AS page_id, text AS opening, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM conversations WHERE role = 'user'",
     "ptier": f"SELECT vendor, url, idx, {pick('p_size', W.PERIODS)} AS period, {money('p_retailprice')} AS price, p_type AS plan, page_id FROM pg JOIN pt USING (page_id)",
     "ptext": f"""
   SELECT p_partkey, 'playwright' AS engine, 'Plan' || chr(10) || 'from ' || {money('p_retailprice')} || ' per seat' AS text FROM part
@@ -216,14 +222,14 @@ CTE["claims"] = f"""
     UNION ALL SELECT page_id, vendor, url, 'team_size_source', 0, CASE WHEN page_id % 19 = 0 THEN '/about' END, '', '' FROM pg
     UNION ALL SELECT page_id, vendor, url, 'pricing_tiers', idx, url, '', '' FROM ptier
     UNION ALL SELECT page_id, vendor, url, 'strengths', 0, url, h1, {pick('page_id', W.POINTS)} || ' ' || '官网原文: "' || h1 || '"' FROM pg
-    UNION ALL SELECT page_id, vendor, url, 'strengths', 1, root, regexp_extract(line, {lit(K.WRAPPED_QUOTE)}, 1), concat_ws(' ', nullif(line, ''), nullif(line, '')) FROM pg JOIN dl USING (page_id) WHERE slot = 0
-    UNION ALL SELECT page_id, vendor, url, 'weaknesses', 0, root || '/en/pricing/', '', concat_ws(' ', CASE WHEN doc_id % 8 = 1 THEN '待补充:暂无' ELSE nullif(line, '') END, nullif(line, '')) FROM pg JOIN dl USING (page_id) WHERE slot = 1
+    UNION ALL SELECT page_id, vendor, url, 'strengths', 1 + pos, root, regexp_extract(line, {lit(K.WRAPPED_QUOTE)}, 1), concat_ws(' ', nullif(line, ''), nullif(line, '')) FROM pg JOIN dl USING (page_id) WHERE slot = 0
+    UNION ALL SELECT page_id, vendor, url, 'weaknesses', pos, root || '/en/pricing/', '', concat_ws(' ', CASE WHEN doc_id % 8 = 1 THEN '待补充:暂无' ELSE nullif(line, '') END, nullif(line, '')) FROM pg JOIN dl USING (page_id) WHERE slot = 1
     UNION ALL SELECT page_id, vendor, url, 'feature_conclusion_points', 0, CASE WHEN page_id % 3 = 1 THEN root ELSE url END, '', h1 FROM pg WHERE page_id % 2 = 1
     UNION ALL SELECT page_id, vendor, url, 'gtm_evidence', 0, url, b.text, 'self-serve' FROM pg JOIN benchmark b ON b.item_id = page_id
     UNION ALL SELECT page_id, vendor, url, 'moat_evidence', 0, url, h1, 'certified' FROM pg WHERE page_id % 4 = 0
-    UNION ALL SELECT page_id, vendor, url, 'tech_signals', 0, url, h1, h1 FROM pg JOIN dl USING (page_id) WHERE slot = 3
-    UNION ALL SELECT page_id, vendor, url, 'differentiators', 0, url, line, line FROM pg JOIN dl USING (page_id) WHERE slot = 2
-    UNION ALL SELECT page_id, vendor, url, 'user_feedback', 0, CASE WHEN page_id % 6 = 1 THEN 'https://www.g2.com/reviews' ELSE root END, '', opening FROM pg JOIN talk USING (page_id)
+    UNION ALL SELECT page_id, vendor, url, 'tech_signals', pos, url, line, line FROM pg JOIN dl USING (page_id) WHERE slot = 3
+    UNION ALL SELECT page_id, vendor, url, 'differentiators', pos, url, line, line FROM pg JOIN dl USING (page_id) WHERE slot = 2
+    UNION ALL SELECT page_id, vendor, url, 'user_feedback', pos, CASE WHEN page_id % 6 = 1 THEN 'https://www.g2.com/reviews' ELSE root END, '', opening FROM pg JOIN talk USING (page_id)
     UNION ALL SELECT page_id, vendor, url, 'feature_catalog', idx, CASE WHEN p_partkey % 5 = 0 THEN '' WHEN p_partkey % 5 = 1 THEN root || '/pricing' ELSE url END,
       CASE WHEN p_partkey % 3 = 0 THEN h1 ELSE '' END, CASE WHEN p_partkey % 3 = 0 AND h1 <> '' THEN h1 ELSE p_name END FROM pg JOIN pt USING (page_id)
     UNION ALL SELECT page_id, vendor, url, 'product_momentum', 0, url, h1, h1 FROM pg WHERE page_id % 3 = 0

@@ -12,23 +12,9 @@ def as_of() -> Column:
     return F.lit(AS_OF).cast("timestamp")
 
 
-# tables of long texts and their keys
-TEXT_KEYS = {"pages": "page_id", "documents": "doc_id"}
-
-
 @lru_cache(maxsize=256)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread_small(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
-
-
-def spread_small(df: DataFrame, key: str) -> DataFrame:
-    """A text table in fewer splits than there are cores is dealt out by key, so all cores parse it.
-
-    Tables with enough splits, as any large one has, are left as they are: no shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def pick(n: Column, values: list) -> Column:
@@ -112,11 +98,13 @@ def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """url, http_status, final_url: one probe per page."""
+    """url, http_status, final_url, probed_at: two probes of most pages, the older one failing; none of every eleventh."""
     pid, url = F.col("page_id"), F.col("url")
-    return table(spark, sf_dir, "pages").select(
-        "url", F.when(pid % 9 == 0, F.lit(404)).when(pid % 13 == 0, F.lit(500)).otherwise(F.lit(200)).alias("http_status"),
-        F.when(pid % 10 == 3, F.lit("https://parked.other.test/")).otherwise(url).alias("final_url"))
+    runs = F.array(
+        F.struct(F.lit(503).alias("http_status"), url.alias("final_url"), F.lit("2024-01-10").alias("probed_at")),
+        F.struct(F.when(pid % 9 == 0, F.lit(404)).when(pid % 13 == 0, F.lit(500)).otherwise(F.lit(200)).alias("http_status"),
+                 F.when(pid % 10 == 3, F.lit("https://parked.other.test/")).otherwise(url).alias("final_url"), F.lit("2024-01-20").alias("probed_at")))
+    return table(spark, sf_dir, "pages").where(pid % 11 != 7).select("url", F.inline(runs))
 
 
 # ------------------------------------------------------------------ vendor documents
@@ -145,37 +133,36 @@ def price_text(amount: Column) -> Column:
 
 
 def vendor_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One nested vendor document per page.
+    """One nested vendor document per key of any of the tables, with all that belongs to it.
 
-    Nothing is collected: a page has four document slots, eight part slots, the opening message of
-    one conversation and one passage.
+    A vendor has its page, the documents, parts, user turns and passages whose keys lead to it, every
+    non-blank line of the documents and every user turn being evidence of its own.  A key without a page
+    is a vendor too, on an address made from the key.  Rows without a key belong to no vendor.
     """
     pid, url = F.col("page_id"), F.col("url")
-    h1 = F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)
-    pages = table(spark, sf_dir, "pages").select(
-        "page_id", "url", h1.alias("h1"), host(url).alias("host"))
-    line = F.split_part(F.col("text"), F.lit("\n"), F.lit(1))
-    docs = (table(spark, sf_dir, "documents")
-            .select(F.expr("doc_id div 4").alias("page_id"), (F.col("doc_id") % 4).alias("slot"), "doc_id",
-                    line.alias("line"), "source")
-            .groupBy("page_id").agg(*[
-                F.first(F.when(F.col("slot") == k, F.struct("doc_id", "line", "source")), ignorenulls=True).alias(f"d{k}")
-                for k in range(4)]))
-    part = F.struct("p_partkey", "p_name", "p_type", "p_size", "p_retailprice")
-    slots = (table(spark, sf_dir, "part").groupBy(F.expr("p_partkey div 8").alias("page_id"))
-             .agg(*[F.first(F.when(F.col("p_partkey") % 8 == k, part), ignorenulls=True).alias(f"p{k}")
-                    for k in range(8)]))
-    parts = slots.select("page_id", F.filter(F.array(*[f"p{k}" for k in range(8)]),
-                                             lambda x: x.isNotNull()).alias("parts"))
-    talk = (table(spark, sf_dir, "conversations").where(F.col("role") == "user")
-            .groupBy(F.col("conv_id").alias("page_id"))
-            .agg(F.min_by("text", "turn").alias("opening")))
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("page_id"), F.col("text").alias("passage"))
-    base = (pages.join(docs, "page_id", "left").join(parts, "page_id", "left")
-            .join(talk, "page_id", "left").join(items, "page_id", "left"))
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+
+    def gathered(rows: DataFrame, key: str, out: str, *fields: Column | str) -> DataFrame:
+        """All rows of a key as one sorted array"""
+        keyed = rows.select(F.expr(key).alias("page_id"), F.struct(*fields).alias("x")).where("page_id is not null")
+        return keyed.groupBy("page_id").agg(F.sort_array(F.collect_list("x")).alias(out))
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("h1"))
+    docs = gathered(table(spark, sf_dir, "documents"), "doc_id div 4", "docs", "doc_id", "source", lines.alias("lines"))
+    parts = gathered(table(spark, sf_dir, "part"), "p_partkey div 8", "parts", "p_partkey", "p_name", "p_type", "p_size", "p_retailprice")
+    talk = gathered(table(spark, sf_dir, "conversations").where(F.col("role") == "user"), "conv_id", "turns", "turn", "text")
+    items = gathered(table(spark, sf_dir, "benchmark"), "item_id", "passages", "text")
+    base = (pages.join(docs, "page_id", "full").join(parts, "page_id", "full").join(talk, "page_id", "full").join(items, "page_id", "full"))
+    base = base.withColumns({"url": F.coalesce("url", F.concat(F.lit("https://unlisted.test/"), pid)), "h1": F.coalesce("h1", F.lit(""))})
+    base = base.withColumn("host", host(url))
     root = F.concat(F.lit("https://"), F.col("host"))
     empty = F.lit("")
 
+    def lines_of(slot: int, build) -> Column:
+        """build(document, line) for the lines of every fourth document, from the given one on"""
+        mine = F.filter("docs", lambda d: d["doc_id"] % 4 == slot)
+        return F.coalesce(F.flatten(F.transform(mine, lambda d: F.transform(d["lines"], lambda x: build(d, x)))), F.array())
+
     def only(cond: Column, *structs: Column) -> Column:
         """array(structs) when cond holds, else the empty array"""
         return F.filter(F.array(*[F.when(cond, s) for s in structs]), lambda x: x.isNotNull())
@@ -184,12 +171,9 @@ def vendor_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     strengths = F.concat(
         F.array(F.struct(pick(pid, POINTS).alias("point"), wrapped.alias("evidence"),
                          (pid % 5 + 5).cast("int").alias("score"), url.alias("source"))),
-        only(F.col("d0").isNotNull(), F.struct(
-            F.col("d0.line").alias("point"), F.col("d0.line").alias("evidence"),
-            F.lit(6).alias("score"), root.alias("source"))))
-    weaknesses = only(F.col("d1").isNotNull(), F.struct(
-        F.when(F.col("d1.doc_id") % 8 == 1, F.lit("待补充:暂无")).otherwise(F.col("d1.line")).alias("point"),
-        F.col("d1.line").alias("evidence"), F.lit(4).alias("score"),
+        lines_of(0, lambda d, x: F.struct(x.alias("point"), x.alias("evidence"), F.lit(6).alias("score"), root.alias("source"))))
+    weaknesses = lines_of(1, lambda d, x: F.struct(
+        F.when(d["doc_id"] % 8 == 1, F.lit("待补充:暂无")).otherwise(x).alias("point"), x.alias("evidence"), F.lit(4).alias("score"),
         F.concat(root, F.lit("/en/pricing/")).alias("source")))
     tier = lambda p: F.struct(
         p["p_type"].alias("name"), price_text(p["p_retailprice"]).alias("price"),
@@ -225,19 +209,16 @@ def vendor_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform(parts_col, lambda p: feature_name(p["p_name"])).alias("core_features"),
         F.transform(parts_col, entry).alias("feature_catalog"),
         strengths.alias("strengths"), weaknesses.alias("weaknesses"),
-        only(F.col("d2").isNotNull(), F.struct(
-            F.col("d2.source").alias("point"), F.col("d2.line").alias("quote"), url.alias("source_url"))).alias("differentiators"),
-        only(F.col("d3").isNotNull(), F.struct(
-            F.col("d3.source").alias("name"), url.alias("source"), F.col("h1").alias("quote"),
-            F.lit("jina").alias("engine"))).alias("tech_signals"),
-        only(F.col("passage").isNotNull(), F.struct(
-            F.lit("self-serve").alias("name"), F.col("passage").alias("quote"), url.alias("source"))).alias("gtm_evidence"),
+        lines_of(2, lambda d, x: F.struct(d["source"].alias("point"), x.alias("quote"), url.alias("source_url"))).alias("differentiators"),
+        lines_of(3, lambda d, x: F.struct(d["source"].alias("name"), url.alias("source"), x.alias("quote"), F.lit("jina").alias("engine"))
+                 ).alias("tech_signals"),
+        F.coalesce(F.transform("passages", lambda x: F.struct(
+            F.lit("self-serve").alias("name"), x["text"].alias("quote"), url.alias("source"))), F.array()).alias("gtm_evidence"),
         only(pid % 4 == 0, F.struct(
             F.lit("certified").alias("name"), F.col("h1").alias("quote"), url.alias("source"))).alias("moat_evidence"),
-        only(F.col("opening").isNotNull(), F.struct(
-            F.lit("quote").alias("kind"), F.col("opening").alias("text"), F.col("opening").alias("quote"),
-            F.lit("user").alias("who"), F.when(pid % 6 == 1, F.lit("https://www.g2.com/reviews")).otherwise(root).alias("source"))
-        ).alias("user_feedback"),
+        F.coalesce(F.transform("turns", lambda x: F.struct(
+            F.lit("quote").alias("kind"), x["text"].alias("text"), x["text"].alias("quote"), F.lit("user").alias("who"),
+            F.when(pid % 6 == 1, F.lit("https://www.g2.com/reviews")).otherwise(root).alias("source"))), F.array()).alias("user_feedback"),
         only(pid % 3 == 0, F.struct(
             F.col("h1").alias("title"), F.lit("2024-01").alias("when"), url.alias("source"))).alias("product_momentum"),
         only(pid % 2 == 1, F.struct(

@@ -35,16 +35,34 @@ class KeyedTable:
     """A parquet table rewritten version by version; readers take the newest complete version.
 
     The batch number names the version, so a batch replayed after a failure overwrites its own
-    output and reads the version before it: every batch takes effect once.
+    output and reads the version before it: every batch takes effect once.  Batch numbers belong to
+    one stream: the table records the stream's checkpoint folder and takes no other.  A version is
+    removed when two newer ones are there, so a running reader keeps its files.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def _versions(self) -> list[int]:
+    def _files(self):
         jvm = self.spark.sparkContext._jvm
         root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return jvm, root, root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def belongs_to(self, checkpoint: str) -> None:
+        """Record the stream that keeps the table; a table another stream has kept is refused."""
+        jvm, root, fs = self._files()
+        mark = jvm.org.apache.hadoop.fs.Path(root, "_stream")
+        if fs.exists(mark):
+            owner = self.spark.read.text(mark.toString()).first()["value"]
+            if owner != checkpoint:
+                raise ValueError(f"{self.path} is kept by the stream of {owner}, not of {checkpoint}")
+        elif self._versions():
+            raise ValueError(f"{self.path} holds versions of an unknown stream")
+        else:
+            self.spark.createDataFrame([(checkpoint,)], "value string").coalesce(1).write.text(mark.toString())
+
+    def _versions(self) -> list[int]:
+        jvm, root, fs = self._files()
         if not fs.exists(root):
             return []
         done = []
@@ -60,10 +78,16 @@ class KeyedTable:
 
     def write(self, df: DataFrame, version: int) -> None:
         df.write.mode("overwrite").parquet(os.path.join(self.path, f"v{version}"))
+        jvm, root, fs = self._files()
+        for old in self._versions():
+            if old < version - 1:
+                fs.delete(jvm.org.apache.hadoop.fs.Path(root, f"v{old}"), True)
 
 
 def upsert_stream(rows: DataFrame, table: KeyedTable, summarise, merge, checkpoint: str) -> StreamingQuery:
     """Keep a keyed table up to date: summarise each micro-batch, then merge it into the table."""
+    table.belongs_to(checkpoint)
+
     def apply(batch: DataFrame, batch_id: int) -> None:
         new = summarise(batch)
         old = table.read(before=batch_id)

@@ -21,21 +21,11 @@ def test_votes_and_independence(spark):
     assert c["cross_validated"] and c["verified"]
 
 
-def test_hot_split_join_equals_plain_join(spark):
-    rnd = random.Random(1)
-    left = spark.createDataFrame([(i, "hot" if i % 3 else f"k{rnd.randint(0, 9)}") for i in range(300)], "id int, k string")
-    right = spark.createDataFrame([("hot", "H"), ("k1", "a"), ("k2", "b"), ("k2", "c")], "k string, v string")
-    for how in ["left", "inner", "left_semi", "left_anti"]:
-        plain = left.join(right, "k", how)
-        split = S.hot_split_join(left, right, ["k"], ["id"], how, hot_rows=50, splits=4)
-        assert sorted(map(str, rows(split.select(*plain.columns)))) == sorted(map(str, rows(plain))), how
-
-
 def test_dense_index_and_stable_rank(spark):
     rnd = random.Random(2)
     data = [(g, rnd.choice([1, 2, 3]), i) for i, g in enumerate(rnd.choices("ab", k=200))]
     df = spark.createDataFrame(data, "g string, v int, o bigint")
-    idx = S.dense_index(df, "o", bucket_rows=17)
+    idx = S.dense_index(df, ["o"], parts=7)
     assert [r["idx"] for r in idx.orderBy("o").collect()] == list(range(1, 201))
     rank = {(r["g"], r["o"]): r["rank"] for r in S.stable_rank(df, ["g"], "v", "o", bucket_rows=13).collect()}
     for g in "ab":
@@ -43,12 +33,40 @@ def test_dense_index_and_stable_rank(spark):
         assert [rank[(g, d[2])] for d in want] == list(range(1, len(want) + 1))
 
 
-def test_salted_semi_both_ways(spark):
-    big = spark.createDataFrame([(i, i % 5) for i in range(100)], "id int, k int")
-    keys = spark.createDataFrame([(1,), (3,)], "k int")
-    a = rows(S.salted_semi(big, keys, "k", "id").orderBy("id"))
-    b = rows(S.salted_semi(big, keys, "k", "id", max_broadcast=1).select("k", "id").orderBy("id"))
-    assert a == b and len(a) == 40
+def test_quotes_are_found_on_their_own_page_only(spark):
+    caps = spark.createDataFrame([("u", "jina", "one  [two](http://x) three"), ("u", "other", "four"), ("v", "jina", "five"), ("w", "jina", None)],
+                                 "url string, engine string, text string")
+    cases = [("u", "one two three", True), ("u", "two three four", False), ("u", "four", True), ("v", "four", False), ("none", "one", False), ("u", " ", True),
+             ("w", "x", False), ("u", "four", True)]
+    df = spark.createDataFrame([(i, u, q) for i, (u, q, _) in enumerate(cases)], "i int, source_url string, quote string")
+    assert {r["i"]: r["found"] for r in Q.find_quotes(df, caps).collect()} == {i: c[2] for i, c in enumerate(cases)}
+
+
+def test_sellers_without_plans(spark):
+    v = spark.createDataFrame([("a",), ("b",)], "vendor string")
+    t = spark.createDataFrame([("a", "Pro", 1, "$9", "/mo"), ("a", "Max", 2, "$9", "/mo"), ("a", "Big", 3, "$90", "/yr")],
+                              "vendor string, plan string, ord int, price string, period string")
+    assert dict(rows(V.commercial_model(v, t)))["b"] == "未公开"
+    assert {r["vendor"]: (r["segments"], r["price"]) for r in V.vendor_price_display(v, t).collect()} == {"a": (2, "$9·/mo / $90·/yr"), "b": (0, "未公开")}
+
+
+def test_price_depth_counts_its_own_run(spark):
+    v = spark.createDataFrame([("a", "https://a.io/pricing", False), ("b", "https://b.io/pricing", False)], "vendor string, site string, verified boolean")
+    led = spark.createDataFrame([(1, "https://a.io/pricing", "https://a.io/pricing", ["pricing"]), (2, "https://b.io/pricing", "https://b.io/pricing", ["pricing"]),
+                                 (2, "https://b.io/docs", "https://b.io/docs", ["docs"])], "run int, site string, url string, kinds array<string>")
+    none = spark.createDataFrame([], "vendor string, engine string, tokens long, plan string, price string, period string")
+    got = {r["vendor"]: r["status"] for r in A.price_depth(v, none.select("vendor", "engine", "tokens"), led, none.select("vendor", "plan", "price", "period")).collect()}
+    assert got == {"a": "gap", "b": "not-published"}
+
+
+def test_register_numbers_long_catalogs(spark):
+    data = [(v, f, i) for v in range(3) for f in range(2) for i in range(150)]
+    df = spark.createDataFrame([((v, f, i), f"https://x.test/{v}/{f}/{i}", "k", "same start " * 9 + str(i % 2)) for v, f, i in data],
+                               "ord struct<v: int, f: int, i: int>, url string, kind string, claim string")
+    got = {r["url"]: r["idx"] for r in M.source_register(df).collect()}
+    assert [got[f"https://x.test/{v}/{f}/{i}"] for v, f, i in data] == list(range(1, 901))
+    one = M.source_register(df.withColumn("url", F.lit("https://x.test/"))).first()
+    assert one["claims"] == 2
 
 
 def test_find_passages_equals_brute_force(spark):
@@ -74,7 +92,6 @@ def test_components(spark):
     want = {1: 1, 2: 1, 3: 1, 5: 5, 6: 5, 7: 5, 8: 5, 9: 5, 20: 20, 21: 20}
     df = spark.createDataFrame(edges, "a int, b int")
     assert dict(rows(components.connected(df))) == want
-    assert dict(rows(components.connected(df, small=0))) == want
 
 
 def test_variant_groups_equal_pairwise(spark):

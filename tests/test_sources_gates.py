@@ -49,7 +49,7 @@ def gates(spark, tmp_path):
     now = F.lit("2024-02-01 00:00:00").cast("timestamp")
     claims = Q.flatten_claims(v)
     parts = [G.claim_gates(claims, led, caps), G.verified_prices(v, C.capture_meta(caps), now), G.honest_gaps(v, led, fails),
-             G.no_fabrication(v), G.structure_contract(v)]
+             G.no_fabrication(v), G.no_placeholders(v, "name", "weaknesses"), G.structure_contract(v)]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
@@ -61,7 +61,7 @@ def test_gates_one_by_one_equal_one_pass(spark, tmp_path):
                              strengths=[{"point": "Inbox", "evidence": "text", "source": U2}]))
     caps, led = S.read_captures(spark, str(tmp_path / "raw")), S.read_ledger(spark, str(tmp_path / "ledger.json"))
     claims = Q.flatten_claims(S.read_vendors(spark, str(tmp_path / "analysis.json")))
-    whole = G.claim_gates(claims, led, caps, hot_rows=2)
+    whole = G.claim_gates(claims, led, caps)
     split = [G.trace_sources(claims, led), G.verbatim_quotes(claims, caps), G.url_hygiene(claims), G.source_authority(claims)]
     assert sorted(map(tuple, whole.collect())) == sorted(tuple(r) for df in split for r in df.collect())
     assert not G.verdict(G.gate_report(whole)).first()["passed"]
@@ -85,6 +85,7 @@ def test_clean_evidence_passes(spark, tmp_path):
     ({"founded": "—"}, ("G4", "hard", "founded")),
     ({"headquarters": "Pricing gets expensive at scale"}, ("G5", "hard", "headquarters")),
     ({"feature_best_for": "['teams']"}, ("G5", "hard", "feature_best_for")),
+    ({"weaknesses": [{"point": "待补充:暂无", "evidence": "x", "source": U1}]}, ("G5", "hard", "weaknesses")),
     ({"founded_source": "www.e.io/x"}, ("G6", "hard", "founded_source")),
     ({"url": "https://other.io"}, ("G6", "warning", "strengths")),
     ({"strengths": [{"point": "Inbox", "evidence": "text", "source": U2}]}, ("G7", "hard", "strengths")),
@@ -105,6 +106,19 @@ def test_cached_price_skips_vote_lines_only(spark, tmp_path):
     assert [g for g in gates(spark, tmp_path) if g[0] == "G2"] == [("G2", "hard", "gtm_evidence")]
 
 
+def test_probes_and_snapshots_newest_counts(spark):
+    claims = spark.createDataFrame([("v", "gtm_evidence", 0, u, "text here", "") for u in ("https://a.io/x", "https://b.io/x", "https://c.io/x")],
+                                   "vendor string, field string, idx int, source_url string, quote string, statement string")
+    probes = spark.createDataFrame([("https://a.io/x", 500, "https://a.io/x", "1"), ("https://a.io/x", 200, "https://a.io/x", "2"),
+                                    ("https://c.io/x", 200, "https://c.io/x", "1"), ("https://c.io/x", 404, "https://c.io/x", "2")],
+                                   "url string, http_status int, final_url string, probed_at string")
+    got = {r["source_url"]: (r["severity"], r["detail"]) for r in G.link_probes(claims, probes).collect()}
+    assert got == {"https://b.io/x": ("warning", "not probed"), "https://c.io/x": ("hard", "unreachable")}
+    snaps = spark.createDataFrame([("https://a.io/x", "", "1"), ("https://a.io/x", "<p>text <b>here</b>", "2"), ("https://c.io/x", "<p>text here", "1"),
+                                   ("https://c.io/x", "<p>gone", "2")], "url string, html string, taken_at string")
+    assert [r["source_url"] for r in G.quote_drift(claims, snaps).collect()] == ["https://c.io/x"]
+
+
 def test_silent_failure(spark, tmp_path):
     store(tmp_path, analysis(), failures=["https://e.io/b"], failed=["https://e.io/b", "https://e.io/c"])
     assert ("G4", "hard", "failures") in gates(spark, tmp_path)

@@ -2,6 +2,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from attesta.operators.captures import build_ledger
@@ -77,6 +78,18 @@ def test_cache_stream(spark, tmp_path):
     assert got == {k: v[2] for k, v in want.items() if v[4] >= newest - dt.timedelta(days=14)}
 
 
+def test_keyed_table_refuses_another_stream(spark, tmp_path):
+    data = [(i, "d", f"u{i}", 2, T0 + dt.timedelta(hours=i)) for i in range(8)]
+    log = spark.createDataFrame(data, "seq int, domain string, url string, engines int, cached_at timestamp")
+    table = J.KeyedTable(spark, str(tmp_path / "t"))
+    src = staged(spark, log, str(tmp_path / "in"))
+    run(J.stream_cache(src, table, str(tmp_path / "cp")))
+    assert len(table._versions()) <= 2 and table.read().first()["url"] == "u7"
+    run(J.stream_cache(src, table, str(tmp_path / "cp")))
+    with pytest.raises(ValueError):
+        J.stream_cache(src, table, str(tmp_path / "other"))
+
+
 def test_run_time_stream(spark, tmp_path):
     data = [(i, f"v{i % 2}", 40.0, T0 + dt.timedelta(minutes=5 * i + (300 if i >= 12 else 0))) for i in range(20)]
     log = spark.createDataFrame(data + [(99, "end", 1.0, T0 + dt.timedelta(days=30))], "seq int, vendor string, seconds double, ts timestamp")
