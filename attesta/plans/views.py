@@ -12,9 +12,20 @@ def as_of() -> Column:
     return F.lit(AS_OF).cast("timestamp")
 
 
+# tables of long texts and their keys
+TEXT_KEYS = {"pages": "page_id", "documents": "doc_id"}
+
+
 @lru_cache(maxsize=256)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A shared table as it lies.
+
+    A session that reads text tables of one split (a test, a bench on one machine) may name a number in
+    attesta.input.partitions to deal them out by key; unset, no table is shuffled before it is used.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    parts = spark.conf.get("attesta.input.partitions", None)
+    return df.repartition(int(parts), TEXT_KEYS[name]) if parts and name in TEXT_KEYS else df
 
 
 def pick(n: Column, values: list) -> Column:
