@@ -17,12 +17,12 @@ LEDGER = (f"fetched map<string,struct<status:string,kind:string,kinds:array<stri
           "verified_by:array<string>,from_cache:boolean,scraped_at:string>>")
 
 
-def read_captures(spark: SparkSession, path: str) -> DataFrame:
-    """url, engine, text from `*.engines.json` files ({url: {engine: text}}).
+def read_captures(spark: SparkSession, path: str, names: str = "*.engines.json") -> DataFrame:
+    """url, engine, text from files ({url: {engine: text}}) whose names match.
 
     A broken file is skipped; the file later in name order wins per (url, engine).
     """
-    files = (spark.read.option("wholetext", True).option("pathGlobFilter", "*.engines.json").text(path)
+    files = (spark.read.option("wholetext", True).option("pathGlobFilter", names).text(path)
              .select(F.input_file_name().alias("file"), F.from_json("value", "map<string,map<string,string>>").alias("pages")))
     rows = (files.where(F.col("pages").isNotNull()).select("file", F.explode("pages").alias("url", "texts"))
             .where(F.col("texts").isNotNull()).select("file", "url", F.explode("texts").alias("engine", "text")))
