@@ -49,6 +49,10 @@ def template_grams(phrases: dict[str, str] = PHRASES, notices: dict[str, str] =
     return out
 
 
+def _values(grams: list[tuple]) -> str:
+    return ", ".join(f"({t}, '{label}', {str(exact).lower()}, {n}, {m}, {i}, '{g}')" for t, label, exact, n, m, i, g in grams)
+
+
 def words_of(text: Column) -> Column:
     """Lower-cased words; null: none."""
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
@@ -72,9 +76,7 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: d
     Null id: told apart by its text.  Empty table: no rows.  Other columns are not read.
     """
     spark = docs.sparkSession
-    rows = ", ".join(f"({t}, '{label}', {str(exact).lower()}, {n}, {m}, {i}, '{g}')"
-                     for t, label, exact, n, m, i, g in template_grams(phrases, notices))
-    grams = spark.sql(f"SELECT *, xxhash64(tgram) AS thash FROM VALUES {rows} AS v(template, label, exact, n_words, n_grams, tpos, tgram)")
+    grams = spark.sql(f"SELECT *, xxhash64(tgram) AS thash FROM VALUES {_values(template_grams(phrases, notices))} AS v(template, label, exact, n_words, n_grams, tpos, tgram)")
     words = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), words_of(F.col(text_col)).alias("w"))
     pairs = F.zip_with("w", F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
     rolled = words.where(F.size("w") > 1).select("id", "mark", F.posexplode(pairs).alias("pos", "gram"))
@@ -114,3 +116,24 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
                       F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"),
                       F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+# The same scan for a second engine: rows are told apart by their number.
+OP1_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+k AS (SELECT * FROM (VALUES {_values(template_grams())}) v(template, label, exact, n_words, n_grams, tpos, tgram)),
+g AS (SELECT rid, p AS pos, w[p + 1] || ' ' || w[p + 2] AS gram FROM (SELECT rid, w, unnest(range(len(w) - 1)) AS p FROM d WHERE len(w) > 1)),
+v AS (SELECT rid, k.*, pos, pos - tpos AS diagonal FROM g JOIN k ON gram = tgram),
+s AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal, pos, tpos) > CASE WHEN exact THEN 0 ELSE 4 END THEN 1 ELSE 0 END AS far FROM v),
+l AS (SELECT *, sum(far) OVER (PARTITION BY rid, template ORDER BY diagonal, pos, tpos) AS lane FROM s),
+t AS (SELECT rid, template, label, exact, n_words, n_grams, count(DISTINCT tpos) / n_grams AS share, min(pos) AS first_pos, max(pos) + 2 AS past
+      FROM l GROUP BY rid, template, lane, label, exact, n_words, n_grams),
+f AS (SELECT * FROM t WHERE (past - first_pos) * 2 <= n_words * 3 AND share >= CASE WHEN exact OR n_grams < 8 THEN 1.0 ELSE 0.6 END)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce((SELECT count(*) FROM f WHERE f.rid = d.rid AND exact), 0) AS n_base,
+  (SELECT min(first_pos) FROM f WHERE f.rid = d.rid AND exact)::BIGINT AS first_word, (SELECT max(first_pos) FROM f WHERE f.rid = d.rid AND exact)::BIGINT AS last_word,
+  coalesce((SELECT string_agg(DISTINCT label, ',' ORDER BY label) FROM f WHERE f.rid = d.rid AND exact), '') AS base_labels,
+  coalesce((SELECT string_agg(DISTINCT label, ',' ORDER BY label) FROM f WHERE f.rid = d.rid), '') AS labels,
+  coalesce((SELECT max(share) FROM t WHERE t.rid = d.rid), 0.0)::DOUBLE AS score
+FROM d
+"""

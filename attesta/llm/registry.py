@@ -4,7 +4,7 @@ from __future__ import annotations
 from attesta.llm.chat import OP4_SQL, op4_chat
 from attesta.llm.decontamination import op10_decontamination
 from attesta.llm.html_extraction import op7_html
-from attesta.llm.licenses import op1_licenses
+from attesta.llm.licenses import OP1_SQL, op1_licenses
 from attesta.llm.mixing import op8_mixing
 from attesta.llm.passages import op9_passages
 from attesta.llm.quality import op2_quality
@@ -14,4 +14,4 @@ from attesta.llm.simhash import op3_simhash
 
 QUERIES = {"op1_licenses": op1_licenses, "op2_quality": op2_quality, "op3_simhash": op3_simhash, "op4_chat": op4_chat, "op5_secrets": op5_secrets,
            "op6_sharding": op6_sharding, "op7_html": op7_html, "op8_mixing": op8_mixing, "op9_passages": op9_passages, "op10_decontamination": op10_decontamination}
-ORACLE = {"op4_chat": OP4_SQL}
+ORACLE = {"op1_licenses": OP1_SQL, "op4_chat": OP4_SQL}
