@@ -361,3 +361,8 @@ SEVERITY_RANK = {"high": 3, "medium": 2, "low": 1}
 OPEN_TEXT = "open"
 # how a vendor without published plans is shown
 UNPUBLISHED = "未公开"
+
+# what a lesson about prices says: evidence of a confirmed absence, and hints for the next run
+NOT_PUBLISHED_EVIDENCE = ["官方定价页全引擎 0 价格 token", "替代路径已探测(help center/app市场/集团官网)"]
+NOT_PUBLISHED_HINT = "下次运行直接采信「询价制」结论,跳过定价补爬,把预算让给功能/口碑深挖"
+PARTIAL_PRICE_HINT = "定价深挖抓手:月/年 toggle、JS 套餐卡片、help center 定价页、第三方比价页"

@@ -38,7 +38,9 @@ def price_depth(vendors: DataFrame, tokens: DataFrame, ledger: DataFrame, tiers:
     probe or enough pages in the run that captured it means the vendor does not publish, else the
     capture failed.
     """
-    eng = tokens.groupBy("vendor").agg(F.count_if(F.col("tokens") > 0).alias("engines"))
+    shown = F.col("tokens") > 0
+    eng = tokens.groupBy("vendor").agg(F.count_if(shown).alias("engines"), F.array_join(
+        F.array_sort(F.collect_set(F.when(shown, F.col("engine")))), "/").alias("engine_names"))
     own = ledger.groupBy("site").agg(F.first("run").alias("run"), F.bool_or(
         F.array_contains("kinds", "pricing") & U.is_price_page(F.col("url"), K.AUDIT_PRICE_PAGE_SEGMENTS)).alias("genuine"),
         F.count_if(F.arrays_overlap("kinds", F.array(F.lit("pricing"), F.lit("docs"), F.lit("about")))).alias("own_probes"))
@@ -66,7 +68,7 @@ def price_depth(vendors: DataFrame, tokens: DataFrame, ledger: DataFrame, tiers:
         F.when((n == 1) & ((F.col("priced") > 0) | (F.col("tiers") == 0)), F.lit("single engine")),
         F.when((n > 0) & (F.col("priced") > 0) & (F.col("verified") == False), F.lit("priced but not verified"))))  # noqa: E712
     return j.select("vendor", status.alias("status"), "engines", "monthly", "annual", "free", "custom", "priced",
-                    F.array_join(told, "; ").alias("findings"))
+                    F.array_join(told, "; ").alias("findings"), "engine_names")
 
 
 def field_completeness(vendors: DataFrame) -> DataFrame:
@@ -179,15 +181,28 @@ def next_actions(table: DataFrame) -> DataFrame:
     return table.where(F.col("status").isin("gap", "partial")).select("vendor", "dimension", todo[F.col("dimension")].alias("action"))
 
 
-def lessons(depth: DataFrame, vendors: DataFrame) -> DataFrame:
-    """What the audit teaches about a domain: prices not published, or seen only in part."""
-    j = depth.join(vendors.select("vendor", "site"), "vendor")
-    issue = (F.when(F.col("status") == "not-published", F.lit("pricing_not_published"))
-             .when(F.col("status").isin("partial", "gap"), F.lit("pricing_single_period_or_engine")))
-    detail = F.when(F.col("status") == "not-published", F.lit("confirmed_not_published")).otherwise(
-        F.concat(F.lit("engines="), F.col("engines")))
-    return j.withColumn("issue", issue).where(F.col("issue").isNotNull()).select(
-        F.col("site").alias("domain"), "vendor", "issue", detail.alias("resolution"))
+def lessons(depth: DataFrame, vendors: DataFrame, ledger: DataFrame) -> DataFrame:
+    """What the audit teaches about a domain: prices not published, or seen only in part.
+
+    depth is price_depth's result, vendors(vendor, site), ledger(site, url, kinds).  Each lesson has its
+    resolution, evidence, other sources (the price pages captured for the site) and a hint.
+    """
+    pages = (ledger.where(F.array_contains("kinds", "pricing")).groupBy("site")
+             .agg(F.array_sort(F.collect_set("url")).alias("sources")))
+    j = depth.join(vendors.select("vendor", "site"), "vendor").join(pages, "site", "left")
+    absent = F.col("status") == "not-published"
+    none = F.array().cast("array<string>")
+    seen = F.concat(F.lit("月付:"), F.initcap(F.col("monthly").cast("string")), F.lit(" 年付:"), F.initcap(F.col("annual").cast("string")),
+                    F.lit("  priced_tiers:"), F.col("priced"))
+    bare = F.replace(U.host_of(F.col("site")), F.lit("www."), F.lit(""))
+    return j.where(F.col("status").isin("not-published", "partial", "gap")).select(
+        F.coalesce(F.nullif(bare, F.lit("")), F.col("vendor")).alias("domain"), "vendor",
+        F.when(absent, F.lit("pricing_not_published")).otherwise(F.lit("pricing_single_period_or_engine")).alias("issue"),
+        F.when(absent, F.lit("confirmed_not_published")).otherwise(
+            F.concat(F.lit("engines="), F.coalesce(F.nullif("engine_names", F.lit("")), F.lit("none")))).alias("resolution"),
+        F.when(absent, F.array(*[F.lit(x) for x in K.NOT_PUBLISHED_EVIDENCE])).otherwise(F.array(seen)).alias("evidence"),
+        F.when(absent, F.coalesce("sources", none)).otherwise(none).alias("alt_sources"),
+        F.when(absent, F.lit(K.NOT_PUBLISHED_HINT)).otherwise(F.lit(K.PARTIAL_PRICE_HINT)).alias("hint"))
 
 
 def page_digest(captures: DataFrame, ledger: DataFrame, quotes: DataFrame, votes: DataFrame) -> DataFrame:

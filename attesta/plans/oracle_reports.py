@@ -276,9 +276,14 @@ O["next_actions"] = query(["led", "ptext", "tier", "ptier", *_FN, *_QN], """
 SELECT vendor, dimension, CASE dimension WHEN 'page_coverage' THEN 'capture the missing page kinds' WHEN 'price_depth' THEN 'capture the price page again'
   WHEN 'field_completeness' THEN 'complete the fields from the captures' WHEN 'price_votes' THEN 'capture with another engine' ELSE 'correct the quote or its anchor' END AS action
 FROM au WHERE status IN ('gap', 'partial')""", _AUD)
-O["audit_lessons"] = query(["ptext", "tier"], """
-SELECT site AS domain, vendor, CASE WHEN status = 'not-published' THEN 'pricing_not_published' ELSE 'pricing_single_period_or_engine' END AS issue,
-  CASE WHEN status = 'not-published' THEN 'confirmed_not_published' ELSE 'engines=' || engines END AS resolution FROM dep WHERE status <> 'ok'""", _DEPTH)
+O["audit_lessons"] = query(["ptext", "tier"], f"""
+SELECT replace({host('site')}, 'www.', '') AS domain, vendor, CASE WHEN status = 'not-published' THEN 'pricing_not_published' ELSE 'pricing_single_period_or_engine' END AS issue,
+  CASE WHEN status = 'not-published' THEN 'confirmed_not_published' ELSE 'engines=' || coalesce((SELECT string_agg(engine, '/' ORDER BY engine) FROM tk WHERE tk.vendor = dep.vendor AND tokens > 0), 'none') END AS resolution,
+  CASE WHEN status = 'not-published' THEN '官方定价页全引擎 0 价格 token | 替代路径已探测(help center/app市场/集团官网)'
+    ELSE '月付:' || CASE WHEN monthly THEN 'True' ELSE 'False' END || ' 年付:' || CASE WHEN annual THEN 'True' ELSE 'False' END || '  priced_tiers:' || priced END AS evidence,
+  CASE WHEN status = 'not-published' THEN coalesce((SELECT string_agg(DISTINCT pl.url, ' ' ORDER BY pl.url) FROM pl WHERE pl.site = dep.site AND kind = 'pricing'), '') ELSE '' END AS alt_sources,
+  CASE WHEN status = 'not-published' THEN '下次运行直接采信「询价制」结论,跳过定价补爬,把预算让给功能/口碑深挖' ELSE '定价深挖抓手:月/年 toggle、JS 套餐卡片、help center 定价页、第三方比价页' END AS hint
+FROM dep WHERE status <> 'ok'""", _DEPTH)
 O["page_digest"] = query(["cap", "led"], f"""
 SELECT l.url, array_to_string(l.kinds, '/') AS kinds, CASE WHEN {last_seg('l.url')} = 'pricing' THEN 'price statements only' WHEN {last_seg('l.url')} = '' THEN 'root' ELSE 'ok' END AS anchor,
   b.engine, CAST(b.lines AS INT) AS lines, (SELECT count(DISTINCT s) FROM sq WHERE sq.url = l.url AND rn <= 3) AS quotes, (SELECT count(*) FROM pv WHERE pv.url = l.url) AS agreed_prices
@@ -406,7 +411,9 @@ O["report_check"] = query(["pg", "cited", "cat"], """
 SELECT count(*) >= 3 AS three_vendors, bool_and(page_id % 9 <> 0) AS price_flag_present, bool_and(page_id % 2 = 1) AS conclusions_present, true AS conclusions_sourced,
   (SELECT count(*) FROM reg) > 0 AS has_sources, (SELECT count(*) = count(DISTINCT url) FROM reg) AS one_row_per_url, (SELECT count(*) FROM marks) > 0 AS matrix_filled FROM pg""", {"reg": _REG, **_M})
 O["lesson_table"] = """SELECT 'd' || user_id % 50 || '.test' AS domain, event_type AS issue, count(*) AS runs_seen,
-  arg_max('h' || CAST(floor(value) AS BIGINT), event_id) FILTER (event_id % 3 <> 0) AS hint, rtrim(rtrim(strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f'), '0'), '.') AS last_seen FROM events GROUP BY 1, 2"""
+  arg_max('h' || CAST(floor(value) AS BIGINT), event_id) FILTER (event_id % 3 <> 0) AS hint,
+  arg_max('r' || event_id % 100, event_id) FILTER (event_id % 4 <> 0) AS resolution, arg_max('e' || event_id % 100, event_id) FILTER (event_id % 5 <> 0) AS evidence,
+  arg_max('https://s.test/' || event_id, event_id) FILTER (event_id % 7 = 0) AS alt_sources, rtrim(rtrim(strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f'), '0'), '.') AS last_seen FROM events GROUP BY 1, 2"""
 O["daily_stats"] = query(["flog"], """SELECT strftime(ts::DATE, '%Y-%m-%d') || ' 00:00:00' AS day, engine, url_type, count(*) AS n, count(*) FILTER (success) AS ok, sum(quality)::DOUBLE AS q_sum
 FROM flog GROUP BY 1, 2, 3""")
 ORACLE = O

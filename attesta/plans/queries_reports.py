@@ -172,14 +172,21 @@ def _page_tokens(s, d) -> DataFrame:
             .groupBy("vendor", "engine").agg(F.sum("n").alias("tokens")))
 
 
-def price_depth(s, d) -> DataFrame:
+def _run_ledger(s, d) -> DataFrame:
     pid = F.col("page_id")
-    led = W.table(s, d, "pages").select("page_id", F.expr("page_id div 4").alias("run"), F.col("url").alias("site"),
+    return W.table(s, d, "pages").select("page_id", F.expr("page_id div 4").alias("run"), F.col("url").alias("site"),
                                         F.when(pid % 10 == 0, F.concat(F.lit("https://"), W.host(F.col("url")), F.lit("/pricing"))).otherwise(F.col("url")).alias("url"),
                                         F.array(W.pick(pid, ["pricing", "docs", "pricing", "homepage", "blog"])).alias("kinds"))
+
+
+def _depth(s, d) -> DataFrame:
     v = F.expr("ord div 8")
     tiers = W.tiers(s, d).withColumn("vendor", F.when(v % 7 == 3, F.lit("unassigned")).otherwise(F.concat(F.lit("V"), v)))
-    return A.price_depth(_page_vendors(s, d), _page_tokens(s, d), led, tiers)
+    return A.price_depth(_page_vendors(s, d), _page_tokens(s, d), _run_ledger(s, d), tiers)
+
+
+def price_depth(s, d) -> DataFrame:
+    return _depth(s, d).drop("engine_names")
 
 
 def field_completeness(s, d) -> DataFrame:
@@ -237,7 +244,9 @@ def next_actions(s, d) -> DataFrame:
 
 
 def audit_lessons(s, d) -> DataFrame:
-    return A.lessons(price_depth(s, d), _page_vendors(s, d))
+    found = A.lessons(_depth(s, d), _page_vendors(s, d), _run_ledger(s, d))
+    return found.select("domain", "vendor", "issue", "resolution", F.array_join("evidence", " | ").alias("evidence"),
+                        F.array_join("alt_sources", " ").alias("alt_sources"), "hint")
 
 
 def page_digest(s, d) -> DataFrame:
@@ -425,9 +434,10 @@ def report_check(s, d) -> DataFrame:
 
 
 def lesson_table(s, d) -> DataFrame:
-    """Lessons after all sightings: runs seen, last sight, latest non-empty hint."""
+    """Lessons after all sightings: runs seen, last sight, latest hint, resolution, evidence and sources that were not empty."""
     from attesta.streaming.jobs import merge_lessons
-    return merge_lessons(W.lesson_log(s, d)).select("domain", "issue", "runs_seen", "hint", F.col("last_seen").cast("string").alias("last_seen"))
+    return merge_lessons(W.lesson_log(s, d)).select("domain", "issue", "runs_seen", "hint", "resolution", F.array_join("evidence", " | ").alias("evidence"),
+                                               F.array_join("alt_sources", " ").alias("alt_sources"), F.col("last_seen").cast("string").alias("last_seen"))
 
 
 def daily_stats(s, d) -> DataFrame:

@@ -334,9 +334,12 @@ def target_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lesson_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """domain, issue, hint, seen_at, seq: problems seen while capturing."""
+    """domain, issue, hint, resolution, evidence, alt_sources, seen_at, seq: problems seen while capturing."""
     return table(spark, sf_dir, "events").select(
         F.concat(F.lit("d"), F.col("user_id") % 50, F.lit(".test")).alias("domain"),
         F.col("event_type").alias("issue"),
         F.when(F.col("event_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("h"), F.floor("value"))).alias("hint"),
+        F.when(F.col("event_id") % 4 == 0, F.lit("")).otherwise(F.concat(F.lit("r"), F.col("event_id") % 100)).alias("resolution"),
+        F.filter(F.array(F.when(F.col("event_id") % 5 != 0, F.concat(F.lit("e"), F.col("event_id") % 100))), lambda x: x.isNotNull()).alias("evidence"),
+        F.filter(F.array(F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("https://s.test/"), F.col("event_id")))), lambda x: x.isNotNull()).alias("alt_sources"),
         F.col("ts").cast("timestamp").alias("seen_at"), F.col("event_id").alias("seq"))

@@ -97,18 +97,28 @@ def upsert_stream(rows: DataFrame, table: KeyedTable, summarise, merge, checkpoi
 
 
 # ------------------------------------------------------------------ lessons
+TOLD = ("hint", "resolution", "evidence", "alt_sources")
+
+
 def merge_lessons(log: DataFrame) -> DataFrame:
-    """One row per (domain, issue): sightings, first and last sight, latest non-empty hint."""
-    told = F.when(F.col("hint") != "", F.struct("seen_at", "seq"))
+    """One row per (domain, issue): sightings, first and last sight, and the latest of what was told.
+
+    hint and resolution are texts, evidence and alt_sources lists; each is taken from the last sighting
+    that tells it.  Columns the log lacks are left out.
+    """
+    latest = []
+    for name in (n for n in TOLD if n in log.columns):
+        empty = F.lit("") if log.schema[name].dataType.typeName() == "string" else F.array().cast("array<string>")
+        at = F.when(F.coalesce(F.col(name) != empty, F.lit(False)), F.struct("seen_at", "seq"))
+        latest += [F.max_by(name, at).alias(name), F.max(at).alias(f"{name}_at")]
     return log.groupBy("domain", "issue").agg(
-        F.count("*").alias("runs_seen"), F.min("seen_at").alias("learned_at"), F.max("seen_at").alias("last_seen"),
-        F.max_by("hint", told).alias("hint"), F.max(told).alias("hint_at"))
+        F.count("*").alias("runs_seen"), F.min("seen_at").alias("learned_at"), F.max("seen_at").alias("last_seen"), *latest)
 
 
 def combine_lessons(old: DataFrame, new: DataFrame) -> DataFrame:
+    latest = [c for n in TOLD if n in old.columns for c in (F.max_by(n, f"{n}_at").alias(n), F.max(f"{n}_at").alias(f"{n}_at"))]
     return old.unionByName(new).groupBy("domain", "issue").agg(
-        F.sum("runs_seen").alias("runs_seen"), F.min("learned_at").alias("learned_at"), F.max("last_seen").alias("last_seen"),
-        F.max_by("hint", "hint_at").alias("hint"), F.max("hint_at").alias("hint_at"))
+        F.sum("runs_seen").alias("runs_seen"), F.min("learned_at").alias("learned_at"), F.max("last_seen").alias("last_seen"), *latest)
 
 
 def stream_lessons(log: DataFrame, table: KeyedTable, checkpoint: str) -> StreamingQuery:
