@@ -1,11 +1,12 @@
 """Features: canonical names, who holds what, exclusives, gaps and capability tables."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from attesta import constants as K
 from attesta.functions import text as T
-from attesta.operators.components import connected
+from attesta.operators.components import connected, settle
+from attesta.operators.spread import dense_index
 
 CJK = r"[一-鿿]"
 
@@ -281,38 +282,69 @@ def holders(keys: DataFrame, words: DataFrame) -> DataFrame:
     return keys.select("key", F.array_sort("toks").alias("toks")).join(ok, "toks").select("key", "vendor")
 
 
-def feature_conclusions(catalog: DataFrame, vendors: DataFrame, share: float = 0.6) -> DataFrame:
-    """Per vendor: how many common features it holds, first exclusives, first missing, verdict."""
+def common_features(catalog: DataFrame, vendors: DataFrame, share: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(info, ranked, held): features with their holders, common ones numbered from 1, and who holds which number."""
     keys = feature_keys(catalog)
-    h = holders(keys, vendor_words(catalog))
+    h = settle(holders(keys, vendor_words(catalog)))
     n = vendors.agg(F.count_distinct("vendor").alias("n")).scalar()
     counts = h.groupBy("key").agg(F.count("*").alias("holders"), F.min("vendor").alias("only"))
     info = keys.select("key", "feature", "ord").join(counts, "key")
     floor_ = F.greatest(F.lit(2), F.bround(n * F.lit(share).cast("decimal(3,2)")))
-    common = info.where(F.col("holders") >= floor_).select("key", F.struct(
-        (-F.col("holders")).alias("rank"), F.col("ord"), F.col("feature")).alias("c"))
-    every = common.agg(F.array_sort(F.collect_list("c")).alias("a")).scalar()
-    mine = h.join(common, "key").groupBy("vendor").agg(F.collect_set("c").alias("mine"))
-    sole = info.where(F.col("holders") == 1).groupBy(F.col("only").alias("vendor")).agg(
-        F.count("*").alias("exclusives"), F.min(F.struct("ord", "feature")).getField("feature").alias("first_exclusive"))
-    none = F.array().cast(common.schema["c"].dataType.simpleString().join(["array<", ">"]))
-    j = (vendors.select("vendor").distinct().join(mine, "vendor", "left").join(sole, "vendor", "left")
-         .withColumn("every", F.coalesce(every, none)).withColumn("mine", F.coalesce("mine", none)))
-    held, total = F.size("mine"), F.size("every")
+    common = info.where(F.col("holders") >= floor_).select("key", "feature", F.struct(-F.col("holders"), F.col("ord"), F.col("feature")).alias("c"))
+    ranked = settle(dense_index(common, ["c"], "r").drop("c"))
+    return info, ranked, h.join(ranked, "key").select("vendor", "r").distinct()
+
+
+def missing_features(vendors: DataFrame, ranked: DataFrame, held: DataFrame) -> DataFrame:
+    """(vendor, nth, feature): every common feature a vendor does not hold, in the order of their numbers.
+
+    The numbers between two held ones are missing, and so are those after the last: no vendor is paired
+    with a feature it holds.
+    """
+    total = ranked.agg(F.count("*").alias("n")).scalar()
+    none = vendors.select("vendor").distinct().withColumn("r", F.lit(0).cast("bigint"))
+    along = Window.partitionBy("vendor").orderBy("r")
+    seen = held.unionByName(none).select("vendor", "r", F.coalesce(F.lead("r").over(along), total + 1).alias("next"), F.row_number().over(along).alias("i"))
+    gaps = seen.where("next > r + 1").select("vendor", "i", F.explode(F.sequence(F.col("r") + 1, F.col("next") - 1)).alias("r"))
+    return gaps.join(ranked, "r").select("vendor", (F.col("r") - F.col("i") + 1).cast("int").alias("nth"), "feature")
+
+
+def sole_features(info: DataFrame) -> DataFrame:
+    """(vendor, nth, feature): features only one vendor's words cover, in input order."""
+    sole = info.where(F.col("holders") == 1).select(F.col("only").alias("vendor"), "ord", "feature")
+    return sole.select("vendor", F.row_number().over(Window.partitionBy("vendor").orderBy("ord", "feature")).alias("nth"), "feature")
+
+
+def feature_points(catalog: DataFrame, vendors: DataFrame, share: float = 0.6) -> DataFrame:
+    """(vendor, kind, nth, feature): all exclusive and all missing common features of every vendor, ranked."""
+    info, ranked, held = common_features(catalog, vendors, share)
+    return (sole_features(info).select("vendor", F.lit("exclusive").alias("kind"), "nth", "feature")
+            .unionByName(missing_features(vendors, ranked, held).select("vendor", F.lit("missing").alias("kind"), "nth", "feature")))
+
+
+def feature_conclusions(catalog: DataFrame, vendors: DataFrame, share: float = 0.6, shown: int = 3) -> DataFrame:
+    """Per vendor: how many common features it holds, exclusives, first missing ones, verdict; feature_points has all."""
+    info, ranked, held_by = common_features(catalog, vendors, share)
+    mine = held_by.groupBy("vendor").agg(F.count("*").alias("held"))
+    sole = sole_features(info).groupBy("vendor").agg(F.count("*").alias("exclusives"), F.min_by("feature", "nth").alias("first_exclusive"))
+    first = (missing_features(vendors, ranked, held_by).where(F.col("nth") <= shown).groupBy("vendor")
+             .agg(F.sort_array(F.collect_list(F.struct("nth", "feature"))).alias("first")))
+    j = (vendors.select("vendor").distinct().join(mine, "vendor", "left").join(sole, "vendor", "left").join(first, "vendor", "left")
+         .withColumn("total", ranked.agg(F.count("*").alias("n")).scalar()))
+    held, total = F.coalesce("held", F.lit(0)).cast("int"), F.col("total").cast("int")
     ratio = F.when(total > 0, held / total).otherwise(F.lit(0.0))
     some = F.coalesce("exclusives", F.lit(0)) > 0
     verdict = (F.when(total == 0, F.lit("功能信息不足")).when((ratio >= 0.99) & some, F.lit("覆盖最全 · 有独家能力"))
                .when(ratio >= 0.99, F.lit("覆盖最全")).when((ratio >= 0.6) & some, F.lit("覆盖均衡 · 有独家能力"))
                .when(ratio >= 0.6, F.lit("覆盖均衡")).otherwise(F.lit("公开功能信息有限")))
-    missing = F.slice(F.array_sort(F.array_except("every", "mine")), 1, 3)
     return j.select("vendor", held.alias("held"), total.alias("total"),
                     F.bround(F.lit(100).cast("decimal(18,6)") * held / F.greatest(total, F.lit(1))).cast("int").alias("ratio"),
                     F.coalesce("exclusives", F.lit(0)).alias("exclusives"), F.coalesce("first_exclusive", F.lit("")).alias("first_exclusive"),
-                    F.array_join(F.transform(missing, lambda x: x["feature"]), ", ").alias("missing"), verdict.alias("verdict"))
+                    F.coalesce(F.array_join(F.transform("first", lambda x: x["feature"]), ", "), F.lit("")).alias("missing"), verdict.alias("verdict"))
 
 
-def unmentioned_features(catalog: DataFrame, vendors: DataFrame, share: float = 0.6, per_vendor: int = 3) -> DataFrame:
-    """Up to three common features that appear nowhere in the entries of the given vendors.
+def unmentioned_features(catalog: DataFrame, vendors: DataFrame, share: float = 0.6, per_vendor: int | None = None) -> DataFrame:
+    """Common features, ranked, that appear nowhere in the entries of the given vendors.
 
     "Not mentioned" is what it says: the rows carry how many other vendors mention the feature and
     never claim that the vendor lacks it.
@@ -337,7 +369,7 @@ def unmentioned_features(catalog: DataFrame, vendors: DataFrame, share: float =
     none = F.array().cast(kind)
     others = lambda c: -c["rank"] - F.when(F.array_contains(F.coalesce("held", none), c), F.lit(1)).otherwise(F.lit(0))
     left = F.filter(F.array_sort(F.array_except("every", F.coalesce("said", none))), lambda c: others(c) >= F.col("floor"))
-    return j.select("vendor", F.posexplode(F.slice(left, 1, per_vendor)).alias("nth", "c"), "held").select(
+    return j.select("vendor", F.posexplode(left if per_vendor is None else F.slice(left, 1, per_vendor)).alias("nth", "c"), "held").select(
         "vendor", (F.col("nth") + 1).alias("nth"), F.col("c.feature").alias("feature"), others(F.col("c")).cast("bigint").alias("others"))
 
 

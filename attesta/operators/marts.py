@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from attesta import constants as K
 from attesta.functions import prices as P, text as T, urls as U
-from attesta.operators.spread import dense_index, first_per_key, stable_rank
+from attesta.operators.spread import dense_index, stable_rank
 
 
 # ------------------------------------------------------------------ scores
@@ -43,12 +43,12 @@ def target_overlap(targets: DataFrame) -> DataFrame:
     return targets.groupBy("target").agg(F.count_distinct("vendor").alias("vendors")).where(F.col("vendors") >= 2)
 
 
-def signal_clusters(signals: DataFrame, k: int = 15) -> DataFrame:
-    """The k technology signals most vendors show; blank names do not count."""
+def signal_clusters(signals: DataFrame, k: int | None = None) -> DataFrame:
+    """Technology signals with the number of vendors that show them, the k most shown when given; blank names do not count."""
     name = F.trim("signal")
-    return (signals.where(F.coalesce(name, F.lit("")) != "").groupBy(name.alias("signal"))
-            .agg(F.count_distinct("vendor").alias("adopters"), F.min("ord").alias("ord"))
-            .orderBy(F.col("adopters").desc(), "ord").limit(k))
+    shown = (signals.where(F.coalesce(name, F.lit("")) != "").groupBy(name.alias("signal"))
+             .agg(F.count_distinct("vendor").alias("adopters"), F.min("ord").alias("ord")))
+    return shown if k is None else shown.orderBy(F.col("adopters").desc(), "ord").limit(k)
 
 
 # ------------------------------------------------------------------ source register
@@ -129,9 +129,10 @@ def release_density(vendors: DataFrame) -> DataFrame:
     return vendors.select(F.col("name").alias("vendor"), F.coalesce(F.size("product_momentum"), F.lit(0)).alias("releases"))
 
 
-def release_timeline(releases: DataFrame, per_vendor: int = 6, k: int = 18) -> DataFrame:
-    """First releases of each vendor, then the first k overall; releases(vendor, vendor_ord, ord, title)."""
-    return first_per_key(releases, ["vendor"], ["ord"], per_vendor).orderBy("vendor_ord", "ord").limit(k)
+def release_timeline(releases: DataFrame, per_vendor: int | None = None) -> DataFrame:
+    """Releases of each vendor, numbered; the first per_vendor of each when given.  releases(vendor, vendor_ord, ord, title)."""
+    nth = releases.withColumn("nth", F.row_number().over(Window.partitionBy("vendor").orderBy("ord")))
+    return nth if per_vendor is None else nth.where(F.col("nth") <= per_vendor)
 
 
 def positioning(vendors: DataFrame) -> DataFrame:
@@ -281,9 +282,11 @@ def accept_hits(hits: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ lessons and other groupings
-def lesson_hints(lessons: DataFrame, k: int = 3) -> DataFrame:
-    """Up to k non-empty hints per domain, oldest lesson first."""
-    return first_per_key(lessons.where(F.coalesce("hint", F.lit("")) != ""), ["domain"], ["ord"], k, out="nth").select("domain", "nth", "hint")
+def lesson_hints(lessons: DataFrame, k: int | None = None) -> DataFrame:
+    """Non-empty hints per domain, numbered from the oldest lesson; the first k when given."""
+    told = lessons.where(F.coalesce("hint", F.lit("")) != "")
+    nth = told.withColumn("nth", F.row_number().over(Window.partitionBy("domain").orderBy("ord")))
+    return (nth if k is None else nth.where(F.col("nth") <= k)).select("domain", "nth", "hint")
 
 
 def keyword_pages(pages: DataFrame, domains: DataFrame, min_chars: int = 300) -> DataFrame:

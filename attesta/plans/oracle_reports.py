@@ -96,12 +96,17 @@ FROM (SELECT v.vendor, (SELECT count(*) FROM hd JOIN cm USING (key) WHERE hd.ven
     coalesce((SELECT arg_min(feature, ks.ord) FROM hc JOIN ks USING (key) WHERE holders = 1 AND sole = v.vendor), '') AS first_exclusive,
     coalesce((SELECT array_to_string(list(feature ORDER BY holders DESC, ord)[1:3], ', ') FROM cm WHERE NOT EXISTS (SELECT 1 FROM hd WHERE hd.key = cm.key AND hd.vendor = v.vendor)), '') AS missing
   FROM (SELECT DISTINCT vendor FROM cat) v)""", _H)
+O["feature_points"] = query(["cat"], """
+SELECT vendor, kind, CAST(row_number() OVER (PARTITION BY vendor, kind ORDER BY h DESC, ord) AS INT) AS nth, feature FROM (
+  SELECT sole AS vendor, 'exclusive' AS kind, 1 AS h, ks.ord, feature FROM hc JOIN ks USING (key) WHERE holders = 1
+  UNION ALL SELECT v.vendor, 'missing', holders, cm.ord, feature FROM (SELECT DISTINCT vendor FROM cat) v, cm
+  WHERE NOT EXISTS (SELECT 1 FROM hd WHERE hd.key = cm.key AND hd.vendor = v.vendor))""", _H)
 _H2 = _holder_cte("pcat", "name")
 O["unmentioned_features"] = query(["pcat"], """
 SELECT vendor, CAST(nth AS INT) AS nth, feature, others FROM (SELECT *, row_number() OVER (PARTITION BY vendor ORDER BY holders DESC, ord) AS nth FROM (
   SELECT v.vendor, cm.feature, cm.ord, holders, holders - (SELECT count(*) FROM hd WHERE hd.key = cm.key AND hd.vendor = v.vendor) AS others
   FROM (SELECT DISTINCT vendor FROM pcat) v, cm
-  WHERE NOT EXISTS (SELECT 1 FROM pcat p WHERE p.vendor = v.vendor AND contains(lower(p.name), cm.key))) WHERE others >= (SELECT least FROM nv)) WHERE nth <= 3""", _H2)
+  WHERE NOT EXISTS (SELECT 1 FROM pcat p WHERE p.vendor = v.vendor AND contains(lower(p.name), cm.key))) WHERE others >= (SELECT least FROM nv))""", _H2)
 
 # ------------------------------------------------------------------ capabilities
 _CAPROWS = [(cid, cat, a, i) for cid, cn, en, cat, al in K.DEFAULT_CAPABILITIES for i, a in enumerate(dict.fromkeys(x.strip().lower() for x in [*al, en, cn]))]
@@ -312,7 +317,7 @@ FROM (UNPIVOT sc ON """ + ", ".join(K.SCORE_DIMENSIONS) + " INTO NAME dimension
 O["score_summary"] = query([], "SELECT arg_min(vendor, rank) AS leader, arg_max(vendor, rank) AS last, count(*) AS vendors, round_even(avg(avg), 1) AS mean, count(*) FILTER (uncalibrated) AS uncalibrated FROM rk", _RK)
 O["target_overlap"] = """SELECT target, count(DISTINCT vendor) AS vendors FROM (SELECT n_name AS vendor, c_mktsegment || ' ' || CAST(floor(c_acctbal / 1000) AS BIGINT) AS target
   FROM customer JOIN nation ON c_nationkey = n_nationkey) GROUP BY target HAVING count(DISTINCT vendor) >= 2"""
-O["signal_clusters"] = query(["pg", "dl"], "SELECT source AS signal, count(DISTINCT vendor) AS adopters FROM pg JOIN dl USING (page_id) WHERE slot = 3 GROUP BY source ORDER BY adopters DESC, min(page_id) LIMIT 15")
+O["signal_clusters"] = query(["pg", "dl"], "SELECT source AS signal, count(DISTINCT vendor) AS adopters FROM pg JOIN dl USING (page_id) WHERE slot = 3 GROUP BY source")
 _POS = f"list_position({strs(FIELD_ORDER)}, field)"
 _REG = f"""
   SELECT url, kind, claims, CASE WHEN contains(url, 'g2.com') OR contains(url, 'reddit.com') OR contains(url, 'crunchbase.com') THEN 'user' ELSE 'bot' END AS verified,
@@ -344,8 +349,8 @@ SELECT vendor, side, CAST(row_number() OVER (PARTITION BY vendor, side ORDER BY
   UNION ALL SELECT vendor, 'positive', 1, 0, '官网页面 · 官网自述', {pick('page_id', W.POINTS)} FROM pg
   UNION ALL SELECT vendor, 'positive', 2, pos, '官网页面 · 官网自述', line FROM pg JOIN dl USING (page_id) WHERE slot = 0 AND {norm('line')} <> ''
   UNION ALL SELECT vendor, 'negative', 0, pos, '官网页面', line FROM pg JOIN dl USING (page_id) WHERE slot = 1 AND doc_id % 8 <> 1 AND {norm('line')} <> '')""")
-O["release_timeline"] = """SELECT vendor, ord, title FROM (SELECT 'U' || user_id AS vendor, user_id, event_id AS ord, props AS title, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn
-  FROM events WHERE event_type = 'purchase') WHERE rn <= 6 ORDER BY user_id, ord LIMIT 18"""
+O["release_timeline"] = """SELECT 'U' || user_id AS vendor, event_id AS ord, props AS title, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INT) AS nth
+  FROM events WHERE event_type = 'purchase'"""
 O["release_density"] = query(["pg"], "SELECT vendor, CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END AS releases FROM pg")
 _STAGE = pick("page_id", W.STAGES)
 O["positioning"] = query(["pg"], f"""
@@ -401,7 +406,7 @@ SELECT name, arg_min(u, o) AS url FROM h WHERE length(name) >= 3 AND NOT ({_RH})
 GROUP BY name""", {"h": f"""SELECT CASE WHEN page_id % 3 = 0 THEN left({_LBL}, 4) ELSE {_LBL} END AS name, page_id * 3 + k AS o,
   CASE k WHEN 0 THEN 'https://www.g2.com/products/' || {_LBL} WHEN 1 THEN url ELSE 'https://www.' || {_LBL} || '.io/' END AS u FROM pages, (VALUES (0), (1), (2)) v(k)"""})
 O["lesson_hints"] = """SELECT domain, CAST(nth AS INT) AS nth, hint FROM (SELECT 'd' || user_id % 50 || '.test' AS domain, 'h' || CAST(floor(value) AS BIGINT) AS hint,
-  row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) AS nth FROM events WHERE event_id % 3 <> 0) WHERE nth <= 3"""
+  row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) AS nth FROM events WHERE event_id % 3 <> 0)"""
 O["keyword_pages"] = query(["cap"], f"""
 SELECT domain, keyword, min(p.url) AS url FROM kw JOIN p USING (domain) WHERE contains(low, {norm('lower(trim(split_part(keyword, ' + lit('(') + ', 1)))')}) AND lower(trim(split_part(keyword, '(', 1))) <> '' GROUP BY domain, keyword""",
                            {"p": f"SELECT url, {norm('lower(text)')} AS low, {domain(host('url'))} AS domain FROM cap WHERE {sufficient('text', 300)}",

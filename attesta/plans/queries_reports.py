@@ -59,6 +59,11 @@ def feature_conclusions(s, d) -> DataFrame:
     return X.feature_conclusions(cat, cat.select("vendor"), 0.6)
 
 
+def feature_points(s, d) -> DataFrame:
+    cat = W.catalog(s, d)
+    return X.feature_points(cat, cat.select("vendor"), 0.6)
+
+
 def unmentioned_features(s, d) -> DataFrame:
     cat = W.plain_catalog(s, d).withColumn("desc", F.lit(""))
     return X.unmentioned_features(cat, cat.select("vendor"))
@@ -314,7 +319,7 @@ def release_timeline(s, d) -> DataFrame:
     """Purchases as product releases of a user's product."""
     rel = W.table(s, d, "events").where(F.col("event_type") == "purchase").select(
         F.concat(F.lit("U"), F.col("user_id")).alias("vendor"), F.col("user_id").alias("vendor_ord"), F.col("event_id").alias("ord"), F.col("props").alias("title"))
-    return M.release_timeline(rel).select("vendor", "ord", "title")
+    return M.release_timeline(rel).select("vendor", "ord", "title", "nth")
 
 
 def release_density(s, d) -> DataFrame:
@@ -449,7 +454,7 @@ def daily_stats(s, d) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in [
     canonical_names, canonical_names_fuzzy, feature_marks, feature_matrix, category_totals, exclusive_features, common_gaps, feature_holders,
-    feature_conclusions, unmentioned_features, capability_marks, capability_support, capability_confidence, repair_catalog, fill_catalog,
+    feature_conclusions, feature_points, unmentioned_features, capability_marks, capability_support, capability_confidence, repair_catalog, fill_catalog,
     stop_tokens, stem_signatures, variant_groups, auto_aliases, alias_layers, unified_share, feature_labels, page_coverage, price_depth,
     field_completeness, claimed_price_votes, price_vote_status, quote_accuracy, signal_problems, feedback_problems, audit_summary, next_actions, audit_lessons,
     page_digest, score_rank, dimension_rank, score_summary, target_overlap, signal_clusters, source_register, sources_by_kind, evidence_warnings,

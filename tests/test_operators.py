@@ -59,6 +59,23 @@ def test_price_depth_counts_its_own_run(spark):
     assert got == {"a": "gap", "b": "not-published"}
 
 
+def test_feature_points_list_all_exclusives_and_all_missing(spark):
+    names = {"a": ["inbox shared", "webhook engine", "campaign email", "mobile widget", "import wizard"],
+             "b": ["inbox shared", "campaign email", "report builder", "export wizard"],
+             "c": ["inbox shared", "report builder", "sandbox mode", "theme editor"], "d": ["search index"]}
+    data = [(v, i * 10 + k, n, "c", "") for i, (v, ns) in enumerate(names.items()) for k, n in enumerate(ns)]
+    cat = spark.createDataFrame(data, "vendor string, ord int, name string, category string, desc string")
+    got = sorted(map(tuple, X.feature_points(cat, cat.select("vendor"), 0.5).collect()))
+    common = ["inbox shared", "campaign email", "report builder"]  # three holders, then two, in input order
+    held = {v: [n for n in common if n in ns] for v, ns in names.items()}
+    want = [(v, "missing", k + 1, n) for v in names for k, n in enumerate(x for x in common if x not in held[v])]
+    single = [n for ns in names.values() for n in ns if sum(n in m for m in names.values()) == 1]
+    want += [(v, "exclusive", k + 1, n) for v, ns in names.items() for k, n in enumerate(x for x in ns if x in single)]
+    assert got == sorted(want)
+    row = {r["vendor"]: r for r in X.feature_conclusions(cat, cat.select("vendor"), 0.5).collect()}
+    assert (row["d"]["held"], row["d"]["total"], row["d"]["missing"]) == (0, 3, ", ".join(common)) and row["a"]["exclusives"] == 3
+
+
 def test_register_numbers_long_catalogs(spark):
     data = [(v, f, i) for v in range(3) for f in range(2) for i in range(150)]
     df = spark.createDataFrame([((v, f, i), f"https://x.test/{v}/{f}/{i}", "k", "same start " * 9 + str(i % 2)) for v, f, i in data],
