@@ -132,6 +132,18 @@ class Matcher:
         for b in blocks:
             b["row"] = np.full(BINS, -1, np.int32)
             b["row"][b["vocab"]] = np.arange(len(b["vocab"]), dtype=np.int32)
+        # a word's part of its passage's weight; words without weight count a little
+        self.values, self.parts = [], []
+        for b, block in zip(blocks, words):
+            values = [np.where(v > 0, v, np.float32(0.1)) for v in (b["weight"][bins(item)] for item in block)]
+            self.values.append([v / v.sum() for v in values])
+            parts: list[dict[bytes, float]] = []
+            for item, v in zip(block, self.values[-1]):
+                part: dict[bytes, float] = {}
+                for word, x in zip(item, v.tolist()):
+                    part[word] = part.get(word, 0.0) + x
+                parts.append(part)
+            self.parts.append(parts)
 
     def batch(self, texts: list[str | None], limit: int = 200_000) -> list[list[dict]]:
         """Matches of every text; texts are taken together up to `limit` words, so memory does not grow with a batch."""
@@ -159,7 +171,7 @@ class Matcher:
         n = int(stride0[-1])
         stride_doc = np.repeat(np.arange(len(docs)), strides)
         joined = np.r_[stride_doc[1:] == stride_doc[:-1], False]
-        for b, items, words, answers in zip(self.blocks, self.items, self.words, self.answers):
+        for k_block, b in enumerate(self.blocks):
             w2 = np.bincount(stride, weights=b["weight"][ids].astype(np.float64) ** 2, minlength=n)
             rows = b["row"][ids]
             at = np.flatnonzero((rows >= 0) & (b["weight"][ids] > 0))
@@ -178,27 +190,26 @@ class Matcher:
             if not len(near):
                 continue
             cosines = sums[near] @ b["vectors"].T / norm[near][:, None]
-            for k, p in zip(*np.nonzero(cosines >= self.cosine)):
-                s = int(near[k])
-                self._verify(found, docs, int(stride_doc[s]), (s - int(stride0[stride_doc[s]])) * STRIDE, int(p),
-                             float(cosines[k, p]), items, words, answers, b["weight"])
+            at_doc = stride_doc[near]
+            at_word = (near - stride0[at_doc]) * STRIDE
+            have, seen = set(), None
+            for k, p in zip(*(x.tolist() for x in np.nonzero(cosines >= self.cosine))):
+                d, start = int(at_doc[k]), int(at_word[k])
+                if seen != k:  # all words an item of a passage's length may lie among
+                    have, seen = set(docs[d][max(0, start - PASSAGE // 2):start + PASSAGE + PASSAGE // 2]), k
+                # no subsequence holds more than the words that are there at all
+                if sum(x for w, x in self.parts[k_block][p].items() if w in have) >= self.least:
+                    self._verify(found, docs, d, start, k_block, p, float(cosines[k, p]))
         return [self._best(f) for f in found]
 
-    def _verify(self, found, docs, d, start, p, cosine, items, words, answers, weight) -> None:
-        item = words[p]
+    def _verify(self, found: list[list[dict]], docs: list[list[bytes]], d: int, start: int, block: int, p: int, cosine: float) -> None:
+        item, value = self.words[block][p], self.values[block][p]
         low, high = max(0, start - len(item) // 2), min(len(docs[d]), start + PASSAGE + len(item) // 2)
-        near = docs[d][low:high]
-        value = weight[bins(item)]
-        value = np.where(value > 0, value, np.float32(0.1))
-        have = set(near)
-        if value[[w in have for w in item]].sum() < self.least * value.sum():  # no subsequence can hold enough
-            return
-        used, a, z = common(item, near)
-        share = float(value[used].sum() / value.sum())
-        tail = used[-answers[p]:]
-        answer = float(tail.mean())
+        used, a, z = common(item, docs[d][low:high])
+        share = float(value[used].sum())
+        answer = float(used[-self.answers[block][p]:].mean())
         if share >= self.least and answer >= self.answer and z - a <= 2 * len(item) + 8:
-            found[d].append({"item": items[p], "cosine": cosine, "share": share, "answer": answer, "start": low + a, "end": low + z})
+            found[d].append({"item": self.items[block][p], "cosine": cosine, "share": share, "answer": answer, "start": low + a, "end": low + z})
 
     @staticmethod
     def _best(found: list[dict]) -> list[dict]:
