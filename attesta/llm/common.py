@@ -33,6 +33,16 @@ def plain(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
     return df.toDF(*[f"c{k}" for k in range(len(df.columns))]), [f"c{df.columns.index(n)}" for n in names]
 
 
+def small_side(df: DataFrame, rows: int = 100_000, size: int = 16 << 20) -> DataFrame:
+    """df marked for a broadcast if it has at most `rows` rows and `size` bytes of text; else as it is, for a plain join.
+
+    df has to be a kept table: it is counted.
+    """
+    text = [F.coalesce(F.octet_length(F.col(f.name)), F.lit(0)) for f in df.schema if f.dataType.typeName() == "string"]
+    n, held = df.agg(F.count("*"), F.coalesce(F.sum(sum(text, F.lit(0))), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held <= size else df
+
+
 def word_count(text: Column) -> Column:
     """Words between ASCII white space; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

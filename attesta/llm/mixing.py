@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from attesta.llm.common import WORD, keep, numbered, plain, table, word_count
+from attesta.llm.common import WORD, keep, numbered, plain, small_side, table, word_count
 
 ADDED = ["mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_part"]
 
@@ -80,7 +80,8 @@ def mix(docs: DataFrame, block: int = 16, rows_per_unit: int = 8192, weights: tu
     by_source = source_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows")),
                                weights, share, most)
     by_source = keep(by_source.withColumn("n_units", F.ceil(F.col("n_rows") / rows_per_unit)))
-    facts = by_source.select(F.col("source").alias("of_source"), "rank", "n_units", "source_size", "target")
+    # a few sources are sent to the texts; of very many, both sides meet by source
+    facts = small_side(by_source.select(F.col("source").alias("of_source"), "rank", "n_units", "source_size", "target"))
 
     def with_unit(rows: DataFrame, source: str) -> DataFrame:
         return (rows.join(facts, F.col(source).eqNullSafe(F.col("of_source"))).drop("of_source")

@@ -169,10 +169,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     mark = F.xxhash64(text)
     groups = simhash_groups(rows, id_col=key, text_col=text, extra=[mark.alias("mark")], **kw)
     first = F.min(F.struct(F.col(key).isNull().alias("no_id"), F.col(key).alias("id"), "mark"))
-    winners = groups.groupBy("root").agg(first.alias("w")).select(F.col("w.id").alias("win_id"), F.col("w.mark").alias("win_mark"))
-    kept = rows.withColumn("mark", mark)
-    kept = kept.join(winners, F.col(key).eqNullSafe(F.col("win_id")) & (F.col("mark") == F.col("win_mark")), "left_semi")
-    return kept.dropDuplicates([key, "mark"]).drop("mark").toDF(*docs.columns)
+    name = lambda c: F.to_json(F.struct(c.alias("id")))  # noqa: E731  never null, so a text moves once for join and duplicates
+    winners = groups.groupBy("root").agg(first.alias("w")).select(name(F.col("w.id")).alias("name"), F.col("w.mark").alias("mark"))
+    kept = rows.withColumns({"name": name(F.col(key)), "mark": mark}).join(winners, ["name", "mark"], "left_semi")
+    return kept.dropDuplicates(["name", "mark"]).drop("name", "mark").select(*rows.columns).toDF(*docs.columns)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
