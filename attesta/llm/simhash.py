@@ -96,18 +96,19 @@ def _links(rows: pd.DataFrame, distance: int) -> pd.DataFrame:
                 a.append(pairs[:, 0])
                 b.append(pairs[:, 1])
     empty = np.zeros(0, np.uint64)
-    a, b = np.concatenate(a or [empty]), np.concatenate(b or [empty])
-    return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)}).drop_duplicates()
+    a, b = np.concatenate(a or [empty]).view(np.int64), np.concatenate(b or [empty]).view(np.int64)
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
 
 def linked(prints: DataFrame, distance: int = 3) -> DataFrame:
-    """Links (a, b) that connect what lies within `distance` bits, from distinct fingerprints `fp`.
+    """Links (a, b), a below b, that connect what lies within `distance` bits, from distinct fingerprints `fp`.
 
     Two fingerprints that differ in 3 bits agree on 3 of 6 blocks, so every choice of 3 blocks (20, 31 to
     33 bits each) is a key and only equal keys are compared.  A key with more than GROUP fingerprints is
     split by its free bits the same way: cut into 8 blocks, close pairs agree on 5, and at most 2^13
     fingerprints can share the longer key.  So no task holds more than that many
-    fingerprints of a group at once, none is left out, and a group yields a forest, not its pairs.
+    fingerprints of a group at once, none is left out, and a group yields a forest, not its pairs.  Groups
+    are sorted by fingerprint, so a task that runs again gives the same links, in whatever order its rows arrive.
     """
     if distance != 3:
         raise ValueError("the blocks are cut for 3 differing bits")
@@ -121,13 +122,14 @@ def linked(prints: DataFrame, distance: int = 3) -> DataFrame:
     schema = "a bigint, b bigint"
     keyed = prints.select("fp", F.explode(F.array(*[
         F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("block")) for k, m in enumerate(first)])).alias("k"))
-    n = F.count("*").over(Window.partitionBy("mask", "block"))
+    whole = Window.partitionBy("mask", "block").orderBy("fp").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    n = F.count("*").over(whole)
     met = keyed.select("fp", "k.mask", "k.block").withColumn("n", n).where("n > 1")
-    low = met.where(F.col("n") <= GROUP).select("mask", "block", "fp")
+    low = met.where(F.col("n") <= GROUP).select("mask", "block", "fp").sortWithinPartitions("mask", "block", "fp")
     deep = F.element_at(F.lit([x for s in second for x in s]), F.col("mask") * 56 + F.col("sub") + 1)
     high = (met.where(F.col("n") > GROUP).withColumn("sub", F.explode(F.sequence(F.lit(0), F.lit(55))))
             .select((100 + F.col("mask") * 56 + F.col("sub")).alias("mask"), F.col("fp").bitwiseAND(deep).alias("block"), "fp"))
-    high = high.repartition("mask", "block").sortWithinPartitions("mask", "block")
+    high = high.repartition("mask", "block").sortWithinPartitions("mask", "block", "fp")
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return close_pairs(batches, distance)

@@ -29,11 +29,11 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Every round a node takes the smallest label around it and then its label's label, which halves
     chains, so the number of rounds grows with the logarithm of the longest chain.  A hub may own most
     edges: the joins are plain equi-joins, whose large partitions are split while they run, and the
-    smallest label around a node is a partial aggregate.
+    smallest label around a node is a partial aggregate.  The edges are computed once, so both directions
+    of an edge are there even if another run of their source would give others.
     """
-    ensure_checkpoint_dir(edges.sparkSession)
-    both = (edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            .distinct().checkpoint())
+    once = settle(edges.select("a", "b"))
+    both = once.unionByName(once.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")).checkpoint()
     for _ in range(max_rounds):
         seen = labels.select(F.col("node").alias("b"), F.col("component").alias("near"))

@@ -3,12 +3,14 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from attesta.llm import chat as C, decontamination as D, mixing as M, passages as P, sharding as R, simhash as H
 from attesta.llm.common import word_count
+from attesta.operators.components import connected
 
 SF = "/root/testdata/sf0.001"
 
@@ -59,6 +61,33 @@ def test_links_connect_dense_and_large_groups(spark, monkeypatch):
     assert components(ids, links) == want
 
 
+def test_components_of_a_source_that_turns_its_edges(spark, tmp_path):
+    """Every run of the source gives its edges the other way round."""
+    runs = tmp_path / "runs"
+
+    def edges(batches):
+        with open(runs, "a") as f:
+            f.write(".")
+        turned = runs.stat().st_size % 2
+        for x in batches:
+            yield x.rename(columns={"a": "b", "b": "a"})[["a", "b"]] if turned else x
+
+    source = spark.createDataFrame([(9, 1), (9, 4), (7, 4), (20, 30)], "a long, b long").coalesce(1).mapInPandas(edges, "a long, b long")
+    assert {r.node: r.component for r in connected(source).collect()} == {1: 1, 4: 1, 7: 1, 9: 1, 20: 20, 30: 20}
+
+
+def test_links_do_not_depend_on_the_order_of_rows():
+    rng = np.random.default_rng(8)
+    for n in (12, 60):
+        base = int(rng.integers(1 << 62))
+        prints = np.array(sorted({base ^ sum(1 << int(b) for b in rng.choice(9, 3)) for _ in range(n)}))
+        rows = pd.DataFrame({"mask": 0, "block": 0, "fp": prints})
+        links = [H._links(rows.sample(frac=1, random_state=k), 3) for k in range(2)]
+        assert all((x["a"] < x["b"]).all() for x in links)
+        want = components(prints, [(a, b) for a, b in combinations(prints, 2) if int(a ^ b).bit_count() <= 3])
+        assert all(components(prints, x.itertuples(index=False)) == want for x in links)
+
+
 def test_simhash_odd_rows(odd, none):
     rows = H.simhash_groups(odd).collect()
     assert len(rows) == odd.count()
