@@ -122,6 +122,11 @@ def common(item: list[bytes], text: list[bytes]) -> tuple[np.ndarray, int, int]:
     return used, first, last
 
 
+def span(item: list[bytes]) -> int:
+    """Words of a text that an item may be spread over at most."""
+    return 2 * len(item) + 8
+
+
 class Matcher:
     """What a task needs to judge texts against the benchmark passages of one pass."""
 
@@ -144,6 +149,22 @@ class Matcher:
                     part[word] = part.get(word, 0.0) + x
                 parts.append(part)
             self.parts.append(parts)
+        # the same for the exact search: a column for each passage; words without weight count as there
+        for b, parts in zip(blocks, self.parts):
+            b["share"] = np.zeros((len(b["vocab"]), len(parts)), np.float32)
+            b["given"] = np.zeros(len(parts), np.float32)
+            for p, part in enumerate(parts):
+                spots = bins(part)
+                x = np.fromiter(part.values(), np.float32, len(part))
+                weighs = b["weight"][spots] > 0
+                np.add.at(b["share"][:, p], b["row"][spots[weighs]], x[weighs])
+                b["given"][p] = x[~weighs].sum()
+            # most words are in few passages: of each word the passages that hold it
+            at, b["held_by"] = np.nonzero(b["share"])
+            b["held_at"] = np.searchsorted(at, np.arange(len(b["vocab"]) + 1))
+            b["share"] = b["share"][at, b["held_by"]]
+        # strides that hold every span an item may take, wherever in the first of them it starts
+        self.reach = [np.array([-(-(STRIDE - 1 + span(item)) // STRIDE) for item in block]) for block in words]
 
     def batch(self, texts: list[str | None], limit: int = 200_000) -> list[list[dict]]:
         """Matches of every text; texts are taken together up to `limit` words, so memory does not grow with a batch."""
@@ -187,8 +208,6 @@ class Matcher:
             norm = np.sqrt(np.maximum(norm, 1e-9))
             # no cosine exceeds the length of the latent part: most passages end here
             near = np.flatnonzero(np.einsum("ij,ij->i", sums, sums) >= (self.cosine * norm) ** 2)
-            if not len(near):
-                continue
             cosines = sums[near] @ b["vectors"].T / norm[near][:, None]
             at_doc = stride_doc[near]
             at_word = (near - stride0[at_doc]) * STRIDE
@@ -199,17 +218,74 @@ class Matcher:
                     have, seen = set(docs[d][max(0, start - PASSAGE // 2):start + PASSAGE + PASSAGE // 2]), k
                 # no subsequence holds more than the words that are there at all
                 if sum(x for w, x in self.parts[k_block][p].items() if w in have) >= self.least:
-                    self._verify(found, docs, d, start, k_block, p, float(cosines[k, p]))
+                    low, high = max(0, start - len(self.words[k_block][p]) // 2), start + PASSAGE + len(self.words[k_block][p]) // 2
+                    self._verify(found, docs, d, low, high, k_block, p, float(cosines[k, p]))
+            self._contained(found, docs, k_block, rows[at], stride[at], stride_doc, stride0)
         return [self._best(f) for f in found]
 
-    def _verify(self, found: list[list[dict]], docs: list[list[bytes]], d: int, start: int, block: int, p: int, cosine: float) -> None:
-        item, value = self.words[block][p], self.values[block][p]
-        low, high = max(0, start - len(item) // 2), min(len(docs[d]), start + PASSAGE + len(item) // 2)
-        used, a, z = common(item, docs[d][low:high])
-        share = float(value[used].sum())
-        answer = float(used[-self.answers[block][p]:].mean())
-        if share >= self.least and answer >= self.answer and z - a <= 2 * len(item) + 8:
-            found[d].append({"item": self.items[block][p], "cosine": cosine, "share": share, "answer": answer, "start": low + a, "end": low + z})
+    def _contained(self, found: list[list[dict]], docs: list[list[bytes]], block: int, rows: np.ndarray, stride: np.ndarray,
+                   stride_doc: np.ndarray, stride0: np.ndarray) -> None:
+        """Verify what the cosine may miss, as words around an item dilute it: every place where enough of an item's words are.
+
+        A match has `least` of the item's weight inside span() words, so the words of some strides hold as
+        much.  The sums below are never less than that share, whatever else stands there.
+        """
+        b, reach = self.blocks[block], self.reach[block]
+        size = np.int64(len(b["vocab"]))
+        pair = np.unique(stride * size + rows)  # a word counts once in a stride
+        where, row = pair // size, pair % size
+        n = b["held_at"][row + 1] - b["held_at"][row]
+        at = np.repeat(b["held_at"][row] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        one = np.bincount(np.repeat(where, n) * len(reach) + b["held_by"][at], weights=b["share"][at], minlength=len(stride_doc) * len(reach))
+        one = one.reshape(len(stride_doc), len(reach))
+        held = one + b["given"]
+        for k in range(1, min(int(reach.max()), len(one))):
+            same = stride_doc[k:] == stride_doc[:-k]
+            held[:-k] += one[k:] * same[:, None] * (reach > k)
+        seen = None
+        for k, p in zip(*(x.tolist() for x in np.nonzero(held >= self.least - 1e-4))):
+            d = int(stride_doc[k])
+            start = int(k - stride0[d]) * STRIDE
+            stop = start + int(reach[p]) * STRIDE
+            if seen != (k, reach[p]):
+                have, seen = set(docs[d][start:stop]), (k, reach[p])
+            most = sum(x for w, x in self.parts[block][p].items() if w in have)
+            if most >= self.least - 1e-6 and not self._held(found[d], block, p, most):
+                self._verify(found, docs, d, start, stop, block, p, self._cosine(docs[d][start:start + PASSAGE], block, p))
+
+    def _held(self, found: list[dict], block: int, p: int, most: float) -> bool:
+        """Whether a match of the item is known that a share of `most` would not better."""
+        return any(f["item"] == self.items[block][p] and f["share"] >= most - 1e-6 for f in found)
+
+    def _cosine(self, words: list[bytes], block: int, p: int) -> float:
+        """The latent cosine of some words of a text to a passage."""
+        b, ids = self.blocks[block], bins(words)
+        known = ids[(b["row"][ids] >= 0) & (b["weight"][ids] > 0)]
+        return float(b["basis"][b["row"][known]].sum(axis=0) @ b["vectors"][p] / np.sqrt(max((b["weight"][ids].astype(np.float64) ** 2).sum(), 1e-9)))
+
+    def _verify(self, found: list[list[dict]], docs: list[list[bytes]], d: int, low: int, high: int, block: int, p: int, cosine: float) -> None:
+        item, value, text = self.words[block][p], self.values[block][p], docs[d][low:high]
+        used, a, z = common(item, text)
+        most = float(value[used].sum())
+        if most < self.least:
+            return
+        tries = [(used, a, z)]
+        if z - a > span(item) or used[-self.answers[block][p]:].mean() < self.answer:
+            # the same words may stand closer together elsewhere: every stretch of the allowed length
+            if self._held(found[d], block, p, most):
+                return
+            part, tries = self.parts[block][p], []
+            for at, w in enumerate(text):
+                if w in part:
+                    have = set(text[at:at + span(item)])
+                    if sum(x for v, x in part.items() if v in have) >= self.least - 1e-6:
+                        u, x, y = common(item, text[at:at + span(item)])
+                        tries.append((u, at + x, at + y))
+        for used, a, z in tries:
+            share = float(value[used].sum())
+            answer = float(used[-self.answers[block][p]:].mean())
+            if share >= self.least and answer >= self.answer and z - a <= span(item):
+                found[d].append({"item": self.items[block][p], "cosine": cosine, "share": share, "answer": answer, "start": low + a, "end": low + z})
 
     @staticmethod
     def _best(found: list[dict]) -> list[dict]:
@@ -231,7 +307,8 @@ def leak_columns(docs: DataFrame, items: DataFrame, cosine: float = 0.2, least:
 
     Items are cut into passages of at most PASSAGE words.  BLOCK of them at a time span a latent space of
     their TF-IDF vectors (randomised SVD, one task for each block); the documents' passages are projected
-    into it and those with a high cosine to a benchmark passage are checked by a longest common
+    into it and those with a high cosine to a benchmark passage, or with enough of its words whatever
+    stands around them, are checked by a longest common
     subsequence of words: `least` of the passage's weight has to be on it, and `answer` of the words of
     its last sentence.  Document frequencies cover all documents.
 

@@ -324,6 +324,22 @@ def test_leaks_found_whole_and_reworded(spark):
     assert all(set(D.tokens(items[i])) <= set(D.tokens(docs[d])) for d, i in honest)
 
 
+def test_leaks_among_words_that_dilute_the_cosine(spark):
+    """Short verbatim items among words no other text has, and an item whose first word stands early in the text as well."""
+    rng = np.random.default_rng(12)
+    word = lambda k: f"v{k}"
+    items = [" ".join(map(word, rng.integers(3000, size=n))) for n in (4, 5, 6, 8, 12, 20)]
+    items.append(" ".join(word(5000 + k) for k in range(12)))
+    noise = lambda n: [f"z{x}" for x in rng.integers(1 << 50, size=n)]
+    rows = [(k, " ".join(noise(90) + x.split() + noise(90))) for k, x in enumerate(items)]
+    rows.append((100, " ".join([word(5000), *noise(40), *items[6].split(), *noise(30)])))
+    rows += [(1000 + k, " ".join(map(word, rng.integers(3000, size=120)))) for k in range(300)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item): (r.start, r.end) for r in D.find_leaks(docs, bench).where("doc_id < 1000").collect()}
+    want = {(k, k): (90, 90 + len(x.split())) for k, x in enumerate(items)} | {(100, 6): (41, 53)}
+    assert got == want
+
+
 def test_leaks_in_several_passes_and_long_items(spark, monkeypatch):
     monkeypatch.setattr(D, "BLOCK", 4)
     monkeypatch.setattr(D, "BLOCKS_A_PASS", 2)
