@@ -261,6 +261,18 @@ def test_passages_match_brute_force(spark):
         assert r.similarity >= 0.8 and r.a_end - r.a_start >= 50 and r.b_end - r.b_start >= 50
 
 
+def test_passages_that_stand_twice_in_a_text():
+    """The passage twice, and a single shingle shared besides: its own shingles are not unique."""
+    rng = np.random.default_rng(5)
+    words = lambda n: [b"w%d" % k for k in rng.integers(1 << 40, size=n)]
+    passage, single = words(60), words(5)
+    first = words(30) + passage + words(40) + passage + words(30) + single
+    second = words(20) + single + words(50) + passage + words(10)
+    found = P.alike(P.shingle_hashes(first), P.shingle_hashes(second), 0.8)
+    assert sorted(f[:4] for f in found) == [(30, 90, 75, 135), (130, 190, 75, 135)]
+    assert sorted(f[:4] for f in P.alike(P.shingle_hashes(second), P.shingle_hashes(first), 0.8)) == [(75, 135, 30, 90), (75, 135, 130, 190)]
+
+
 def test_compact_windows_are_the_trees_nodes():
     h = np.random.default_rng(5).integers(1 << 62, size=400, dtype=np.uint64)
     start, stop = np.array([0, 150, 160]), np.array([150, 160, 400])
