@@ -11,7 +11,9 @@ from attesta.llm.quality import op2_quality
 from attesta.llm.secrets import op5_secrets
 from attesta.llm.sharding import op6_sharding
 from attesta.llm.simhash import op3_simhash
+from attesta.llm.suffixes import op12_suffixes
 
 QUERIES = {"op1_licenses": op1_licenses, "op2_quality": op2_quality, "op3_simhash": op3_simhash, "op4_chat": op4_chat, "op5_secrets": op5_secrets,
-           "op6_sharding": op6_sharding, "op7_html": op7_html, "op8_mixing": op8_mixing, "op9_passages": op9_passages, "op10_decontamination": op10_decontamination}
+           "op6_sharding": op6_sharding, "op7_html": op7_html, "op8_mixing": op8_mixing, "op9_passages": op9_passages, "op10_decontamination": op10_decontamination,
+           "op12_suffixes": op12_suffixes}
 ORACLE = {"op1_licenses": OP1_SQL, "op4_chat": OP4_SQL}
