@@ -1,12 +1,11 @@
 """Jobs over growing logs: extractor statistics, price cache, ledger and lessons."""
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from attesta import constants as K
+from attesta.streaming.tables import KeyedTable, upsert_stream
 
 
 # ------------------------------------------------------------------ extractor statistics
@@ -30,72 +29,6 @@ def stream_stats(log: DataFrame, out: str, checkpoint: str, width: str = "1 day"
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-# ------------------------------------------------------------------ keyed tables kept by foreachBatch
-class KeyedTable:
-    """A parquet table rewritten version by version; readers take the newest complete version.
-
-    The batch number names the version, so a batch replayed after a failure overwrites its own
-    output and reads the version before it: every batch takes effect once.  Batch numbers belong to
-    one stream: the table records the stream's checkpoint folder and takes no other.  A version is
-    removed when two newer ones are there, so a running reader keeps its files.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def _files(self):
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        return jvm, root, root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def belongs_to(self, checkpoint: str) -> None:
-        """Record the stream that keeps the table; a table another stream has kept is refused."""
-        jvm, root, fs = self._files()
-        mark = jvm.org.apache.hadoop.fs.Path(root, "_stream")
-        if fs.exists(mark):
-            owner = self.spark.read.text(mark.toString()).first()["value"]
-            if owner != checkpoint:
-                raise ValueError(f"{self.path} is kept by the stream of {owner}, not of {checkpoint}")
-        elif self._versions():
-            raise ValueError(f"{self.path} holds versions of an unknown stream")
-        else:
-            self.spark.createDataFrame([(checkpoint,)], "value string").coalesce(1).write.text(mark.toString())
-
-    def _versions(self) -> list[int]:
-        jvm, root, fs = self._files()
-        if not fs.exists(root):
-            return []
-        done = []
-        for st in fs.listStatus(root):
-            name = st.getPath().getName()
-            if name.startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-                done.append(int(name[1:]))
-        return sorted(done)
-
-    def read(self, before: int | None = None) -> DataFrame | None:
-        vs = [v for v in self._versions() if before is None or v < before]
-        return self.spark.read.parquet(os.path.join(self.path, f"v{vs[-1]}")) if vs else None
-
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(os.path.join(self.path, f"v{version}"))
-        jvm, root, fs = self._files()
-        for old in self._versions():
-            if old < version - 1:
-                fs.delete(jvm.org.apache.hadoop.fs.Path(root, f"v{old}"), True)
-
-
-def upsert_stream(rows: DataFrame, table: KeyedTable, summarise, merge, checkpoint: str) -> StreamingQuery:
-    """Keep a keyed table up to date: summarise each micro-batch, then merge it into the table."""
-    table.belongs_to(checkpoint)
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        new = summarise(batch)
-        old = table.read(before=batch_id)
-        table.write(new if old is None else merge(old, new), batch_id)
-    return (rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
-
-
 # ------------------------------------------------------------------ lessons
 TOLD = ("hint", "resolution", "evidence", "alt_sources")
 
@@ -121,15 +54,24 @@ def combine_lessons(old: DataFrame, new: DataFrame) -> DataFrame:
         F.sum("runs_seen").alias("runs_seen"), F.min("learned_at").alias("learned_at"), F.max("last_seen").alias("last_seen"), *latest)
 
 
-def stream_lessons(log: DataFrame, table: KeyedTable, checkpoint: str) -> StreamingQuery:
-    return upsert_stream(log, table, merge_lessons, combine_lessons, checkpoint)
+def stream_lessons(log: DataFrame, table: KeyedTable, checkpoint: str, late: str = "1 hour") -> StreamingQuery:
+    return upsert_stream(log, table, ["domain", "issue"], merge_lessons, combine_lessons, checkpoint, "seen_at", late)
 
 
 # ------------------------------------------------------------------ ledger
-def stream_ledger(results: DataFrame, table: KeyedTable, checkpoint: str) -> StreamingQuery:
-    """Ledger rows from extraction attempts as they arrive."""
+def stream_ledger(results: DataFrame, table: KeyedTable, checkpoint: str, late: str = "1 hour", once_within: str | None = None) -> StreamingQuery:
+    """Ledger rows from extraction attempts as they arrive; times are texts such as 2024-01-31 00:00 UTC.
+
+    With `once_within`, an attempt that is delivered again (equal in url, kind, engine and content) within
+    that span of time is dropped, and so are attempts later than that.
+    """
+    from attesta.functions.text import content_hash
     from attesta.operators.captures import build_ledger, merge_ledgers
-    return upsert_stream(results, table, build_ledger, merge_ledgers, checkpoint)
+    timed = results.withColumn("tried_at", F.try_to_timestamp(F.substring("fetched_at", 1, 16), F.lit("yyyy-MM-dd HH:mm")))
+    if once_within:
+        timed = (timed.withColumn("content", content_hash(F.coalesce("text", F.lit("")))).withWatermark("tried_at", once_within)
+                 .dropDuplicatesWithinWatermark(["url", "kind", "engine", "success", "content"]).drop("content"))
+    return upsert_stream(timed, table, ["url"], build_ledger, merge_ledgers, checkpoint, "tried_at", late)
 
 
 # ------------------------------------------------------------------ price cache
@@ -140,13 +82,19 @@ def latest_cache(entries: DataFrame) -> DataFrame:
         F.max_by("engines", F.struct("cached_at", "url")).alias("engines"))
 
 
-def stream_cache(entries: DataFrame, table: KeyedTable, checkpoint: str, ttl_days: int = K.TTL_DAYS) -> StreamingQuery:
-    """Price cache with a lifetime in event time: entries older than the newest by ttl_days go."""
-    def merge(old: DataFrame, new: DataFrame) -> DataFrame:
-        both = latest_cache(old.unionByName(new.select(*old.columns)))
-        newest = both.agg(F.max("cached_at").alias("m")).scalar()
-        return both.where(F.col("cached_at") >= newest - F.make_dt_interval(F.lit(ttl_days)))
-    return upsert_stream(entries, table, latest_cache, merge, checkpoint)
+def stream_cache(entries: DataFrame, table: KeyedTable, checkpoint: str, late: str = "1 hour") -> StreamingQuery:
+    """The newest entry of every domain as a table; `read_cache` leaves out what is too old.
+
+    For answers with a lifetime while the stream runs see streaming.cache.
+    """
+    return upsert_stream(entries, table, ["domain"], latest_cache,
+                         lambda old, new: latest_cache(old.unionByName(new.select(*old.columns))), checkpoint, "cached_at", late)
+
+
+def read_cache(table: KeyedTable, ttl_days: int = K.TTL_DAYS) -> DataFrame:
+    """Entries at most ttl_days older than the newest one."""
+    rows = table.read()
+    return rows.where(F.col("cached_at") >= rows.agg(F.max("cached_at")).scalar() - F.make_dt_interval(F.lit(ttl_days)))
 
 
 # ------------------------------------------------------------------ fetch budget
