@@ -357,6 +357,11 @@ SCORE_DIMENSIONS = [
 ]
 SEVERITY_RANK = {"high": 3, "medium": 2, "low": 1}
 
+# marks in texts that are cut: between parts, before the windows kept, around the number of windows dropped
+CUT_MIDDLE = "\n\n[... 中间内容已截断 ...]\n\n"
+CUT_FOCUS = "\n\n[... 截断:以下为关键内容保窗 ...]\n\n"
+CUT_DROPPED = ("[... 另有 ", " 个关键 token 窗口超出保留预算被丢弃 ...]\n\n")
+
 # a text the evidence does not give yet
 OPEN_TEXT = "open"
 # how a vendor without published plans is shown

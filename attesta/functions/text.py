@@ -78,7 +78,7 @@ def keep_ends(c: Column, max_chars: int = 50_000, tail_chars: int = 10_000) -> C
     """Texts over the limit keep their head and tail with a mark between."""
     cut = F.concat(
         F.substring(c, 1, max_chars - tail_chars),
-        F.lit("\n\n[... 中间内容已截断 ...]\n\n"),
+        F.lit(K.CUT_MIDDLE),
         F.substring(c, -tail_chars, tail_chars),
     )
     return F.when(F.length(c) > max_chars, cut).otherwise(c)

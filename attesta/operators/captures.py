@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from attesta import constants as K
-from attesta.functions import prices as P, text as T, urls as U
+from attesta.functions import prices as P, text as T, urls as U, windows as V
 from attesta.operators.spread import first_per_key
 
 
@@ -173,32 +173,74 @@ def safe_quotes(captures: DataFrame, keys: list[str], n: int = 3) -> DataFrame:
     return first_per_key(once, keys, [F.col("at.rank"), F.col("at.pos")], n, out="nth").drop("at")
 
 
+def search_lines(captures: DataFrame, patterns: DataFrame, k: int | None = None, ignore_case: bool = True) -> DataFrame:
+    """(pid, url, line, nth, engine, pos): every distinct clean line of a page that matches and can be quoted verbatim.
+
+    patterns(pid, url, pattern), captures(url, engine, text).  A page's patterns travel to its texts as one list, texts
+    stay as they are; a pattern that needs a certain stretch of letters is tried only on texts and lines that have
+    it.  A line counts when some capture of the page shows it in one of the normal forms; lines that their own text
+    does not show (an image was cut out of them) are looked up in the page's other captures.  nth orders by trust in
+    the extractor, then by place; `k` keeps the first k for each pattern.
+    """
+    low = (lambda c: F.lower(c)) if ignore_case else (lambda c: c)
+    asked = patterns.select("pid", "url", "pattern").distinct().withColumn("part", low(literal_part(F.col("pattern"))))
+    asked = asked.groupBy("url").agg(F.collect_list(F.struct("pid", "pattern", "part")).alias("asked"))
+    held = captures.where(F.coalesce(F.col("text"), F.lit("")) != "").join(asked, "url")
+    held = held.withColumn("asked", F.filter("asked", lambda p: F.contains(low(F.col("text")), p["part"]))).where(F.size("asked") > 0)
+    flag = F.lit("(?i)" if ignore_case else "")
+    forms = F.struct(T.norm_ws(F.col("text")).alias("flat"), T.norm_stripped(F.col("text")).alias("bare"), T.clean_lines(F.col("text")).alias("lines"))
+
+    def hits(f: Column) -> Column:
+        places = F.transform(f["lines"], lambda s, i: F.struct(i.alias("pos"), s.alias("line"), low(s).alias("low")))
+        return V.bound(places, lambda ls: F.flatten(F.transform("asked", lambda p: F.transform(
+            F.filter(ls, lambda s: F.contains(s["low"], p["part"]) & F.regexp_like(s["line"], F.concat(flag, p["pattern"]))),
+            lambda s: F.struct(p["pid"].alias("pid"), s["pos"].alias("pos"), s["line"].alias("line"),
+                               (F.contains(f["flat"], s["line"]) | F.contains(f["bare"], s["line"])).alias("own"))))))
+
+    found = held.select("url", "engine", F.inline(V.bound(forms, hits)))
+    shown = found.where("own").drop("own")
+    # the rest is few: only their pages' texts are searched again
+    cut = found.where(~F.col("own")).drop("own")
+    texts = captures.join(cut.select("url").distinct(), "url", "left_semi")
+    shapes = F.array_distinct(F.array(T.norm_ws(F.col("text")), T.norm_stripped(F.col("text"))))
+    elsewhere = (cut.select("url", "line").distinct().join(texts.select("url", F.explode(shapes).alias("form")), "url")
+                 .where(F.contains("form", F.col("line"))).select("url", "line").distinct())
+    every = shown.unionByName(cut.join(elsewhere, ["url", "line"]).select(*shown.columns))
+    at = F.struct(engine_rank(F.col("engine")).alias("rank"), "engine", "pos")
+    once = every.groupBy("pid", "url", "line").agg(F.min(at).alias("at"))
+    order = Window.partitionBy("pid", "url").orderBy("at")
+    ranked = once.withColumn("nth", F.row_number().over(order))
+    ranked = ranked if k is None else ranked.where(F.col("nth") <= k)
+    return ranked.select("pid", "url", "line", "nth", F.col("at.engine").alias("engine"), F.col("at.pos").alias("pos"))
+
+
+def literal_part(pattern: Column) -> Column:
+    """The longest run of letters and digits every match of a regular expression has to hold; empty when there is no certain one.
+
+    Expressions with groups or alternatives have none; classes, escapes and what a quantifier may leave out go first.
+    """
+    open_ = F.regexp_replace(F.regexp_replace(pattern, r"\\Q|\\E", "("), r"\\[pPxu]\{?\w*\}?|\\.", " ")
+    plain = F.regexp_replace(F.regexp_replace(open_, r"\[[^\]]*\]", " "), r".(?:[*?]|\{[^}]*\}?)", " ")
+    parts = F.regexp_extract_all(plain, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    longest = F.coalesce(F.array_max(F.transform(parts, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"], F.lit(""))
+    return F.when(F.contains(open_, F.lit("(")) | F.contains(open_, F.lit("|")), F.lit("")).otherwise(longest)
+
+
 def evidence_windows(df: DataFrame, keys: list[str], text: str, pattern: str, context: int = 120,
                      join_gap: int = 64) -> DataFrame:
-    """Stretches of a text around pattern matches; stretches that touch or nearly touch are one.
+    """Stretches of a text around pattern matches, with their text; stretches that touch or nearly touch are one.
 
-    Match positions come from the pieces between matches; intervals then merge by the running
-    maximum of earlier ends, per text.
+    Matches and their union are folds inside the row, so nothing is shuffled.
     """
-    pieces = F.split(F.col(text), pattern, -1)
-    tokens = F.regexp_extract_all(F.col(text), F.lit(f"({pattern})"), 1)
-    spans = (df.select(*keys, F.col(text).alias("__t"), pieces.alias("__p"), tokens.alias("__k"))
-             .where(F.size("__k") > 0)
-             .select(*keys, F.length("__t").alias("__len"),
-                     F.zip_with(F.slice("__p", F.lit(1), F.size("__k")), "__k", lambda g, t: F.struct(
-                         F.length(g).alias("gap"), F.length(t).alias("size"))).alias("__m")))
-    by_pos = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.col("m.gap") + F.col("m.size")).over(by_pos), F.lit(0))
-    rows = (spans.select(*keys, "__len", F.posexplode("__m").alias("pos", "m"))
-            .withColumn("at", before + F.col("m.gap"))
-            .select(*keys, F.greatest(F.lit(0), F.col("at") - context).alias("s"),
-                    F.least(F.col("__len"), F.col("at") + F.col("m.size") + context).alias("e")))
-    by_start = Window.partitionBy(*keys).orderBy("s", "e")
-    reach = F.max("e").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
-    islands = rows.withColumn("__new", (reach.isNull() | (F.col("s") > reach + join_gap)).cast("int")).withColumn(
-        "window_no", F.sum("__new").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy(*keys, "window_no").agg(
-        F.min("s").alias("start"), F.max("e").alias("end"), F.count("*").alias("matches"))
+    wins = df.select(*keys, F.col(text).alias("__t"), V.evidence(F.col(text), pattern, context, join_gap).alias("__w"))
+    return wins.select(*keys, F.explode(F.transform("__w", lambda w, k: F.struct(
+        (k + 1).cast("long").alias("window_no"), w["start"].alias("start"), w["stop"].alias("end"), w["n"].cast("long").alias("matches"),
+        F.substring("__t", w["start"] + 1, w["stop"] - w["start"]).alias("text")))).alias("__x")).select(*keys, "__x.*")
+
+
+def focused_texts(df: DataFrame, keys: list[str], text: str, pattern: str, **limits: int) -> DataFrame:
+    """(keys, text, head, windows, dropped): long texts as head, windows around the matches and tail.  Limits as in windows.focused."""
+    return df.select(*keys, V.focused(F.col(text), pattern, **limits).alias("__f")).select(*keys, "__f.*")
 
 
 def variant_lines(states: DataFrame) -> DataFrame:

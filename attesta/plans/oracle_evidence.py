@@ -126,6 +126,15 @@ SELECT page_id, quote, CAST(nth AS INT) AS nth FROM (
       SELECT page_id, {engine_rank('engine')} AS rk, unnest(ls) AS s, generate_subscripts(ls, 1) AS pos, flat, bare FROM (
         SELECT page_id, engine, {clean_lines('text')} AS ls, {norm('text')} AS flat, {bare('text')} AS bare FROM cap))
     WHERE {_QUOTABLE} AND (contains(flat, s) OR contains(bare, s)) GROUP BY page_id, s)) WHERE nth <= 3""")
+_FOUND = " UNION ALL ".join(f"SELECT {k} AS pid, url, engine, s, rk, pos FROM line WHERE {cond}" for k, cond in enumerate([
+    "regexp_matches(s, '[0-9]{2,}')", "regexp_matches(lower(s), 'price|plan')", "regexp_matches(lower(s), '\\bthe\\b.*[.]$')", "regexp_matches(lower(s), 'er.+and')"]))
+O["line_search"] = query(["cap"], """
+SELECT pid, url, row_number() OVER (PARTITION BY pid, url ORDER BY rk, engine, pos) AS nth, engine, md5(s) AS line FROM (
+  SELECT pid, url, s, min(rk) AS rk, arg_min(engine, rk * 1000000 + pos) AS engine, min(rk * 1000000 + pos) AS pos FROM (
+    SELECT * FROM f WHERE EXISTS (SELECT 1 FROM form WHERE form.url = f.url AND (contains(flat, f.s) OR contains(bare, f.s)))) GROUP BY pid, url, s)""", {
+    "form": f"SELECT url, {norm('text')} AS flat, {bare('text')} AS bare FROM cap",
+    "line": f"""SELECT url, engine, {engine_rank('engine')} AS rk, unnest(ls) AS s, generate_subscripts(ls, 1) AS pos FROM (
+        SELECT url, engine, {clean_lines('text')} AS ls FROM cap)""", "f": _FOUND})
 O["number_windows"] = """
 WITH p AS (SELECT doc_id, length(text) AS n, string_split_regex(text, '[0-9]+') AS gap, regexp_extract_all(text, '[0-9]+') AS tok FROM documents),
 m AS (SELECT doc_id, n, unnest(list_transform(tok, lambda t: length(t))) AS size, unnest(list_transform(gap[:-2], lambda g: length(g))) AS gap,
@@ -135,6 +144,54 @@ w AS (SELECT doc_id, greatest(0, p0 - 120) AS s, least(n, p0 + size + 120) AS e
 f AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 64 THEN 0 ELSE 1 END AS new FROM w),
 g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS window_no FROM f)
 SELECT doc_id, window_no::BIGINT AS window_no, min(s)::BIGINT AS start, max(e)::BIGINT AS "end", count(*) AS matches FROM g GROUP BY doc_id, window_no"""
+O["window_texts"] = """
+WITH p AS (SELECT doc_id, text, length(text) AS n, string_split_regex(text, '[0-9]+') AS gap, regexp_extract_all(text, '[0-9]+') AS tok FROM documents),
+m AS (SELECT doc_id, text, n, unnest(list_transform(tok, lambda t: length(t))) AS size, unnest(list_transform(gap[:-2], lambda g: length(g))) AS gap,
+  generate_subscripts(tok, 1) AS pos FROM p WHERE len(tok) > 0),
+a AS (SELECT doc_id, text, n, size, gap + coalesce(sum(gap + size) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p0 FROM m),
+w AS (SELECT doc_id, text, greatest(0, p0 - 120) AS s, least(n, p0 + size + 120) AS e FROM a),
+f AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 64 THEN 0 ELSE 1 END AS new FROM w),
+g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS window_no FROM f)
+SELECT doc_id, window_no::BIGINT AS window_no, md5(substring(any_value(text), min(s)::BIGINT + 1, (max(e) - min(s))::BIGINT)) AS digest FROM g GROUP BY doc_id, window_no"""
+# the budget is a fold over the matches of a text, then a few rounds that give the head what is left
+O["focused_texts"] = """
+WITH RECURSIVE p AS (SELECT doc_id, text, length(text) AS n, string_split_regex(text, '[0-9]+|,[^,.\n]{90,}') AS gap,
+    regexp_extract_all(text, '[0-9]+|,[^,.\n]{90,}') AS tok FROM documents),
+m AS (SELECT doc_id, unnest(list_transform(tok, lambda t: length(t))) AS size, unnest(list_transform(gap[:-2], lambda g: length(g))) AS gap,
+  generate_subscripts(tok, 1) AS pos FROM p WHERE len(tok) > 0 AND n > 2000),
+a AS (SELECT doc_id, pos, size, gap + coalesce(sum(gap + size) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p0 FROM m),
+b AS (SELECT doc_id, n, k, budget, greatest(120, (budget - matched) // (2 * k)) AS ctx FROM (
+  SELECT a.doc_id, any_value(p.n) AS n, count(*) AS k, greatest(1200, count(*) * 260) AS budget, sum(size) AS matched FROM a JOIN p ON a.doc_id = p.doc_id GROUP BY a.doc_id)),
+fold(doc_id, pos, spans, dropped) AS (
+  SELECT doc_id, 0::BIGINT, CAST([] AS STRUCT(s BIGINT, e BIGINT)[]), 0 FROM b
+  UNION ALL
+  SELECT doc_id, pos,
+    CASE WHEN over THEN spans
+      WHEN len(spans) > 0 AND s <= spans[-1].e + 64 THEN list_append(spans[:-2], {'s': spans[-1].s, 'e': greatest(spans[-1].e, e)})
+      ELSE list_append(spans, {'s': s, 'e': e}) END,
+    dropped + CASE WHEN over THEN 1 ELSE 0 END FROM (
+    SELECT f.doc_id, a.pos, f.spans, f.dropped, greatest(0, p0 - ctx)::BIGINT AS s, least(b.n, p0 + size + ctx)::BIGINT AS e,
+      coalesce(list_sum(list_transform(f.spans, lambda x: x.e - x.s)), 0) + size + 2 * ctx > budget + 64 * len(f.spans) AS over
+    FROM fold f JOIN a ON a.doc_id = f.doc_id AND a.pos = f.pos + 1 JOIN b ON b.doc_id = f.doc_id)),
+whole AS (SELECT f.doc_id, f.spans, f.dropped FROM fold f JOIN b ON b.doc_id = f.doc_id AND b.k = f.pos),
+grow(doc_id, round, head, spans) AS (
+  SELECT doc_id, 0, 300::BIGINT, spans FROM whole
+  UNION ALL
+  SELECT doc_id, round + 1, greatest(head, greatest(300, least(1500 - coalesce(list_sum(list_transform(list_filter(spans, lambda x: x.e > head),
+      lambda x: x.e - greatest(x.s, head))), 0) - 128 * greatest(len(list_filter(spans, lambda x: x.e > head)), 1), 1500)))::BIGINT, spans
+  FROM grow WHERE round < 4),
+h AS (SELECT g.doc_id, g.head, w.dropped, list_transform(list_filter(g.spans, lambda x: x.e > g.head), lambda x: {'s': greatest(x.s, g.head), 'e': x.e}) AS spans
+  FROM grow g JOIN whole w ON w.doc_id = g.doc_id WHERE g.round = 4),
+t AS (
+  SELECT p.doc_id, CASE WHEN p.n <= 2000 THEN p.n WHEN h.doc_id IS NULL THEN 1500 ELSE h.head END AS head,
+    coalesce(len(h.spans), 0) AS kept, coalesce(h.dropped, 0) AS dropped,
+    CASE WHEN p.n <= 2000 THEN text
+      WHEN h.doc_id IS NULL THEN left(text, 1500) || mid || right(text, 500)
+      ELSE left(text, h.head) || chr(10) || chr(10) || '[... 截断:以下为关键内容保窗 ...]' || chr(10) || chr(10)
+        || coalesce(array_to_string(list_transform(h.spans, lambda x: substring(text, x.s + 1, x.e - x.s)), E'\\n\\n[... 中间内容已截断 ...]\\n\\n'), '') || mid
+        || CASE WHEN h.dropped > 0 THEN '[... 另有 ' || h.dropped || ' 个关键 token 窗口超出保留预算被丢弃 ...]' || chr(10) || chr(10) ELSE '' END || right(text, 500) END AS c
+  FROM (SELECT *, chr(10) || chr(10) || '[... 中间内容已截断 ...]' || chr(10) || chr(10) AS mid FROM p) p LEFT JOIN h ON h.doc_id = p.doc_id)
+SELECT doc_id, head::INT AS head, kept::INT AS kept, dropped::INT AS dropped, length(c) AS chars, md5(c) AS digest FROM t"""
 O["keep_ends"] = """
 SELECT doc_id, length(c) AS chars, md5(c) AS digest FROM (SELECT doc_id, CASE WHEN length(text) > 5000
   THEN left(text, 4000) || chr(10) || chr(10) || '[... 中间内容已截断 ...]' || chr(10) || chr(10) || right(text, 1000) ELSE text END AS c FROM documents)"""
@@ -301,6 +358,17 @@ SELECT doc_id::VARCHAR AS vendor, 'hard' AS severity, 'target_users' AS field, '
 UNION ALL SELECT doc_id::VARCHAR, 'hard', 'differentiation', 'singular key' FROM documents WHERE doc_id % 5 = 0
 UNION ALL SELECT doc_id::VARCHAR, 'warning', 'pitch', 'missing' FROM documents WHERE doc_id % 2 <> 0
 UNION ALL SELECT doc_id::VARCHAR, 'warning', 'evidence_urls', 'missing' FROM documents WHERE doc_id % 4 = 0"""
+O["untyped_documents"] = """
+WITH j AS (SELECT * FROM documents WHERE doc_id % 13 <> 0), v AS (SELECT * FROM j WHERE doc_id % 11 <> 0)
+SELECT doc_id AS id, 'hard' AS severity, '' AS path, 'no JSON' AS detail FROM documents WHERE doc_id % 13 = 0
+UNION ALL SELECT doc_id, 'hard', 'competitors', 'must be a list, is string' FROM j WHERE doc_id % 11 = 0
+UNION ALL SELECT doc_id, 'hard', 'competitors[0].pricing_tiers[0].billing_period', 'illegal period' FROM v WHERE doc_id % 5 = 0
+UNION ALL SELECT doc_id, 'hard', 'competitors[0].feature_catalog.X[0]', 'must be an object, is string' FROM v WHERE doc_id % 7 = 0
+UNION ALL SELECT doc_id, 'hard', 'opportunities[0].target_users', 'must be a list, is string' FROM j WHERE doc_id % 3 = 0
+UNION ALL SELECT doc_id, 'warning', 'opportunities[0].moat', 'missing' FROM j WHERE coalesce(text, '') = ''
+UNION ALL SELECT doc_id, 'warning', 'gaps[0]', 'old form' FROM j WHERE lang = 'en'
+UNION ALL SELECT doc_id, 'warning', 'comparison_matrix', 'missing' FROM j WHERE doc_id % 4 = 0
+UNION ALL SELECT doc_id, 'warning', 'feature_catalog', 'unified names: 0 of 1' FROM v WHERE doc_id % 7 <> 0 AND doc_id % 2 <> 0"""
 O["loose_gaps"] = "SELECT doc_id::VARCHAR AS vendor, 'warning' AS severity, 'gap' AS field, 'old form' AS detail FROM documents WHERE lang = 'en'"
 _UNESC = "regexp_replace(h, '<[^>]+>', ' ', 'g')"
 for _e, _c in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]:

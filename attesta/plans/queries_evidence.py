@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from attesta import constants as K
 from attesta.functions import prices as P, text as T, urls as U
-from attesta.operators import captures as C, claims as Q, gates as G, links as L, votes as V
+from attesta.operators import captures as C, claims as Q, documents as D, gates as G, links as L, votes as V
 from attesta.operators.components import settle
 from attesta.plans import views as W
 
@@ -174,9 +174,31 @@ def safe_quotes(s, d) -> DataFrame:
     return C.safe_quotes(W.captures(s, d), ["page_id"])
 
 
+LINE_PATTERNS = [r"\d{2,}", r"price|plan", r"\bthe\b.*[.]$", r"er.+and"]
+
+
+def line_search(s, d) -> DataFrame:
+    """Four patterns searched in every page's captures, all lines."""
+    pages = W.table(s, d, "pages").select("url").distinct()
+    asked = pages.select(F.posexplode(F.array(*[F.lit(p) for p in LINE_PATTERNS])).alias("pid", "pattern"), "url")
+    return C.search_lines(W.captures(s, d), asked).select("pid", "url", F.col("nth").cast("long").alias("nth"), "engine", F.md5("line").alias("line"))
+
+
 def number_windows(s, d) -> DataFrame:
     """Evidence windows around digit runs in documents."""
-    return C.evidence_windows(W.table(s, d, "documents"), ["doc_id"], "text", r"[0-9]+", 120, 64)
+    return C.evidence_windows(W.table(s, d, "documents"), ["doc_id"], "text", r"[0-9]+", 120, 64).drop("text")
+
+
+def window_texts(s, d) -> DataFrame:
+    """The text of the windows around digit runs in documents."""
+    w = C.evidence_windows(W.table(s, d, "documents"), ["doc_id"], "text", r"[0-9]+")
+    return w.select("doc_id", "window_no", F.md5("text").alias("digest"))
+
+
+def focused_texts(s, d) -> DataFrame:
+    """Documents reduced to head, tail and the windows of numbers and long clauses between, within a budget."""
+    f = C.focused_texts(W.table(s, d, "documents"), ["doc_id"], "text", r"[0-9]+|,[^,.\n]{90,}", max_chars=2000, tail_chars=500, head_chars=300)
+    return f.select("doc_id", "head", F.size("windows").alias("kept"), F.size("dropped").alias("dropped"), F.length("text").alias("chars"), F.md5("text").alias("digest"))
 
 
 def keep_ends(s, d) -> DataFrame:
@@ -367,6 +389,29 @@ def _opportunities(s, d) -> DataFrame:
     return W.table(s, d, "documents").select("doc_id", js.alias("doc"))
 
 
+def untyped_documents(s, d) -> DataFrame:
+    """Whole analysis documents as JSON texts, one per document row, some of them broken in one of seven ways."""
+    return D.untyped_contract(_analyses(s, d), "doc_id", "doc", _unified(s)).select("id", "severity", "path", "detail")
+
+
+def _unified(s) -> DataFrame:
+    return s.createDataFrame([("Inbox", False), ("收件箱", False)], "alias string, phrase boolean")
+
+
+def _analyses(s, d) -> DataFrame:
+    k = F.col("doc_id")
+    pick = lambda every, yes, no: F.when(k % every == 0, F.lit(yes)).otherwise(F.lit(no))
+    vendor = F.concat(F.lit('[{"name":'), _quoted(F.col("source")), F.lit(',"pricing_tiers":[{"name":"Pro","billing_period":'), pick(5, '"一次性"', '"/mo"'),
+                      F.lit('}],"feature_catalog":{"X":['), pick(7, '"Inbox"', ""),
+                      F.when(k % 7 != 0, F.concat(F.lit('{"name":'), F.when(k % 2 == 0, F.lit('"新版收件箱"')).otherwise(_quoted(F.col("lang"))), F.lit("}"))).otherwise(F.lit("")), F.lit("]}}]"))
+    js = F.concat(F.lit('{"competitors":'), F.when(k % 11 == 0, F.lit('"none listed"')).otherwise(vendor),
+                  F.lit(',"opportunities":[{"title":"t","target_users":'), pick(3, '"teams"', '["teams"]'),
+                  F.lit(',"differentiators":["x"],"pitch":"p","moat":'), _quoted(F.col("text")), F.lit(',"evidence_urls":["u"]}],"gaps":[{'),
+                  F.when(F.col("lang") == "en", F.lit('"title"')).otherwise(F.lit('"gap"')), F.lit(':"g"}],"comparison_matrix":'), pick(4, "{}", '{"X":{}}'),
+                  F.lit(',"feature_overlap":{"f":["X"]}}'))
+    return W.table(s, d, "documents").select("doc_id", F.when(k % 13 == 0, F.substring(js, F.lit(1), F.length(js) - 1)).otherwise(js).alias("doc"))
+
+
 def loose_gaps(s, d) -> DataFrame:
     """Gap documents as JSON texts that hold the document's text: English ones in the old form."""
     return G.loose_gaps(_gap_documents(s, d), "doc_id", "doc").select("vendor", "severity", "field", "detail")
@@ -416,7 +461,7 @@ def _snapshots(s, d) -> DataFrame:
 QUERIES = {f.__name__: f for f in [
     price_votes, price_verified, tokens_per_engine, price_forms, plan_savings, price_sufficiency, tier_problems, commercial_model,
     price_display, vendor_price_display, price_lines, cached_price, capture_meta, capture_quality, capture_primary, capture_lines, ledger_build, failure_rows,
-    ledger_merge, merged_text, safe_quotes, number_windows, keep_ends, variant_lines, extractor_stats, extractor_order, next_engines,
+    ledger_merge, merged_text, safe_quotes, line_search, number_windows, window_texts, focused_texts, keep_ends, variant_lines, extractor_stats, extractor_order, next_engines,
     url_types, safe_urls, page_links, link_targets, robots_allowed, extra_urls, claims_flat, evidence_urls, claims_traceable,
     quotes_found, quotes_anywhere, verified_prices, silent_failures, honest_gaps, fabrication, placeholders, url_violations,
-    structure_contract, loose_structure, loose_gaps, gate_report, gate_verdict, link_probes, quote_drift]}
+    structure_contract, loose_structure, untyped_documents, loose_gaps, gate_report, gate_verdict, link_probes, quote_drift]}
