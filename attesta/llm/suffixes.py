@@ -182,7 +182,8 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id",
     ranks = texts.select("text").mapInPandas(first, "rank bigint, n bigint").groupBy("rank").agg(F.sum("n").alias("n"))
     rows = texts.select("t1", "t2", "text").mapInPandas(
         every, "t1 bigint, t2 bigint, place bigint, lo int, hi int, rank bigint, h1 bigint, h2 bigint")
-    met = keep(rows.join(ranks.where("n > 1").select("rank"), "rank"))
+    # what a join meets is written before, so the rows of a frequent rank can be split while they are joined
+    met = keep(rows.join(keep(ranks.where("n > 1").select("rank")), "rank"))
 
     alike = keep(met.groupBy("h1", "h2").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("rank", "t1", "t2", "place", "lo", "hi")]))
     settled = (met.join(alike.where("n > 1").select("h1", "h2"), ["h1", "h2"])
@@ -191,7 +192,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id",
         return settled
 
     mixed = alike.groupBy("rank").agg(F.count("*").alias("ways"), F.count_if(F.col("n") == 1).alias("single")).where("ways > 1 AND single > 0")
-    open_ = keep(alike.join(mixed.select("rank"), "rank"))
+    open_ = keep(alike.join(keep(mixed.select("rank")), "rank"))
     spots = open_.groupBy("t1", "t2").agg(F.collect_list(F.struct("h1", "h2", "n", "rank", "place", "lo", "hi")).alias("spots"))
     # of the rows with a text one, that with the least hash of its id, gives the bytes
     asked = texts.select("t1", "t2", "who").join(spots.select("t1", "t2"), ["t1", "t2"], "left_semi").groupBy("t1", "t2").agg(F.min("who").alias("who"))
@@ -214,7 +215,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id",
         if width == 1:
             break
         more = same.groupBy("rank").agg(F.count("*").alias("ways"), F.count_if(F.col("all") == 1).alias("single")).where("ways > 1 AND single > 0")
-        left = same.join(more.select("rank"), "rank").select("h1", "h2", F.col("all").alias("n"), "rank", "at")
+        left = same.join(keep(more.select("rank")), "rank").select("h1", "h2", F.col("all").alias("n"), "rank", "at")
         level = left.join(surroundings.select("h1", "h2", "lo", "hi", "ctx"), ["h1", "h2"])
         width //= WAYS
     found = hits.join(open_.select("h1", "h2", "t1", "t2", "place"), ["h1", "h2"]).select(
