@@ -4,6 +4,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -124,20 +125,20 @@ def crossings(units: list[Unit], first: int, last: int) -> list[int]:
 
 
 # ------------------------------------------------------------------ in tasks
-def runs_of(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """The groups of equal keys of sorted rows."""
+def runs_of(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[tuple[int, int]]]]:
+    """Sorted rows and where in them each (dialogue, unit) starts and stops, every unit whole."""
     rest = None
     for batch in batches:
         if not len(batch):
             continue
         rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-        new = (rows[keys] != rows[keys].shift()).any(axis=1).to_numpy()
-        cuts = [*new.nonzero()[0].tolist(), len(rows)]
-        for a, b in zip(cuts[:-2], cuts[1:-1]):
-            yield rows.iloc[a:b]
-        rest = rows.iloc[cuts[-2]:]
+        dialogue, unit = rows["dialogue"].to_numpy(), rows["unit"].to_numpy()
+        cuts = np.flatnonzero(np.r_[True, (dialogue[1:] != dialogue[:-1]) | (unit[1:] != unit[:-1])]).tolist()
+        rest = rows.iloc[cuts[-1]:]
+        if len(cuts) > 1:
+            yield rows.iloc[:cuts[-1]], list(zip(cuts, cuts[1:]))
     if rest is not None:
-        yield rest
+        yield rest, [(0, len(rest))]
 
 
 def _units(rows: pd.DataFrame) -> list[Unit]:
@@ -149,50 +150,43 @@ def _units(rows: pd.DataFrame) -> list[Unit]:
 
 def merge_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One unit for each (dialogue, unit) of sorted rows."""
-    out = []
-    for rows in runs_of(batches, ["dialogue", "unit"]):
-        cost, order = merged(_units(rows))
-        out.append((rows["dialogue"].iloc[0], rows["unit"].iloc[0], [x for r in cost for x in r], [x for r in order for x in r]))
-    yield pd.DataFrame(out, columns=["dialogue", "place", "cost", "order"])
+    for rows, cuts in runs_of(batches):
+        units, out = _units(rows), []
+        for a, b in cuts:
+            cost, order = merged(units[a:b])
+            out.append((rows["dialogue"].iloc[a], rows["unit"].iloc[a], [x for r in cost for x in r], [x for r in order for x in r]))
+        yield pd.DataFrame(out, columns=["dialogue", "place", "cost", "order"])
 
 
 def enter_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The states before and after each child of the units of sorted rows; a last of -1 is still free."""
-    for rows in runs_of(batches, ["dialogue", "unit"]):
-        units = _units(rows)
-        first, last = int(rows["first"].iloc[0]), int(rows["last"].iloc[0])
-        states = crossings(units, first, last_state(units, first) if last < 0 else last)
-        yield pd.DataFrame({"dialogue": rows["dialogue"], "unit": rows["place"], "first": states[:-1], "last": states[1:]})
+    for rows, cuts in runs_of(batches):
+        units, firsts, lasts = _units(rows), rows["first"].tolist(), rows["last"].tolist()
+        before, after = [], []
+        for a, b in cuts:
+            states = crossings(units[a:b], firsts[a], last_state(units[a:b], firsts[a]) if lasts[a] < 0 else lasts[a])
+            before += states[:-1]
+            after += states[1:]
+        yield pd.DataFrame({"dialogue": rows["dialogue"], "unit": rows["place"], "first": before, "last": after})
 
 
 def edit_turns(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[pd.DataFrame]:
     """The edits at every turn of the units of sorted rows, and the roles they give."""
     known: dict[tuple, tuple[list[str], list[str]]] = {}
-
-    def whole() -> Iterator[pd.DataFrame]:
-        for rows in runs_of(batches, ["dialogue", "unit"]):
-            kinds = tuple(rows["kind"].tolist())
-            first, last, ends = int(rows["first"].iloc[0]), int(rows["last"].iloc[0]), bool(rows["ends"].iloc[0])
-            asked = (kinds, first, last, ends)
-            if len(kinds) > 32:
-                edits, gives = _edits(*asked)
+    for rows, cuts in runs_of(batches):
+        kinds, firsts, lasts, ends = (rows[c].tolist() for c in ("kind", "first", "last", "ends"))
+        edits, gives = [], []
+        for a, b in cuts:
+            asked = (tuple(kinds[a:b]), firsts[a], lasts[a], ends[a])
+            if b - a > 32:
+                found = _edits(*asked)
             else:
-                if asked not in known:
-                    if len(known) > 10_000:
-                        known.clear()
-                    known[asked] = _edits(*asked)
-                edits, gives = known[asked]
-            yield rows.assign(edits=edits, gives=gives)
-
-    held, n = [], 0
-    for rows in whole():
-        held.append(rows)
-        n += len(rows)
-        if n >= 4096:
-            yield pd.concat(held)[columns]
-            held, n = [], 0
-    if held:
-        yield pd.concat(held)[columns]
+                if len(known) > 10_000:
+                    known.clear()
+                found = known[asked] if asked in known else known.setdefault(asked, _edits(*asked))
+            edits += found[0]
+            gives += found[1]
+        yield rows.assign(edits=edits, gives=gives)[columns]
 
 
 def _edits(kinds: tuple, first: int, last: int, ends: bool) -> tuple[list[str], list[str]]:
@@ -244,7 +238,9 @@ def turn_faults(turns: DataFrame, conv: str, turn: str, role: str, text: str) ->
 
 
 def _sorted(df: DataFrame) -> DataFrame:
-    return df.repartition("dialogue", "unit").sortWithinPartitions("dialogue", "unit", "place")
+    # a number of partitions of its own: the rows are small, the work on them is not
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, "dialogue", "unit").sortWithinPartitions("dialogue", "unit", "place")
 
 
 def unit_states(turns: DataFrame, block: int) -> DataFrame:
