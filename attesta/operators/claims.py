@@ -1,12 +1,9 @@
 """Claims: flattening vendor documents, citing captures, finding quotes."""
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
-from attesta.functions import text as T
-from attesta.operators.components import ensure_checkpoint_dir
+from attesta.functions import text as T, windows as V
 
 SINGLES = ["pricing_source", "tagline_source", "founded_source", "headquarters_source", "team_size_source"]
 # fields whose quote must occur verbatim on the cited page
@@ -69,98 +66,137 @@ def evidence_urls(claims: DataFrame, order: list[str]) -> DataFrame:
     return cited(claims).groupBy("vendor", "source_url").agg(F.min(F.struct(*order)).alias("first"))
 
 
+QUOTES_AT_ONCE = 256          # quotes of a page that meet one of its texts in one row
+
+
 def find_quotes(claims: DataFrame, captures: DataFrame) -> DataFrame:
     """Adds `found`: the quote occurs verbatim in some capture of the cited url, a blank quote anywhere.
 
-    Every (url, quote) is asked once.  Captures nobody cites go before their texts are brought into
-    normal form; a text meets the quotes of its url row by row, and only the answers go back to the claims.
+    Every (url, quote) is asked once.  The quotes of a page are dealt to lists of about QUOTES_AT_ONCE; a text moves
+    once, as it is, and meets a list in one row: its plain normal form is searched first, the form without
+    links only for what that does not hold.  Only answers go back to the claims, under hashes of the quotes.
     """
     q = claims.withColumn("__q", T.norm_ws(F.col("quote")))
-    asked = q.where((F.col("__q") != "") & (F.col("source_url") != "")).select("source_url", "__q").distinct()
-    texts = captures.select(F.col("url").alias("source_url"), "text").join(asked.select("source_url").distinct(), "source_url", "left_semi")
-    forms = texts.select("source_url", F.explode(F.array_distinct(F.array(T.norm_ws(F.col("text")), T.norm_stripped(F.col("text"))))).alias("form"))
-    answers = (asked.join(forms, "source_url").where(F.contains("form", F.col("__q"))).select("source_url", "__q").distinct()
-               .withColumn("__hit", F.lit(True)))
-    joined = q.join(answers, ["source_url", "__q"], "left")
-    return joined.withColumn("found", (F.col("__q") == "") | F.coalesce("__hit", F.lit(False))).drop("__hit", "__q")
+    q = q.withColumns({"__h1": F.xxhash64(F.lit(1), "__q"), "__h2": F.xxhash64(F.lit(2), "__q")})
+    asked = (q.where((F.col("__q") != "") & (F.col("source_url") != "")).groupBy("source_url", "__h1", "__h2").agg(F.first("__q").alias("__q")))
+    many = asked.groupBy("source_url").agg(F.ceil(F.count("*") / QUOTES_AT_ONCE).alias("__lists"))
+    lists = (asked.join(many, "source_url").groupBy("source_url", F.pmod("__h1", "__lists").alias("__list"))
+             .agg(F.collect_list(F.struct("__h1", "__h2", "__q")).alias("__asked")))
+    texts = captures.where(F.coalesce(F.col("text"), F.lit("")) != "").select(F.col("url").alias("source_url"), "text")
+
+    def marked(form: Column, asked: Column) -> Column:
+        return V.bound(form, lambda f: F.transform(asked, lambda a: F.struct(a["__h1"].alias("__h1"), a["__h2"].alias("__h2"), a["__q"].alias("__q"), F.contains(f, a["__q"]).alias("hit"))))
+
+    def hits(marks: Column) -> Column:
+        return F.filter(marks, lambda a: a["hit"])
+
+    def search(asked: Column) -> Column:
+        return V.bound(marked(T.norm_ws(F.col("text")), asked), lambda m: F.when(F.forall(m, lambda a: a["hit"]), m).otherwise(F.concat(
+            hits(m), hits(marked(T.norm_stripped(F.col("text")), F.filter(m, lambda a: ~a["hit"]))))))
+
+    answers = (lists.join(texts, "source_url").select("source_url", F.inline(F.transform(search(F.col("__asked")), lambda a: F.struct(a["__h1"].alias("__h1"), a["__h2"].alias("__h2")))))
+               .toDF("source_url", "__h1", "__h2").distinct().withColumn("__hit", F.lit(True)))
+    joined = q.join(answers, ["source_url", "__h1", "__h2"], "left")
+    return joined.withColumn("found", (F.col("__q") == "") | F.coalesce("__hit", F.lit(False))).drop("__hit", "__q", "__h1", "__h2")
 
 
 # ------------------------------------------------------------------ quotes without a url
-def _grams(words: Column, n: int) -> Column:
-    """Hashes of the n-word windows of a word array, each once."""
-    h = F.transform(words, lambda w: F.xxhash64(w))
-    if n == 1:
-        return F.array_distinct(h)
+WINDOWS = (2, 4, 6)           # words of the windows that quotes are met by
+EDGE = 3                      # characters of a word that a quote may cut
+ONE, TWO, THREE = 11, 12, 13  # kinds of keys of quotes of one to three words; others: the words of their window
+BIT_ROWS = 1 << 15            # the bitmap of keys holds this many times 64 bits, whatever the number of quotes
 
-    def windows(hashes: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.size(hashes) - n)
-        return F.transform(starts, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(n)]))
-    # the one-element array binds the word hashes, so they are computed once per text
-    grams = F.get(F.transform(F.array(h), windows), F.lit(0))
-    return F.when(F.size(words) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<bigint>"))
 
+def _window(hashes: Column, at: Column, n: int) -> Column:
+    return F.xxhash64(F.lit(n), *[F.get(hashes, at + k) for k in range(n)])
 
-def _anchored_pairs(quotes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """(qid, doc_id) candidates that share the quote's rarest inner n-word window.
 
-    The first and last word of a quote may be cut inside a word of the text, the inner words may
-    not, so every text that holds the quote holds all its inner windows; the rarest is enough.
-    """
-    inner = F.slice("words", F.lit(2), F.size("words") - 2)
-    q = quotes.select("qid", F.explode(_grams(inner, n)).alias("gram"))
-    d = docs.select("doc_id", F.explode(_grams(F.col("words"), n)).alias("gram"))
-    ensure_checkpoint_dir(docs.sparkSession)
-    # read twice below; windows over all texts are computed once
-    matched = d.join(q.select("gram").distinct(), "gram", "left_semi").checkpoint()
-    counts = matched.groupBy("gram").agg(F.count("*").alias("df"))
-    anchor = (q.join(counts, "gram").groupBy("qid").agg(F.min(F.struct("df", "gram")).alias("a"))
-              .select("qid", F.col("a.gram").alias("gram")))
-    return anchor.join(matched, "gram").select("qid", "doc_id")
-
-
-def _word_pairs(quotes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(qid, doc_id) candidates of quotes of one or two words.
-
-    The distinct words of all texts are searched by character grams, so only words that hold the
-    longest quote word lead to texts.
+def _quote_key(w: Column) -> Column:
+    """struct(m, kind, off, key) of a quote's words: their number, and the kind, first word and value of its key.
+
+    The first and last word of a quote may be cut inside a word of the text, the inner words may not.  A quote of four
+    words or more is met by a window of its inner words, the longest in characters; shorter ones by what a
+    word of the text must end and begin with.
     """
-    q = quotes.select("qid", F.array_max(F.transform("words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))).alias("m"))
-    q = q.select("qid", F.col("m.w").alias("part"), F.least(F.col("m.n"), F.lit(3)).alias("size"))
-    q = q.withColumn("gram", F.expr("substring(part, 1, size)"))
-    words = docs.select("doc_id", F.explode(F.array_distinct("words")).alias("word"))
-    vocab = words.select("word").distinct()
-    grams = vocab.select("word", F.explode(F.expr(
-        "array_distinct(flatten(transform(sequence(1, 3), n -> "
-        "transform(sequence(1, greatest(length(word) - n + 1, 1)), i -> substring(word, i, n)))))")).alias("gram"))
-    held = (q.join(grams, "gram").where(F.contains("word", "part")).select("qid", "word").distinct())
-    return held.join(words, "word").select("qid", "doc_id").distinct()
+    m = F.size(w)
+    word = lambda k: F.get(w, F.lit(k))
+    head = lambda c: F.substring(c, 1, EDGE)
+    tail = lambda c: F.when(F.length(c) > EDGE, F.substring(c, -EDGE, EDGE)).otherwise(c)
+
+    def told(kind: int, off: Column, key: Column) -> Column:
+        return F.struct(m.alias("m"), F.lit(kind).alias("kind"), off.cast("int").alias("off"), key.alias("key"))
+
+    def by_window(n: int) -> Column:
+        places = F.transform(F.sequence(F.lit(1), m - 1 - n), lambda i: F.struct(F.length(F.array_join(F.slice(w, i + 1, F.lit(n)), "")).alias("long"), (-i).alias("at")))
+        return V.bound(-F.array_max(places)["at"], lambda off: told(n, off, _window(F.transform(w, lambda x: F.xxhash64(x)), off, n)))
+
+    out = (F.when(m == 1, told(ONE, F.lit(0), F.xxhash64(F.lit(ONE), head(word(0)))))
+           .when(m == 2, told(TWO, F.lit(0), F.xxhash64(F.lit(TWO), tail(word(0)), head(word(1)))))
+           .when(m == 3, told(THREE, F.lit(0), F.xxhash64(F.lit(THREE), tail(word(0)), word(1), head(word(2))))))
+    for n in reversed(WINDOWS):
+        out = out.when(m >= n + 2, by_window(n))
+    return out
+
+
+def _text_keys(words: Column, hashes: Column, kinds: Column, known) -> Column:
+    """(at, key) of every place of a text where a key that is asked for may stand; kinds nobody asks for are not computed."""
+    none = F.array().cast("array<struct<at: int, key: bigint>>")
+    size = F.size(words)
+    word = lambda i: F.get(words, i)
+    edges = F.array(*[F.lit(k) for k in range(1, EDGE + 1)])
+    ends = lambda c: F.transform(edges, lambda k: F.substring(c, -k, k))
+    starts = lambda c: F.transform(edges, lambda k: F.substring(c, F.lit(1), k))
+
+    def each(kind: int, n: int, keys) -> Column:
+        at = F.sequence(F.lit(0), size - n)
+        found = F.transform(at, lambda i: F.transform(F.filter(keys(i), known), lambda h: F.struct(i.alias("at"), h.alias("key"))))
+        return F.when((F.getbit(kinds, F.lit(kind)) == 1) & (size >= n), F.flatten(found)).otherwise(none)
+
+    def two(i: Column) -> Column:
+        return F.flatten(F.transform(ends(word(i)), lambda a: F.transform(starts(word(i + 1)), lambda b: F.xxhash64(F.lit(TWO), a, b))))
+
+    def three(i: Column) -> Column:
+        return F.flatten(F.transform(ends(word(i)), lambda a: F.transform(starts(word(i + 2)), lambda b: F.xxhash64(F.lit(THREE), a, word(i + 1), b))))
+
+    def one(i: Column) -> Column:
+        inside = F.sequence(F.lit(1), F.greatest(F.length(word(i)), F.lit(1)))
+        return F.flatten(F.transform(inside, lambda p: F.transform(edges, lambda k: F.xxhash64(F.lit(ONE), F.substring(word(i), p, k)))))
+
+    parts = [each(n, n, lambda i, n=n: F.array(_window(hashes, i, n))) for n in WINDOWS]
+    edged = [each(kind, n, lambda i, keys=keys: F.array_distinct(keys(i))) for kind, n, keys in ((TWO, 2, two), (THREE, 3, three), (ONE, 1, one))]
+    return F.concat(*parts, *edged)
 
 
 def find_passages(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     """Every (item_id, doc_id) whose text holds the quote, both white-space normalised.
 
-    quotes(item_id, quote), docs(doc_id, text).  Equal quotes are searched once.  Long quotes are
-    anchored on six-word windows, shorter ones on single inner words, one- and two-word quotes on
-    the vocabulary; candidates are then checked on the whole text.
+    quotes(item_id, quote), docs(doc_id, text).  Equal quotes are searched once.  Every quote has one key; a
+    bitmap of all keys, of a fixed size, comes to the texts where they lie.  Only places of a text whose key is in
+    the bitmap become rows, with the words around them, so the check is done there and no text is moved.
     """
     norm = quotes.select("item_id", T.norm_ws(F.col("quote")).alias("q")).where(F.col("q") != "")
-    unique = norm.select("q").distinct().select(
-        F.sha2("q", 256).alias("qid"), "q", F.split("q", " ").alias("words"))
-    flat = docs.select("doc_id", T.norm_ws(F.col("text")).alias("flat"))
-    toks = flat.select("doc_id", F.split("flat", " ").alias("words"))
-    n = F.size("words")
-    sizes = unique.agg(F.count_if(n >= 8), F.count_if((n >= 3) & (n < 8)), F.count_if(n < 3)).first()
-    parts = []
-    if sizes[0]:
-        parts.append(_anchored_pairs(unique.where(n >= 8), toks, 6))
-    if sizes[1]:
-        parts.append(_anchored_pairs(unique.where((n >= 3) & (n < 8)), toks, 1))
-    if sizes[2]:
-        parts.append(_word_pairs(unique.where(n < 3), toks))
-    if not parts:
-        return norm.select("item_id").join(docs.select("doc_id"), F.lit(False))
-    cand = reduce(DataFrame.unionByName, parts)
-    hit = (cand.join(unique.select("qid", "q"), "qid").join(flat, "doc_id")
-           .where(F.contains("flat", "q")).select("qid", "doc_id"))
-    asked = norm.select("item_id", F.sha2("q", 256).alias("qid"))
-    return asked.join(hit, "qid").select("item_id", "doc_id").distinct()
+    asked = norm.select("q").distinct().select("q", V.bound(F.split("q", " "), _quote_key).alias("k")).select("q", "k.*")
+    spark = docs.sparkSession
+    row = lambda h: F.shiftrightunsigned(h, 6) % BIT_ROWS
+    bits = asked.groupBy(row(F.col("key")).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 63 as int))")).alias("b"))
+    whole = F.array_sort(F.collect_list(F.struct("id", F.coalesce("b", F.lit(0).cast("long")).alias("b"))))
+    bitmap = spark.range(BIT_ROWS).join(bits, "id", "left").agg(F.transform(whole, lambda x: x["b"]).alias("bitmap")).scalar()
+    kinds = asked.agg(F.coalesce(F.bit_or(F.expr("shiftleft(1L, kind)")), F.lit(0).cast("long"))).scalar()
+    most = asked.agg(F.coalesce(F.max("m"), F.lit(0))).scalar()
+    words = docs.select("doc_id", F.split(T.norm_ws(F.col("text")), " ").alias("words"))
+    # each of these is named once below, so the bitmap stays in the plan and is copied into no row
+    texts = words.withColumns({"bitmap": bitmap, "kinds": kinds, "most": most})
+
+    def near(e: Column) -> Column:
+        known = lambda h: F.getbit(F.get(e["bitmap"], row(h).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1
+        return F.transform(_text_keys(F.col("words"), e["hashes"], e["kinds"], known), lambda p: V.bound(
+            F.greatest(p["at"] - e["most"], F.lit(0)), lambda s: F.struct(
+                p["at"].alias("at"), p["key"].alias("key"), s.alias("first"), F.slice("words", s + 1, p["at"] - s + e["most"] + 1).alias("near"))))
+
+    told = F.struct("bitmap", "kinds", "most", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    # outer: else a filter on the list's size would compute it a second time
+    places = texts.select("doc_id", V.bound(told, near).alias("places")).select("doc_id", F.inline_outer("places")).where(F.col("key").isNotNull())
+    start = F.col("at") - F.col("off") - F.col("first")
+    there = F.array_join(F.slice("near", F.greatest(start, F.lit(0)) + 1, F.col("m")), " ")
+    hit = places.join(asked, "key").where((start >= 0) & F.contains(there, F.col("q")))
+    return norm.join(hit.select("q", "doc_id").distinct(), "q").select("item_id", "doc_id").distinct()
