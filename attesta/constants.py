@@ -194,7 +194,7 @@ NAME_BANNER = (
     r"|\{[^}]*\\[a-z][^}]*\}"
     r"|accept\s+(all|cookies)|cookie\s+preferences|do\s+not\s+sell|opt-out"
     r"|cookie\s+icon|^\s*(allow all|reject all|got it|dismiss)\s*$"
-    r"|[؀-ۿ]|^[\"“‘]|\["
+    r"|[؀-ۿ]|^[\"“‘]\["
 )
 NAME_NAV_WORDS = [
     "explorar", "descubrir", "descubre", "conocer más", "entdecken", "mehr erfahren",

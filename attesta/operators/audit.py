@@ -30,20 +30,40 @@ def page_coverage(vendors: DataFrame, ledger: DataFrame, third_party: DataFrame
                     .when(F.size(missing) <= 2, F.lit("partial")).otherwise(F.lit("gap")).alias("status"))
 
 
+def third_party_pages(vendors: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(vendor, url, kind): ok pages of other hosts whose name holds the first label of the vendor's domain.
+
+    vendors(vendor, site), ledger(url, status, kinds): help centers, app markets and sites of the group.  Every
+    stretch of a host's name is a key, so labels and hosts meet by equality and not pair by pair.
+    """
+    bare = lambda c: F.replace(c, F.lit("www."), F.lit(""))
+    home = vendors.select("vendor", bare(F.coalesce(F.nullif(U.host_of(F.col("site")), F.lit("")), F.col("site"))).alias("domain")).where("domain <> ''").distinct()
+    home = home.withColumn("part", F.split_part("domain", F.lit("."), F.lit(1))).where("part <> ''")
+    pages = ledger.where(F.col("status") == "ok").select("url", F.explode("kinds").alias("kind"), U.host_of(F.col("url")).alias("host"))
+    hosts = pages.select("host").distinct()
+    longest = home.agg(F.coalesce(F.max(F.length("part")), F.lit(0))).scalar()
+    starts = hosts.withColumn("longest", longest).select("host", "longest", F.explode(F.sequence(F.lit(1), F.greatest(F.length("host"), F.lit(1)))).alias("at"))
+    sizes = F.sequence(F.lit(1), F.greatest(F.least(F.length("host") - F.col("at") + 1, F.col("longest")), F.lit(1)))
+    keys = starts.select("host", F.explode(F.transform(sizes, lambda n: F.substring("host", F.col("at"), n))).alias("part")).distinct()
+    met = keys.join(home, "part").where(~F.contains(bare(F.col("host")), F.col("domain"))).select("vendor", "host").distinct()
+    return met.join(pages, "host").select("vendor", "url", "kind").distinct()
+
+
 def price_depth(vendors: DataFrame, tokens: DataFrame, ledger: DataFrame, tiers: DataFrame) -> DataFrame:
     """Status of each vendor's price evidence: ok, partial, gap or not-published.
 
     vendors(vendor, site, verified), tokens(vendor, engine, tokens), ledger(run, site, url, kinds),
-    tiers(vendor, plan, price, period).  No price token anywhere: a real price page plus another
-    probe or enough pages in the run that captured it means the vendor does not publish, else the
-    capture failed.
+    tiers(vendor, plan, price, period).  A site is judged by its newest run.  No price token anywhere: a
+    real price page plus another probe or enough pages in that run means the vendor does not publish, else
+    the capture failed.
     """
     shown = F.col("tokens") > 0
     eng = tokens.groupBy("vendor").agg(F.count_if(shown).alias("engines"), F.array_join(
-        F.array_sort(F.collect_set(F.when(shown, F.col("engine")))), "/").alias("engine_names"))
-    own = ledger.groupBy("site").agg(F.first("run").alias("run"), F.bool_or(
+        F.array_sort(F.collect_set("engine")), "/").alias("engine_names"))
+    own = ledger.groupBy("site", "run").agg(F.bool_or(
         F.array_contains("kinds", "pricing") & U.is_price_page(F.col("url"), K.AUDIT_PRICE_PAGE_SEGMENTS)).alias("genuine"),
         F.count_if(F.arrays_overlap("kinds", F.array(F.lit("pricing"), F.lit("docs"), F.lit("about")))).alias("own_probes"))
+    own = own.groupBy("site").agg(F.max_by(F.struct("run", "genuine", "own_probes"), "run").alias("o")).select("site", "o.*")
     runs = ledger.groupBy("run").agg(F.count("*").alias("pages"), F.count_if(F.arrays_overlap(
         "kinds", F.array(F.lit("pricing"), F.lit("docs"), F.lit("about")))).alias("probes"))
     free, custom = P.is_free_plan(F.col("plan"), F.col("price")), P.is_custom_plan(F.col("plan"), F.col("price"))
@@ -156,6 +176,24 @@ def feedback_problems(vendors: DataFrame) -> DataFrame:
     return s.where(F.coalesce("t.source", F.lit("")) == "").select("vendor", "idx", F.lit("no source").alias("problem"))
 
 
+def common_gap_status(vendors: DataFrame, gaps: DataFrame) -> DataFrame:
+    """ok, or partial for vendors that lack features most others list: gaps(vendor, feature)."""
+    g = gaps.groupBy("vendor").agg(F.count("*").alias("missing"))
+    return vendors.select("vendor").distinct().join(g, "vendor", "left").select(
+        "vendor", F.coalesce("missing", F.lit(0)).alias("missing"), F.when(F.coalesce("missing", F.lit(0)) == 0, F.lit("ok")).otherwise(F.lit("partial")).alias("status"))
+
+
+def audit_lists(table: DataFrame) -> DataFrame:
+    """(list, vendor, dimension): every unresolved gap, and every vendor that does not publish its prices."""
+    open_, silent = F.col("status") == "gap", (F.col("status") == "not-published") & (F.col("dimension") == "price_depth")
+    return table.where(open_ | silent).select(F.when(open_, F.lit("unresolved")).otherwise(F.lit("not_published")).alias("list"), "vendor", "dimension")
+
+
+def gap_actions(gaps: DataFrame) -> DataFrame:
+    """One action for each feature a vendor should be checked for: (vendor, dimension, action)."""
+    return gaps.select("vendor", F.lit("common_gaps").alias("dimension"), F.concat(F.lit("check in the captures: "), F.col("feature")).alias("action"))
+
+
 def audit_table(*dimensions: tuple[str, DataFrame]) -> DataFrame:
     """(vendor, dimension, status) of all audits."""
     out = None
@@ -184,10 +222,11 @@ def next_actions(table: DataFrame) -> DataFrame:
 def lessons(depth: DataFrame, vendors: DataFrame, ledger: DataFrame) -> DataFrame:
     """What the audit teaches about a domain: prices not published, or seen only in part.
 
-    depth is price_depth's result, vendors(vendor, site), ledger(site, url, kinds).  Each lesson has its
-    resolution, evidence, other sources (the price pages captured for the site) and a hint.
+    depth is price_depth's result, vendors(vendor, site), ledger(site, url, status, kinds).  Each lesson has its
+    resolution (the extractors that were counted), evidence, other sources (the price pages captured for the site
+    with status ok) and a hint.
     """
-    pages = (ledger.where(F.array_contains("kinds", "pricing")).groupBy("site")
+    pages = (ledger.where(F.array_contains("kinds", "pricing") & (F.col("status") == "ok")).groupBy("site")
              .agg(F.array_sort(F.collect_set("url")).alias("sources")))
     j = depth.join(vendors.select("vendor", "site"), "vendor").join(pages, "site", "left")
     absent = F.col("status") == "not-published"

@@ -137,7 +137,7 @@ def source_authority(claims: DataFrame) -> DataFrame:
 
 
 def structure_contract(vendors: DataFrame) -> DataFrame:
-    """Billing periods fall into the allowed channels; names and categories are present."""
+    """Billing periods fall into the allowed channels.  Shapes of untyped documents: documents.untyped_contract."""
     tiers = vendors.select(F.col("name").alias("vendor"), F.posexplode("pricing_tiers").alias("idx", "t"))
     bad = ~P.normal_period(F.trim(F.coalesce("t.billing_period", F.lit("")))).isin(K.VALID_PERIODS)
     return tiers.where(bad).select(
@@ -249,3 +249,15 @@ def report_check(vendors: DataFrame, sources: DataFrame, matrix: DataFrame) -> D
     one = lambda d, c: d.select(c).scalar()
     return v.select("*", one(s, "has_sources").alias("has_sources"), one(s, "one_row_per_url").alias("one_row_per_url"),
                     one(m, "matrix_filled").alias("matrix_filled"))
+
+
+def report_texts(summary: DataFrame, points: DataFrame) -> DataFrame:
+    """G9 on a report's texts, one row: a summary is there, derived points have sources and hold no placeholder.
+
+    summary(text), points(inspiration, source).
+    """
+    said = summary.agg(F.coalesce(F.bool_or(F.trim(F.coalesce("text", F.lit(""))) != ""), F.lit(False)).alias("summary_present"))
+    return points.agg(
+        F.coalesce(F.bool_and(F.coalesce("source", F.lit("")) != ""), F.lit(True)).alias("points_sourced"),
+        F.coalesce(F.bool_and(~F.contains(F.coalesce("inspiration", F.lit("")), F.lit(K.PLACEHOLDER))), F.lit(True)).alias("points_clean")).select(
+        said.scalar().alias("summary_present"), "points_sourced", "points_clean")

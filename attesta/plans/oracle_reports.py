@@ -208,9 +208,17 @@ _COV = f"""
     CASE len(list_filter({_EXP}, lambda k: NOT list_contains(got, k))) WHEN 0 THEN 'ok' WHEN 1 THEN 'partial' WHEN 2 THEN 'partial' ELSE 'gap' END AS status
   FROM (SELECT vendor, flatten(list(CASE WHEN status = 'ok' THEN kinds ELSE [] END)) AS got FROM led GROUP BY vendor)"""
 O["page_coverage"] = query(["led"], _COV)
+# a stretch of a host's name equals a label if the label is found inside it
+_THIRD = f"""SELECT DISTINCT v.vendor, l.url, unnest(l.kinds) AS kind FROM (SELECT DISTINCT vendor FROM led) v JOIN led l
+  ON l.status = 'ok' AND contains({host('l.url')}, split_part(replace(v.vendor, 'www.', ''), '.', 1)) AND NOT contains(replace({host('l.url')}, 'www.', ''), replace(v.vendor, 'www.', ''))"""
+O["third_party_pages"] = query(["led"], "SELECT 'of ' || vendor AS vendor, url, kind FROM third", {"third": _THIRD})
+O["coverage_elsewhere"] = query(["led"], f"""
+SELECT vendor, array_to_string(list_sort(list_filter({_EXP}, lambda k: NOT list_contains(got, k))), ',') AS missing,
+  CASE len(list_filter({_EXP}, lambda k: NOT list_contains(got, k))) WHEN 0 THEN 'ok' WHEN 1 THEN 'partial' WHEN 2 THEN 'partial' ELSE 'gap' END AS status
+FROM (SELECT vendor, list(kind) AS got FROM (SELECT vendor, unnest(CASE WHEN status = 'ok' THEN kinds ELSE [''] END) AS kind FROM led UNION ALL SELECT vendor, kind FROM third) GROUP BY vendor)""", {"third": _THIRD})
 _DEPTH = {
-    "tk": """SELECT 'V' || (p_partkey // 8) AS vendor, engine, sum(len(regexp_extract_all(text, '[$]|USD'))) AS tokens FROM ptext
-      WHERE (p_partkey // 8) % 5 <> 0 AND ((p_partkey // 8) % 5 <> 1 OR engine = 'jina') GROUP BY 1, 2""",
+    "tk": """SELECT 'V' || (p_partkey // 8) AS vendor, engine, sum(CASE WHEN (p_partkey // 8) % 5 <> 0 AND ((p_partkey // 8) % 5 <> 1 OR engine = 'jina')
+      THEN len(regexp_extract_all(text, '[$]|USD')) ELSE 0 END) AS tokens FROM ptext GROUP BY 1, 2""",
     "pl": f"""SELECT page_id, url AS site, CASE WHEN page_id % 10 = 0 THEN 'https://' || regexp_extract(url, '^https?://([^/]+)', 1) || '/pricing' ELSE url END AS url,
       {pick('page_id', ['pricing', 'docs', 'pricing', 'homepage', 'blog'])} AS kind FROM pages""",
     "tt": f"""SELECT 'V' || (ord // 8) AS vendor, count(*) AS tiers, bool_or(trim(period) <> '' AND NOT {has('period', K.AUDIT_ANNUAL)} AND {has('trim(period)', K.AUDIT_MONTHLY)}) AS monthly,
@@ -275,6 +283,13 @@ O["feedback_problems"] = query(["pg", "talk"], "SELECT vendor, CAST(pos AS INT)
 _AUD = {**_DEPTH, "fc": _FC, "fcs": _FCS, **_CPV, **_acc(""), "cov": _COV,
         "au": """SELECT vendor, 'page_coverage' AS dimension, status FROM cov UNION ALL SELECT vendor, 'price_depth', status FROM dep UNION ALL SELECT vendor, 'field_completeness', status FROM fcs
           UNION ALL SELECT vendor, 'price_votes', status FROM pvs UNION ALL SELECT vendor, 'quote_accuracy', status FROM qa"""}
+_CG = O["common_gaps"]
+O["gap_actions"] = f"SELECT vendor, 'common_gaps' AS dimension, 'check in the captures: ' || feature AS action FROM ({_CG})"
+O["common_gap_status"] = query(["pcat"], f"""SELECT v.vendor, count(g.feature) AS missing, CASE WHEN count(g.feature) = 0 THEN 'ok' ELSE 'partial' END AS status
+FROM (SELECT DISTINCT vendor FROM pcat) v LEFT JOIN ({_CG}) g ON g.vendor = v.vendor GROUP BY v.vendor""")
+O["audit_lists"] = query(["led", "ptext", "tier", "ptier", *_FN, *_QN], """
+SELECT CASE WHEN status = 'gap' THEN 'unresolved' ELSE 'not_published' END AS list, vendor, dimension FROM au
+WHERE status = 'gap' OR (status = 'not-published' AND dimension = 'price_depth')""", _AUD)
 O["audit_summary"] = query(["led", "ptext", "tier", "ptier", *_FN, *_QN], """
 SELECT dimension, status, count(*) AS n, status = 'gap' AS unresolved FROM au GROUP BY ROLLUP (dimension, status)""", _AUD)
 O["next_actions"] = query(["led", "ptext", "tier", "ptier", *_FN, *_QN], """
@@ -283,10 +298,10 @@ SELECT vendor, dimension, CASE dimension WHEN 'page_coverage' THEN 'capture the
 FROM au WHERE status IN ('gap', 'partial')""", _AUD)
 O["audit_lessons"] = query(["ptext", "tier"], f"""
 SELECT replace({host('site')}, 'www.', '') AS domain, vendor, CASE WHEN status = 'not-published' THEN 'pricing_not_published' ELSE 'pricing_single_period_or_engine' END AS issue,
-  CASE WHEN status = 'not-published' THEN 'confirmed_not_published' ELSE 'engines=' || coalesce((SELECT string_agg(engine, '/' ORDER BY engine) FROM tk WHERE tk.vendor = dep.vendor AND tokens > 0), 'none') END AS resolution,
+  CASE WHEN status = 'not-published' THEN 'confirmed_not_published' ELSE 'engines=' || coalesce((SELECT string_agg(engine, '/' ORDER BY engine) FROM tk WHERE tk.vendor = dep.vendor), 'none') END AS resolution,
   CASE WHEN status = 'not-published' THEN '官方定价页全引擎 0 价格 token | 替代路径已探测(help center/app市场/集团官网)'
     ELSE '月付:' || CASE WHEN monthly THEN 'True' ELSE 'False' END || ' 年付:' || CASE WHEN annual THEN 'True' ELSE 'False' END || '  priced_tiers:' || priced END AS evidence,
-  CASE WHEN status = 'not-published' THEN coalesce((SELECT string_agg(DISTINCT pl.url, ' ' ORDER BY pl.url) FROM pl WHERE pl.site = dep.site AND kind = 'pricing'), '') ELSE '' END AS alt_sources,
+  CASE WHEN status = 'not-published' THEN coalesce((SELECT string_agg(DISTINCT pl.url, ' ' ORDER BY pl.url) FROM pl WHERE pl.site = dep.site AND kind = 'pricing' AND page_id % 8 <> 4), '') ELSE '' END AS alt_sources,
   CASE WHEN status = 'not-published' THEN '下次运行直接采信「询价制」结论,跳过定价补爬,把预算让给功能/口碑深挖' ELSE '定价深挖抓手:月/年 toggle、JS 套餐卡片、help center 定价页、第三方比价页' END AS hint
 FROM dep WHERE status <> 'ok'""", _DEPTH)
 O["page_digest"] = query(["cap", "led"], f"""
@@ -415,6 +430,9 @@ O["budget_flags"] = """SELECT event_id AS ord, coalesce(sum(CAST(value AS DECIMA
 O["report_check"] = query(["pg", "cited", "cat"], """
 SELECT count(*) >= 3 AS three_vendors, bool_and(page_id % 9 <> 0) AS price_flag_present, bool_and(page_id % 2 = 1) AS conclusions_present, true AS conclusions_sourced,
   (SELECT count(*) FROM reg) > 0 AS has_sources, (SELECT count(*) = count(DISTINCT url) FROM reg) AS one_row_per_url, (SELECT count(*) FROM marks) > 0 AS matrix_filled FROM pg""", {"reg": _REG, **_M})
+O["report_texts"] = f"""SELECT (SELECT count(*) > 0 FROM documents WHERE lang = 'en' AND trim(coalesce(text, '')) <> '') AS summary_present,
+  coalesce(bool_and(coalesce(source, '') <> ''), true) AS points_sourced, coalesce(bool_and(NOT contains(coalesce(inspiration, ''), '待补充')), true) AS points_clean
+FROM ({O["inspiration_points"]})"""
 O["lesson_table"] = """SELECT 'd' || user_id % 50 || '.test' AS domain, event_type AS issue, count(*) AS runs_seen,
   arg_max('h' || CAST(floor(value) AS BIGINT), event_id) FILTER (event_id % 3 <> 0) AS hint,
   arg_max('r' || event_id % 100, event_id) FILTER (event_id % 4 <> 0) AS resolution, arg_max('e' || event_id % 100, event_id) FILTER (event_id % 5 <> 0) AS evidence,

@@ -160,6 +160,17 @@ def page_coverage(s, d) -> DataFrame:
     return A.page_coverage(_vendors(s, d), _site_ledger(s, d)).select("vendor", F.array_join("missing_kinds", ",").alias("missing"), "status")
 
 
+def third_party_pages(s, d) -> DataFrame:
+    """Pages of other hosts that name a vendor: one vendor for each first label of a host, which other hosts hold too."""
+    return A.third_party_pages(_vendors(s, d).withColumn("vendor", F.concat(F.lit("of "), F.col("vendor"))), _site_ledger(s, d))
+
+
+def coverage_elsewhere(s, d) -> DataFrame:
+    """Page coverage when third-party pages count."""
+    led, vendors = _site_ledger(s, d), _vendors(s, d)
+    return A.page_coverage(vendors, led, A.third_party_pages(vendors, led)).select("vendor", F.array_join(F.array_sort("missing_kinds"), ",").alias("missing"), "status")
+
+
 def _page_vendors(s, d) -> DataFrame:
     """One vendor per page with price tokens seen by extractors and part tiers."""
     return W.table(s, d, "pages").select("page_id", F.concat(F.lit("V"), F.col("page_id")).alias("vendor"), F.col("url").alias("site"),
@@ -181,6 +192,7 @@ def _run_ledger(s, d) -> DataFrame:
     pid = F.col("page_id")
     return W.table(s, d, "pages").select("page_id", F.expr("page_id div 4").alias("run"), F.col("url").alias("site"),
                                         F.when(pid % 10 == 0, F.concat(F.lit("https://"), W.host(F.col("url")), F.lit("/pricing"))).otherwise(F.col("url")).alias("url"),
+                                        F.when(pid % 8 == 4, "failed").otherwise("ok").alias("status"),
                                         F.array(W.pick(pid, ["pricing", "docs", "pricing", "homepage", "blog"])).alias("kinds"))
 
 
@@ -240,6 +252,25 @@ def _audit(s, d) -> DataFrame:
                          ("quote_accuracy", A.quote_accuracy(docs, W.captures(s, d))))
 
 
+def _gap_vendors(s, d) -> tuple[DataFrame, DataFrame]:
+    return W.plain_catalog(s, d).select("vendor").distinct(), common_gaps(s, d)
+
+
+def common_gap_status(s, d) -> DataFrame:
+    """The audit dimension of features that most other vendors list."""
+    return A.common_gap_status(*_gap_vendors(s, d))
+
+
+def audit_lists(s, d) -> DataFrame:
+    """Unresolved gaps and vendors without published prices, over six dimensions."""
+    vendors, gaps = _gap_vendors(s, d)
+    return A.audit_lists(_audit(s, d).unionByName(A.audit_table(("common_gaps", A.common_gap_status(vendors, gaps)))))
+
+
+def gap_actions(s, d) -> DataFrame:
+    return A.gap_actions(common_gaps(s, d))
+
+
 def audit_summary(s, d) -> DataFrame:
     return A.audit_summary(_audit(s, d))
 
@@ -438,6 +469,11 @@ def report_check(s, d) -> DataFrame:
     return G.report_check(W.vendor_documents(s, d), M.source_register(_register_claims(s, d)), X.feature_rows(X.feature_marks(_named(s, d))))
 
 
+def report_texts(s, d) -> DataFrame:
+    """Checks on the summary (here the English documents) and on the points derived for every vendor."""
+    return G.report_texts(W.table(s, d, "documents").where("lang = 'en'").select("text"), M.inspiration_points(W.vendor_documents(s, d)))
+
+
 def lesson_table(s, d) -> DataFrame:
     """Lessons after all sightings: runs seen, last sight, latest hint, resolution, evidence and sources that were not empty."""
     from attesta.streaming.jobs import merge_lessons
@@ -455,9 +491,9 @@ def daily_stats(s, d) -> DataFrame:
 QUERIES = {f.__name__: f for f in [
     canonical_names, canonical_names_fuzzy, feature_marks, feature_matrix, category_totals, exclusive_features, common_gaps, feature_holders,
     feature_conclusions, feature_points, unmentioned_features, capability_marks, capability_support, capability_confidence, repair_catalog, fill_catalog,
-    stop_tokens, stem_signatures, variant_groups, auto_aliases, alias_layers, unified_share, feature_labels, page_coverage, price_depth,
-    field_completeness, claimed_price_votes, price_vote_status, quote_accuracy, signal_problems, feedback_problems, audit_summary, next_actions, audit_lessons,
+    stop_tokens, stem_signatures, variant_groups, auto_aliases, alias_layers, unified_share, feature_labels, page_coverage, third_party_pages, coverage_elsewhere, price_depth,
+    field_completeness, claimed_price_votes, price_vote_status, quote_accuracy, signal_problems, feedback_problems, common_gap_status, audit_lists, gap_actions, audit_summary, next_actions, audit_lessons,
     page_digest, score_rank, dimension_rank, score_summary, target_overlap, signal_clusters, source_register, sources_by_kind, evidence_warnings,
     inspiration_points, weakness_points, feedback_summary, release_timeline, release_density, positioning, platform_coverage, market_texts,
     fill_defaults, assign_segments, segment_summary, stage_groups, opportunity_defaults, vendor_feature_counts, founding_timeline, top_gap, top_opportunities, candidate_list, url_sample, resolve_vendors,
-    accept_hits, lesson_hints, keyword_pages, budget_flags, report_check, lesson_table, daily_stats]}
+    accept_hits, lesson_hints, keyword_pages, budget_flags, report_check, report_texts, lesson_table, daily_stats]}

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from attesta.operators import audit as A, captures as C, claims as Q, components, features as X, links as L, marts as M, spread as S, votes as V
+from attesta.operators import audit as A, captures as C, claims as Q, components, features as X, gates as G, links as L, marts as M, spread as S, votes as V
 
 
 def rows(df):
@@ -294,3 +294,66 @@ def test_find_quotes_with_hot_url_and_copies(spark):
     got = {r["id"]: r["found"] for r in Q.find_quotes(cl, caps).collect()}
     assert got == {**{i: bool(i % 2) for i in range(20)}, 90: True, 91: False, 92: True}
     assert Q.find_quotes(cl, caps).count() == 23
+
+
+def test_newest_run_decides_price_depth(spark):
+    """A site of two runs: the older one captured a real price page and a probe elsewhere, the newest only a blog."""
+    none = spark.createDataFrame([], "vendor string, engine string, tokens long, plan string, price string, period string")
+    v = spark.createDataFrame([("a", "a.io", True), ("b", "b.io", True)], "vendor string, site string, verified boolean")
+    led = spark.createDataFrame([(1, "a.io", "https://a.io/pricing", ["pricing"]), (1, "x.io", "https://x.io/docs", ["docs"]), (2, "a.io", "https://a.io/blog", ["blog"]),
+                                 (1, "b.io", "https://b.io/blog", ["blog"]), (3, "b.io", "https://b.io/pricing", ["pricing"]), (3, "y.io", "https://y.io/docs", ["docs"])],
+                                "run int, site string, url string, kinds array<string>")
+    got = {r["vendor"]: r["status"] for r in A.price_depth(v, none.select("vendor", "engine", "tokens"), led, none.select("vendor", "plan", "price", "period")).collect()}
+    assert got == {"a": "gap", "b": "not-published"}
+
+
+def test_third_party_pages_by_label(spark):
+    v = spark.createDataFrame([("wati", "https://www.wati.io"), ("x", "https://x.com"), ("bare", "bare.io")], "vendor string, site string")
+    urls = ["https://www.wati.io/pricing", "https://support.wati.io/a", "https://help.watihelp.com/b", "https://apps.example.com/c", "https://bare.net/q", "https://x.com/d"]
+    led = spark.createDataFrame([(u, "ok", ["docs", "blog"]) for u in urls] + [("https://wati.failed.com", "failed", ["docs"])], "url string, status string, kinds array<string>")
+    got = {(r["vendor"], r["url"]) for r in A.third_party_pages(v, led).collect()}
+    # x is a letter of help.example and the like, as the rule is a plain search
+    assert got == {("wati", urls[2]), ("x", urls[3]), ("bare", urls[4])}
+
+
+def test_lessons_name_all_counted_engines_and_ok_pages(spark):
+    v = spark.createDataFrame([("a", "a.io", True), ("b", "b.io", True)], "vendor string, site string, verified boolean")
+    tokens = spark.createDataFrame([("a", "jina", 0), ("a", "playwright", 0), ("b", "jina", 3), ("b", "playwright", 0)], "vendor string, engine string, tokens long")
+    led = spark.createDataFrame([(1, "a.io", "https://a.io/pricing", "ok", ["pricing"]), (1, "a.io", "https://a.io/plans", "failed", ["pricing"]), (1, "x.io", "https://x.io/docs", "ok", ["docs"])],
+                                "run int, site string, url string, status string, kinds array<string>")
+    depth = A.price_depth(v, tokens, led, spark.createDataFrame([], "vendor string, plan string, price string, period string"))
+    got = {r["vendor"]: (r["resolution"], r["alt_sources"]) for r in A.lessons(depth, v, led).collect()}
+    assert got == {"a": ("confirmed_not_published", ["https://a.io/pricing"]), "b": ("engines=jina/playwright", [])}
+
+
+def test_audit_lists_and_common_gaps(spark):
+    table = spark.createDataFrame([("a", "price_depth", "not-published"), ("a", "page_coverage", "gap"), ("b", "common_gaps", "partial"), ("b", "price_depth", "ok")],
+                                  "vendor string, dimension string, status string")
+    assert sorted(map(tuple, A.audit_lists(table).collect())) == [("not_published", "a", "price_depth"), ("unresolved", "a", "page_coverage")]
+    gaps = spark.createDataFrame([("b", "SSO"), ("b", "API")], "vendor string, feature string")
+    assert sorted(map(tuple, A.common_gap_status(table.select("vendor"), gaps).collect())) == [("a", 0, "ok"), ("b", 2, "partial")]
+    assert [r["action"] for r in A.gap_actions(gaps).orderBy("action").collect()] == ["check in the captures: API", "check in the captures: SSO"]
+
+
+def test_quotes_and_brackets_in_feature_names(one):
+    from attesta.functions import text as T
+    for name, junk in {"Inbox [beta]": False, "“Smart” inbox": False, '"[broken': True, "accept all cookies": True}.items():
+        assert one(T.is_junk_name, name) is junk
+
+
+def test_a_page_with_very_many_quotes(spark):
+    """10,000 quotes of one url against its 1,000 captures: it ends, and every second quote is found."""
+    claims = spark.range(10_000).select(F.col("id").cast("int").alias("idx"), F.lit("https://a.io/x").alias("source_url"), F.concat(F.lit("quote number "), F.col("id"), F.lit(" ends")).alias("quote"))
+    lines = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.concat(F.lit("a [quote](http://u) number "), (F.col("id") * 5 + k) * 2, F.lit(" ends  here")))
+    caps = spark.range(1000).select(F.lit("https://a.io/x").alias("url"), F.concat(F.lit("e"), F.col("id")).alias("engine"), F.array_join(lines, "\n").alias("text"))
+    found = Q.find_quotes(claims, caps)
+    assert sorted(found.columns) == sorted([*claims.columns, "found"])
+    assert found.groupBy(F.col("idx") % 2 == 0, "found").count().collect().__len__() == 2 and found.where("found").count() == 5000
+    assert found.where("found AND idx % 2 = 1").isEmpty()
+
+
+def test_report_texts(spark):
+    points = spark.createDataFrame([("do it", "u"), ("待补充", "u")], "inspiration string, source string")
+    text = spark.createDataFrame([(" ",), (None,)], "text string")
+    assert tuple(G.report_texts(text, points).first()) == (False, True, False)
+    assert tuple(G.report_texts(text.union(spark.createDataFrame([("x",)], "text string")), points.limit(0)).first()) == (True, True, True)
