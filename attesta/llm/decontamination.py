@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ PASSAGE = 64         # words of a passage
 STRIDE = 32          # words from one passage to the next
 BLOCK = 256          # benchmark passages that share a latent space
 BLOCKS_A_PASS = 8    # latent spaces a pass over the corpus carries
+RANK = 64            # directions of a latent space at most
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -54,27 +56,39 @@ def word_weights(df: np.ndarray, n: int, share: float = 0.1) -> np.ndarray:
     return np.where((df > share * n) & (df > 50), 0.0, w).astype(np.float32)
 
 
+def answer_of(text: str | None) -> list[bytes]:
+    """The words of the last sentence: what follows the last end mark but one, three words at least, a passage at most."""
+    body = (text or "").rstrip(" \t\r\n.?!")
+    n = len(tokens(body[max(body.rfind(c) for c in ".?!\n") + 1:]))
+    return tokens(text)[-min(max(3, n), PASSAGE):]
+
+
 def passages(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(item, part, words): items cut into passages of PASSAGE words, the last one as long as the others."""
-    @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+    """(item, part, words, answer, rest): items cut into passages of PASSAGE words, the last one as long as the others.
+
+    answer are the words of the item's last sentence, rest is how many words the item has from the passage's start.
+    """
+    row = "words array<string>, answer array<string>, rest int"
+
+    @F.pandas_udf(f"array<struct<{row}>>")
     def cut(texts: pd.Series) -> pd.Series:
+        plain = lambda ws: [x.decode("utf-8", "surrogatepass") for x in ws]
         out = []
         for text in texts:
-            w = [x.decode("utf-8", "surrogatepass") for x in tokens(text)]
+            w, answer = tokens(text), plain(answer_of(text))
             starts = [min(s, max(len(w) - PASSAGE, 0)) for s in range(0, len(w), PASSAGE)]
-            out.append([w[s:s + PASSAGE] for s in starts])
+            out.append([{"words": plain(w[s:s + PASSAGE]), "answer": answer, "rest": len(w) - s} for s in starts])
         return pd.Series(out, dtype=object)
 
-    return items.select(F.col(id_col).alias("item"), F.posexplode(cut(text_col)).alias("part", "words"))
+    return items.select(F.col(id_col).alias("item"), F.posexplode(cut(text_col)).alias("part", "p")).select("item", "part", "p.*")
 
 
-def latent_space(words: list[list[str]], weight: np.ndarray, length: float = 0.95, power: int = 2) -> dict:
+def latent_space(words: list[list[str]], weight: np.ndarray, rank: int = RANK, power: int = 2) -> dict:
     """Randomised SVD of a block's TF-IDF passages: (bins, basis), and the passages' unit vectors in it.
 
-    Rows have unit length.  The range of the matrix is found from a random test matrix with `power`
-    iterations; as many leading directions are kept as leave every passage `length` of its length, so a
-    passage's cosine to itself is not lost, however small its part of the whole.  A passage keeps its common words' weight if these are
-    over half of its words: else nothing would be left to find it by.
+    Rows have unit length.  The range of the matrix is found from a random test matrix of `rank` columns and some more with
+    `power` iterations; the `rank` leading directions are kept, so words that stand in the same passages fall together.
+    A passage keeps its common words' weight if these are over half of its words: else nothing would be left to find it by.
     """
     rows = [bins([w.encode("utf-8", "surrogatepass") for w in ws]) for ws in words]
     local = weight.copy()
@@ -86,15 +100,13 @@ def latent_space(words: list[list[str]], weight: np.ndarray, length: float = 0.9
     for i, r in enumerate(rows):
         np.add.at(a[i], np.searchsorted(vocab, r), local[r])
     a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-9)
-    rank = min(a.shape)
-    y = a @ np.random.default_rng(3).standard_normal((len(vocab), rank))
+    y = a @ np.random.default_rng(3).standard_normal((len(vocab), min(rank + 16, *a.shape)))
     for _ in range(power):
         y = a @ (a.T @ np.linalg.qr(y)[0])
     q = np.linalg.qr(y)[0]
     _, s, vt = np.linalg.svd(q.T @ a, full_matrices=False)
     along = a @ vt.T
-    held = np.sqrt(np.cumsum(along ** 2, axis=1)).min(axis=0)
-    k = min(int(np.searchsorted(held, length) + 1), len(s))
+    k = min(rank, len(s))
     basis = (vt[:k].T * local[vocab][:, None]).astype(np.float32)  # a word's step in the latent space
     vectors = along[:, :k].astype(np.float32)
     return {"vocab": vocab, "basis": basis, "vectors": vectors, "weight": local}
@@ -130,7 +142,7 @@ def span(item: list[bytes]) -> int:
 class Matcher:
     """What a task needs to judge texts against the benchmark passages of one pass."""
 
-    def __init__(self, blocks: list[dict], items: list[list[int]], words: list[list[list[bytes]]], answers: list[list[int]],
+    def __init__(self, blocks: list[dict], items: list[list[int]], words: list[list[list[bytes]]], answers: list[list[tuple[list[bytes], int]]],
                  weight: np.ndarray, cosine: float, least: float, answer: float):
         self.blocks, self.items, self.words, self.answers = blocks, items, words, answers
         self.weight, self.cosine, self.least, self.answer = weight, cosine, least, answer
@@ -161,8 +173,21 @@ class Matcher:
                 b["given"][p] = x[~weighs].sum()
             # most words are in few passages: of each word the passages that hold it
             at, b["held_by"] = np.nonzero(b["share"])
+            # a match holds one at least of any words that weigh more than it may lack: of the words held by few passages
+            b["must"], b["always"] = np.zeros(len(at), bool), []
+            few = np.bincount(at, minlength=len(b["vocab"]))
+            for p in range(len(parts)):
+                mine = np.flatnonzero(b["held_by"] == p)
+                share = b["share"][at[mine], p]
+                order = np.lexsort((-share, few[at[mine]], -b["weight"][b["vocab"][at[mine]]]))
+                enough = int(np.searchsorted(np.cumsum(share[order]), 1 - least + 1e-3)) + 1
+                b["must"][mine[order[:enough]]] = True
+                if b["given"][p] >= least - 1e-3:  # words without weight can be all that is there
+                    b["always"].append(p)
             b["held_at"] = np.searchsorted(at, np.arange(len(b["vocab"]) + 1))
             b["share"] = b["share"][at, b["held_by"]]
+            b["key"] = at * np.int64(len(parts)) + b["held_by"]
+            b["rare"] = np.bincount(at[b["must"]], minlength=len(b["vocab"])) > 0
         # strides that hold every span an item may take, wherever in the first of them it starts
         self.reach = [np.array([-(-(STRIDE - 1 + span(item)) // STRIDE) for item in block]) for block in words]
 
@@ -182,7 +207,7 @@ class Matcher:
         sizes = np.array([len(d) for d in docs], np.int64)
         if not sizes.sum():
             return found
-        ids = bins(w for d in docs for w in d)
+        ids = bins(chain.from_iterable(docs))
         first = np.r_[0, np.cumsum(sizes)]
         owner = np.repeat(np.arange(len(docs)), sizes)
         # strides of each text: a passage is a stride and the next one of the same text
@@ -198,14 +223,17 @@ class Matcher:
             at = np.flatnonzero((rows >= 0) & (b["weight"][ids] > 0))
             if not len(at):
                 continue
-            steps = b["basis"][rows[at]]
-            begin = np.flatnonzero(np.r_[True, stride[at][1:] != stride[at][:-1]])
-            sums = np.zeros((n, steps.shape[1]), np.float32)
-            sums[stride[at][begin]] = np.add.reduceat(steps, begin, axis=0)
-            sums[:-1][joined[:-1]] += sums[1:][joined[:-1]]
             norm = w2.copy()
             norm[:-1][joined[:-1]] += w2[1:][joined[:-1]]
             norm = np.sqrt(np.maximum(norm, 1e-9))
+            pair, times = np.unique(stride[at] * np.int64(len(b["vocab"])) + rows[at], return_counts=True)
+            where, row = pair // len(b["vocab"]), pair % len(b["vocab"])
+            begin = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
+            steps = b["basis"][row]
+            steps *= times[:, None].astype(np.float32)
+            sums = np.zeros((n, steps.shape[1]), np.float32)
+            sums[where[begin]] = np.add.reduceat(steps, begin, axis=0)
+            sums[:-1][joined[:-1]] += sums[1:][joined[:-1]]
             # no cosine exceeds the length of the latent part: most passages end here
             near = np.flatnonzero(np.einsum("ij,ij->i", sums, sums) >= (self.cosine * norm) ** 2)
             cosines = sums[near] @ b["vectors"].T / norm[near][:, None]
@@ -220,30 +248,45 @@ class Matcher:
                 if sum(x for w, x in self.parts[k_block][p].items() if w in have) >= self.least:
                     low, high = max(0, start - len(self.words[k_block][p]) // 2), start + PASSAGE + len(self.words[k_block][p]) // 2
                     self._verify(found, docs, d, low, high, k_block, p, float(cosines[k, p]))
-            self._contained(found, docs, k_block, rows[at], stride[at], stride_doc, stride0)
+            self._contained(found, docs, k_block, where, row, stride_doc, stride0)
         return [self._best(f) for f in found]
 
-    def _contained(self, found: list[list[dict]], docs: list[list[bytes]], block: int, rows: np.ndarray, stride: np.ndarray,
+    def _contained(self, found: list[list[dict]], docs: list[list[bytes]], block: int, where: np.ndarray, row: np.ndarray,
                    stride_doc: np.ndarray, stride0: np.ndarray) -> None:
         """Verify what the cosine may miss, as words around an item dilute it: every place where enough of an item's words are.
 
         A match has `least` of the item's weight inside span() words, so the words of some strides hold as
-        much.  The sums below are never less than that share, whatever else stands there.
+        much.  Only strides near a word that every match has to hold one of are summed up; the sums are never
+        less than that share, whatever else stands there.  where and row: each stride's words, each once.
         """
         b, reach = self.blocks[block], self.reach[block]
-        size = np.int64(len(b["vocab"]))
-        pair = np.unique(stride * size + rows)  # a word counts once in a stride
-        where, row = pair // size, pair % size
-        n = b["held_at"][row + 1] - b["held_at"][row]
-        at = np.repeat(b["held_at"][row] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        one = np.bincount(np.repeat(where, n) * len(reach) + b["held_by"][at], weights=b["share"][at], minlength=len(stride_doc) * len(reach))
-        one = one.reshape(len(stride_doc), len(reach))
-        held = one + b["given"]
-        for k in range(1, min(int(reach.max()), len(one))):
-            same = stride_doc[k:] == stride_doc[:-k]
-            held[:-k] += one[k:] * same[:, None] * (reach > k)
+        size = len(reach)
+        rare = b["rare"][row]
+        n = b["held_at"][row[rare] + 1] - b["held_at"][row[rare]]
+        at = np.repeat(b["held_at"][row[rare]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        place, by = np.repeat(where[rare], n)[b["must"][at]], b["held_by"][at][b["must"][at]]
+        near = []
+        for k in range(int(reach.max())):
+            fits = (place >= k) & (k < reach[by])
+            fits[fits] = stride_doc[place[fits] - k] == stride_doc[place[fits]]
+            near.append((place[fits] - k) * size + by[fits])
+        for p in b["always"]:
+            near.append(np.arange(len(stride_doc)) * size + p)
+        cells = np.unique(np.concatenate(near))
+        if not len(cells):
+            return
+        start, p = cells // size, cells % size
+        first = np.searchsorted(where, start)
+        last = np.searchsorted(where, np.minimum(start + reach[p], stride0[stride_doc[start] + 1]))
+        n = last - first
+        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        key = row[at] * np.int64(size) + np.repeat(p, n)
+        spot = np.minimum(np.searchsorted(b["key"], key), len(b["key"]) - 1)
+        given = np.where(b["key"][spot] == key, b["share"][spot], 0.0)
+        held = b["given"][p] + np.bincount(np.repeat(np.arange(len(cells)), n), weights=given, minlength=len(cells))
+        enough = np.flatnonzero(held >= self.least - 1e-4)
         seen = None
-        for k, p in zip(*(x.tolist() for x in np.nonzero(held >= self.least - 1e-4))):
+        for k, p in zip(start[enough].tolist(), p[enough].tolist()):
             d = int(stride_doc[k])
             start = int(k - stride0[d]) * STRIDE
             stop = start + int(reach[p]) * STRIDE
@@ -270,7 +313,7 @@ class Matcher:
         if most < self.least:
             return
         tries = [(used, a, z)]
-        if z - a > span(item) or used[-self.answers[block][p]:].mean() < self.answer:
+        if z - a > span(item) or self._answered(block, p, docs[d], low + a, used) < self.answer:
             # the same words may stand closer together elsewhere: every stretch of the allowed length
             if self._held(found[d], block, p, most):
                 return
@@ -283,10 +326,21 @@ class Matcher:
                         tries.append((u, at + x, at + y))
         for used, a, z in tries:
             share = float(value[used].sum())
-            answer = float(used[-self.answers[block][p]:].mean())
+            answer = self._answered(block, p, docs[d], low + a, used)
             if share >= self.least and answer >= self.answer and z - a <= span(item):
                 found[d].append({"item": self.items[block][p], "cosine": cosine, "share": share, "answer": answer, "start": low + a, "end": low + z})
 
+    def _answered(self, block: int, p: int, text: list[bytes], start: int, used: np.ndarray) -> float:
+        """The share of the answer's words that a match holds.
+
+        The last passage of an item tells by itself; one before is asked for the words of the item's last sentence
+        in what follows its match, as far as the whole item may be spread.
+        """
+        answer, rest = self.answers[block][p]
+        if rest <= len(used):
+            return float(used[-len(answer):].mean())
+        return float(common(answer, text[start:start + 2 * rest + 8])[0].mean())
+
     @staticmethod
     def _best(found: list[dict]) -> list[dict]:
         best: dict[int, dict] = {}
@@ -302,8 +356,8 @@ LEAKS = T.ArrayType(T.StructType([
 
 
 def leak_columns(docs: DataFrame, items: DataFrame, cosine: float = 0.2, least: float = 0.7, answer: float = 0.5,
-                 item_col: str = "item_id", text_col: str = "text") -> list[Column]:
-    """Columns over docs, one for each pass: the benchmark items a text holds, with their evidence.
+                 item_col: str = "item_id", text_col: str = "text") -> Iterator[tuple[Column, bool]]:
+    """Columns over docs, one for each pass, and whether it is the last: the benchmark items a text holds, with their evidence.
 
     Items are cut into passages of at most PASSAGE words.  BLOCK of them at a time span a latent space of
     their TF-IDF vectors (randomised SVD, one task for each block); the documents' passages are projected
@@ -312,29 +366,17 @@ def leak_columns(docs: DataFrame, items: DataFrame, cosine: float = 0.2, least:
     subsequence of words: `least` of the passage's weight has to be on it, and `answer` of the words of
     its last sentence.  Document frequencies cover all documents.
 
-    A pass carries BLOCKS_A_PASS blocks, so what a task holds is bounded; a larger benchmark takes more
-    columns over the same text, not more memory.  Ids of items are integers (null: -1); items without
+    A pass carries BLOCKS_A_PASS blocks, so what is collected and a task holds is bounded; a larger benchmark takes
+    more passes, each of which is made when it is asked for.  Ids of items are integers (null: -1); items without
     words are in no document.
     """
     spark = docs.sparkSession
     df, n = document_frequency(docs, text_col)
     weight = word_weights(df, n)
 
-    @F.pandas_udf(T.IntegerType())
-    def answer_words(texts: pd.Series) -> pd.Series:
-        # the last sentence: what follows the last end mark but one, three words at least
-        out = []
-        for t in texts:
-            body = (t or "").rstrip(" \t\r\n.?!")
-            cut = max(body.rfind(c) for c in ".?!\n")
-            out.append(max(3, len(tokens(body[cut + 1:]))))
-        return pd.Series(out, dtype="int32")
-
     distinct = items.select(F.coalesce(F.col(item_col).cast("long"), F.lit(-1)).alias("id"), F.col(text_col).alias("t")).distinct()
     cut = passages(distinct, "id", "t")
-    answers = distinct.groupBy("id").agg(F.max(answer_words("t")).alias("n_answer"))
-    cut = cut.join(answers, cut["item"] == answers["id"]).drop("id")
-    cut = numbered(cut, F.struct("item", "part", "words"), "rank").withColumn("block", F.floor(F.col("rank") / BLOCK).cast("long"))
+    cut = numbered(cut, F.struct("item", "part", "words", "answer", "rest"), "rank").withColumn("block", F.floor(F.col("rank") / BLOCK).cast("long"))
     shared = spark.sparkContext.broadcast(weight)
 
     def fit(block: pd.DataFrame) -> pd.DataFrame:
@@ -346,7 +388,6 @@ def leak_columns(docs: DataFrame, items: DataFrame, cosine: float = 0.2, least:
 
     fitted = keep(cut.groupBy("block").applyInPandas(fit, "block long, vocab binary, basis binary, vectors binary, kept binary, rank int"))
     n_blocks = fitted.count()
-    columns = []
     for low in range(0, n_blocks, BLOCKS_A_PASS):
         here = (F.col("block") >= low) & (F.col("block") < low + BLOCKS_A_PASS)
         spaces = fitted.where(here).orderBy("block").collect()
@@ -361,10 +402,9 @@ def leak_columns(docs: DataFrame, items: DataFrame, cosine: float = 0.2, least:
                            "vectors": np.frombuffer(s["vectors"], np.float32).reshape(-1, s["rank"]), "weight": own})
             ids.append([r["item"] for r in mine])
             words.append([[w.encode("utf-8", "surrogatepass") for w in r["words"]] for r in mine])
-            tails.append([min(r["n_answer"], len(r["words"])) for r in mine])
+            tails.append([([w.encode("utf-8", "surrogatepass") for w in r["answer"]], r["rest"]) for r in mine])
         held = spark.sparkContext.broadcast((blocks, ids, words, tails))
-        columns.append(_leaks_udf(held, shared, cosine, least, answer)(F.col(text_col)))
-    return columns or [F.array().cast("array<struct<item: bigint, cosine: double, share: double, answer: double, start: int, end: int>>")]
+        yield _leaks_udf(held, shared, cosine, least, answer)(F.col(text_col)), low + BLOCKS_A_PASS >= n_blocks
 
 
 def _leaks_udf(held, shared, cosine: float, least: float, answer: float):
@@ -385,19 +425,32 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_c
     Null ids and repeated rows: rows like any other; repeated items: as one.  An empty table on either
     side: no rows.  Other columns are not read.
     """
-    found = docs.select(F.col(id_col), F.concat(*leak_columns(docs, items, item_col=item_col, text_col=text_col, **kw)).alias("leaks"))
-    best = F.transform(F.array_sort(F.array_distinct(F.transform("leaks", lambda x: x["item"]))), lambda i: F.array_max(
-        F.transform(F.filter("leaks", lambda x: x["item"] == i), lambda x: F.struct(
-            x["share"], x["cosine"], x["answer"], x["start"], x["end"], x["item"]))))
-    return found.select(id_col, F.explode(best).alias("x")).select(
-        id_col, F.col("x.item").alias("item"), "x.cosine", "x.share", "x.answer", "x.start", "x.end")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias(text_col if text_col != "id" else "text"))
+    text = rows.columns[1]
+    parts = []
+    for column, last in leak_columns(rows, items, item_col=item_col, text_col=text, **kw):
+        if not parts and not last:  # several passes tell a row by its number
+            rows = keep(rows.withColumn("row", F.monotonically_increasing_id()))
+        part = rows.select(*[c for c in rows.columns if c != text], F.explode(column).alias("x")).select("*", "x.*").drop("x")
+        parts.append(part if last and not parts else keep(part))
+    if not parts:
+        kinds = {f.name: f.dataType for f in LEAKS.elementType}
+        return docs.limit(0).select(id_col, *[F.lit(None).cast(k).alias(n) for n, k in kinds.items()])
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    if len(parts) > 1:
+        best = F.max(F.struct("share", "cosine", "answer", "start", "end")).alias("x")
+        found = found.groupBy("row", "item").agg(F.first("id").alias("id"), best).select("id", "item", "x.*")
+    return found.select(F.col("id").alias(id_col), "item", "cosine", "share", "answer", "start", "end")
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", **kw) -> DataFrame:
     """The rows of docs that hold no benchmark item.  Nothing is joined: each text is judged where it lies."""
     out = docs
-    for column in leak_columns(docs, items, text_col=text_col, **kw):
+    for column, last in leak_columns(docs, items, text_col=text_col, **kw):
         out = out.where(F.size(column) == 0)
+        out = out if last else keep(out)
     return out
 
 

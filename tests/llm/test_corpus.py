@@ -366,6 +366,20 @@ def test_leaks_in_several_passes_and_long_items(spark, monkeypatch):
     assert {r.doc_id for r in D.without_leaks(df, bench).collect()} == set(range(20, 25))
 
 
+def test_leaks_need_the_items_answer(spark):
+    """An item of several passages: its first words without its last sentence are no leak, with it they are."""
+    rng = np.random.default_rng(11)
+    words = lambda n: ["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(n)]
+    body, answer, other = words(125), words(8), words(60)
+    item = " ".join(body) + ". " + " ".join(answer) + "."
+    texts = {1: body[:64] + other, 2: body[:64] + answer + other, 3: body + answer, 4: other + body[60:] + answer, 5: answer + other, 6: body + other}
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (None, " ".join(words(30))), (-1, " ".join(words(40)))], "item_id long, text string")
+    found = {(r.doc_id, r.item) for r in D.find_leaks(docs, bench).collect()}
+    assert found == {(2, 7), (3, 7), (4, 7)}
+    assert sorted(r.doc_id for r in D.without_leaks(docs, bench).collect()) == [1, 5, 6]
+
+
 def test_leaks_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu")], "item_id long, text string")
     assert Counter(r.doc_id for r in D.find_leaks(odd, bench).collect()) == Counter({6: 3, None: 1})
