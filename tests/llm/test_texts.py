@@ -233,3 +233,36 @@ def test_pages_query_keeps_articles(spark):
         import html
         want = " ".join(" ".join(html.unescape(x) for x in re.split(r"<[^>]*>", re.sub(r"</?b>", "", body))).split())
         assert r.text == want and r.n_chars == len(want)
+
+
+def test_pages_do_not_depend_on_partitions(spark):
+    """12 hosts of 4 pages and one large host, each with a notice of its own; any number of partitions, any order of rows."""
+    notice = lambda h: f"<p>This site of {h} uses small files and you agree to that by reading on</p>"
+    rows = [(h * 100 + k, f"https://h{h}.test/{k}", f"<html><body>{notice(h)}<p>Page {k} of {h} tells of thing{k * 7 + h} alone</p></body></html>") for h in range(12) for k in range(4)]
+    rows += [(5000 + k, f"https://big.test/{k}", f"<html><body>{notice('big')}<p>Big page {k} tells of matter{k} alone</p></body></html>") for k in range(90)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    try:
+        for parts in (2, 16, 48, 200):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            found.append(sorted(map(tuple, H.main_texts(df.repartition(parts % 7 + 1), group=20).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all(f == found[0] for f in found) and len(found[0]) == len(rows)
+    assert not any("small files" in r[2] for r in found[0]) and all("alone" in r[2] for r in found[0])
+
+
+def test_pages_inline_and_names_inside_articles(spark):
+    inside = lambda x: [t for t, r in H.blocks_of(f"<article>{x}</article>") if r == "body"]
+    assert inside('<p>Text <span class="ad">Buy now</span> end <span style="display:none">hid</span></p>') == ["Text end"]
+    assert inside('<p>a <b>bold</b> <a href="x">link</a></p>') == ["a bold link"]
+    assert inside('<section id="social-history"><p>kept</p></section><p class="notice-of-death">kept too</p>') == ["kept", "kept too"]
+    assert inside('<div class="share-buttons">Tweet</div><div class="comments">first!</div><div class="ad-slot-2">ad</div><p>own</p>') == ["own"]
+    assert [t for t, r in H.blocks_of('<p>x <span hidden>y</span> z</p>') if r == "open"] == ["x z"]
+
+
+def test_pages_with_names_used_inside(spark):
+    df = spark.createDataFrame([(1, "u", "<article>one</article>", "a"), (1, "u", "<article>one</article>", "a")], "host long, slot string, page string, html string")
+    got = H.main_texts(df, ("host", "html", "slot"), "slot", "page")
+    assert got.columns == ["host", "html", "slot", "text", "n_repeated_words"] and sorted(map(tuple, got.collect())) == [(1, "a", "u", "one", 0)] * 2
