@@ -349,11 +349,11 @@ def unmentioned_features(catalog: DataFrame, vendors: DataFrame, share: float =
     "Not mentioned" is what it says: the rows carry how many other vendors mention the feature and
     never claim that the vendor lacks it.
     """
-    keys = feature_keys(catalog)
-    h = holders(keys, vendor_words(catalog))
+    keys = settle(feature_keys(catalog))
+    h = settle(holders(keys, vendor_words(catalog)))
     n = catalog.agg(F.count_distinct("vendor").alias("n")).scalar()
     floor_ = F.greatest(F.lit(2), F.bround(n * F.lit(share).cast("decimal(3,2)")))
-    common = (h.groupBy("key").agg(F.count("*").alias("holders")).join(keys.select("key", "feature", "ord"), "key")
+    common = settle(h.groupBy("key").agg(F.count("*").alias("holders")).join(keys.select("key", "feature", "ord"), "key")
               .where(F.col("holders") >= floor_)
               .select("key", F.struct((-F.col("holders")).alias("rank"), F.col("ord"), F.col("key"), F.col("feature")).alias("c")))
     kind = "array<" + common.schema["c"].dataType.simpleString() + ">"

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from attesta import constants as K
 from attesta.functions import prices as P, text as T, urls as U
+from attesta.operators.components import settle
 from attesta.operators.spread import dense_index, stable_rank
 
 
@@ -15,8 +16,9 @@ def score_rank(scores: DataFrame) -> DataFrame:
     n = sum((d.isNotNull().cast("int") for d in dims), F.lit(0))
     total = sum((F.coalesce(d, F.lit(0).cast("decimal(6,2)")) for d in dims), F.lit(0).cast("decimal(8,2)"))
     avg = F.bround((total / F.greatest(n, F.lit(1))).cast("decimal(18,8)"), 1).cast("decimal(4,1)")
-    base = scores.select("vendor", "ord", avg.alias("avg"),
-                         (F.size(F.array_distinct(F.array(*dims))) == 1).alias("uncalibrated"))
+    # read by the best mean and three times by the rank
+    base = settle(scores.select("vendor", "ord", avg.alias("avg"),
+                                (F.size(F.array_distinct(F.array(*dims))) == 1).alias("uncalibrated")))
     top = base.agg(F.max("avg").alias("m")).scalar()
     tier = F.when(F.col("avg") >= top * F.lit("0.9").cast("decimal(2,1)"), F.lit("领先")).when(
         F.col("avg") >= top * F.lit("0.7").cast("decimal(2,1)"), F.lit("中坚")).otherwise(F.lit("跟随"))
@@ -26,7 +28,7 @@ def score_rank(scores: DataFrame) -> DataFrame:
 def dimension_rank(scores: DataFrame) -> DataFrame:
     """Rank of every vendor in every score dimension, input order breaking ties."""
     long_ = scores.unpivot(["vendor", "ord"], K.SCORE_DIMENSIONS, "dimension", "score")
-    return stable_rank(long_.withColumn("score", F.coalesce("score", F.lit(0).cast("decimal(6,2)"))), ["dimension"], "score", "ord")
+    return stable_rank(settle(long_.withColumn("score", F.coalesce("score", F.lit(0).cast("decimal(6,2)")))), ["dimension"], "score", "ord")
 
 
 def score_summary(ranked: DataFrame) -> DataFrame:

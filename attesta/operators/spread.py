@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 from attesta.operators.components import settle
 
 
-def dense_index(df: DataFrame, order: list[str], out: str = "idx", parts: int = 32) -> DataFrame:
+def dense_index(df: DataFrame, order: list[str], out: str = "idx", parts: int | None = None) -> DataFrame:
     """1-based position in a unique order, without one global sort task.
 
     Rows are dealt out by ranges of the order, kept, numbered inside each range and shifted by the sizes of
-    the ranges before: one number for each of `parts` ranges.
+    the ranges before: one number for each of `parts` ranges, the session's number of shuffle partitions unless given.
     """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = settle(df.repartitionByRange(parts, *order).withColumn("__b", F.spark_partition_id()))
     sizes = dealt.groupBy("__b").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
