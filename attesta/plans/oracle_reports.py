@@ -101,6 +101,12 @@ SELECT vendor, kind, CAST(row_number() OVER (PARTITION BY vendor, kind ORDER BY
   SELECT sole AS vendor, 'exclusive' AS kind, 1 AS h, ks.ord, feature FROM hc JOIN ks USING (key) WHERE holders = 1
   UNION ALL SELECT v.vendor, 'missing', holders, cm.ord, feature FROM (SELECT DISTINCT vendor FROM cat) v, cm
   WHERE NOT EXISTS (SELECT 1 FROM hd WHERE hd.key = cm.key AND hd.vendor = v.vendor))""", _H)
+O["feature_points_mixed"] = query(["pcat"], """
+SELECT vendor, kind, CAST(row_number() OVER (PARTITION BY vendor, kind ORDER BY h DESC, ord) AS INT) AS nth, feature FROM (
+  SELECT sole AS vendor, 'exclusive' AS kind, 1 AS h, ks.ord, feature FROM hc JOIN ks USING (key) WHERE holders = 1
+  UNION ALL SELECT v.vendor, 'missing', holders, cm.ord, feature FROM (SELECT DISTINCT vendor FROM mcat) v, cm
+  WHERE NOT EXISTS (SELECT 1 FROM hd WHERE hd.key = cm.key AND hd.vendor = v.vendor))""", {
+    "mcat": "SELECT vendor, ord, CASE WHEN ord % 40 = 0 THEN name || ' only ' || vendor || 'x' || ord ELSE name END AS name FROM pcat", **_holder_cte("mcat", "name")})
 _H2 = _holder_cte("pcat", "name")
 O["unmentioned_features"] = query(["pcat"], """
 SELECT vendor, CAST(nth AS INT) AS nth, feature, others FROM (SELECT *, row_number() OVER (PARTITION BY vendor ORDER BY holders DESC, ord) AS nth FROM (
@@ -161,6 +167,9 @@ FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subsc
 _STOP = """SELECT token, count(*) AS n FROM (SELECT unnest(list_distinct(list_concat(regexp_extract_all(lower(name), '[a-z]{3,}'), regexp_extract_all(lower(name), '[一-鿿]{2,}')))) AS token FROM pcat)
   GROUP BY token HAVING count(*) > greatest(3, 0.35 * (SELECT count(*) FROM pcat))"""
 O["stop_tokens"] = query(["pcat"], "SELECT * FROM stp", {"stp": _STOP})
+O["stop_tokens_texts"] = """SELECT token, count(*) AS n FROM (
+  SELECT unnest(list_distinct(list_concat(regexp_extract_all(lower(text), '[a-z]{3,}'), regexp_extract_all(lower(text), '[一-鿿]{2,}')))) AS token FROM documents WHERE coalesce(text, '') <> '')
+  GROUP BY token HAVING count(*) > greatest(3, 0.35 * (SELECT count(*) FROM documents WHERE coalesce(text, '') <> ''))"""
 _STRONG = f"length(s) >= 6 AND NOT list_contains({strs(K.WEAK_STEMS)}, s)"
 _VAR = {
     "stp": _STOP, "sl": "SELECT coalesce(list(token), []) AS l FROM stp",

@@ -64,6 +64,13 @@ def feature_points(s, d) -> DataFrame:
     return X.feature_points(cat, cat.select("vendor"), 0.6)
 
 
+def feature_points_mixed(s, d) -> DataFrame:
+    """Exclusive and missing features of a catalog in which every 40th name is one vendor's own."""
+    own = F.concat(F.col("name"), F.lit(" only "), F.col("vendor"), F.lit("x"), F.col("ord"))
+    cat = W.plain_catalog(s, d).withColumn("desc", F.lit("")).withColumn("name", F.when(F.col("ord") % 40 == 0, own).otherwise(F.col("name")))
+    return X.feature_points(cat, cat.select("vendor"), 0.6)
+
+
 def unmentioned_features(s, d) -> DataFrame:
     cat = W.plain_catalog(s, d).withColumn("desc", F.lit(""))
     return X.unmentioned_features(cat, cat.select("vendor"))
@@ -112,6 +119,11 @@ def stop_tokens(s, d) -> DataFrame:
     return X.stop_tokens(W.plain_catalog(s, d))
 
 
+def stop_tokens_texts(s, d) -> DataFrame:
+    """Tokens that say nothing when every document is taken for a name."""
+    return X.stop_tokens(W.table(s, d, "documents").select(F.col("text").alias("name")))
+
+
 def stem_signatures(s, d) -> DataFrame:
     """Word stems of every line of every document."""
     lines = W.table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("nth", "line"))
@@ -491,7 +503,7 @@ def daily_stats(s, d) -> DataFrame:
 QUERIES = {f.__name__: f for f in [
     canonical_names, canonical_names_fuzzy, feature_marks, feature_matrix, category_totals, exclusive_features, common_gaps, feature_holders,
     feature_conclusions, feature_points, unmentioned_features, capability_marks, capability_support, capability_confidence, repair_catalog, fill_catalog,
-    stop_tokens, stem_signatures, variant_groups, auto_aliases, alias_layers, unified_share, feature_labels, page_coverage, third_party_pages, coverage_elsewhere, price_depth,
+    feature_points_mixed, stop_tokens, stop_tokens_texts, stem_signatures, variant_groups, auto_aliases, alias_layers, unified_share, feature_labels, page_coverage, third_party_pages, coverage_elsewhere, price_depth,
     field_completeness, claimed_price_votes, price_vote_status, quote_accuracy, signal_problems, feedback_problems, common_gap_status, audit_lists, gap_actions, audit_summary, next_actions, audit_lessons,
     page_digest, score_rank, dimension_rank, score_summary, target_overlap, signal_clusters, source_register, sources_by_kind, evidence_warnings,
     inspiration_points, weakness_points, feedback_summary, release_timeline, release_density, positioning, platform_coverage, market_texts,
