@@ -5,7 +5,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from attesta.operators import claims as Q, gates as G
+from attesta.operators import claims as Q, gates as G, marts as M
 from attesta.operators.components import ensure_checkpoint_dir
 from attesta.plans import views as W
 from attesta.plans.queries_evidence import url_violations
@@ -81,7 +81,19 @@ def file_capabilities(s, d) -> DataFrame:
     return S.read_capabilities(s, _written(s, docs)).select("id", "category", "alias")
 
 
-QUERIES = {f.__name__: f for f in [file_captures, file_ledger, file_claims, file_report, file_aliases, file_capabilities]}
+def file_vendors(s, d) -> DataFrame:
+    """Known vendors, a file for each host, then names typed by users looked up in them."""
+    host, pid = W.host(F.col("url")), F.col("page_id")
+    pages = W.table(s, d, "pages").groupBy(host.alias("host")).agg(F.min("page_id").alias("page_id"))
+    entry = F.struct(F.concat(F.lit("Vendor "), F.col("page_id")).alias("name"), F.concat(F.lit("https://"), F.col("host")).alias("url"),
+                     F.when(pid % 2 == 0, F.concat(F.lit("https://"), F.col("host"), F.lit("/plans"))).alias("pricing"), F.lit("").alias("docs"))
+    docs = pages.select(F.to_json(F.struct(F.create_map("host", entry).alias("vendors"))).alias("json"))
+    known = S.read_known_vendors(s, _written(s, docs))
+    typed = pages.select(F.when(pid % 3 == 0, F.concat(F.lit(" vendor-"), F.col("page_id"))).when(pid % 3 == 1, F.upper("host")).otherwise(F.concat(F.lit("nobody"), F.col("page_id"))).alias("name"))
+    return M.resolve_vendors(typed, known).select("name", "source", "url", "price_url", "confidence")
+
+
+QUERIES = {f.__name__: f for f in [file_captures, file_ledger, file_claims, file_report, file_aliases, file_capabilities, file_vendors]}
 ORACLE = {
     "file_captures": query(["cap"], "SELECT url, engine, md5(arg_max(text, page_id)) AS digest FROM cap GROUP BY url, engine"),
     "file_ledger": query(["led"], """SELECT url, arg_max(status, page_id) AS status, arg_max(array_to_string(kinds, '/'), page_id) AS kinds,
@@ -91,4 +103,9 @@ ORACLE = {
     "file_aliases": """SELECT p_type AS canonical, p_type AS alias, false AS phrase FROM part GROUP BY p_type UNION ALL SELECT DISTINCT p_type, p_name, false FROM part
   UNION ALL SELECT DISTINCT p_type, lower(p_type), true FROM part""",
     "file_capabilities": """SELECT DISTINCT p_partkey::VARCHAR AS id, p_brand AS category, unnest([lower(trim(p_name)), 'extra', lower(trim(p_type))]) AS alias FROM part""",
+    "file_vendors": """SELECT CASE page_id % 3 WHEN 0 THEN 'vendor-' || page_id WHEN 1 THEN upper(host) ELSE 'nobody' || page_id END AS name,
+  CASE WHEN page_id % 3 < 2 THEN 'builtin' ELSE 'unknown' END AS source, CASE WHEN page_id % 3 < 2 THEN 'https://' || host ELSE '' END AS url,
+  CASE WHEN page_id % 3 = 2 THEN '' WHEN page_id % 2 = 0 THEN 'https://' || host || '/plans' ELSE 'https://' || host END AS price_url,
+  CASE WHEN page_id % 3 < 2 THEN 0.95 ELSE 0.0 END::DOUBLE AS confidence
+FROM (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, min(page_id) AS page_id FROM pages GROUP BY 1)""",
 }

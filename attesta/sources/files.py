@@ -144,6 +144,23 @@ def read_capabilities(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("id", "category", F.posexplode(F.filter(names, lambda a: a != "")).alias("ord", "alias")).select("id", "category", "alias", "ord")
 
 
+def read_known_vendors(spark: SparkSession, path: str) -> DataFrame:
+    """known, home, price_page, docs_page from {vendors: {key: {name, url, pricing, docs}}}; empty when unreadable.
+
+    A vendor is known by its key and by its name.  The table resolve_vendors looks names up in.
+    """
+    try:
+        doc = spark.read.option("wholetext", True).text(path).select(
+            F.from_json("value", "vendors map<string,struct<name:string,url:string,pricing:string,docs:string>>").alias("d"))
+        rows = doc.select(F.explode(F.map_entries("d.vendors")).alias("e"))
+    except AnalysisException:
+        return spark.createDataFrame([], "known string, home string, price_page string, docs_page string")
+    names = F.array_distinct(F.array_compact(F.array("e.key", F.nullif(F.trim("e.value.name"), F.lit("")))))
+    blank = lambda f: F.nullif(F.trim(F.col(f"e.value.{f}")), F.lit(""))
+    return rows.where(blank("url").isNotNull()).select(F.explode(names).alias("known"), blank("url").alias("home"),
+                                                       blank("pricing").alias("price_page"), blank("docs").alias("docs_page"))
+
+
 def write_report(df: DataFrame, path: str, fmt: str = "json") -> None:
     """Violations, audits or any report table; files are complete before readers see them."""
     df.write.mode("overwrite").format(fmt).save(path)

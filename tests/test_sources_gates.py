@@ -156,3 +156,16 @@ def test_loose_opportunities(spark):
             (3, '{"target_users":["x"],"differentiators":[],"validation":null,"pitch":"p","moat":"m","evidence_urls":["u"]}'), (4, "{}")]
     got = {(r["vendor"], r["severity"], r["field"]) for r in G.loose_structure(spark.createDataFrame(docs, "id int, d string"), "id", "d").collect()}
     assert got == {("1", "hard", "target_users"), ("2", "hard", "differentiation"), ("4", "warning", "pitch"), ("4", "warning", "moat"), ("4", "warning", "evidence_urls")}
+
+
+def test_known_vendors_from_a_file(spark, tmp_path):
+    from attesta.operators.marts import resolve_vendors
+    (tmp_path / "v.json").write_text(json.dumps({"vendors": {"respond.io": {"name": "Respond.io", "url": "https://respond.io", "pricing": "https://respond.io/pricing", "docs": ""},
+                                                             "wati": {"name": "WATI", "url": "https://www.wati.io", "docs": "https://docs.wati.io"}, "gone": {"name": "Gone"}}}), encoding="utf-8")
+    known = S.read_known_vendors(spark, str(tmp_path / "v.json"))
+    assert sorted(r["known"] for r in known.collect()) == ["Respond.io", "WATI", "respond.io", "wati"]
+    names = spark.createDataFrame([("Wati",), (" RESPOND.IO",), ("gone",), ("other.com",)], "name string")
+    got = {r["name"]: (r["source"], r["price_url"], r["docs_url"]) for r in resolve_vendors(names, known).collect()}
+    assert got["Wati"] == ("builtin", "https://www.wati.io", "https://docs.wati.io") and got["RESPOND.IO"] == ("builtin", "https://respond.io/pricing", None)
+    assert got["gone"][0] == "unknown" and got["other.com"][0] == "domain-guess"
+    assert S.read_known_vendors(spark, str(tmp_path / "none.json")).count() == 0
