@@ -257,3 +257,19 @@ def ranked_documents(docs: DataFrame, items: DataFrame, top: int = 10, id_col: s
 def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten documents that rank highest for every benchmark item."""
     return ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents WHERE text IS NOT NULL),
+n AS (SELECT doc_id, len(t) AS n FROM d WHERE len(t) > 0),
+a AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM n),
+q AS (SELECT item_id, term, count(*) AS times FROM (
+  SELECT DISTINCT item_id, text FROM benchmark) b, unnest(regexp_extract_all(translate(b.text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS u(term) GROUP BY ALL),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, a GROUP BY term, docs),
+s AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * docs) // terms)))))::BIGINT AS score
+  FROM tf JOIN n USING (doc_id) JOIN w USING (term) JOIN q USING (term), a GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
