@@ -425,7 +425,8 @@ def _gap_documents(s, d) -> DataFrame:
 def _all_gates(s, d) -> list[DataFrame]:
     # the documents feed every gate, so they are joined once
     docs, led, caps = settle(W.vendor_documents(s, d)), W.ledger_pages(s, d), W.captures(s, d)
-    claims = Q.flatten_claims(docs)
+    # the claims of all documents are asked for by quote, by url and by probe
+    claims = settle(Q.flatten_claims(docs))
     probed = G.link_probes(claims, W.probes(s, d)).select(
         "gate", "severity", F.lit("").alias("vendor"), F.lit("source_url").alias("field"), F.lit(0).alias("idx"), "source_url", "detail")
     return [G.claim_gates(claims, led, caps), G.verified_prices(docs, C.capture_meta(caps), W.as_of()),
