@@ -383,8 +383,8 @@ def default_capabilities(spark: SparkSession, rows=None) -> DataFrame:
     return spark.createDataFrame(out, "id string, category string, alias string, ord int")
 
 
-def capability_marks(names: DataFrame, vendors: DataFrame, capabilities: DataFrame) -> DataFrame:
-    """Every (vendor, capability): supports with high or medium confidence, or unknown.
+def supported_marks(names: DataFrame, capabilities: DataFrame) -> DataFrame:
+    """(vendor, id, category, status, confidence, evidence, matched): the capabilities a vendor's names show, and no others.
 
     names(vendor, name, ord).  An alias equal to a name is sure; an alias inside a name, on word
     edges with a plural ending, is likely; otherwise nothing is claimed.
@@ -400,19 +400,42 @@ def capability_marks(names: DataFrame, vendors: DataFrame, capabilities: DataFra
     likely = low.join(hits, "key").select(
         "vendor", "id", F.struct(F.lit(1).alias("kind"), F.col("ord").cast("long").alias("k1"), F.col("pos").cast("long").alias("k2"), "name", "alias").alias("m"))
     best = exact.unionByName(likely).groupBy("vendor", "id").agg(F.min("m").alias("m"))
-    ids = capabilities.groupBy("id").agg(F.first("category").alias("category"))
-    listed = ids.agg(F.array_sort(F.collect_list(F.struct("id", "category"))).alias("a")).scalar()
-    return (vendors.select("vendor").distinct().select("vendor", F.inline(listed)).join(best, ["vendor", "id"], "left")
-            .select("vendor", "id", "category",
-                    F.when(F.col("m").isNull(), F.lit("unknown")).otherwise(F.lit("supports")).alias("status"),
-                    F.when(F.col("m").isNull(), F.lit("low")).when(F.col("m.kind") == 0, F.lit("high")).otherwise(F.lit("medium")).alias("confidence"),
-                    F.coalesce("m.name", F.lit("")).alias("evidence"), F.coalesce("m.alias", F.lit("")).alias("matched")))
+    return best.join(capability_ids(capabilities), "id").select(
+        "vendor", "id", "category", F.lit("supports").alias("status"), F.when(F.col("m.kind") == 0, "high").otherwise("medium").alias("confidence"),
+        F.col("m.name").alias("evidence"), F.col("m.alias").alias("matched"))
+
+
+def capability_ids(capabilities: DataFrame) -> DataFrame:
+    return capabilities.groupBy("id").agg(F.first("category").alias("category"))
+
+
+def capability_marks(names: DataFrame, vendors: DataFrame, capabilities: DataFrame) -> DataFrame:
+    """supported_marks and a row `unknown` for every other (vendor, capability): a table to show, not to count by."""
+    listed = capability_ids(capabilities).agg(F.array_sort(F.collect_list(F.struct("id", "category"))).alias("a")).scalar()
+    found = supported_marks(names, capabilities).drop("category")
+    shown = vendors.select("vendor").distinct().select("vendor", F.inline(listed)).join(found, ["vendor", "id"], "left")
+    return shown.select("vendor", "id", "category", F.coalesce("status", F.lit("unknown")).alias("status"), F.coalesce("confidence", F.lit("low")).alias("confidence"),
+                        F.coalesce("evidence", F.lit("")).alias("evidence"), F.coalesce("matched", F.lit("")).alias("matched"))
 
 
 def override_marks(marks: DataFrame, notes: DataFrame) -> DataFrame:
     """Manual corrections (vendor, id, status, evidence, note) replace the automatic mark."""
     n = notes.select("vendor", "id", F.col("status").alias("n_status"), F.col("evidence").alias("n_evidence"), F.col("note").alias("n_note"))
-    j = marks.join(n, ["vendor", "id"], "left")
+    return _overridden(marks.join(n, ["vendor", "id"], "left"))
+
+
+def override_supported(found: DataFrame, notes: DataFrame, vendors: DataFrame, capabilities: DataFrame) -> DataFrame:
+    """override_marks on supported_marks alone: corrections of pairs without a mark become rows of their own."""
+    n = notes.select("vendor", "id", F.col("status").alias("n_status"), F.col("evidence").alias("n_evidence"), F.col("note").alias("n_note"))
+    n = n.join(vendors.select("vendor").distinct(), "vendor", "left_semi").join(
+        capability_ids(capabilities).withColumnRenamed("category", "n_category"), "id")
+    j = found.join(n, ["vendor", "id"], "full").withColumns({
+        "category": F.coalesce("category", "n_category"), "status": F.coalesce("status", F.lit("unknown")),
+        "confidence": F.coalesce("confidence", F.lit("low")), "evidence": F.coalesce("evidence", F.lit(""))})
+    return _overridden(j)
+
+
+def _overridden(j: DataFrame) -> DataFrame:
     status = F.coalesce("n_status", "status")
     sure = F.when(status == "supports", F.lit("high")).otherwise(F.lit("medium"))
     return j.select("vendor", "id", "category", status.alias("status"),
@@ -420,6 +443,20 @@ def override_marks(marks: DataFrame, notes: DataFrame) -> DataFrame:
                     F.coalesce("n_evidence", "evidence").alias("evidence"), F.coalesce("n_note", F.lit("")).alias("note"))
 
 
+def support_counts(marks: DataFrame, vendors: DataFrame, capabilities: DataFrame) -> DataFrame:
+    """capability_support from marks that leave the unknown out: vendors are counted, not paired with capabilities."""
+    n = vendors.agg(F.count_distinct("vendor")).scalar()
+    yes = marks.where(F.col("status") == "supports").groupBy("id").agg(F.count("*").alias("supported"))
+    return capability_ids(capabilities).join(yes, "id", "left").select("id", "category", F.coalesce("supported", F.lit(0)).alias("supported"), n.alias("vendors"))
+
+
+def vendor_confidence(marks: DataFrame, vendors: DataFrame, capabilities: DataFrame) -> DataFrame:
+    """confidence_counts from marks that leave the unknown out: what is neither high nor medium is low."""
+    n = capabilities.agg(F.count_distinct("id")).scalar()
+    held = marks.groupBy("vendor").agg(F.count_if(F.col("confidence") == "high").alias("high"), F.count_if(F.col("confidence") == "medium").alias("medium"))
+    return vendors.select("vendor").distinct().join(held, "vendor", "left").na.fill(0).select("vendor", "high", "medium", (n - F.col("high") - F.col("medium")).alias("low"))
+
+
 def capability_support(marks: DataFrame) -> DataFrame:
     return marks.groupBy("id", "category").agg(F.count_if(F.col("status") == "supports").alias("supported"), F.count("*").alias("vendors"))
 

@@ -133,6 +133,10 @@ _CAPS = {
       CASE WHEN c.id = 'data_export' AND n.noted THEN CASE WHEN n.status = 'supports' THEN 'high' ELSE 'medium' END ELSE c.confidence END AS confidence
       FROM cmk c JOIN note n USING (vendor)"""}
 O["capability_marks"] = query(["cat"], "SELECT * FROM cmk", _CAPS)
+O["capability_overrides"] = query(["cat"], """
+SELECT vendor, id, o.category, o.status, o.confidence, CASE WHEN id = 'data_export' AND m % 3 = 0 THEN 'csv dump' ELSE c.evidence END AS evidence,
+  CASE WHEN id = 'data_export' AND m % 5 <> 0 THEN 'checked by hand' ELSE '' END AS note
+FROM ovr o JOIN cmk c USING (vendor, id) JOIN (SELECT p_brand AS vendor, count(*) AS m FROM part GROUP BY p_brand) USING (vendor)""", _CAPS)
 O["capability_support"] = query(["cat"], "SELECT id, category, count(*) FILTER (status = 'supports') AS supported, count(*) AS vendors FROM ovr GROUP BY id, category", _CAPS)
 O["capability_confidence"] = query(["cat"], """SELECT vendor, count(*) FILTER (confidence = 'high') AS high, count(*) FILTER (confidence = 'medium') AS medium,
   count(*) FILTER (confidence = 'low') AS low FROM ovr GROUP BY vendor""", _CAPS)

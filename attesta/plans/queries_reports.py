@@ -88,12 +88,23 @@ def _notes(s, d) -> DataFrame:
                     F.when(F.col("n") % 3 == 0, F.lit("csv dump")).alias("evidence"), F.when(F.col("n") % 5 != 0, F.lit("checked by hand")).alias("note"))
 
 
+def _sparse_marks(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    cat, caps = W.catalog(s, d), X.default_capabilities(s)
+    vendors = cat.select("vendor")
+    return X.override_supported(X.supported_marks(cat, caps), _notes(s, d), vendors, caps), vendors, caps
+
+
 def capability_support(s, d) -> DataFrame:
-    return X.capability_support(X.override_marks(capability_marks(s, d), _notes(s, d)))
+    return X.support_counts(*_sparse_marks(s, d))
 
 
 def capability_confidence(s, d) -> DataFrame:
-    return X.confidence_counts(X.override_marks(capability_marks(s, d), _notes(s, d)))
+    return X.vendor_confidence(*_sparse_marks(s, d))
+
+
+def capability_overrides(s, d) -> DataFrame:
+    """Every (vendor, capability) with its manual correction."""
+    return X.override_marks(capability_marks(s, d), _notes(s, d))
 
 
 def _raw_catalog(s, d) -> DataFrame:
@@ -502,7 +513,7 @@ def daily_stats(s, d) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in [
     canonical_names, canonical_names_fuzzy, feature_marks, feature_matrix, category_totals, exclusive_features, common_gaps, feature_holders,
-    feature_conclusions, feature_points, unmentioned_features, capability_marks, capability_support, capability_confidence, repair_catalog, fill_catalog,
+    feature_conclusions, feature_points, unmentioned_features, capability_marks, capability_overrides, capability_support, capability_confidence, repair_catalog, fill_catalog,
     feature_points_mixed, stop_tokens, stop_tokens_texts, stem_signatures, variant_groups, auto_aliases, alias_layers, unified_share, feature_labels, page_coverage, third_party_pages, coverage_elsewhere, price_depth,
     field_completeness, claimed_price_votes, price_vote_status, quote_accuracy, signal_problems, feedback_problems, common_gap_status, audit_lists, gap_actions, audit_summary, next_actions, audit_lessons,
     page_digest, score_rank, dimension_rank, score_summary, target_overlap, signal_clusters, source_register, sources_by_kind, evidence_warnings,

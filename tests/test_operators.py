@@ -357,3 +357,20 @@ def test_report_texts(spark):
     text = spark.createDataFrame([(" ",), (None,)], "text string")
     assert tuple(G.report_texts(text, points).first()) == (False, True, False)
     assert tuple(G.report_texts(text.union(spark.createDataFrame([("x",)], "text string")), points.limit(0)).first()) == (True, True, True)
+
+
+def test_sparse_marks_count_like_the_table(spark):
+    """Corrections of marked and unmarked pairs, of unknown vendors and capabilities, and a vendor without any name."""
+    caps = X.default_capabilities(spark)
+    ids = sorted(r["id"] for r in caps.select("id").distinct().collect())
+    names = spark.createDataFrame([(f"v{k % 4}", n, k) for k, n in enumerate([a["alias"] for a in caps.collect()][::5] + ["nothing", "team inbox", " "])], "vendor string, name string, ord int")
+    vendors = names.select("vendor").unionByName(spark.createDataFrame([("none",)], "vendor string"))
+    notes = spark.createDataFrame([("v0", ids[0], "supports", "e", "n"), ("v0", ids[1], "unknown", None, None), ("none", ids[2], "supports", None, "n"), ("v1", ids[3], "unknown", "e", "n"),
+                                   ("stranger", ids[0], "supports", "e", "n"), ("v2", "no such", "supports", "e", "n")], "vendor string, id string, status string, evidence string, note string")
+    dense = X.override_marks(X.capability_marks(names, vendors, caps), notes)
+    sparse = X.override_supported(X.supported_marks(names, caps), notes, vendors, caps)
+    plain = lambda df: sorted(map(str, df.collect()))
+    kept = dense.where("status = 'supports' OR note <> '' OR confidence <> 'low'")
+    assert plain(sparse.where("status = 'supports' OR note <> '' OR confidence <> 'low'")) == plain(kept.select(*sparse.columns))
+    assert plain(X.support_counts(sparse, vendors, caps)) == plain(X.capability_support(dense))
+    assert plain(X.vendor_confidence(sparse, vendors, caps)) == plain(X.confidence_counts(dense))
