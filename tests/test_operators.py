@@ -2,6 +2,8 @@
 import itertools
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from attesta.operators import audit as A, captures as C, claims as Q, components, features as X, gates as G, links as L, marts as M, spread as S, votes as V
@@ -374,3 +376,25 @@ def test_sparse_marks_count_like_the_table(spark):
     assert plain(sparse.where("status = 'supports' OR note <> '' OR confidence <> 'low'")) == plain(kept.select(*sparse.columns))
     assert plain(X.support_counts(sparse, vendors, caps)) == plain(X.capability_support(dense))
     assert plain(X.vendor_confidence(sparse, vendors, caps)) == plain(X.confidence_counts(dense))
+
+
+@pytest.mark.parametrize("size", [1, 5, 10, 11, 20])
+def test_variant_edges_connect_what_all_pairs_do(spark, size):
+    """Sets of about `size` weak stems, many of them half alike or just below: the same components as all pairs."""
+    rnd = random.Random(size)
+    words = [f"{a}{b}" for a in "abcdefgh" for b in ("ab", "cd", "ef", "gh")]
+    sets = {tuple(sorted(rnd.sample(words, max(1, size + rnd.randint(-2, 2))))) for _ in range(12)}
+    for base in sorted(sets):
+        for share in (.9, .7, .6, .5):
+            kept = rnd.sample(base, max(1, int(len(base) * share)))
+            sets.add(tuple(sorted(set(kept + rnd.sample(words, rnd.randint(0, 2 + size // 3))))))
+    rows = list(enumerate(sorted(sets)))
+    nodes = spark.createDataFrame([(k, list(s)) for k, s in rows], "node long, sig array<string>")
+    near = lambda a, b: 2 * len(set(a) & set(b)) >= len(set(a) | set(b))
+    want = {k: k for k, _ in rows}
+    for _ in rows:
+        for (i, a), (j, b) in itertools.combinations(rows, 2):
+            if near(a, b):
+                want[i] = want[j] = min(want[i], want[j])
+    got = {k: k for k, _ in rows} | {r["node"]: r["component"] for r in components.connected(X.variant_edges(nodes)).collect()}
+    assert got == want
