@@ -17,7 +17,6 @@ MD_LINK_ANY_LABEL = r"\[([^\]]*)\]\([^)]+\)"
 
 # --- price tokens ---
 PRICE_SIGNS = "$€£¥₹"
-PRICE_CODES = ["USD", "EUR", "GBP", "INR", "CNY", "CAD", "AUD"]
 PRICE_TOKEN = (
     r"(?iU)(?<![.\d])(?:\bUS\$|\bS\$|[$€£¥₹]|\b(?:USD|EUR|GBP|INR|CNY|CAD|AUD)\b|\bRs\.?)\s?"
     r"(?:\d[\d,]*(?:\.\d+)?|\.\d+)"
@@ -167,7 +166,6 @@ FIELD_MINIMUM = {
 }
 BLOCKING_FIELDS = ["feature_catalog", "feature_conclusion_points"]
 REQUIRED_TEXTS = ["tagline", "pricing", "feature_best_for"]
-QUOTE_SAMPLE = 8
 
 # --- source labels by host fragment, first match wins ---
 SOURCE_LABELS = [
@@ -220,7 +218,6 @@ PRICE_LINE_PRICE = r"(?i)(?:US\$|\$|€|£|S\$|₹|Rs\.?)\s?\d[\d,\.]*|免费|Fr
 PRICE_LINE_PERIOD = r"(?i)billed\s+(annually|monthly)|per\s+(?:month|year)|/mo(?:nth)?|/yr|/年|/月"
 PRICE_LINE_PLAN = (r"(?i)starter|growth|\bpro\b|plus|business|enterprise|team|basic|free\b"
                    r"|solo|scale|advanced|essential|standard|premium|lite")
-PRICE_LINE_MAX = 6
 
 # --- angles: keyword count decides, the first listed wins ties ---
 ANGLES = [
@@ -371,3 +368,16 @@ UNPUBLISHED = "未公开"
 NOT_PUBLISHED_EVIDENCE = ["官方定价页全引擎 0 价格 token", "替代路径已探测(help center/app市场/集团官网)"]
 NOT_PUBLISHED_HINT = "下次运行直接采信「询价制」结论,跳过定价补爬,把预算让给功能/口碑深挖"
 PARTIAL_PRICE_HINT = "定价深挖抓手:月/年 toggle、JS 套餐卡片、help center 定价页、第三方比价页"
+
+# how a vendor sells, by the words of its plans
+FREEMIUM, ENTERPRISE_ONLY, SUBSCRIPTION, MODEL_UNCLEAR = "免费增值(Freemium + 订阅)", "企业定制(Enterprise Only)", "SaaS 订阅(月付/年付)", "订阅制(细节见定价)"
+# what a vendor's share of the common features says
+COVERAGE_UNKNOWN, COVERAGE_BEST, COVERAGE_EVEN, COVERAGE_THIN = "功能信息不足", "覆盖最全", "覆盖均衡", "公开功能信息有限"
+COVERAGE_OWN = " · 有独家能力"
+# where a customer's voice comes from, after the name of its source
+VOICE_QUOTE, VOICE_EFFECT, VOICE_OWN = " · 客户引语", " · 量化效果", " · 官网自述"
+# company scale by stage
+SMALL_STAGES, SMALL_SCALE = ["早期", "成长期"], "中小企业"
+LARGE_STAGES, LARGE_SCALE = ["成熟期", "巨头"], "中大型企业"
+# tiers of a rank
+TIERS = ["领先", "中坚", "跟随"]

@@ -35,12 +35,6 @@ def url_tag(c: Column) -> Column:
     return F.substring(F.md5(c), 1, 8)
 
 
-def holds_quote(text: Column, quote: Column) -> Column:
-    """The quote occurs verbatim in the text, in either of its two normal forms."""
-    q = norm_ws(quote)
-    return F.contains(norm_ws(text), q) | F.contains(norm_stripped(text), q)
-
-
 def stripped_length(c: Column) -> Column:
     return F.length(F.btrim(c, F.lit(K.WS_CHARS)))
 

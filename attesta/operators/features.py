@@ -334,9 +334,9 @@ def feature_conclusions(catalog: DataFrame, vendors: DataFrame, share: float = 0
     held, total = F.coalesce("held", F.lit(0)).cast("int"), F.col("total").cast("int")
     ratio = F.when(total > 0, held / total).otherwise(F.lit(0.0))
     some = F.coalesce("exclusives", F.lit(0)) > 0
-    verdict = (F.when(total == 0, F.lit("功能信息不足")).when((ratio >= 0.99) & some, F.lit("覆盖最全 · 有独家能力"))
-               .when(ratio >= 0.99, F.lit("覆盖最全")).when((ratio >= 0.6) & some, F.lit("覆盖均衡 · 有独家能力"))
-               .when(ratio >= 0.6, F.lit("覆盖均衡")).otherwise(F.lit("公开功能信息有限")))
+    verdict = (F.when(total == 0, F.lit(K.COVERAGE_UNKNOWN)).when((ratio >= 0.99) & some, F.lit(K.COVERAGE_BEST + K.COVERAGE_OWN))
+               .when(ratio >= 0.99, F.lit(K.COVERAGE_BEST)).when((ratio >= 0.6) & some, F.lit(K.COVERAGE_EVEN + K.COVERAGE_OWN))
+               .when(ratio >= 0.6, F.lit(K.COVERAGE_EVEN)).otherwise(F.lit(K.COVERAGE_THIN)))
     return j.select("vendor", held.alias("held"), total.alias("total"),
                     F.bround(F.lit(100).cast("decimal(18,6)") * held / F.greatest(total, F.lit(1))).cast("int").alias("ratio"),
                     F.coalesce("exclusives", F.lit(0)).alias("exclusives"), F.coalesce("first_exclusive", F.lit("")).alias("first_exclusive"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from attesta import constants as K
-from attesta.functions import prices as P, text as T, urls as U
+from attesta.functions import text as T, urls as U
 from attesta.operators.components import settle
 from attesta.operators.spread import dense_index, stable_rank
 
@@ -20,8 +20,8 @@ def score_rank(scores: DataFrame) -> DataFrame:
     base = settle(scores.select("vendor", "ord", avg.alias("avg"),
                                 (F.size(F.array_distinct(F.array(*dims))) == 1).alias("uncalibrated")))
     top = base.agg(F.max("avg").alias("m")).scalar()
-    tier = F.when(F.col("avg") >= top * F.lit("0.9").cast("decimal(2,1)"), F.lit("领先")).when(
-        F.col("avg") >= top * F.lit("0.7").cast("decimal(2,1)"), F.lit("中坚")).otherwise(F.lit("跟随"))
+    tier = F.when(F.col("avg") >= top * F.lit("0.9").cast("decimal(2,1)"), F.lit(K.TIERS[0])).when(
+        F.col("avg") >= top * F.lit("0.7").cast("decimal(2,1)"), F.lit(K.TIERS[1])).otherwise(F.lit(K.TIERS[2]))
     return stable_rank(base.withColumn("tier", tier), [], "avg", "ord")
 
 
@@ -111,15 +111,15 @@ def feedback_summary(vendors: DataFrame) -> DataFrame:
     """Customer voices per vendor, numbered: quotes, own strengths, then weaknesses; a report takes the first few."""
     fb = F.filter(F.transform("user_feedback", lambda x: F.struct(
         F.trim(F.coalesce(F.nullif(x["text"], F.lit("")), x["quote"], F.lit(""))).alias("text"),
-        F.concat(U.source_label(x["source"]), F.when(F.coalesce(x["kind"], F.lit("quote")) == "quote", F.lit(" · 客户引语"))
-                 .otherwise(F.lit(" · 量化效果"))).alias("label"), F.trim(F.coalesce(x["who"], F.lit(""))).alias("who"))),
+        F.concat(U.source_label(x["source"]), F.when(F.coalesce(x["kind"], F.lit("quote")) == "quote", F.lit(K.VOICE_QUOTE))
+                 .otherwise(F.lit(K.VOICE_EFFECT))).alias("label"), F.trim(F.coalesce(x["who"], F.lit(""))).alias("who"))),
         lambda x: (x["text"] != "") | (x["who"] != ""))
     voices = F.transform(fb, lambda x: F.struct(
         F.when(x["who"] == "", x["text"]).when(x["text"] == "", x["who"]).otherwise(F.concat(x["text"], F.lit(" —— "), x["who"])).alias("text"),
         x["label"].alias("label")))
     real = lambda col: F.filter(F.col(col), lambda s: ~T.is_placeholder(s["point"], s["evidence"], s["score"]))
     own = F.transform(real("strengths"), lambda s: F.struct(
-        F.coalesce(s["point"], F.lit("")).alias("text"), F.concat(U.source_label(s["source"]), F.lit(" · 官网自述")).alias("label")))
+        F.coalesce(s["point"], F.lit("")).alias("text"), F.concat(U.source_label(s["source"]), F.lit(K.VOICE_OWN)).alias("label")))
     pos = F.concat(voices, own)
     neg = F.transform(real("weaknesses"), lambda s: F.struct(F.coalesce(s["point"], F.lit("")).alias("text"), U.source_label(s["source"]).alias("label")))
     rows = F.concat(F.transform(pos, lambda x, i: F.struct(F.lit("positive").alias("side"), (i + 1).alias("nth"), x["text"].alias("text"), x["label"].alias("label"))),
@@ -140,7 +140,7 @@ def release_timeline(releases: DataFrame, per_vendor: int | None = None) -> Data
 def positioning(vendors: DataFrame) -> DataFrame:
     """Target segment, company scale and market of each vendor; unknown stays unknown."""
     stage = F.col("stage")
-    scale = F.when(stage.isin("早期", "成长期"), F.lit("中小企业")).when(stage.isin("成熟期", "巨头"), F.lit("中大型企业")).otherwise(F.lit("—"))
+    scale = F.when(stage.isin(K.SMALL_STAGES), F.lit(K.SMALL_SCALE)).when(stage.isin(K.LARGE_STAGES), F.lit(K.LARGE_SCALE)).otherwise(F.lit("—"))
     return vendors.select(F.col("name").alias("vendor"),
                           F.when(F.size("target_users") > 0, F.array_join("target_users", "、")).otherwise(F.lit("—")).alias("target_segment"),
                           scale.alias("scale"), F.coalesce(F.nullif(stage, F.lit("")), F.lit("—")).alias("key_market"), "founded")
@@ -313,7 +313,3 @@ def budget_flags(fetches: DataFrame, budget_s: float) -> DataFrame:
     before = Window.partitionBy("vendor", "run").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     spent = F.coalesce(F.sum("seconds").over(before), F.lit(0))
     return fetches.withColumn("over_budget", spent > budget_s)
-
-
-def amounts(tiers: DataFrame) -> DataFrame:
-    return tiers.withColumn("amount", P.amount(F.col("price")))

@@ -122,10 +122,10 @@ def commercial_model(vendors: DataFrame, tiers: DataFrame) -> DataFrame:
         some(["免费", "free", "trial"]).alias("f"),
         some(["联系销售", "contact sales", "enterprise", "custom"]).alias("c"))
     model = (F.when(F.col("f").isNull(), F.lit(K.UNPUBLISHED))
-             .when(F.col("f") & (F.col("m") | F.col("y")), F.lit("免费增值(Freemium + 订阅)"))
-             .when(F.col("c") & ~F.col("m") & ~F.col("y"), F.lit("企业定制(Enterprise Only)"))
-             .when(F.col("m") | F.col("y"), F.lit("SaaS 订阅(月付/年付)"))
-             .otherwise(F.lit("订阅制(细节见定价)")))
+             .when(F.col("f") & (F.col("m") | F.col("y")), F.lit(K.FREEMIUM))
+             .when(F.col("c") & ~F.col("m") & ~F.col("y"), F.lit(K.ENTERPRISE_ONLY))
+             .when(F.col("m") | F.col("y"), F.lit(K.SUBSCRIPTION))
+             .otherwise(F.lit(K.MODEL_UNCLEAR)))
     return vendors.select("vendor").distinct().join(g, "vendor", "left").select("vendor", model.alias("model"))
 
 
