@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from attesta.functions import text as T, windows as V
+from attesta.operators.components import settle
 
 SINGLES = ["pricing_source", "tagline_source", "founded_source", "headquarters_source", "team_size_source"]
 # fields whose quote must occur verbatim on the cited page
@@ -77,7 +78,8 @@ def find_quotes(claims: DataFrame, captures: DataFrame) -> DataFrame:
     links only for what that does not hold.  Only answers go back to the claims, under hashes of the quotes.
     """
     q = claims.withColumn("__q", T.norm_ws(F.col("quote")))
-    q = q.withColumns({"__h1": F.xxhash64(F.lit(1), "__q"), "__h2": F.xxhash64(F.lit(2), "__q")})
+    # asked for, counted and answered: three uses of what may be a long way from its source
+    q = settle(q.withColumns({"__h1": F.xxhash64(F.lit(1), "__q"), "__h2": F.xxhash64(F.lit(2), "__q")}))
     asked = (q.where((F.col("__q") != "") & (F.col("source_url") != "")).groupBy("source_url", "__h1", "__h2").agg(F.first("__q").alias("__q")))
     many = asked.groupBy("source_url").agg(F.ceil(F.count("*") / QUOTES_AT_ONCE).alias("__lists"))
     lists = (asked.join(many, "source_url").groupBy("source_url", F.pmod("__h1", "__lists").alias("__list"))
