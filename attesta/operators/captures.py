@@ -109,16 +109,17 @@ def primary_capture(captures: DataFrame, keys: list[str]) -> DataFrame:
 
 def merged_text(captures: DataFrame, ledger: DataFrame) -> DataFrame:
     """Readable section of every ok page: kinds, source, engines, time, then the best text."""
-    best = primary_capture(captures, ["url"]).select("url", "engine")
-    engines = captures.where(F.col("text") != "").groupBy("url").agg(
-        F.array_join(F.array_sort(F.collect_set("engine")), ",").alias("engines"))
+    # the best text of a url is one text, also when the url was read more than once
+    priced = F.when(U.url_type(F.col("url")) == "pricing", P.has_price(F.col("text"))).otherwise(F.lit(True))
+    scored = captures.where(F.coalesce(F.col("text"), F.lit("")) != "").select("url", "engine", "text", priced.alias("priced"), T.quality_score(F.col("text")).alias("quality"))
+    place = F.struct("priced", (F.col("quality") >= 0.5).alias("clean"), (-engine_rank(F.col("engine"))).alias("trust"), "quality", F.length("text").alias("chars"), "engine", "text")
+    best = scored.groupBy("url").agg(F.max(place).alias("best"), F.array_join(F.array_sort(F.collect_set("engine")), ",").alias("engines"))
     head = F.concat_ws("\n", F.concat(F.lit("# Kind: "), F.array_join("kinds", "/")),
                        F.concat(F.lit("# Source: "), F.col("url")),
                        F.concat(F.lit("# Scrapers: "), F.col("engines")),
                        F.concat(F.lit("# Time: "), F.col("fetched_at")))
-    return (captures.join(best, ["url", "engine"]).join(engines, "url")
-            .join(ledger.where(F.col("status") == "ok").select("url", "kinds", "fetched_at"), "url")
-            .select("url", F.concat(head, F.lit("\n\n"), F.col("text")).alias("section")))
+    return (best.join(ledger.where(F.col("status") == "ok").select("url", "kinds", "fetched_at"), "url")
+            .select("url", F.concat(head, F.lit("\n\n"), F.col("best.text")).alias("section")))
 
 
 # ------------------------------------------------------------------ extractor statistics
