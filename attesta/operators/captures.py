@@ -209,7 +209,8 @@ def search_lines(captures: DataFrame, patterns: DataFrame, k: int | None = None,
     every = shown.unionByName(cut.join(elsewhere, ["url", "line"]).select(*shown.columns))
     at = F.struct(engine_rank(F.col("engine")).alias("rank"), "engine", "pos")
     once = every.groupBy("pid", "url", "line").agg(F.min(at).alias("at"))
-    order = Window.partitionBy("pid", "url").orderBy("at")
+    # two readings of a url may have a line each at one place
+    order = Window.partitionBy("pid", "url").orderBy("at", "line")
     ranked = once.withColumn("nth", F.row_number().over(order))
     ranked = ranked if k is None else ranked.where(F.col("nth") <= k)
     return ranked.select("pid", "url", "line", "nth", F.col("at.engine").alias("engine"), F.col("at.pos").alias("pos"))
