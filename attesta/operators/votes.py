@@ -39,10 +39,11 @@ def cross_validated(votes: DataFrame, keys: list[str]) -> DataFrame:
 
 def tokens_per_engine(captures: DataFrame, ledger: DataFrame) -> DataFrame:
     """Price tokens per (vendor, engine): on price pages where the vendor has one, else on all."""
-    marked = captures.join(ledger.select("url", "vendor", F.array_contains("kinds", "pricing").alias("is_price")), "url")
+    # counted where the texts lie, so numbers meet the ledger and no texts
+    counted = captures.select("url", "engine", F.size(P.price_tokens(F.col("text"))).alias("n"))
+    marked = counted.join(ledger.select("url", "vendor", F.array_contains("kinds", "pricing").alias("is_price")), "url")
     per = marked.groupBy("vendor", "engine").agg(
-        F.sum(F.size(P.price_tokens(F.col("text")))).alias("all_tokens"),
-        F.sum(F.when(F.col("is_price"), F.size(P.price_tokens(F.col("text"))))).alias("price_page_tokens"))
+        F.sum("n").alias("all_tokens"), F.sum(F.when(F.col("is_price"), F.col("n"))).alias("price_page_tokens"))
     has_page = (ledger.groupBy("vendor")
                 .agg(F.bool_or(F.array_contains("kinds", "pricing")).alias("has_price_page")))
     return per.join(has_page, "vendor").select(
