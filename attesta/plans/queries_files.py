@@ -27,30 +27,37 @@ def _written(s: SparkSession, rows: DataFrame) -> str:
     return path
 
 
+FILE_KEYS = 8192              # keys of a block: a site's entries go to a file for each block, so no file grows with the site
+
+
+def _block(key: str):
+    return F.expr(f"{key} div {FILE_KEYS}").alias("block")
+
+
 def file_captures(s, d) -> DataFrame:
-    """Capture texts of a site as one JSON file."""
+    """Capture texts of a site as JSON files, one for each block of its pages."""
     texts = F.map_from_entries(F.collect_list(F.struct("engine", "text")))
-    one = W.captures(s, d).groupBy("url", "engine").agg(F.max_by("text", "page_id").alias("text"))
-    pages = one.groupBy("url").agg(texts.alias("texts")).groupBy(W.host(F.col("url")).alias("host"))
+    one = W.captures(s, d).groupBy("url", "engine").agg(F.max_by("text", "page_id").alias("text"), F.max("page_id").alias("page_id"))
+    pages = one.groupBy("url").agg(texts.alias("texts"), F.max("page_id").alias("page_id")).groupBy(W.host(F.col("url")).alias("host"), _block("page_id"))
     path = _written(s, pages.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("url", "texts")))).alias("json")))
     return S.read_captures(s, path, "part-*").select("url", "engine", F.md5("text").alias("digest"))
 
 
 def file_ledger(s, d) -> DataFrame:
-    """The ledger of a site as one JSON file."""
+    """The ledger of a site as JSON files, one for each block of its pages."""
     entry = F.struct("status", "kinds", "fetched_at")
-    led = W.ledger_pages(s, d).groupBy("url", "vendor").agg(F.max_by(entry, "page_id").alias("e"))
+    led = W.ledger_pages(s, d).groupBy("url", "vendor").agg(F.max_by(entry, "page_id").alias("e"), F.max("page_id").alias("page_id"))
     doc = F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("url", "e"))).alias("fetched")))
-    return S.read_ledger(s, _written(s, led.groupBy("vendor").agg(doc.alias("json")))).select(
+    return S.read_ledger(s, _written(s, led.groupBy("vendor", _block("page_id")).agg(doc.alias("json")))).select(
         "url", "status", F.array_join("kinds", "/").alias("kinds"), "fetched_at", "from_cache")
 
 
 def file_claims(s, d) -> DataFrame:
-    """Vendor documents of a site as one analysis file, read and flattened."""
+    """Vendor documents of a site as analysis files, one for each block of vendors, read and flattened."""
     v = W.vendor_documents(s, d)
     v = v.withColumn("feature_catalog", F.create_map("name", "feature_catalog")).withColumn("host", W.host(F.col("url")))
     row = F.struct(*[c for c in v.columns if c not in ("page_id", "host")])
-    docs = v.groupBy("host").agg(F.to_json(F.struct(F.collect_list(row).alias("competitors"))).alias("json"))
+    docs = v.groupBy("host", _block("page_id")).agg(F.to_json(F.struct(F.collect_list(row).alias("competitors"))).alias("json"))
     claims = Q.flatten_claims(S.read_vendors(s, _written(s, docs)))
     return claims.select("vendor", "field", "idx", "source_url", F.md5(F.concat_ws("|", "quote", "statement")).alias("digest"))
 
@@ -72,12 +79,12 @@ def file_aliases(s, d) -> DataFrame:
 
 
 def file_capabilities(s, d) -> DataFrame:
-    """Capability entries, a file for each brand."""
+    """Capability entries, a file for each brand and block of parts."""
     part = W.table(s, d, "part")
     entry = F.struct(F.col("p_partkey").cast("string").alias("id"), F.col("p_type").alias("name_cn"), F.col("p_name").alias("name_en"),
                      F.col("p_brand").alias("category"),
                      F.array(F.upper("p_name"), F.lit(" Extra ")).alias("aliases"))
-    docs = part.groupBy("p_brand").agg(F.to_json(F.struct(F.collect_list(entry).alias("features"))).alias("json"))
+    docs = part.groupBy("p_brand", _block("p_partkey")).agg(F.to_json(F.struct(F.collect_list(entry).alias("features"))).alias("json"))
     return S.read_capabilities(s, _written(s, docs)).select("id", "category", "alias")
 
 
