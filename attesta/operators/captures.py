@@ -154,7 +154,10 @@ def next_engines(pages: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ quotes and windows
-def quotable(line: Column, lo: int = 35, hi: int = 130) -> Column:
+QUOTE_CHARS = (35, 130)
+
+
+def quotable(line: Column, lo: int = QUOTE_CHARS[0], hi: int = QUOTE_CHARS[1]) -> Column:
     """A clean prose line that can be cited verbatim."""
     letters = F.regexp_count(line, F.lit("[一-鿿 a-zA-Z0-9]"))
     # cheap and selective tests first
@@ -165,10 +168,15 @@ def quotable(line: Column, lo: int = 35, hi: int = 130) -> Column:
 
 def safe_quotes(captures: DataFrame, keys: list[str], n: int = 3) -> DataFrame:
     """The first n distinct quotable lines per page that occur verbatim in the page."""
-    clean = F.filter(T.clean_lines(F.col("text")), lambda s: quotable(s))
-    forms = F.array(F.struct(T.norm_ws(F.col("text")).alias("flat"), T.norm_stripped(F.col("text")).alias("bare")))
-    # the one-element array binds both normal forms, so they are computed once per text, not per line
-    found = F.get(F.transform(forms, lambda f: F.filter(clean, lambda s: F.contains(f["flat"], s) | F.contains(f["bare"], s))), F.lit(0))
+    clean = F.filter(T.clean_lines(F.col("text"), QUOTE_CHARS[0]), lambda s: quotable(s))
+
+    def shown(lines: Column) -> Column:
+        # the form without links is made only for texts whose plain form lacks a line
+        marks = V.bound(T.norm_ws(F.col("text")), lambda f: F.transform(lines, lambda s: F.struct(s.alias("s"), F.contains(f, s).alias("hit"))))
+        return V.bound(marks, lambda m: F.when(F.forall(m, lambda x: x["hit"]), lines).otherwise(V.bound(
+            T.norm_stripped(F.col("text")), lambda b: F.transform(F.filter(m, lambda x: x["hit"] | F.contains(b, x["s"])), lambda x: x["s"]))))
+
+    found = V.bound(clean, lambda lines: F.when(F.size(lines) > 0, shown(lines)).otherwise(lines))
     lines = captures.select(*keys, engine_rank(F.col("engine")).alias("rank"), F.posexplode(found).alias("pos", "quote"))
     once = lines.groupBy(*keys, "quote").agg(F.min(F.struct("rank", "pos")).alias("at"))
     return first_per_key(once, keys, [F.col("at.rank"), F.col("at.pos")], n, out="nth").drop("at")
