@@ -215,11 +215,13 @@ def cached_fallback(wanted: DataFrame, cache: DataFrame, ttl_days: int = K.TTL_D
 def price_integrity(verified: DataFrame, captures_meta: DataFrame, as_of: Column, ttl_days: int = K.TTL_DAYS) -> DataFrame:
     """Verified prices that lack tiers, independent witnesses or freshness: one row per defect.
 
+    Independent are two extractors with different contents; one extractor that read a url twice is one witness.
     verified(vendor, url, engines ARRAY, tiers INT, scraped_at TEXT), meta(url, engine, content_hash).
     """
     named = verified.select("vendor", "url", F.explode_outer("engines").alias("engine"))
     hashes = (named.join(captures_meta.select("url", "engine", "content_hash"), ["url", "engine"], "left")
-              .groupBy("vendor", "url").agg(F.count_distinct("content_hash").alias("hashes")))
+              .groupBy("vendor", "url").agg(F.least(F.count_distinct("content_hash"), F.count_distinct(
+                  F.when(F.col("content_hash").isNotNull(), F.col("engine")))).alias("hashes")))
     age = T.age_days(F.col("scraped_at"), as_of)
     defects = F.array_compact(F.array(
         F.when(F.col("tiers") == 0, F.lit("no tiers")),
