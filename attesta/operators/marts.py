@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from attesta import constants as K
 from attesta.functions import text as T, urls as U
+from attesta.operators.claims import find_phrases
 from attesta.operators.components import settle
 from attesta.operators.spread import dense_index, stable_rank
 
@@ -294,13 +295,18 @@ def lesson_hints(lessons: DataFrame, k: int | None = None) -> DataFrame:
 def keyword_pages(pages: DataFrame, domains: DataFrame, min_chars: int = 300) -> DataFrame:
     """Own-domain page that names a technology: pages(url, text), domains(domain, keyword).
 
-    The keyword up to '(' must occur in a sufficient page of the registrable domain; first url wins.
+    The keyword up to '(' must occur in a sufficient page of the registrable domain; first url wins.  Keywords are
+    searched by words they hold: a domain's keywords never meet all its pages.
     """
     p = pages.where(T.body_sufficient(F.col("text"), min_chars)).select(
-        "url", U.registrable_domain(U.host_of(F.col("url"))).alias("domain"), T.norm_ws(F.lower("text")).alias("flat"))
+        F.struct("url", U.registrable_domain(U.host_of(F.col("url"))).alias("domain")).alias("doc_id"), F.lower("text").alias("text"))
     asked = domains.withColumn("kw", F.lower(F.trim(F.split_part("keyword", F.lit("("), F.lit(1)))))
-    words = asked.where(F.col("kw") != "").select("domain", "kw").distinct()
-    hit = words.join(p, "domain").where(F.contains("flat", T.norm_ws(F.col("kw"))))
+    words = settle(asked.where(F.col("kw") != "").select("domain", "kw").distinct())
+    held = find_phrases(words.select(F.struct("domain", "kw").alias("item_id"), F.col("kw").alias("quote")), p)
+    hit = held.where(F.col("item_id.domain") == F.col("doc_id.domain")).select("item_id.domain", "item_id.kw", "doc_id.url")
+    blank = words.where(T.norm_ws(F.col("kw")) == "")
+    if not blank.isEmpty():
+        hit = hit.unionByName(blank.join(p.select("doc_id.domain", "doc_id.url"), "domain").select("domain", "kw", "url"))
     first = hit.groupBy("domain", "kw").agg(F.min("url").alias("url"))
     return asked.join(first, ["domain", "kw"]).select("domain", "keyword", "url")
 
