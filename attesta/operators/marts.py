@@ -5,12 +5,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from attesta import constants as K
 from attesta.functions import text as T, urls as U
-from attesta.operators.claims import find_phrases
+from attesta.operators.claims import asserts_source, claim_rows, find_phrases
 from attesta.operators.components import settle
 from attesta.operators.spread import dense_index, stable_rank
 
 
 # ------------------------------------------------------------------ scores
+def uncalibrated() -> Column:
+    """All dimensions have one score."""
+    return F.size(F.array_distinct(F.array(*K.SCORE_DIMENSIONS))) == 1
+
+
 def score_rank(scores: DataFrame) -> DataFrame:
     """Mean score, rank and tier of every vendor: top from 90 % of the best, middle from 70 %."""
     dims = [F.col(d) for d in K.SCORE_DIMENSIONS]
@@ -19,7 +24,7 @@ def score_rank(scores: DataFrame) -> DataFrame:
     avg = F.bround((total / F.greatest(n, F.lit(1))).cast("decimal(18,8)"), 1).cast("decimal(4,1)")
     # read by the best mean and three times by the rank
     base = settle(scores.select("vendor", "ord", avg.alias("avg"),
-                                (F.size(F.array_distinct(F.array(*dims))) == 1).alias("uncalibrated")))
+                                uncalibrated().alias("uncalibrated")))
     top = base.agg(F.max("avg").alias("m")).scalar()
     tier = F.when(F.col("avg") >= top * F.lit("0.9").cast("decimal(2,1)"), F.lit(K.TIERS[0])).when(
         F.col("avg") >= top * F.lit("0.7").cast("decimal(2,1)"), F.lit(K.TIERS[1])).otherwise(F.lit(K.TIERS[2]))
@@ -74,14 +79,17 @@ def sources_by_kind(register: DataFrame) -> DataFrame:
     return register.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.col("verified") == "user").alias("user_verified"))
 
 
-def evidence_warnings(vendors: DataFrame, register: DataFrame, ranked: DataFrame) -> DataFrame:
-    """Counts behind the report's warnings, one row."""
+def evidence_warnings(vendors: DataFrame, scores: DataFrame) -> DataFrame:
+    """Counts behind the report's warnings, one row; one pass over the documents and one over the scores.
+
+    Without sources is a report whose vendors cite no url that a source register would take.
+    """
     priced = (F.trim(F.coalesce("pricing", F.lit(""))) != "") & (F.col("pricing") != "—")
     all_placeholder = (F.size("strengths") > 0) & F.forall("strengths", lambda s: T.is_placeholder(s["point"], s["evidence"], s["score"]))
-    v = vendors.agg(F.count_if(~F.coalesce("pricing_verified", F.lit(False)) & priced).alias("unverified_prices"),
+    sourced = F.exists(claim_rows(vendors), lambda c: asserts_source(c["source_url"], c["field"]) & (U.safe_url(c["source_url"]) != ""))
+    v = vendors.agg((F.count_if(sourced) == 0).alias("no_sources"), F.count_if(~F.coalesce("pricing_verified", F.lit(False)) & priced).alias("unverified_prices"),
                     F.count_if(all_placeholder).alias("placeholder_only"))
-    return v.select((register.agg(F.count("*").alias("n")).scalar() == 0).alias("no_sources"), "unverified_prices", "placeholder_only",
-                    ranked.agg(F.count_if("uncalibrated").alias("n")).scalar().alias("uncalibrated"))
+    return v.select("*", scores.agg(F.count_if(uncalibrated()).alias("n")).scalar().alias("uncalibrated"))
 
 
 # ------------------------------------------------------------------ derived points
