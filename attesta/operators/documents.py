@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from attesta import constants as K
 from attesta.functions import prices as P
+from attesta.operators.components import settle
 from attesta.operators.features import CJK, phrase_hits
 
 DEPTH = 5
@@ -34,8 +35,12 @@ def kind_of(value: Column) -> Column:
 
 
 def is_empty(value: Column) -> Column:
-    """Absent, null, false, zero, or without content."""
-    return F.coalesce(F.to_json(value), F.lit("null")).rlike(r'^(null|""|\[\]|\{\}|false|-?0(\.0*)?)$')
+    """Absent, null, false, zero, or without content; neither a text nor what a list or object holds is written out for it."""
+    told = F.schema_of_variant(value)
+    return (F.when(value.isNull() | told.isin("VOID", "OBJECT<>"), True).when(told.startswith("OBJECT<"), False)
+            .when(told.startswith("ARRAY<"), F.try_variant_get(value, "$[0]", "variant").isNull())
+            .when(told == "STRING", F.try_variant_get(value, "$", "string") == "")
+            .otherwise(F.to_json(value).rlike(r'^(false|-?0(\.0*)?)$')))
 
 
 def walk(docs: DataFrame, id_col: str, json_col: str, depth: int = DEPTH) -> DataFrame:
@@ -43,14 +48,18 @@ def walk(docs: DataFrame, id_col: str, json_col: str, depth: int = DEPTH) -> Dat
 
     path has list positions and names, as in competitors[2].feature_catalog.Inbox[0]; shape has [] and * in their
     places.  vendor is the name of the competitor a value belongs to.  A text that is no JSON has one row of kind null.
+    The documents are read and parsed once: a level adds the rows of what its lists and objects hold to those found.
     """
     spark = docs.sparkSession
-    level = docs.select(F.col(id_col).alias("id"), F.try_parse_json(F.col(json_col)).alias("value"), F.lit("").alias("path"),
+    found = docs.select(F.col(id_col).alias("id"), F.try_parse_json(F.col(json_col)).alias("value"), F.lit("").alias("path"),
                         F.lit("").alias("shape"), F.lit("").alias("vendor"))
-    level = level.withColumn("kind", kind_of(F.col("value"))).select(*NODE)
-    found = level
+    found = found.withColumn("kind", kind_of(F.col("value"))).select(*NODE, F.lit(True).alias("fresh"))
     for _ in range(depth):
-        inner = spark.tvf.variant_explode(F.col("value").outer()).toDF("pos", "key", "child")
+        # a value's own row stays; a list or object found last stands a second time, to be opened
+        twice = F.col("fresh") & F.col("kind").isin("array", "object")
+        found = found.withColumn("inside", F.explode(F.when(twice, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+        found = found.withColumn("opened", F.when(F.col("inside"), F.col("value")))
+        inner = spark.tvf.variant_explode_outer(F.col("opened").outer()).toDF("pos", "key", "child")
         named = F.lit(False)
         for n in NAMED:
             named |= F.col("shape").endswith(n)
@@ -58,11 +67,10 @@ def walk(docs: DataFrame, id_col: str, json_col: str, depth: int = DEPTH) -> Dat
         step = F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat(dot, F.col("key")))
         plain = F.when(F.col("key").isNull(), F.lit("[]")).otherwise(F.concat(dot, F.when(named, F.lit("*")).otherwise(F.col("key"))))
         name = F.when(F.concat("shape", plain) == "competitors[]", F.coalesce(F.try_variant_get("child", "$.name", "string"), F.lit("?"))).otherwise(F.col("vendor"))
-        level = level.where(F.col("kind").isin("array", "object")).lateralJoin(inner).select(
-            "id", F.concat("path", step).alias("path"), F.concat("shape", plain).alias("shape"), name.alias("vendor"),
-            kind_of(F.col("child")).alias("kind"), F.col("child").alias("value"))
-        found = found.unionByName(level)
-    return found
+        child = {"path": F.concat("path", step), "shape": F.concat("shape", plain), "vendor": name, "kind": kind_of(F.col("child")), "value": F.col("child")}
+        found = found.lateralJoin(inner).where(~F.col("inside") | F.col("pos").isNotNull()).select(
+            "id", *[F.when(F.col("inside"), child[c]).otherwise(F.col(c)).alias(c) for c in NODE[1:]], F.col("inside").alias("fresh"))
+    return found.select(*NODE)
 
 
 def _mark(severity: str, detail: Column | str, field: Column | None = None) -> Column:
@@ -99,12 +107,15 @@ def untyped_contract(docs: DataFrame, id_col: str, json_col: str, aliases: DataF
         F.when((F.col("shape") == "gaps[]") & is_object & at("gap").isNull(), _mark("warning", "old form")),
         *[F.when((F.col("shape") == "") & is_object & is_empty(at(f)), _mark("warning", "missing", F.lit(f))) for f in TOP_TABLES],
     ]
-    marks = nodes.select("id", "vendor", F.inline(F.array_compact(F.array(*checks))))
-    out = marks.select("id", F.lit("G8").alias("gate"), "severity", "vendor", "path", "detail")
+    named = F.when((F.col("shape") == "competitors[].feature_catalog.*[]") & is_object,
+                   _mark("name", F.coalesce(F.try_variant_get("value", "$.name", "string"), F.lit(""))))
+    marks = nodes.select("id", "vendor", F.inline(F.array_compact(F.array(*checks, *([named] if aliases is not None else [])))))
+    if aliases is not None:
+        marks = settle(marks)  # defects and names, without the documents
+    out = marks.where(F.col("severity") != "name").select("id", F.lit("G8").alias("gate"), "severity", "vendor", "path", "detail")
     if aliases is None:
         return out
-    named = nodes.where((F.col("shape") == "competitors[].feature_catalog.*[]") & is_object).select(
-        "id", F.coalesce(F.try_variant_get("value", "$.name", "string"), F.lit("")).alias("name"))
+    named = marks.where(F.col("severity") == "name").select("id", F.col("detail").alias("name"))
     low = unified_names(named, aliases).where(F.col("unified") * 2 < F.col("names"))
     return out.unionByName(low.select(
         "id", F.lit("G8").alias("gate"), F.lit("warning").alias("severity"), F.lit("").alias("vendor"), F.lit("feature_catalog").alias("path"),
