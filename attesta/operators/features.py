@@ -114,6 +114,7 @@ def _minus(c: Column, stop) -> Column:
 
 def _stem_matches(keys: DataFrame, aliases: DataFrame, stops: DataFrame | None) -> DataFrame:
     stop = _stop_array(stops)
+    keys = settle(keys)  # or the test on the stems is made for every row the keys come from
     n = keys.select("key", _minus(T.stem_signature(F.col("key")), stop).alias("sig")).where(F.size("sig") > 0)
     a = (aliases.where(~F.col("phrase")).select("canonical", "ord", T.stem_signature(F.lower("alias")).alias("full"))
          .withColumn("asig", _minus(F.col("full"), stop)))
@@ -173,11 +174,12 @@ def variant_groups(catalog: DataFrame, stops: DataFrame) -> DataFrame:
 
     Groups are connected components of the pair test, so they do not depend on input order.
     """
-    first = catalog.where(F.trim("name") != "").groupBy(F.trim("name").alias("name")).agg(F.min("ord").alias("ord"))
+    # kept, or the test on the stems below would be made for every row of the catalog
+    first = settle(catalog.where(F.trim("name") != "").groupBy(F.trim("name").alias("name")).agg(F.min("ord").alias("ord")))
     stop = _stop_array(stops)
     full = T.stem_signature(F.col("name"))
     cut = _minus(full, stop)
-    sig = first.withColumn("sig", F.when(F.size(cut) > 0, cut).otherwise(full)).where(F.size("sig") > 0)
+    sig = settle(first.withColumn("sig", F.when(F.size(cut) > 0, cut).otherwise(full))).where(F.size("sig") > 0)
     nodes = sig.groupBy("sig").agg(F.min("ord").alias("node"))
     comp = connected(variant_edges(nodes))
     grouped = sig.join(nodes, "sig").join(comp, "node", "left").withColumn("group", F.coalesce("component", "node"))
