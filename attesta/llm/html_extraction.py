@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -9,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from attesta.llm.common import keep, plain, small_side, table
+from attesta.llm.common import bit_map, keep, plain, small_side, table
 
 # Elements by what they hold.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -37,6 +38,7 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 RUN = 8          # words of the shortest repeated run
 PAGES = 3        # distinct pages a run has to stand on
 GROUP = 4096     # pages of a suffix array
+BITS = 1 << 25   # of the map of runs that slots ask for
 
 
 class Blocks(HTMLParser):
@@ -170,27 +172,113 @@ def whole_runs(gone: np.ndarray, run: int = RUN) -> np.ndarray:
     return out
 
 
-def extract_group(pages: pd.DataFrame) -> pd.DataFrame:
-    """Main texts of some pages, whole hosts as a rule."""
-    parsed = [blocks_of(h) for h in pages["html"]]
-    hosts = pd.factorize(pages["host"].fillna(""))[0]
-    vocab: dict[tuple[int, str], int] = {}
+def packed(html: str | None) -> bytes:
+    """The blocks of a page, compressed: a line for each, its region's first letter before it."""
+    return zlib.compress("\n".join(region[0] + text for text, region in blocks_of(html)).encode("utf-8", "surrogatepass"))
+
+
+def unpacked(blocks: bytes) -> list[tuple[str, str]]:
+    """(text, first letter of the region) of every block."""
+    lines = zlib.decompress(blocks).decode("utf-8", "surrogatepass")
+    return [(line[1:], line[0]) for line in lines.split("\n")] if lines else []
+
+
+def word_stream(parsed: list[list[tuple[str, str]]]) -> tuple[list[str], np.ndarray, list[tuple[int, int, int, int]]]:
+    """All words of some pages, the page of each, and (page, block, start, past end) of every block."""
     stream, owner, spans = [], [], []
     for p, blocks in enumerate(parsed):
-        for k, (text, region) in enumerate(blocks):
+        for k, (text, _) in enumerate(blocks):
             words = text.split(" ")
             spans.append((p, k, len(stream), len(stream) + len(words)))
-            stream += [vocab.setdefault((hosts[p], w), len(vocab)) for w in words]
+            stream += words
             owner += [p] * len(words)
-    ids, page = np.array(stream, np.int64), np.array(owner, np.int64)
-    content = pd.factorize(pd.Series([tuple(b) for b in parsed]).map(hash))[0] if len(parsed) else np.zeros(0, np.int64)
-    gone = repeated(ids, page, content)
+    return stream, np.array(owner, np.int64), spans
+
+
+def has_article(parsed: list[list[tuple[str, str]]]) -> list[bool]:
+    return [any(r == "b" for _, r in blocks) for blocks in parsed]
+
+
+def run_starts(page: np.ndarray, run: int = RUN) -> np.ndarray:
+    """Places at which `run` words of one page begin."""
+    n = max(len(page) - run + 1, 0)
+    return np.flatnonzero(page[:n] == page[run - 1:run - 1 + n])
+
+
+def open_starts(parsed: list[list[tuple[str, str]]], page: np.ndarray, spans: list[tuple[int, int, int, int]]) -> np.ndarray:
+    """Places of runs with a word that goes if the run repeats: all but those inside a marked article."""
+    marked, open_ = has_article(parsed), np.zeros(len(page) + 1, np.int64)
+    for p, k, a, z in spans:
+        open_[a + 1:z + 1] = not (marked[p] and parsed[p][k][1] == "b")
+    upto, at = np.cumsum(open_), run_starts(page)
+    return at[upto[at + RUN] > upto[at]]
+
+
+def run_names(stream: list[str], page: np.ndarray, hosts: np.ndarray, at: np.ndarray, run: int = RUN) -> Iterator[np.ndarray]:
+    """64 bits, then 64 others, that name the words of the runs at some places and their host; hosts: one for each page."""
+    used = np.zeros(len(stream) + 1, np.int64)
+    np.add.at(used, at, 1)
+    np.add.at(used, at + run, -1)
+    used = np.flatnonzero(np.cumsum(used)[:-1])
+    code, words = pd.factorize(np.array(stream, object)[used])
+    place = np.zeros(len(stream), np.int64)
+    place[used] = np.arange(len(used))
+    first = place[at]
+    for salt in ("attesta.runs.one", "attesta.runs.two"):
+        value = pd.util.hash_array(np.asarray(words, object), hash_key=salt, categorize=False)[code] if len(code) else np.zeros(0, np.uint64)
+        h = pd.util.hash_array(np.asarray(hosts, object), hash_key=salt, categorize=True)[page[at]]
+        for k in range(run):
+            h = (h ^ value[first + k]) * np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(29)
+        yield h.view(np.int64)
+
+
+def asked_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(part, high, low), each once a batch: the runs with a word that goes if the run stands on enough pages."""
+    for batch in batches:
+        parsed = [unpacked(b) for b in batch["blocks"]]
+        stream, page, spans = word_stream(parsed)
+        at = open_starts(parsed, page, spans)
+        low, high = run_names(stream, page, batch["host"].to_numpy(), at)
+        yield pd.DataFrame({"part": batch["part"].to_numpy()[page[at]], "high": high, "low": low}).drop_duplicates()
+
+
+def held_runs(batches: Iterator[pd.DataFrame], asked: np.ndarray) -> Iterator[pd.DataFrame]:
+    """(high, low, content): which pages hold a run that may be asked for; PAGES distinct ones of a batch tell as much as all."""
+    for batch in batches:
+        stream, page, _ = word_stream([unpacked(b) for b in batch["blocks"]])
+        at, hosts = run_starts(page), batch["host"].to_numpy()
+        spot = next(run_names(stream, page, hosts, at)) & np.int64(BITS - 1)
+        at = at[(asked[spot >> 3] >> (spot & 7) & 1).astype(bool)]
+        low, high = run_names(stream, page, hosts, at)
+        content = pd.util.hash_array(batch["blocks"].to_numpy(object), categorize=True).view(np.int64)
+        rows = pd.DataFrame({"high": high, "low": low, "content": content[page[at]]}).drop_duplicates()
+        yield rows[rows.groupby(["high", "low"]).cumcount() < PAGES]
+
+
+def extract_group(pages: pd.DataFrame, known: pd.DataFrame | None = None) -> pd.DataFrame:
+    """Main texts of some pages, whole hosts as a rule; known(high, low): runs that repeat on the host, if this is a part of one."""
+    parsed = [unpacked(b) for b in pages["blocks"]]
+    hosts = pd.factorize(pages["host"])[0]
+    stream, page, spans = word_stream(parsed)
+    ids = pd.factorize(np.array(stream, object))[0].astype(np.int64) * (len(parsed) + 1) + hosts[page]
+    gone = repeated(ids, page, pd.factorize(pages["blocks"])[0])
+    if known is not None and len(known):
+        at = open_starts(parsed, page, spans)
+        low, high = run_names(stream, page, pages["host"].to_numpy(), at)
+        told = known.sort_values("high")
+        where = np.minimum(np.searchsorted(told["high"], high), len(told) - 1)
+        at = at[(told["high"].to_numpy()[where] == high) & (told["low"].to_numpy()[where] == low)]
+        edge = np.zeros(len(stream) + 1, np.int64)
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + RUN, -1)
+        gone |= np.cumsum(edge)[:-1] > 0
     texts: list[list[str]] = [[] for _ in parsed]
     removed = np.zeros(len(parsed), np.int64)
-    marked = [any(r == "body" for _, r in b) for b in parsed]
+    marked = has_article(parsed)
     for p, k, a, z in spans:
         text, region = parsed[p][k]
-        if region == "chrome" or (marked[p] and region != "body"):
+        if region == "c" or (marked[p] and region != "b"):
             removed[p] += int(gone[a:z].sum())
         elif marked[p] or not gone[a:z].any():
             texts[p].append(text)
@@ -200,7 +288,7 @@ def extract_group(pages: pd.DataFrame) -> pd.DataFrame:
             removed[p] += int(cover.sum())
             if rest:
                 texts[p].append(" ".join(rest))
-    out = pages.drop(columns=["html", "host", "slot", "place"]).copy()
+    out = pages[[c for c in pages.columns if c not in ("blocks", "host", "slot", "place", "part")]].copy()
     out["text"] = [" ".join(t) for t in texts]
     out["n_repeated_words"] = removed
     return out
@@ -216,7 +304,7 @@ def grouped(batches: Iterator[pd.DataFrame], size: int = GROUP) -> Iterator[pd.D
         keys = list(zip(batch["host"], batch["slot"]))
         cuts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
         for start, stop in zip(cuts, cuts[1:]):
-            if keys[start] != last and n >= size // 4:
+            if held and keys[start] != last and n >= size // 4:
                 yield pd.concat(held, ignore_index=True)
                 held, n = [], 0
             held.append(batch.iloc[start:stop])
@@ -229,9 +317,11 @@ def main_texts(pages: DataFrame, id_cols: tuple[str, ...] = ("page_id", "url"),
     """(id_cols..., text, n_repeated_words) for every row of pages.
 
     A host's pages meet in one slot; a host that weighs more than `group` pages (a page counts once for every 8,192
-    characters begun) is dealt to as many slots of about that weight by a hash of its pages, so the result does not
-    depend on partitions or the order of rows.  A task concatenates the word streams of a slot's pages, builds their suffix
-    array and marks runs of RUN words or more that stand on PAGES distinct pages of the slot.  Of a page
+    characters begun) is dealt to as many slots of about that weight by a hash of its pages.  A task concatenates the
+    word streams of a slot's pages, builds their suffix array and marks runs of RUN words or more that stand on PAGES distinct
+    pages.  For hosts of several slots runs are counted over all of them besides: a slot asks for the runs that would
+    go, all slots tell which of their pages hold one, and what stands on PAGES distinct pages of the host is
+    told to the slots that asked.  So the result depends neither on slots nor on partitions or the order of rows.  Of a page
     without a marked article, marked runs are removed and the unique runs stay.  Of a page with one (article or
     main element, or the like) the article stays whole: articles quote and copy each other, so a repeat there
     is no boilerplate.  Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments go by
@@ -251,17 +341,34 @@ def main_texts(pages: DataFrame, id_cols: tuple[str, ...] = ("page_id", "url"),
     # hosts beyond one slot: few, as each weighs more than `group` pages
     large = rows.groupBy("host").agg(F.ceil(F.sum("weight") / group).alias("slots")).where("slots > 1")
     large = small_side(keep(large))
-    dealt = rows.drop("weight").join(large, "host", "left")
-    dealt = dealt.withColumn("slot", F.when(F.col("slots") > 1, F.pmod("place", F.col("slots"))).otherwise(0).cast("long")).drop("slots")
     n = max(2, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = dealt.select(*ids, "host", "slot", "place", "html").repartition(n, "host", "slot").sortWithinPartitions("host", "slot", "place")
-    fields = ", ".join(f"{c} {dealt.schema[c].dataType.simpleString()}" for c in ids)
+    fields = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in ids)
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.drop(columns="html").assign(blocks=[packed(h) for h in batch["html"]])
+
+    def parsed(some: DataFrame) -> DataFrame:
+        return some.select(*ids, "host", "slot", "place", "html").mapInPandas(parse, f"{fields}host string, slot long, place long, blocks binary")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in grouped(batches, group):
             yield extract_group(part)
 
-    texts = dealt.mapInPandas(run, f"{fields}, text string, n_repeated_words bigint")
+    answer = f"{fields}text string, n_repeated_words bigint"
+    rows = rows.drop("weight")
+    whole = parsed(rows.join(large, "host", "left_anti").withColumn("slot", F.lit(0).cast("long")))
+    texts = whole.repartition(n, "host", "slot").sortWithinPartitions("host", "slot", "place").mapInPandas(run, answer)
+    if not large.isEmpty():
+        parts = keep(parsed(rows.join(large, "host").withColumn("slot", F.pmod("place", F.col("slots")).cast("long"))))
+        parts = parts.withColumn("part", F.xxhash64("host", "slot"))
+        asked = keep(parts.select("host", "part", "blocks").mapInPandas(asked_runs, "part long, high long, low long"))
+        bits = pages.sparkSession.sparkContext.broadcast(bit_map(asked, F.pmod("low", F.lit(BITS)), BITS))
+        held = parts.select("host", "blocks").mapInPandas(lambda batches: held_runs(batches, bits.value), "high long, low long, content long")
+        many = held.repartition("high", "low").distinct().groupBy("high", "low").agg(F.count("*").alias("pages")).where(F.col("pages") >= PAGES)
+        many = small_side(keep(many.select("high", "low")))
+        told = asked.join(many, ["high", "low"], "left_semi").distinct()
+        texts = texts.unionByName(parts.groupBy("part").cogroup(told.groupBy("part")).applyInPandas(extract_group, answer))
     return texts.select(*[F.col(c).alias(o) for c, o in zip(ids, id_cols)], "text", "n_repeated_words")
 
 
