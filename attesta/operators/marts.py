@@ -304,13 +304,13 @@ def keyword_pages(pages: DataFrame, domains: DataFrame, min_chars: int = 300) ->
     """Own-domain page that names a technology: pages(url, text), domains(domain, keyword).
 
     The keyword up to '(' must occur in a sufficient page of the registrable domain; first url wins.  Keywords are
-    searched by words they hold: a domain's keywords never meet all its pages.
+    searched by words they hold, on pages of their domain only: a domain's keywords never meet all its pages.
     """
     p = pages.where(T.body_sufficient(F.col("text"), min_chars)).select(
         F.struct("url", U.registrable_domain(U.host_of(F.col("url"))).alias("domain")).alias("doc_id"), F.lower("text").alias("text"))
     asked = domains.withColumn("kw", F.lower(F.trim(F.split_part("keyword", F.lit("("), F.lit(1)))))
     words = settle(asked.where(F.col("kw") != "").select("domain", "kw").distinct())
-    held = find_phrases(words.select(F.struct("domain", "kw").alias("item_id"), F.col("kw").alias("quote")), p)
+    held = find_phrases(words.select(F.struct("domain", "kw").alias("item_id"), F.col("kw").alias("quote"), "domain"), p.withColumn("domain", F.col("doc_id.domain")), "domain")
     hit = held.where(F.col("item_id.domain") == F.col("doc_id.domain")).select("item_id.domain", "item_id.kw", "doc_id.url")
     blank = words.where(T.norm_ws(F.col("kw")) == "")
     if not blank.isEmpty():
